@@ -28,10 +28,21 @@ def block_seconds_for(timeframe: str | None) -> int:
     return DEFAULT_BLOCK_SECONDS.get(timeframe, INTRADAY_BLOCK_SECONDS)
 
 
-def block_of(ts, seconds: int) -> Column:
-    """Integer time block of a naive-UTC timestamp (epoch aligned)."""
+def block_of(ts, seconds) -> Column:
+    """Integer time block of a naive-UTC timestamp (epoch aligned). ``seconds`` may be a
+    Column, e.g. a per-timeframe block length."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(epoch_seconds(ts) / F.lit(seconds)).cast("long")
+    secs = seconds if isinstance(seconds, Column) else F.lit(seconds)
+    return F.floor(epoch_seconds(ts) / secs).cast("long")
+
+
+def block_seconds_column(timeframe="timeframe") -> Column:
+    """Per-row block length from the row's timeframe (see DEFAULT_BLOCK_SECONDS)."""
+    tf = F.col(timeframe) if isinstance(timeframe, str) else timeframe
+    expr = F.lit(INTRADAY_BLOCK_SECONDS)
+    for name, secs in DEFAULT_BLOCK_SECONDS.items():
+        expr = F.when(tf == name, F.lit(secs)).otherwise(expr)
+    return expr
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str,

@@ -93,3 +93,180 @@ def q_dedup_last(spark, sf):
     raw = fixture(spark, sf, "fx_raw_bars")
     return B.keep_last(raw, ["symbol", "timestamp"],
                        ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "volume", "high", "low", "source"])
+
+
+# ------------------------------------------------------------------ A3 resample
+from .operators import resample as RS  # noqa: E402
+
+_MINUTE_LAKE = ("select symbol, timestamp, 'stocks' as asset_class, '1m' as timeframe, open, high, low, close, volume, "
+                "close*(1e0+(event_id%4)*0.25e0) as adj_close, 1e0+(event_id%4)*0.25e0 as adj_factor, "
+                "case when event_id % 2 = 0 then 'vendor_a' else 'vendor_b' end as source, event_id from {fx_minute}")
+
+
+def minute_lake(spark, sf):
+    """1m bars in lake layout derived from the events table."""
+    return spark.sql(_MINUTE_LAKE, fx_minute=fixture(spark, sf, "fx_minute"))
+
+
+def _resample_sql(tf: str, minutes: int) -> str:
+    b = f"time_bucket(interval '{minutes} minutes', timestamp)"
+    o = "order by timestamp, event_id"
+
+    def first(c):
+        return f"first({c} {o}) filter (where {c} is not null)"
+
+    def last(c):
+        return f"last({c} {o}) filter (where {c} is not null)"
+    ml = _MINUTE_LAKE.replace("{fx_minute}", "fx_minute")
+    return duckdb_sql(
+        f"with ml as ({ml}) select * from (select {b} as timestamp, symbol, {first('asset_class')} as asset_class, "
+        f"'{tf}' as timeframe, {first('open')} as open, max(high) as high, min(low) as low, {last('close')} as close, "
+        f"coalesce(sum(volume), 0e0) as volume, {last('adj_close')} as adj_close, {first('adj_factor')} as adj_factor, "
+        f"{first('source')} as source, cast(year({b}) as int) as year from ml group by {b}, symbol) t "
+        "where open is not null and close is not null", "fx_minute")
+
+
+for _tf, _m in RS.RESAMPLE_MINUTES.items():
+    def _q(spark, sf, _tf=_tf):
+        return RS.resample(minute_lake(spark, sf), [_tf], tie=["event_id"])
+    register(f"resample_{_tf}", _resample_sql(_tf, _m))(_q)
+
+
+# ------------------------------------------------------------------ W1 / A2 / A4 / A5 / A1
+from .operators import quality as QA  # noqa: E402
+
+_GAPS_D1 = ("select symbol, timeframe, gap_start, gap_end, cast(floor(secs/86400) as double) as gap_size, "
+            "'days' as gap_unit from (select *, epoch(gap_end)-epoch(gap_start) as secs from "
+            "(select symbol, timeframe, timestamp as gap_end, lag(timestamp) over (partition by symbol, timeframe "
+            "order by timestamp) as gap_start from {src} where timeframe in ('D1','1m')) t) u "
+            "where gap_start is not null and timeframe = 'D1' and secs > 345600")
+_GAPS_1M = ("select symbol, timeframe, gap_start, gap_end, secs/60e0 as gap_size, 'minutes' as gap_unit "
+            "from (select *, epoch(gap_end)-epoch(gap_start) as secs from (select symbol, timeframe, timestamp as gap_end, "
+            "lag(timestamp) over (partition by symbol, timeframe order by timestamp) as gap_start from {src} "
+            "where timeframe in ('D1','1m')) t) u where gap_start is not null and timeframe = '1m' and secs > 900 "
+            "and cast(gap_start as date) = cast(gap_end as date)")
+
+
+@register("gaps_daily", duckdb_sql(_GAPS_D1.format(src="fx_dense"), "fx_dense"))
+def q_gaps_daily(spark, sf):
+    return QA.detect_gaps(fixture(spark, sf, "fx_dense"))
+
+
+@register("gaps_minute", duckdb_sql(
+    _GAPS_1M.format(src="(select *, '1m' as timeframe from fx_minute)"), "fx_minute"))
+def q_gaps_minute(spark, sf):
+    return QA.detect_gaps(fixture(spark, sf, "fx_minute").withColumn("timeframe", F.lit("1m")))
+
+
+def _np(c):
+    return f"100e0*sum(case when {c} is null then 1 else 0 end)/count(*)"
+
+
+@register("null_scan", duckdb_sql(
+    "select symbol, timeframe, " + ", ".join(f"{_np(c)} as null_pct_{c}" for c in
+                                            ("open", "high", "low", "close", "volume")) +
+    " from fx_dense group by symbol, timeframe", "fx_dense"))
+def q_null_scan(spark, sf):
+    return QA.null_scan(fixture(spark, sf, "fx_dense"), ["open", "high", "low", "close", "volume"])
+
+
+@register("quality_score", duckdb_sql(
+    "with s as (select symbol, timeframe, count(*) as rows_count, "
+    f"((({_np('open')} + {_np('high')}) + {_np('low')}) + {_np('close')})/4e0 as ohlc_null_pct "
+    "from fx_dense group by symbol, timeframe), "
+    f"g as (select symbol, timeframe, count(*) as gaps from ({_GAPS_D1.format(src='fx_dense')}) x group by 1, 2) "
+    "select s.symbol, s.timeframe, rows_count, ohlc_null_pct, coalesce(g.gaps, 0) as gaps, "
+    "greatest(0e0, 100e0 - least(50e0, ohlc_null_pct*1.5e0) - least(50e0, coalesce(g.gaps, 0)*5e0)) as quality_score "
+    "from s left join g on s.symbol = g.symbol and s.timeframe = g.timeframe", "fx_dense"))
+def q_quality_score(spark, sf):
+    return QA.quality_scores(fixture(spark, sf, "fx_dense"))
+
+
+_CAT = ("select symbol, timeframe, asset_class, min(timestamp) as start_date, max(timestamp) as end_date, "
+        "count(*) as rows_count, cast(sum(case when close is null then 1 else 0 end) as bigint) as null_closes, "
+        "100e0*sum(case when close is null then 1 else 0 end)/count(*) as nulls_pct from fx_raw_bars "
+        "group by symbol, timeframe, asset_class")
+
+
+@register("catalog_stats", duckdb_sql(
+    f"select *, greatest(0e0, 100e0 - nulls_pct*2e0) as quality_score from ({_CAT}) c", "fx_raw_bars"))
+def q_catalog_stats(spark, sf):
+    return QA.catalog_stats(fixture(spark, sf, "fx_raw_bars"))
+
+
+@register("simple_score", duckdb_sql(
+    f"select symbol, timeframe, nulls_pct, greatest(0e0, 100e0 - nulls_pct*2e0) as quality_score from ({_CAT}) c",
+    "fx_raw_bars"))
+def q_simple_score(spark, sf):
+    return QA.catalog_stats(fixture(spark, sf, "fx_raw_bars")).select("symbol", "timeframe", "nulls_pct",
+                                                                     "quality_score")
+
+
+@register("ohlc_violations", duckdb_sql(
+    "select symbol, timeframe, count(*) as rows_count, cast(sum(case when high < greatest(open, close, low) or "
+    "low > least(open, close, high) then 1 else 0 end) as bigint) as violations from fx_raw_bars "
+    "group by symbol, timeframe", "fx_raw_bars"))
+def q_ohlc_violations(spark, sf):
+    return QA.ohlc_violations(fixture(spark, sf, "fx_raw_bars"))
+
+
+# ------------------------------------------------------------------ J6 / A7 / A8
+from .operators import crossval as CV  # noqa: E402
+
+_XV_BASE = (
+    "with ts2 as (select symbol, 'D1' as timeframe, timestamp, source, close, volume from fx_two_source), "
+    "a as (select symbol, timeframe, timestamp, close from (select *, row_number() over (partition by symbol, "
+    "timeframe, timestamp order by close nulls first) as rn from ts2 where lower(source) = 'vendor_a') x where rn = 1), "
+    "b as (select symbol, timeframe, timestamp, close from (select *, row_number() over (partition by symbol, "
+    "timeframe, timestamp order by close nulls first) as rn from ts2 where lower(source) = 'vendor_b') x where rn = 1), "
+    "p as (select a.symbol, a.timeframe, a.timestamp, a.close as close_vendor_a, b.close as close_vendor_b, "
+    "abs(a.close - b.close)/greatest(a.close, 1e-8)*100e0 as diff_pct from a join b on a.symbol = b.symbol "
+    "and a.timeframe = b.timeframe and a.timestamp = b.timestamp) ")
+
+
+def _two_source(spark, sf):
+    return fixture(spark, sf, "fx_two_source").withColumn("timeframe", F.lit("D1"))
+
+
+@register("cross_validate", duckdb_sql(
+    _XV_BASE +
+    ", st as (select symbol, timeframe, count(*) as n, avg(diff_pct) as mean_d, max(diff_pct) as max_d, "
+    "stddev_samp(diff_pct) as sd, sum(case when diff_pct > 1 then 1 else 0 end) as disc from p group by 1, 2), "
+    "ct as (select symbol, timeframe, cast(sum(case when s = 'vendor_a' then 1 else 0 end) as bigint) as source1_rows, "
+    "cast(sum(case when s = 'vendor_b' then 1 else 0 end) as bigint) as source2_rows from (select distinct symbol, "
+    "timeframe, timestamp, lower(source) as s from ts2 where lower(source) in ('vendor_a', 'vendor_b')) d group by 1, 2) "
+    "select ct.symbol, ct.timeframe, source1_rows, source2_rows, coalesce(n, 0) as rows_compared, "
+    "round(mean_d, 6) as mean_difference_pct, max_d as max_difference_pct, "
+    "round(case when coalesce(n, 0) > 1 then sd when coalesce(n, 0) = 1 then 0e0 end, 6) as std_difference_pct, "
+    "round(case when coalesce(n, 0) > 0 then coalesce(greatest(0e0, 100e0 - mean_d*10e0), 0e0) else 0e0 end, 6) "
+    "as reliability_score, cast(coalesce(disc, 0) as bigint) as discrepancies "
+    "from ct left join st on ct.symbol = st.symbol and ct.timeframe = st.timeframe", "fx_two_source"))
+def q_cross_validate(spark, sf):
+    out = CV.cross_validate(_two_source(spark, sf), "vendor_a", "vendor_b")
+    return out.select(*[F.round(c, 6).alias(c) if c in ("mean_difference_pct", "std_difference_pct",
+                                                          "reliability_score") else F.col(c) for c in out.columns])
+
+
+@register("discrepancies", duckdb_sql(_XV_BASE + "select * from p where diff_pct > 1", "fx_two_source"))
+def q_discrepancies(spark, sf):
+    return CV.discrepancies(_two_source(spark, sf), "vendor_a", "vendor_b")
+
+
+# ------------------------------------------------------------------ U2
+from .operators import merge as MG  # noqa: E402
+
+_U2_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "volume", "high", "low"]
+
+
+@register("range_override_merge", duckdb_sql(
+    "with inc as (select * from fx_raw_bars where source = 'vendor_a'), ex as (select * from fx_raw_bars "
+    "where source = 'vendor_b'), rng as (select symbol, min(timestamp) as lo, max(timestamp) as hi from inc "
+    "group by symbol), outside as (select ex.* from ex left join rng on ex.symbol = rng.symbol where rng.lo is null "
+    "or ex.timestamp < rng.lo or ex.timestamp > rng.hi), m as (select *, 0 as origin from outside union all "
+    f"select *, 1 as origin from inc) select {_RAWCOLS} from (select *, row_number() over (partition by symbol, "
+    "timestamp order by origin desc nulls last, " + ", ".join(f"{c} desc nulls last" for c in _U2_ORDER) +
+    ") as rn from m) t where rn = 1", "fx_raw_bars"))
+def q_range_override_merge(spark, sf):
+    raw = fixture(spark, sf, "fx_raw_bars")
+    return MG.range_override_merge(raw.filter(F.col("source") == "vendor_b"), raw.filter(F.col("source") == "vendor_a"),
+                                   keys=["symbol"], order=_U2_ORDER)
