@@ -1,0 +1,28 @@
+"""Join helpers: dimension joins behind a size check."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension side is broadcast only when it has at most this many rows (checked).
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """Bounded check: reads at most ``max_rows + 1`` rows of ``df``."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def dimension_join(fact: DataFrame, dim: DataFrame, on: Sequence[str] | str, how: str = "left",
+                   max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Join a (possibly huge, possibly skewed) fact side to a dimension.
+
+    The dimension is broadcast only after a bounded row-count check; beyond the bound
+    the join is a shuffle join, where AQE splits skewed fact partitions.
+    """
+    if is_small(dim, max_rows):
+        dim = F.broadcast(dim)
+    return fact.join(dim, on=on, how=how)

@@ -37,10 +37,13 @@ _E1_ORDER = ("source nulls first, asset_class nulls first, open nulls first, hig
              "close nulls first, volume nulls first, adj_close nulls first, adj_factor nulls first")
 
 
+def _e1_body(where: str, select: str) -> str:
+    return (f"select {select} from (select *, row_number() over (partition by symbol, timeframe, timestamp "
+            f"order by {_E1_ORDER}) as rn from ({_E1_PROJ} where {where}) p) t where rn = 1")
+
+
 def _e1_sql(where: str, select: str) -> str:
-    return duckdb_sql(
-        f"select {select} from (select *, row_number() over (partition by symbol, timeframe, timestamp "
-        f"order by {_E1_ORDER}) as rn from ({_E1_PROJ} where {where}) p) t where rn = 1", "fx_raw_bars")
+    return duckdb_sql(_e1_body(where, select), "fx_raw_bars")
 
 
 _ADJ = ("timestamp, symbol, asset_class, timeframe, open*adj_factor as open, high*adj_factor as high, "
@@ -270,3 +273,87 @@ def q_range_override_merge(spark, sf):
     raw = fixture(spark, sf, "fx_raw_bars")
     return MG.range_override_merge(raw.filter(F.col("source") == "vendor_b"), raw.filter(F.col("source") == "vendor_a"),
                                    keys=["symbol"], order=_U2_ORDER)
+
+
+# ------------------------------------------------------------------ J7-J10 / E4 / E5 / E9 / E10 / W5
+_E1_D1 = _e1_body("timeframe = 'D1'", _ADJ)
+from .operators import asof as AS  # noqa: E402
+from .operators import consolidated as CO  # noqa: E402
+
+
+def _ffill(cols, src, ts="timestamp", extra=""):
+    fills = ", ".join(f"last_value({c} ignore nulls) over (partition by symbol order by {ts} rows between "
+                      f"unbounded preceding and current row) as {c}" for c in cols)
+    return f"select symbol, {ts} as timestamp, {fills} from {src}{extra}"
+
+
+_VF = _ffill(["realized_vol_30d"], "fx_vol")
+_FF = _ffill(["pe_ratio", "price_to_book", "sales"], "fx_fund")
+_FINF = _ffill(["revenue", "net_income", "free_cash_flow"],
+               "(select *, operating_cf - coalesce(abs(capex), 0e0) as free_cash_flow from fx_fin) f", "report_date")
+_E4_J = (
+    f"with e1 as ({_E1_D1}), vf as ({_VF}), ff as ({_FF}), finf as ({_FINF}), "
+    "j1 as (select e1.*, vf.realized_vol_30d from e1 asof left join vf on e1.symbol = vf.symbol "
+    "and e1.timestamp >= vf.timestamp), "
+    "j2 as (select j1.*, ff.pe_ratio, ff.price_to_book, ff.sales from j1 asof left join ff on j1.symbol = ff.symbol "
+    "and j1.timestamp >= ff.timestamp), "
+    "j as (select j2.*, finf.revenue, finf.net_income, finf.free_cash_flow from j2 asof left join finf "
+    "on j2.symbol = finf.symbol and j2.timestamp >= finf.timestamp) ")
+_E4_SELECT = (
+    "select strftime(j.timestamp, '%Y-%m-%d') as date, j.symbol, coalesce(m.longname, '') as company_name, "
+    "coalesce(m.sector, '') as sector, coalesce(m.industry, '') as industry, m.marketcap as market_cap, "
+    "open, high, low, close, volume, realized_vol_30d, pe_ratio, price_to_book, sales, revenue, net_income, "
+    "free_cash_flow from j left join fx_meta m on j.symbol = m.symbol")
+_E4_FX = ("fx_raw_bars", "fx_vol", "fx_fund", "fx_fin", "fx_meta")
+
+
+def _consolidated(spark, sf, **kw):
+    return CO.consolidated(fixture(spark, sf, "fx_raw_bars"), volatility=fixture(spark, sf, "fx_vol"),
+                           fundamentals=fixture(spark, sf, "fx_fund"), financials=fixture(spark, sf, "fx_fin"),
+                           metadata=fixture(spark, sf, "fx_meta"), timeframe="D1", adjusted=True, **kw)
+
+
+@register("asof_volatility", duckdb_sql(
+    f"with vf as ({_VF}) select b.symbol, b.timestamp, b.close, vf.realized_vol_30d from fx_bars b "
+    "asof left join vf on b.symbol = vf.symbol and b.timestamp >= vf.timestamp", "fx_bars", "fx_vol"))
+def q_asof_volatility(spark, sf):
+    bars = fixture(spark, sf, "fx_bars").select("symbol", "timestamp", "close")
+    return AS.asof_fill(bars, [AS.Right(fixture(spark, sf, "fx_vol"), ["realized_vol_30d"])])
+
+
+@register("consolidated", duckdb_sql(_E4_J + _E4_SELECT, *_E4_FX))
+def q_consolidated(spark, sf):
+    return _consolidated(spark, sf)
+
+
+@register("consolidated_range", duckdb_sql(
+    _E4_J + "select * from (" + _E4_SELECT + ") r where date >= '1996-01-01' and date <= '1997-12-31'", *_E4_FX))
+def q_consolidated_range(spark, sf):
+    return _consolidated(spark, sf, start="1996-01-01", end="1997-12-31")
+
+
+@register("momentum_20d", duckdb_sql(
+    _E4_J + "select symbol, timestamp, close, volume, realized_vol_30d, pe_ratio, "
+    "(close - lag(close, 20) over (partition by symbol order by timestamp)) / lag(close, 20) over "
+    "(partition by symbol order by timestamp) as momentum_20d from j", *_E4_FX))
+def q_momentum_20d(spark, sf):
+    view = _consolidated(spark, sf, keep_keys=True)
+    return CO.feature_table(view, 20).select("symbol", "timestamp", "close", "volume", "realized_vol_30d",
+                                             "pe_ratio", "momentum_20d")
+
+
+@register("returns", duckdb_sql(
+    f"with e1 as ({_E1_D1}) select symbol, timeframe, timestamp, close, "
+    "(close - lag(close) over (partition by symbol, timeframe order by timestamp)) / lag(close) over "
+    "(partition by symbol, timeframe order by timestamp) as return_1 from e1", "fx_raw_bars"))
+def q_returns(spark, sf):
+    bars = B.get_ohlcv(fixture(spark, sf, "fx_raw_bars"), None, "D1", adjusted=True)
+    return B.with_returns(bars, 1).select("symbol", "timeframe", "timestamp", "close", "return_1")
+
+
+@register("wide_prices", duckdb_sql(
+    f"with e1 as ({_E1_D1}) select * from (pivot (select timestamp, symbol, "
+    "adj_close from e1) on symbol using max(adj_close) group by timestamp) p", "fx_raw_bars"))
+def q_wide_prices(spark, sf):
+    bars = B.get_ohlcv(fixture(spark, sf, "fx_raw_bars"), None, "D1", adjusted=True)
+    return CO.wide_prices(bars, "adj_close")
