@@ -1,0 +1 @@
+"""Update planning and the SQL surface."""

@@ -357,3 +357,173 @@ def q_returns(spark, sf):
 def q_wide_prices(spark, sf):
     bars = B.get_ohlcv(fixture(spark, sf, "fx_raw_bars"), None, "D1", adjusted=True)
     return CO.wide_prices(bars, "adj_close")
+
+
+# ------------------------------------------------------------------ catalog: C*, A9, A10, J1-J3, F3, F6
+import datetime as _dt  # noqa: E402
+
+from .operators import catalog as CT  # noqa: E402
+from .plans import updates as PL  # noqa: E402
+
+NOW = _dt.datetime(2001, 9, 1)   # fixed "now" so plans are reproducible
+_NOW_SQL = "timestamp '2001-09-01 00:00:00'"
+
+_DIRECTORY = ("select c.*, m.longname, m.exchange, m.sector, m.industry, m.marketcap from fx_catalog c "
+              "left join fx_meta m on c.symbol = m.symbol where c.asset_class != 'stocks' or "
+              "c.symbol in (select symbol from fx_universe)")
+
+
+def _directory(spark, sf):
+    return CT.symbol_directory(fixture(spark, sf, "fx_catalog"), fixture(spark, sf, "fx_meta"),
+                               fixture(spark, sf, "fx_universe"))
+
+
+@register("symbol_directory", duckdb_sql(_DIRECTORY, "fx_catalog", "fx_meta", "fx_universe"))
+def q_symbol_directory(spark, sf):
+    return _directory(spark, sf)
+
+
+@register("coverage", duckdb_sql(
+    "select total, imported, total - imported as missing from (select count(*) as total, count(distinct i.symbol) "
+    "as imported from fx_universe u left join (select distinct symbol from fx_catalog where asset_class = 'stocks' "
+    "and rows_count > 0) i on u.symbol = i.symbol) t", "fx_catalog", "fx_universe"))
+def q_coverage(spark, sf):
+    return CT.coverage(fixture(spark, sf, "fx_universe"), fixture(spark, sf, "fx_catalog"))
+
+
+@register("missing_symbols", duckdb_sql(
+    "select symbol from fx_universe where symbol not in (select symbol from fx_catalog where asset_class = 'stocks' "
+    "and rows_count > 0)", "fx_catalog", "fx_universe"))
+def q_missing_symbols(spark, sf):
+    return CT.missing_symbols(fixture(spark, sf, "fx_universe"), fixture(spark, sf, "fx_catalog"))
+
+
+def _flag(name, src, col="symbol"):
+    return (f"left join (select distinct {col} as symbol, true as flag from {src}) {name} on c.symbol = {name}.symbol",
+            f"coalesce({name}.flag, false) as {name}")
+
+
+_FLAGS = [_flag("financials", "fx_fin"), _flag("volatility", "fx_vol"), _flag("fundamentals", "fx_fund"),
+          _flag("corporate_actions", "(select act_symbol from fx_split union all select act_symbol from fx_div) ca",
+                "act_symbol")]
+
+
+@register("dataset_status", duckdb_sql(
+    "select c.symbol, c.timeframes, " + ", ".join(f[1] for f in _FLAGS) + " from (select symbol, "
+    "array_to_string(list_sort(list_distinct(list(timeframe))), ',') as timeframes from fx_catalog group by symbol) c "
+    + " ".join(f[0] for f in _FLAGS), "fx_catalog", "fx_fin", "fx_vol", "fx_fund", "fx_split", "fx_div"))
+def q_dataset_status(spark, sf):
+    actions = fixture(spark, sf, "fx_split").select(F.col("act_symbol").alias("symbol")).unionByName(
+        fixture(spark, sf, "fx_div").select(F.col("act_symbol").alias("symbol")))
+    return CT.dataset_status(fixture(spark, sf, "fx_catalog"), {
+        "financials": fixture(spark, sf, "fx_fin"), "volatility": fixture(spark, sf, "fx_vol"),
+        "fundamentals": fixture(spark, sf, "fx_fund"), "corporate_actions": actions})
+
+
+@register("symbol_search", duckdb_sql(
+    "select * from (select distinct symbol, case when nullif(longname, '') is null then symbol else "
+    f"symbol || ' - ' || longname end as label from ({_DIRECTORY}) d) s where contains(lower(symbol), '0000001') "
+    "or contains(lower(label), '0000001')", "fx_catalog", "fx_meta", "fx_universe"))
+def q_symbol_search(spark, sf):
+    return CT.symbol_search(_directory(spark, sf), "0000001")
+
+
+_NEW_META = ("select concat('SUP', lpad(cast(s_suppkey as string), 6, '0')) as symbol, case when s_suppkey % 4 = 0 "
+             "then null else s_acctbal*2e0 end as marketcap, case when s_suppkey % 3 = 0 then 'Updated' end as sector "
+             "from {supplier} where s_suppkey % 2 = 0")
+
+
+@register("metadata_upsert", duckdb_sql(
+    f"with nw as ({_NEW_META.replace('{supplier}', 'supplier')}) select coalesce(o.symbol, n.symbol) as symbol, "
+    "o.longname, o.exchange, coalesce(n.sector, o.sector) as sector, o.industry, coalesce(n.marketcap, o.marketcap) "
+    "as marketcap from fx_meta o full join nw n on o.symbol = n.symbol", "fx_meta"))
+def q_metadata_upsert(spark, sf):
+    new = spark.sql(_NEW_META, supplier=fixture(spark, sf, "supplier"))
+    return CT.upsert_metadata(fixture(spark, sf, "fx_meta"), new, replace=False)
+
+
+_FMT = ("case when timeframe = 'D1' then strftime({c}, '%Y-%m-%d') else strftime({c}, '%Y-%m-%d %H:%M:%S') end")
+
+
+@register("refresh_catalog", duckdb_sql(
+    "select symbol, timeframe, asset_class, " + _FMT.format(c="min(timestamp)") + " as start_date, "
+    + _FMT.format(c="max(timestamp)") + " as end_date, count(*) as rows_count, "
+    "100e0*sum(case when close is null then 1 else 0 end)/count(*) as nulls_pct, "
+    "greatest(0e0, 100e0 - (100e0*sum(case when close is null then 1 else 0 end)/count(*))*2e0) as quality_score, "
+    "array_to_string(list_sort(list_distinct(list(source))), '+') as source, "
+    f"{_NOW_SQL} as last_updated from fx_raw_bars group by symbol, timeframe, asset_class", "fx_raw_bars"))
+def q_refresh_catalog(spark, sf):
+    return CT.refresh_catalog(fixture(spark, sf, "fx_raw_bars"), now=NOW)
+
+
+@register("catalog_upsert", duckdb_sql(
+    "with nw as (select symbol, timeframe, asset_class, min(timestamp) as start_date, max(timestamp) as end_date, "
+    "count(*) as rows_count, 100e0*sum(case when close is null then 1 else 0 end)/count(*) as nulls_pct, "
+    "'refresh' as source from (select *, '1m' as timeframe, 'stocks' as asset_class from fx_minute) m "
+    "group by symbol, timeframe, asset_class), un as (select *, 0 as o from fx_catalog union all "
+    "select *, 1 as o from nw) select symbol, timeframe, asset_class, start_date, end_date, rows_count, nulls_pct, "
+    "source from (select *, row_number() over (partition by symbol, timeframe, asset_class order by o desc) as rn "
+    "from un) t where rn = 1", "fx_catalog", "fx_minute"))
+def q_catalog_upsert(spark, sf):
+    minute = fixture(spark, sf, "fx_minute").withColumn("timeframe", F.lit("1m")).withColumn("asset_class",
+                                                                                            F.lit("stocks"))
+    new = (QA.catalog_stats(minute).select("symbol", "timeframe", "asset_class", "start_date", "end_date",
+                                           "rows_count", "nulls_pct").withColumn("source", F.lit("refresh")))
+    return CT.upsert_datasets(fixture(spark, sf, "fx_catalog"), new)
+
+
+# ------------------------------------------------------------------ planning P1-P7, A13
+_P1_START = ("case when timeframe = 'D1' then end_date + interval 1 day when timeframe in ('1h','4h') then "
+             "end_date + interval 1 hour when timeframe in ('1m','2m','5m','15m','30m') then end_date + interval 1 "
+             "minute else end_date + interval 1 second end")
+_P1 = (
+    f"select symbol, timeframe, asset_class, case when st = 'update' then {_FMT.format(c='s')} end as start, "
+    f"case when st = 'update' then {_FMT.format(c=_NOW_SQL)} end as \"end\", case when st = 'update' then (case "
+    "when asset_class = 'crypto' then 'binance' else 'yfinance' end) end as connector, case when st = 'update' and "
+    "asset_class != 'crypto' then (case when asset_class = 'forex' then 'UTC' else 'America/New_York' end) end "
+    "as source_tz, st as status from (select *, case when asset_class = 'macro' or source = 'dolt_rates' then "
+    f"'skipped' when s >= {_NOW_SQL} then 'up_to_date' else 'update' end as st from (select *, {_P1_START} as s "
+    "from fx_catalog) a) b")
+
+
+@register("plan_updates", duckdb_sql(_P1, "fx_catalog"))
+def q_plan_updates(spark, sf):
+    return PL.plan_updates(fixture(spark, sf, "fx_catalog"), now=NOW)
+
+
+@register("update_summary", duckdb_sql(
+    f"select status, count(*) as series from ({_P1}) p group by status", "fx_catalog"))
+def q_update_summary(spark, sf):
+    return PL.update_summary(PL.plan_updates(fixture(spark, sf, "fx_catalog"), now=NOW))
+
+
+@register("plan_bulk", duckdb_sql(
+    "select m.symbol, strftime(coalesce(cast(e.e as date) + 1, cast(" + _NOW_SQL + " - interval 730 day as date)), "
+    f"'%Y-%m-%d') as start, strftime({_NOW_SQL}, '%Y-%m-%d') as \"end\" from fx_meta m left join (select symbol, "
+    "max(end_date) as e from fx_catalog where timeframe = 'D1' group by symbol) e on m.symbol = e.symbol",
+    "fx_meta", "fx_catalog"))
+def q_plan_bulk(spark, sf):
+    return PL.plan_bulk(fixture(spark, sf, "fx_meta"), fixture(spark, sf, "fx_catalog"), "D1", now=NOW)
+
+
+@register("plan_missing", duckdb_sql(
+    "select symbol, '1996-01-02' as start, '2026-08-16' as \"end\" from fx_universe where symbol not in (select "
+    "symbol from fx_catalog where asset_class = 'stocks' and rows_count > 0)", "fx_catalog", "fx_universe"))
+def q_plan_missing(spark, sf):
+    return PL.plan_missing(fixture(spark, sf, "fx_universe"), fixture(spark, sf, "fx_catalog"))
+
+
+_CLAMP_PLAN = ("select symbol, case cast(right(symbol, 1) as int) % 4 when 0 then '1m' when 1 then '15m' when 2 "
+               "then '1h' else 'D1' end as timeframe, start_date as start, {now} as `end` from {fx_catalog}")
+
+
+@register("history_clamp", duckdb_sql(
+    "select symbol, timeframe, s as start, e as \"end\" from (select symbol, timeframe, case when lim is not null and "
+    "start < lim then lim else start end as s, e from (select *, \"end\" as e, case when timeframe = '1m' then "
+    f"{_NOW_SQL} - interval 29 day when timeframe in ('2m','5m','15m','30m','1h','4h') then {_NOW_SQL} - interval 59 "
+    "day end as lim from (" + _CLAMP_PLAN.replace("{fx_catalog}", "fx_catalog").replace("`end`", '"end"')
+    .replace("{now}", _NOW_SQL) + ") p) q) r where s < e", "fx_catalog"))
+def q_history_clamp(spark, sf):
+    plan = spark.sql(_CLAMP_PLAN.replace("{now}", "timestamp_ntz'2001-09-01 00:00:00'"),
+                     fx_catalog=fixture(spark, sf, "fx_catalog"))
+    return PL.history_clamp(plan, "yfinance", now=NOW)
