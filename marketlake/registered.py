@@ -527,3 +527,107 @@ def q_history_clamp(spark, sf):
     plan = spark.sql(_CLAMP_PLAN.replace("{now}", "timestamp_ntz'2001-09-01 00:00:00'"),
                      fx_catalog=fixture(spark, sf, "fx_catalog"))
     return PL.history_clamp(plan, "yfinance", now=NOW)
+
+
+# ------------------------------------------------------------------ fundamentals: J4, J5, N15, N17, U3, X1-X4
+from .operators import fundamentals as FD  # noqa: E402
+from .sources import reference_data as RD  # noqa: E402
+
+_J = "on i.act_symbol = {a}.act_symbol and i.date = {a}.date and i.period = {a}.period"
+
+
+@register("statements_join", duckdb_sql(
+    "select i.act_symbol as symbol, i.date as report_date, i.period as fiscal_period, i.sales as revenue, "
+    "i.net_income, a.total_assets, c.operating_cf, c.property_and_equipment as capex, "
+    "c.operating_cf - coalesce(abs(c.property_and_equipment), 0e0) as free_cash_flow, e.estimate as eps_estimate, "
+    "e.reported as actual_eps, e.reported - e.estimate as eps_surprise from fx_income i "
+    f"left join fx_assets a {_J.format(a='a')} left join fx_cashflow c {_J.format(a='c')} "
+    "left join fx_eps e on i.act_symbol = e.symbol and i.date = e.period_end_date",
+    "fx_income", "fx_assets", "fx_cashflow", "fx_eps"))
+def q_statements_join(spark, sf):
+    return FD.statements_join(fixture(spark, sf, "fx_income"),
+                              [fixture(spark, sf, "fx_assets"), fixture(spark, sf, "fx_cashflow")],
+                              estimates=fixture(spark, sf, "fx_eps"))
+
+
+@register("eps_surprise", duckdb_sql(
+    "select symbol, period_end_date as report_date, estimate as eps_estimate, reported as actual_eps, "
+    "reported - estimate as eps_surprise from fx_eps", "fx_eps"))
+def q_eps_surprise(spark, sf):
+    return FD.eps_surprise(fixture(spark, sf, "fx_eps"))
+
+
+_FIN_FCF = ("select symbol, report_date, revenue, net_income, operating_cf, capex, "
+            "operating_cf - coalesce(abs(capex), 0e0) as free_cash_flow from fx_fin")
+
+
+@register("free_cash_flow", duckdb_sql(_FIN_FCF, "fx_fin"))
+def q_free_cash_flow(spark, sf):
+    return fixture(spark, sf, "fx_fin").withColumn("free_cash_flow", FD.free_cash_flow())
+
+
+_METRIC_VALUES = ", ".join(f"('{m}', '{c}', {i})" for m, cs in FD.METRIC_CONCEPTS.items() for i, c in enumerate(cs))
+_FACTS = (
+    f"md as (select * from (values {_METRIC_VALUES}) v(metric, concept, pref)), "
+    "c as (select f.symbol, f.end_date, f.pos, f.val, f.form, md.metric, md.pref from fx_facts f join md "
+    "on f.concept = md.concept where f.form in ('10-Q', '10-K')), "
+    "best as (select symbol, metric, min(pref) as pref from c group by symbol, metric), "
+    "x as (select c.symbol, c.metric, c.end_date, arg_max(c.val, c.pos) as val, arg_max(c.form, c.pos) as form "
+    "from c join best on c.symbol = best.symbol and c.metric = best.metric and c.pref = best.pref "
+    "group by c.symbol, c.metric, c.end_date) ")
+_PIVOT = (
+    "select symbol, end_date as report_date, case when max(case when form = '10-K' then 1 else 0 end) = 1 then 'FY' "
+    "else 'Q' end as fiscal_period, " + ", ".join(f"max(case when metric = '{m}' then val end) as {m}"
+                                                  for m in FD.METRIC_CONCEPTS) +
+    " from x group by symbol, end_date")
+_FACTS_FIN = (
+    f"select *, operating_cf - coalesce(abs(capex), 0e0) as free_cash_flow, cast(null as double) as eps_estimate, "
+    f"cast(null as double) as actual_eps, cast(null as double) as eps_surprise from ({_PIVOT}) p "
+    "where revenue is not null or net_income is not null or total_assets is not null")
+
+
+@register("facts_extract", duckdb_sql("with " + _FACTS + "select * from x", "fx_facts"))
+def q_facts_extract(spark, sf):
+    return FD.extract_facts(fixture(spark, sf, "fx_facts"))
+
+
+@register("facts_pivot", duckdb_sql("with " + _FACTS + _FACTS_FIN, "fx_facts"))
+def q_facts_pivot(spark, sf):
+    return FD.facts_to_financials(FD.extract_facts(fixture(spark, sf, "fx_facts")))
+
+
+@register("financials_merge", duckdb_sql(
+    "with " + _FACTS + f", nw as (select symbol, report_date, fiscal_period, revenue, total_assets from ({_FACTS_FIN}) "
+    f"q), ex as ({_FIN_FCF}), un as (select symbol, report_date, revenue, net_income, operating_cf, capex, "
+    "free_cash_flow, cast(null as varchar) as fiscal_period, cast(null as double) as total_assets, 0 as o from ex "
+    "union all select symbol, report_date, revenue, null, null, null, null, fiscal_period, total_assets, 1 from nw) "
+    "select symbol, report_date, revenue, net_income, operating_cf, capex, free_cash_flow, fiscal_period, "
+    "total_assets from (select *, row_number() over (partition by symbol, report_date order by o desc) as rn "
+    "from un) t where rn = 1", "fx_facts", "fx_fin"))
+def q_financials_merge(spark, sf):
+    existing = fixture(spark, sf, "fx_fin").withColumn("free_cash_flow", FD.free_cash_flow())
+    new = FD.facts_to_financials(FD.extract_facts(fixture(spark, sf, "fx_facts"))).select(
+        "symbol", "report_date", "fiscal_period", "revenue", "total_assets")
+    return FD.merge_financials(existing, new)
+
+
+@register("corporate_actions", duckdb_sql(
+    "select act_symbol as symbol, ex_date as date, 'split' as action_type, case when for_factor = 0 then null "
+    "else to_factor/for_factor end as split_factor, 0e0 as dividend_amount from fx_split union all "
+    "select act_symbol, ex_date, 'dividend', 1e0, amount from fx_div", "fx_split", "fx_div"))
+def q_corporate_actions(spark, sf):
+    return RD.corporate_actions(fixture(spark, sf, "fx_split"), fixture(spark, sf, "fx_div"))
+
+
+@register("yield_spread", duckdb_sql(
+    "select date as timestamp, t2 as t_note_2y, t10 as t_note_10y, t10 - t2 as yield_spread_2_10 from fx_rates",
+    "fx_rates"))
+def q_yield_spread(spark, sf):
+    return RD.yield_curve(fixture(spark, sf, "fx_rates"), {"t2": "t_note_2y", "t10": "t_note_10y"})
+
+
+@register("macro_series", duckdb_sql(
+    "select symbol, timestamp, value, 'macro' as asset_class, 'D1' as timeframe, 'fred' as source from fx_macro "
+    "where value is not null", "fx_macro"))
+def q_macro_series(spark, sf):
+    return RD.macro_series(fixture(spark, sf, "fx_macro"))
