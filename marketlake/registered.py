@@ -631,3 +631,69 @@ def q_yield_spread(spark, sf):
     "where value is not null", "fx_macro"))
 def q_macro_series(spark, sf):
     return RD.macro_series(fixture(spark, sf, "fx_macro"))
+
+
+# ------------------------------------------------------------------ normalisation N1-N8
+from .operators import normalize as NM  # noqa: E402
+
+
+def _vendor_frame(spark, sf, empty_rows=False, text=False):
+    """A vendor-layout daily file (mixed-case names, 'Adj Close') from the raw bars."""
+    r = fixture(spark, sf, "fx_raw_bars")
+    gone = (F.col("l_orderkey") % 7 == 0) if empty_rows else F.lit(False)
+
+    def price(c):
+        v = F.when(gone, F.lit(None).cast("double")).otherwise(F.col(c))
+        if text:
+            v = F.when(F.col("l_orderkey") % 13 == 0, F.lit("n/a")).otherwise(v.cast("string"))
+        return v
+    return r.select(F.col("symbol").alias("Symbol"), F.col("timestamp").alias("Date"),
+                    price("open").alias("Open"), price("high").alias("High"), price("low").alias("Low"),
+                    price("close").alias("Close"), (F.col("close") * F.col("adj_factor")).alias("Adj Close"),
+                    F.col("volume").alias("Volume"), "l_orderkey")
+
+
+def _std_sql(ts="timestamp", where="", p=lambda c: c, year=None):
+    year = year or f"cast(year({ts}) as int)"
+    return ("select " + f"{ts} as timestamp, symbol, 'stocks' as asset_class, 'D1' as timeframe, "
+            f"{p('open')} as open, {p('high')} as high, {p('low')} as low, {p('close')} as close, volume, "
+            "close*adj_factor as adj_close, case when close = 0 or close is null then 1e0 else "
+            f"(close*adj_factor)/close end as adj_factor, 'vendor' as source, {year} as year, l_orderkey "
+            f"from fx_raw_bars {where}")
+
+
+@register("canonical_columns", duckdb_sql(_std_sql(), "fx_raw_bars"))
+def q_canonical_columns(spark, sf):
+    return NM.standardize(_vendor_frame(spark, sf), asset_class="stocks", timeframe="D1", source="vendor")
+
+
+@register("adj_factor", duckdb_sql(
+    "select symbol, timestamp, close, close*adj_factor as adj_close, case when close = 0 or close is null then 1e0 "
+    "else (close*adj_factor)/close end as adj_factor from fx_raw_bars", "fx_raw_bars"))
+def q_adj_factor(spark, sf):
+    from .functions.columns import adj_factor
+    r = fixture(spark, sf, "fx_raw_bars").select("symbol", "timestamp", "close",
+                                                 (F.col("close") * F.col("adj_factor")).alias("adj_close"))
+    return r.withColumn("adj_factor", adj_factor("close", "adj_close"))
+
+
+@register("drop_empty_ohlc", duckdb_sql(_std_sql(where="where l_orderkey % 7 <> 0"), "fx_raw_bars"))
+def q_drop_empty_ohlc(spark, sf):
+    return NM.standardize(_vendor_frame(spark, sf, empty_rows=True), source="vendor")
+
+
+@register("numeric_coerce", duckdb_sql(
+    "select timestamp, symbol, 'stocks' as asset_class, 'D1' as timeframe, o as open, h as high, l as low, c as close, "
+    "volume, close*adj_factor as adj_close, case when c = 0 or c is null then 1e0 else (close*adj_factor)/c end "
+    "as adj_factor, 'vendor' as source, cast(year(timestamp) as int) as year, l_orderkey from (select *, "
+    + ", ".join(f"case when l_orderkey % 13 = 0 then null else {c} end as {c[0]}" for c in ("open", "high", "low",
+                                                                                           "close")) +
+    " from fx_raw_bars) t", "fx_raw_bars"))
+def q_numeric_coerce(spark, sf):
+    return NM.standardize(_vendor_frame(spark, sf, text=True), source="vendor")
+
+
+@register("utc_normalize", duckdb_sql(_std_sql(
+    ts="((timestamp AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC')"), "fx_raw_bars"))
+def q_utc_normalize(spark, sf):
+    return NM.standardize(_vendor_frame(spark, sf), source="vendor", source_tz="America/New_York")
