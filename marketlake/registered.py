@@ -697,3 +697,128 @@ def q_numeric_coerce(spark, sf):
     ts="((timestamp AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC')"), "fx_raw_bars"))
 def q_utc_normalize(spark, sf):
     return NM.standardize(_vendor_frame(spark, sf), source="vendor", source_tz="America/New_York")
+
+
+# ------------------------------------------------------------------ files: K1, K2, S1, S7, S9, S10
+import uuid as _uuid  # noqa: E402
+
+from .session import shared_dir  # noqa: E402
+from .sources import csv_sources as CS  # noqa: E402
+from .sources import json_sources as JS  # noqa: E402
+from .sources import lake as LK  # noqa: E402
+
+
+def _scratch(spark, what: str) -> str:
+    """A fresh folder under the cluster's shared checkpoint folder."""
+    return shared_dir(spark, f"marketlake-scratch/{what}-{_uuid.uuid4().hex[:12]}")
+
+
+def _lake_rows(raw):
+    return raw.withColumn("adj_close", F.col("close") * F.col("adj_factor")).select(
+        "timestamp", "symbol", "asset_class", "timeframe", "open", "high", "low", "close", "volume", "adj_close",
+        "adj_factor", "source", "year")
+
+
+_LAKE_SQL = ("select timestamp, open, high, low, close, volume, close*adj_factor as adj_close, adj_factor, source, "
+             "asset_class, timeframe, symbol, year from fx_raw_bars")
+
+
+@register("lake_roundtrip", duckdb_sql(_LAKE_SQL, "fx_raw_bars"))
+def q_lake_roundtrip(spark, sf):
+    root = _scratch(spark, "lake")
+    LK.write_bars(_lake_rows(fixture(spark, sf, "fx_raw_bars")), root, mode="overwrite")
+    return LK.scan_bars(spark, root)
+
+
+@register("replace_series", duckdb_sql(
+    f"select * from ({_LAKE_SQL}) a where source = 'vendor_a' union all select * from ({_LAKE_SQL}) b where "
+    "source = 'vendor_b' and not exists (select 1 from fx_raw_bars r where r.source = 'vendor_a' and "
+    "r.symbol = b.symbol and r.year = b.year)", "fx_raw_bars"))
+def q_replace_series(spark, sf):
+    root = _scratch(spark, "lake")
+    rows = _lake_rows(fixture(spark, sf, "fx_raw_bars"))
+    LK.write_bars(rows.filter(F.col("source") == "vendor_b"), root, mode="overwrite")
+    LK.replace_series(rows.filter(F.col("source") == "vendor_a"), root)
+    return LK.scan_bars(spark, root)
+
+
+def _mt5_landing(spark, sf) -> str:
+    """Platform exports of the minute bars: click/error/signup as tab files with a
+    <DATE> <TIME> header named SYM_M1, the others header-less comma files named SYM1."""
+    m = fixture(spark, sf, "fx_minute")
+    hdr = m.filter(F.col("symbol").isin("click", "error", "signup"))
+    txt = (lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")))
+    a = hdr.select(F.concat(F.col("symbol"), F.lit("_M1")).alias("fname"),
+                   F.date_format("timestamp", "yyyy-MM").alias("part"), F.lit(1).alias("k"), "timestamp", "event_id",
+                   F.concat_ws("\t", F.date_format("timestamp", "yyyy.MM.dd"), F.date_format("timestamp", "HH:mm"),
+                               txt("open"), txt("high"), txt("low"), txt("close"), txt("volume"), txt("event_id"),
+                               F.lit("0")).alias("value"))
+    header = (a.select("fname", "part").distinct()
+              .select("fname", "part", F.lit(0).alias("k"), F.lit(None).cast("timestamp_ntz").alias("timestamp"),
+                      F.lit(None).cast("long").alias("event_id"),
+                      F.lit("<DATE>\t<TIME>\t<OPEN>\t<HIGH>\t<LOW>\t<CLOSE>\t<TICKVOL>\t<VOL>\t<SPREAD>").alias("value")))
+    b = (m.filter(~F.col("symbol").isin("click", "error", "signup"))
+         .select(F.concat(F.col("symbol"), F.lit("1")).alias("fname"), F.date_format("timestamp", "yyyy-MM").alias("part"),
+                 F.lit(1).alias("k"), "timestamp", "event_id",
+                 F.concat_ws(",", F.date_format("timestamp", "yyyy.MM.dd HH:mm:ss"), txt("open"), txt("high"),
+                             txt("low"), txt("close"), txt("volume"), txt("event_id"),
+                             (F.col("event_id") % 3).cast("string")).alias("value")))
+    root = _scratch(spark, "mt5")
+    (a.unionByName(header).unionByName(b).repartition("fname", "part")
+     .sortWithinPartitions("fname", "part", "k", "timestamp", "event_id")
+     .select("fname", "part", "value").write.partitionBy("fname", "part").text(root))
+    return root
+
+
+@register("platform_export", duckdb_sql(
+    "select ((timestamp AT TIME ZONE 'Europe/Athens') AT TIME ZONE 'UTC') as timestamp, symbol, 'forex' as asset_class, "
+    "'1m' as timeframe, open, high, low, close, volume, close as adj_close, case when close = 0 or close is null "
+    "then 1e0 else close/close end as adj_factor, 'metatrader5' as source, "
+    "cast(year((timestamp AT TIME ZONE 'Europe/Athens') AT TIME ZONE 'UTC') as int) as year, "
+    "cast(event_id as double) as volume_real, case when symbol in ('click','error','signup') then 0e0 else "
+    "cast(event_id % 3 as double) end as spread from fx_minute", "fx_minute"))
+def q_platform_export(spark, sf):
+    root = _mt5_landing(spark, sf)
+    return CS.read_platform_export(spark, root, name_column="fname")
+
+
+def _day(ts):
+    return F.date_trunc("day", ts).cast("timestamp_ntz")
+
+
+@register("json_bars", duckdb_sql(
+    "select timestamp, symbol, 'stocks' as asset_class, '1m' as timeframe, open, high, low, close, volume, "
+    "close as adj_close, case when close = 0 or close is null then 1e0 else close/close end as adj_factor, "
+    "'alpaca' as source, cast(year(timestamp) as int) as year, cast(event_id as double) as n, open as vw "
+    "from fx_minute", "fx_minute"))
+def q_json_bars(spark, sf):
+    m = fixture(spark, sf, "fx_minute")
+    bar = F.struct(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("t"), F.col("open").alias("o"),
+                   F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"),
+                   F.col("volume").alias("v"), F.col("event_id").cast("double").alias("n"), F.col("open").alias("vw"))
+    pages = (m.groupBy("symbol", _day(F.col("timestamp")).alias("day"))        # one page per symbol-day
+             .agg(F.collect_list(bar).alias("bars"))
+             .select(F.to_json(F.struct(F.create_map("symbol", "bars").alias("bars"),
+                                        F.lit(None).cast("string").alias("next_page_token"))).alias("value")))
+    root = _scratch(spark, "jsonbars")
+    pages.write.text(root)
+    return JS.read_json_bars(spark, root)
+
+
+@register("klines", duckdb_sql(
+    "select timestamp, symbol, 'crypto' as asset_class, '1m' as timeframe, open, high, low, close, volume, "
+    "close as adj_close, case when close = 0 or close is null then 1e0 else close/close end as adj_factor, "
+    "'binance' as source, cast(year(timestamp) as int) as year from fx_minute where timestamp <= "
+    "date_trunc('day', timestamp) + interval 20 hour", "fx_minute"))
+def q_klines(spark, sf):
+    m = fixture(spark, sf, "fx_minute")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    ms = F.timestamp_diff("MILLISECOND", epoch, F.col("timestamp"))
+    k = F.array(ms.cast("double"), "open", "high", "low", "close", "volume")
+    pages = (m.groupBy("symbol", _day(F.col("timestamp")).alias("day"))
+             .agg(F.collect_list(k).alias("klines"))
+             .select(F.to_json(F.struct("symbol", (F.timestamp_diff("MILLISECOND", epoch, F.col("day"))
+                                                  + F.lit(20 * 3600 * 1000)).alias("end_ms"), "klines")).alias("value")))
+    root = _scratch(spark, "klines")
+    pages.write.text(root)
+    return JS.read_klines(spark, root)
