@@ -822,3 +822,52 @@ def q_klines(spark, sf):
     root = _scratch(spark, "klines")
     pages.write.text(root)
     return JS.read_klines(spark, root)
+
+
+# ------------------------------------------------------------------ E2, E7, W6, L2, L3
+from .plans import query as QY  # noqa: E402
+
+_ML_E1 = ("select * from (select *, row_number() over (partition by symbol, timeframe, timestamp order by "
+          + _E1_ORDER + ") as rn from (select timestamp, symbol, asset_class, timeframe, open, high, low, close, "
+          "volume, adj_close, adj_factor, source from ml where timeframe = '1m') p) t where rn = 1")
+
+
+@register("chart_records", duckdb_sql(
+    f"with ml as ({_MINUTE_LAKE.replace('{fx_minute}', 'fx_minute')}), e as ({_ML_E1}) select symbol, timeframe, "
+    "timestamp, cast(cast(epoch(timestamp) as bigint) as varchar) as time, open*adj_factor as open, "
+    "high*adj_factor as high, low*adj_factor as low, close*adj_factor as close, coalesce(volume, 0e0) as value "
+    "from e where open*adj_factor is not null and close*adj_factor is not null", "fx_minute"))
+def q_chart_records(spark, sf):
+    bars = B.get_ohlcv(minute_lake(spark, sf), None, "1m", adjusted=True)
+    return B.chart_records(bars)
+
+
+@register("latest_bar", duckdb_sql(
+    f"with e1 as ({_E1_D1}) select symbol, timeframe, timestamp, asset_class, open, high, low, close, volume, "
+    "adj_close, source from (select *, row_number() over (partition by symbol, timeframe order by timestamp desc) "
+    "as rn from e1) t where rn = 1", "fx_raw_bars"))
+def q_latest_bar(spark, sf):
+    return B.latest_bar(B.get_ohlcv(fixture(spark, sf, "fx_raw_bars"), None, "D1"))
+
+
+@register("top_symbols", duckdb_sql(
+    "select symbol, timeframe, count(*) as bars, min(timestamp) as start_date, max(timestamp) as end_date "
+    "from fx_raw_bars where asset_class = 'stocks' and timeframe = 'D1' group by symbol, timeframe "
+    "order by bars desc, symbol limit 10", "fx_raw_bars"))
+def q_top_symbols(spark, sf):
+    return B.top_symbols(fixture(spark, sf, "fx_raw_bars"), 10)
+
+
+@register("last_n_bars", duckdb_sql(
+    f"with e1 as ({_E1_D1}) select * from e1 order by timestamp desc, symbol limit 100", "fx_raw_bars"))
+def q_last_n_bars(spark, sf):
+    return B.last_n_bars(B.get_ohlcv(fixture(spark, sf, "fx_raw_bars"), None, "D1"), 100)
+
+
+@register("sql_adhoc", duckdb_sql(
+    "select symbol, timeframe, count(*) as bars, min(timestamp) as start_date, max(timestamp) as end_date "
+    "from fx_raw_bars where asset_class = 'stocks' and timeframe = 'D1' group by symbol, timeframe", "fx_raw_bars"))
+def q_sql_adhoc(spark, sf):
+    return QY.sql(spark, "SELECT symbol, timeframe, COUNT(*) as bars, MIN(timestamp) as start_date, "
+                         "MAX(timestamp) as end_date FROM ohlcv WHERE asset_class = 'stocks' AND timeframe = 'D1' "
+                         "GROUP BY symbol, timeframe", {"ohlcv": fixture(spark, sf, "fx_raw_bars")})
