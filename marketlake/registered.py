@@ -111,7 +111,7 @@ def minute_lake(spark, sf):
     return spark.sql(_MINUTE_LAKE, fx_minute=fixture(spark, sf, "fx_minute"))
 
 
-def _resample_sql(tf: str, minutes: int) -> str:
+def _resample_body(tf: str, minutes: int) -> str:
     b = f"time_bucket(interval '{minutes} minutes', timestamp)"
     o = "order by timestamp, event_id"
 
@@ -120,13 +120,18 @@ def _resample_sql(tf: str, minutes: int) -> str:
 
     def last(c):
         return f"last({c} {o}) filter (where {c} is not null)"
-    ml = _MINUTE_LAKE.replace("{fx_minute}", "fx_minute")
-    return duckdb_sql(
-        f"with ml as ({ml}) select * from (select {b} as timestamp, symbol, {first('asset_class')} as asset_class, "
-        f"'{tf}' as timeframe, {first('open')} as open, max(high) as high, min(low) as low, {last('close')} as close, "
-        f"coalesce(sum(volume), 0e0) as volume, {last('adj_close')} as adj_close, {first('adj_factor')} as adj_factor, "
-        f"{first('source')} as source, cast(year({b}) as int) as year from ml group by {b}, symbol) t "
-        "where open is not null and close is not null", "fx_minute")
+    return (f"select * from (select {b} as timestamp, symbol, {first('asset_class')} as asset_class, "
+            f"'{tf}' as timeframe, {first('open')} as open, max(high) as high, min(low) as low, {last('close')} as close, "
+            f"coalesce(sum(volume), 0e0) as volume, {last('adj_close')} as adj_close, {first('adj_factor')} as adj_factor, "
+            f"{first('source')} as source, cast(year({b}) as int) as year from ml group by {b}, symbol) t "
+            "where open is not null and close is not null")
+
+
+_ML = _MINUTE_LAKE.replace("{fx_minute}", "fx_minute")
+
+
+def _resample_sql(tf: str, minutes: int) -> str:
+    return duckdb_sql(f"with ml as ({_ML}) {_resample_body(tf, minutes)}", "fx_minute")
 
 
 for _tf, _m in RS.RESAMPLE_MINUTES.items():
@@ -871,3 +876,11 @@ def q_sql_adhoc(spark, sf):
     return QY.sql(spark, "SELECT symbol, timeframe, COUNT(*) as bars, MIN(timestamp) as start_date, "
                          "MAX(timestamp) as end_date FROM ohlcv WHERE asset_class = 'stocks' AND timeframe = 'D1' "
                          "GROUP BY symbol, timeframe", {"ohlcv": fixture(spark, sf, "fx_raw_bars")})
+
+
+@register("resample_all", duckdb_sql(
+    f"with ml as ({_ML}) " + " union all ".join(_resample_body(tf, m) for tf, m in RS.RESAMPLE_MINUTES.items()),
+    "fx_minute"))
+def q_resample_all(spark, sf):
+    """A3 for all three targets in one job (15m partials rolled up to 1h and 4h)."""
+    return RS.resample(minute_lake(spark, sf), ["15m", "1h", "4h"], tie=["event_id"])
