@@ -32,8 +32,15 @@ class Right:
 
 def asof_fill(left: DataFrame, rights: Sequence[Right], by: str | Sequence[str] = "symbol",
               ts: str = "timestamp", block_seconds: int = 32 * 86_400,
-              keep: Sequence[str] | None = None) -> DataFrame:
-    """Left rows with every right column filled as-of backward. Order is not defined."""
+              keep: Sequence[str] | None = None, keep_block: bool = False) -> DataFrame:
+    """Left rows with every right column filled as-of backward. Order is not defined.
+
+    The union of left and rights is hash-partitioned once on (key, block) for the
+    window; the per-block right summaries and the set of left blocks are partial
+    aggregates of narrow projections (rows = keys × blocks), joined back without
+    moving the filled rows again. ``keep_block`` returns the block as ``__blk`` so that callers
+    can run further per-(key, block) work without another shuffle.
+    """
     by = [by] if isinstance(by, str) else list(by)
     side, blk = "__side", "__blk"
     value_cols = [c for r in rights for c in r.columns]
@@ -46,44 +53,40 @@ def asof_fill(left: DataFrame, rights: Sequence[Right], by: str | Sequence[str]
 
     parts = [left.select(*by, ts, *left_cols, F.lit(1).alias(side), F.lit(None).cast("int").alias("__i"))]
     tie_names: list[str] = []
-    right_blocks = []
     for i, r in enumerate(rights):
         tie_cols = list(r.tie) or list(r.columns)
         names = [f"__t{i}_{k}" for k in range(len(tie_cols))]
         tie_names += names
-        rdf = r.df.select(*by, F.col(r.ts).alias(ts), *r.columns, F.lit(0).alias(side),
-                          F.lit(i).alias("__i"), *[F.col(c).alias(n) for c, n in zip(tie_cols, names)])
-        parts.append(rdf)
-        # last non-null of each column per (key, block): the small carry source
-        order = F.struct(F.col(ts), *[F.col(n) for n in names])
-        aggs = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c) for c in r.columns]
-        right_blocks.append(rdf.withColumn(blk, block_of(ts, block_seconds)).groupBy(*by, blk).agg(*aggs))
-
+        parts.append(r.df.select(*by, F.col(r.ts).alias(ts), *r.columns, F.lit(0).alias(side),
+                                 F.lit(i).alias("__i"), *[F.col(c).alias(n) for c, n in zip(tie_cols, names)]))
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p, allowMissingColumns=True)
-    union = union.withColumn(blk, block_of(ts, block_seconds))
+    union = union.withColumn(blk, block_of(ts, block_seconds)).repartition(*by, blk)
 
-    w = (Window.partitionBy(*by, blk).orderBy(F.col(ts), F.col(side), F.col("__i"), *[F.col(n) for n in tie_names])
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    order = [F.col(ts), F.col(side), F.col("__i"), *[F.col(n) for n in tie_names]]
+    w = Window.partitionBy(*by, blk).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = union.select(*by, ts, blk, side, *left_cols,
                           *[F.last(c, ignorenulls=True).over(w).alias(c) for c in value_cols])
     filled = filled.filter(F.col(side) == 1).drop(side)
 
-    # carry-in per (key, block): last non-null from strictly earlier blocks
-    keys = filled.select(*by, blk).distinct().withColumn(side, F.lit(0))
-    blocks = None
-    for rb in right_blocks:
-        rb = rb.withColumn(side, F.lit(1))
-        blocks = rb if blocks is None else blocks.unionByName(rb, allowMissingColumns=True)
-    carry_src = keys.unionByName(blocks, allowMissingColumns=True)
+    # small side tables, each a map-side-combined aggregate of a narrow projection:
+    # the block's last non-null right values, and the set of left blocks
+    rights_u = parts[1]
+    for p in parts[2:]:
+        rights_u = rights_u.unionByName(p, allowMissingColumns=True)
+    rank = F.struct(*order)
+    right_blocks = (rights_u.withColumn(blk, block_of(ts, block_seconds)).groupBy(*by, blk)
+                    .agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(c) for c in value_cols])
+                    .withColumn(side, F.lit(1)))
+    keys = (left.select(*by, block_of(ts, block_seconds).alias(blk)).distinct().withColumn(side, F.lit(0)))
+    # carry-in per left block: last non-null from strictly earlier blocks (small table)
     wc = (Window.partitionBy(*by).orderBy(F.col(blk), F.col(side))
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    carry = (carry_src.select(*by, blk, side,
-                              *[F.last(c, ignorenulls=True).over(wc).alias("__c_" + c) for c in value_cols])
+    carry = (keys.unionByName(right_blocks, allowMissingColumns=True)
+             .select(*by, blk, side, *[F.last(c, ignorenulls=True).over(wc).alias("__c_" + c) for c in value_cols])
              .filter(F.col(side) == 0).drop(side))
 
     out = filled.join(carry, on=[*by, blk], how="left")
-    out = out.select(*by, ts, *left_cols,
-                     *[F.coalesce(F.col(c), F.col("__c_" + c)).alias(c) for c in value_cols])
-    return out
+    return out.select(*by, ts, *left_cols, *[F.coalesce(F.col(c), F.col("__c_" + c)).alias(c) for c in value_cols],
+                      *([blk] if keep_block else []))

@@ -45,52 +45,56 @@ def block_seconds_column(timeframe="timeframe") -> Column:
     return expr
 
 
+def _blocked(df: DataFrame, keys: list[str], ts: str, block_seconds, block_col: str | None) -> tuple[DataFrame, str]:
+    """Input with a block column, hash-partitioned on (keys, block) exactly once."""
+    if block_col is not None and block_col in df.columns:
+        return df, block_col           # caller guarantees (keys, block) partitioning upstream
+    blk = "__blk"
+    return df.withColumn(blk, block_of(ts, block_seconds)).repartition(*keys, blk), blk
+
+
 def previous_value(df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str,
-                   block_seconds: int, tie: Sequence[str] = ()) -> DataFrame:
+                   block_seconds, tie: Sequence[str] = (), block_col: str | None = None) -> DataFrame:
     """``lag(value, 1)`` over ``partitionBy(keys).orderBy(ts, *tie)`` computed per block.
 
     The first row of a block takes the last row of the nearest earlier non-empty block.
     """
     keys = list(keys)
-    blk = "__blk"
-    d = df.withColumn(blk, block_of(ts, block_seconds))
+    d, blk = _blocked(df, keys, ts, block_seconds, block_col)
     order = [F.col(ts)] + [F.col(t) for t in tie]
     w = Window.partitionBy(*keys, blk).orderBy(*order)
     d = d.withColumn("__lag", F.lag(value, 1).over(w)).withColumn("__rn", F.row_number().over(w))
     # last row of each block (small table: one row per series and block)
-    order_struct = F.struct(*order)
-    tails = (d.groupBy(*keys, blk)
-             .agg(F.max_by(F.col(value), order_struct).alias("__tail")))
+    tails = d.groupBy(*keys, blk).agg(F.max_by(F.col(value), F.struct(*order)).alias("__tail"))
     wb = Window.partitionBy(*keys).orderBy(blk)
     carry = tails.withColumn("__carry", F.lag("__tail", 1).over(wb)).drop("__tail")
     d = d.join(carry, on=[*keys, blk], how="left")
     d = d.withColumn(out, F.when(F.col("__rn") == 1, F.col("__carry")).otherwise(F.col("__lag")))
-    return d.drop("__lag", "__rn", "__carry", blk)
+    return d.drop("__lag", "__rn", "__carry", *([] if blk == block_col else [blk]))
 
 
 def lag_n(df: DataFrame, keys: Sequence[str], ts: str, value: str, n: int, out: str,
-          block_seconds: int, tie: Sequence[str] = ()) -> DataFrame:
+          block_seconds, tie: Sequence[str] = (), block_col: str | None = None) -> DataFrame:
     """``lag(value, n)`` over ``partitionBy(keys).orderBy(ts, *tie)``, exact across blocks.
 
     Rows whose n-th predecessor lies in an earlier block look it up among the last ``n``
-    rows of every block (a table of at most blocks × n rows per series).
+    rows of every block (a table of at most blocks × n rows per series); block sizes and
+    offsets come from the same small edge table, so the large side is read once.
     """
     keys = list(keys)
-    blk = "__blk"
-    d = df.withColumn(blk, block_of(ts, block_seconds))
+    d, blk = _blocked(df, keys, ts, block_seconds, block_col)
     order = [F.col(ts)] + [F.col(t) for t in tie]
     w = Window.partitionBy(*keys, blk).orderBy(*order)
     wcount = Window.partitionBy(*keys, blk)
     d = (d.withColumn("__r", F.row_number().over(w) - 1)
          .withColumn("__cnt", F.count(F.lit(1)).over(wcount))
          .withColumn("__lagin", F.lag(value, n).over(w)))
-    counts = d.groupBy(*keys, blk).agg(F.max("__cnt").alias("__cnt"))
+    edge = (d.filter((F.col("__r") < n) | (F.col("__r") >= F.col("__cnt") - n))
+            .select(*keys, blk, "__r", "__cnt", F.col(value).alias("__v")))
+    counts = edge.groupBy(*keys, blk).agg(F.max("__cnt").alias("__cnt"))
     wb = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(wb), F.lit(0))).drop("__cnt")
-    edge = (d.filter((F.col("__r") < n) | (F.col("__r") >= F.col("__cnt") - n))
-            .select(*keys, blk, "__r", "__cnt", F.col(value).alias("__v"))
-            .join(offsets, on=[*keys, blk])
-            .withColumn("__g", F.col("__off") + F.col("__r")))
+    edge = edge.join(offsets, on=[*keys, blk]).withColumn("__g", F.col("__off") + F.col("__r"))
     tail = edge.filter(F.col("__r") >= F.col("__cnt") - n).select(*keys, "__g", F.col("__v").alias("__prev"))
     head = edge.filter(F.col("__r") < n).select(*keys, blk, "__r", (F.col("__g") - n).alias("__g"))
     found = head.join(tail, on=[*keys, "__g"], how="left")
@@ -98,4 +102,4 @@ def lag_n(df: DataFrame, keys: Sequence[str], ts: str, value: str, n: int, out:
                  .agg(F.map_from_entries(F.collect_list(F.struct("__r", "__prev"))).alias("__heads")))
     d = d.join(per_block, on=[*keys, blk], how="left")
     d = d.withColumn(out, F.when(F.col("__r") < n, F.col("__heads")[F.col("__r")]).otherwise(F.col("__lagin")))
-    return d.drop("__r", "__cnt", "__lagin", "__heads", blk)
+    return d.drop("__r", "__cnt", "__lagin", "__heads", *([] if blk == block_col else [blk]))

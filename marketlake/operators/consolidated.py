@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .asof import Right, asof_fill
-from .bars import _ts_literal, get_ohlcv, lag_n
+from .bars import _ts_literal, adjust, dedup_bars, filter_bars, get_ohlcv, lag_n, standard_projection
 from .blocked import block_seconds_for
+from ..session import ensure_checkpoint_dir
 from .joins import dimension_join
 
 # fixed values: output order of the joined columns (only those present are returned)
@@ -57,32 +58,39 @@ def consolidated(lake: DataFrame, volatility: DataFrame | None = None, fundament
     on the right sides, which are only cut at ``end``). ``keep_keys`` adds timestamp,
     timeframe and asset_class (the SQL view E5 needs them).
     """
-    bars = get_ohlcv(lake, symbols, timeframe, adjusted=adjusted)
+    # bars of the window, not yet de-duplicated: the fill runs first and the de-dup
+    # shares its (symbol, block) partitioning, so the bars are shuffled once
+    bars = standard_projection(filter_bars(lake, symbols, timeframe))
     rights = []
     if volatility is not None:
         rights.append(Right(volatility, _present(volatility, ["realized_vol_30d"])))
     if fundamentals is not None:
         rights.append(Right(fundamentals, _present(fundamentals, FUNDAMENTAL_COLUMNS)))
     if financials is not None:
-        rights.append(Right(prepare_financials(financials, financials_lag_days),
-                            _present(prepare_financials(financials), FINANCIAL_COLUMNS)))
+        fin = prepare_financials(financials, financials_lag_days)
+        rights.append(Right(fin, _present(fin, FINANCIAL_COLUMNS)))
     rights = [r for r in rights if r.columns]
     if symbols is not None:
         syms = [s.upper() for s in ([symbols] if isinstance(symbols, str) else symbols)]
         rights = [Right(r.df.filter(F.col("symbol").isin(syms)), r.columns) for r in rights]
     if start is not None:
-        bars = bars.filter(F.col("timestamp") >= _ts_literal(str(start)[:10]))
+        lo = _ts_literal(str(start)[:10])
+        bars = bars.filter(F.col("timestamp") >= lo)
     if end is not None:
         stop = F.lit(_day_after(end)).cast("timestamp_ntz")
         bars = bars.filter(F.col("timestamp") < stop)
         rights = [Right(r.df.filter(F.col(r.ts) < stop), r.columns) for r in rights]
 
-    left_cols = [c for c in ("asset_class", "timeframe", "open", "high", "low", "close", "volume") if c in bars.columns]
+    bar_cols = ["asset_class", "timeframe", "open", "high", "low", "close", "volume", "adj_close", "adj_factor",
+                "source"]
+    rest = ["asset_class", "open", "high", "low", "close", "volume", "adj_close", "adj_factor"]
     if rights:
-        filled = asof_fill(bars, rights, by="symbol", ts="timestamp",
-                           block_seconds=block_seconds_for(timeframe), keep=left_cols)
+        filled = asof_fill(bars, rights, by="symbol", ts="timestamp", block_seconds=block_seconds_for(timeframe),
+                           keep=bar_cols, keep_block=True)
+        filled = dedup_bars(filled, keys=["symbol", "__blk", "timeframe", "timestamp"], order=rest)
     else:
-        filled = bars.select("symbol", "timestamp", *left_cols)
+        filled = dedup_bars(bars, order=rest).withColumn("__blk", F.lit(None).cast("long"))
+    filled = adjust(filled, adjusted)
 
     if metadata is not None:
         meta = metadata.select("symbol", "longname", "sector", "industry", "marketcap")
@@ -93,7 +101,7 @@ def consolidated(lake: DataFrame, volatility: DataFrame | None = None, fundament
                   .withColumn("industry", F.lit(None).cast("string"))
                   .withColumn("marketcap", F.lit(None).cast("double")))
     joined = [c for c in JOINED_COLUMNS if c in filled.columns]
-    keys = ["timestamp", "timeframe", "asset_class"] if keep_keys else []
+    keys = ["timestamp", "timeframe", "asset_class", "__blk"] if keep_keys else []
     return filled.select(
         F.date_format("timestamp", "yyyy-MM-dd").alias("date"), "symbol",
         F.coalesce(F.col("longname"), F.lit("")).alias("company_name"),
@@ -103,10 +111,17 @@ def consolidated(lake: DataFrame, volatility: DataFrame | None = None, fundament
         "open", "high", "low", "close", "volume", *joined, *keys)
 
 
-def feature_table(consolidated_view: DataFrame, n: int = 20) -> DataFrame:
-    """Momentum feature over the consolidated view (needs ``keep_keys=True``)."""
-    tf = consolidated_view
-    d = lag_n(tf, ["symbol"], "timestamp", "close", n, "__prev", block_seconds_for("D1"))
+def feature_table(consolidated_view: DataFrame, n: int = 20, timeframe: str = "D1") -> DataFrame:
+    """Momentum feature over the consolidated view (needs ``keep_keys=True``; its
+    (symbol, block) partitioning is reused, so the lag adds no shuffle of the rows).
+
+    The view is checkpointed to the shared checkpoint folder first: the lag reads it in
+    two branches, which would otherwise each recompute the as-of pipeline.
+    """
+    ensure_checkpoint_dir(consolidated_view.sparkSession)
+    view = consolidated_view.checkpoint(eager=True)
+    d = lag_n(view, ["symbol"], "timestamp", "close", n, "__prev", block_seconds_for(timeframe),
+              block_col="__blk")
     return d.withColumn(f"momentum_{n}d", (F.col("close") - F.col("__prev")) / F.col("__prev")).drop("__prev")
 
 

@@ -19,7 +19,7 @@ from ..sources.lake import register_views
 # parsed-plan roots that are plain queries
 QUERY_ROOTS = {
     "Project", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Filter", "Distinct", "Union", "Join",
-    "UnresolvedWith", "WithCTE", "SubqueryAlias", "Window", "Offset", "Tail", "Intersect", "Except",
+    "UnresolvedWith", "WithCTE", "CTE", "SubqueryAlias", "Window", "Offset", "Tail", "Intersect", "Except",
     "Generate", "UnresolvedRelation", "LocalRelation", "Pivot", "Unpivot", "Expand", "Sample",
     "RepartitionByExpression", "Repartition", "UnresolvedHint", "Deduplicate", "UnresolvedInlineTable",
     "UnresolvedTableValuedFunction", "OneRowRelation", "UnresolvedSubqueryColumnAliases",

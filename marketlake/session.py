@@ -66,3 +66,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             spark.sparkContext.setCheckpointDir(root)
     root = root.rstrip("/")
     return f"{root}/{name}"
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Point ``checkpoint()`` at the cluster's shared folder (``spark.checkpoint.dir``);
+    a fresh local folder is used only when the session names none (tests)."""
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="marketlake-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    spark.sparkContext.setCheckpointDir(root)
+    return spark.sparkContext.getCheckpointDir()
