@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import chart_time
-from .blocked import block_seconds_for, lag_n  # noqa: F401  (lag_n re-exported)
+from .blocked import block_seconds_column, block_seconds_for, lag_n  # noqa: F401  (lag_n re-exported)
 
 SERIES_KEYS = ["symbol", "timeframe", "timestamp"]
 STANDARD = ["timestamp", "symbol", "asset_class", "timeframe", "open", "high", "low", "close",
@@ -164,7 +164,8 @@ def with_returns(bars: DataFrame, n: int = 1, price: str = "close", out: str | N
                  keys: Sequence[str] = ("symbol", "timeframe"), block_seconds: int | None = None) -> DataFrame:
     """Simple return over ``n`` bars, (p − lag(p, n)) / lag(p, n), per series."""
     out = out or ("return_1" if n == 1 else f"return_{n}")
-    bs = block_seconds or block_seconds_for(None)
+    bs = block_seconds or (block_seconds_column("timeframe") if "timeframe" in bars.columns
+                           else block_seconds_for(None))
     d = lag_n(bars, list(keys), "timestamp", price, n, "__prev", bs)
     return d.withColumn(out, (F.col(price) - F.col("__prev")) / F.col("__prev")).drop("__prev")
 

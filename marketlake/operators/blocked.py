@@ -14,18 +14,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.time import epoch_seconds
+from ..functions.time import TIMEFRAME_SECONDS, epoch_seconds, timeframe_step_seconds
+from ..session import ensure_checkpoint_dir
 
-# Default block lengths: about a month for daily-or-coarser bars, a day intraday.
+# A block spans BARS_PER_BLOCK bar lengths of its timeframe: small enough for one task
+# whatever the series length, large against the lag / carry width so that only a thin
+# edge of each block goes through the boundary tables.
+BARS_PER_BLOCK = 2048
 DAY = 86_400
-DEFAULT_BLOCK_SECONDS = {"D1": 32 * DAY, "1W": 366 * DAY, "1M": 366 * DAY}
-INTRADAY_BLOCK_SECONDS = DAY
+MONTH_SECONDS = 31 * DAY            # calendar month bars have no fixed length
 
 
 def block_seconds_for(timeframe: str | None) -> int:
-    if timeframe is None:
-        return 32 * DAY
-    return DEFAULT_BLOCK_SECONDS.get(timeframe, INTRADAY_BLOCK_SECONDS)
+    """Block length in seconds for a timeframe (daily when unknown)."""
+    step = TIMEFRAME_SECONDS.get(timeframe or "D1", DAY) or MONTH_SECONDS
+    return step * BARS_PER_BLOCK
 
 
 def block_of(ts, seconds) -> Column:
@@ -37,12 +40,37 @@ def block_of(ts, seconds) -> Column:
 
 
 def block_seconds_column(timeframe="timeframe") -> Column:
-    """Per-row block length from the row's timeframe (see DEFAULT_BLOCK_SECONDS)."""
+    """Per-row block length from the row's timeframe (see ``block_seconds_for``)."""
     tf = F.col(timeframe) if isinstance(timeframe, str) else timeframe
-    expr = F.lit(INTRADAY_BLOCK_SECONDS)
-    for name, secs in DEFAULT_BLOCK_SECONDS.items():
-        expr = F.when(tf == name, F.lit(secs)).otherwise(expr)
-    return expr
+    step = F.coalesce(timeframe_step_seconds(tf), F.lit(DAY))
+    return F.when(step == 0, F.lit(MONTH_SECONDS)).otherwise(step) * F.lit(BARS_PER_BLOCK)
+
+
+def _materialize(d: DataFrame) -> DataFrame:
+    """The per-block windowed rows, written once to the shared checkpoint folder.
+
+    Both the small boundary table and the final stitch read them; without this, each
+    branch re-runs the input pipeline, its exchange and the block sort (the branches get
+    different inferred filters, so their exchanges are not reused).
+    """
+    ensure_checkpoint_dir(d.sparkSession)
+    return d.checkpoint(eager=True)
+
+
+def _join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``cols`` with null-safe equality.
+
+    A plain equality makes Catalyst infer ``isnotnull`` filters and push them into one
+    branch of the large side, which then no longer matches the other branch, and its
+    exchange is recomputed instead of reused. Null-safe keys infer nothing.
+    """
+    ren = {c: f"__j_{c}" for c in cols}
+    r = right.select(*[F.col(c).alias(ren[c]) for c in cols], *[c for c in right.columns if c not in ren])
+    cond = None
+    for c in cols:
+        e = left[c].eqNullSafe(r[ren[c]])
+        cond = e if cond is None else cond & e
+    return left.join(r, cond, how).drop(*ren.values())
 
 
 def _blocked(df: DataFrame, keys: list[str], ts: str, block_seconds, block_col: str | None) -> tuple[DataFrame, str]:
@@ -54,7 +82,8 @@ def _blocked(df: DataFrame, keys: list[str], ts: str, block_seconds, block_col:
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], ts: str, value: str, out: str,
-                   block_seconds, tie: Sequence[str] = (), block_col: str | None = None) -> DataFrame:
+                   block_seconds, tie: Sequence[str] = (), block_col: str | None = None,
+                   materialize: bool = False) -> DataFrame:
     """``lag(value, 1)`` over ``partitionBy(keys).orderBy(ts, *tie)`` computed per block.
 
     The first row of a block takes the last row of the nearest earlier non-empty block.
@@ -64,17 +93,20 @@ def previous_value(df: DataFrame, keys: Sequence[str], ts: str, value: str, out:
     order = [F.col(ts)] + [F.col(t) for t in tie]
     w = Window.partitionBy(*keys, blk).orderBy(*order)
     d = d.withColumn("__lag", F.lag(value, 1).over(w)).withColumn("__rn", F.row_number().over(w))
+    if materialize:
+        d = _materialize(d)
     # last row of each block (small table: one row per series and block)
     tails = d.groupBy(*keys, blk).agg(F.max_by(F.col(value), F.struct(*order)).alias("__tail"))
     wb = Window.partitionBy(*keys).orderBy(blk)
     carry = tails.withColumn("__carry", F.lag("__tail", 1).over(wb)).drop("__tail")
-    d = d.join(carry, on=[*keys, blk], how="left")
+    d = _join(d, carry, [*keys, blk], "left")
     d = d.withColumn(out, F.when(F.col("__rn") == 1, F.col("__carry")).otherwise(F.col("__lag")))
     return d.drop("__lag", "__rn", "__carry", *([] if blk == block_col else [blk]))
 
 
 def lag_n(df: DataFrame, keys: Sequence[str], ts: str, value: str, n: int, out: str,
-          block_seconds, tie: Sequence[str] = (), block_col: str | None = None) -> DataFrame:
+          block_seconds, tie: Sequence[str] = (), block_col: str | None = None,
+          materialize: bool = False) -> DataFrame:
     """``lag(value, n)`` over ``partitionBy(keys).orderBy(ts, *tie)``, exact across blocks.
 
     Rows whose n-th predecessor lies in an earlier block look it up among the last ``n``
@@ -89,17 +121,19 @@ def lag_n(df: DataFrame, keys: Sequence[str], ts: str, value: str, n: int, out:
     d = (d.withColumn("__r", F.row_number().over(w) - 1)
          .withColumn("__cnt", F.count(F.lit(1)).over(wcount))
          .withColumn("__lagin", F.lag(value, n).over(w)))
+    if materialize:
+        d = _materialize(d)
     edge = (d.filter((F.col("__r") < n) | (F.col("__r") >= F.col("__cnt") - n))
             .select(*keys, blk, "__r", "__cnt", F.col(value).alias("__v")))
     counts = edge.groupBy(*keys, blk).agg(F.max("__cnt").alias("__cnt"))
     wb = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(wb), F.lit(0))).drop("__cnt")
-    edge = edge.join(offsets, on=[*keys, blk]).withColumn("__g", F.col("__off") + F.col("__r"))
+    edge = _join(edge, offsets, [*keys, blk]).withColumn("__g", F.col("__off") + F.col("__r"))
     tail = edge.filter(F.col("__r") >= F.col("__cnt") - n).select(*keys, "__g", F.col("__v").alias("__prev"))
     head = edge.filter(F.col("__r") < n).select(*keys, blk, "__r", (F.col("__g") - n).alias("__g"))
-    found = head.join(tail, on=[*keys, "__g"], how="left")
+    found = _join(head, tail, [*keys, "__g"], "left")
     per_block = (found.groupBy(*keys, blk)
                  .agg(F.map_from_entries(F.collect_list(F.struct("__r", "__prev"))).alias("__heads")))
-    d = d.join(per_block, on=[*keys, blk], how="left")
+    d = _join(d, per_block, [*keys, blk], "left")
     d = d.withColumn(out, F.when(F.col("__r") < n, F.col("__heads")[F.col("__r")]).otherwise(F.col("__lagin")))
     return d.drop("__r", "__cnt", "__lagin", "__heads", *([] if blk == block_col else [blk]))

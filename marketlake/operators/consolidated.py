@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from .asof import Right, asof_fill
 from .bars import _ts_literal, adjust, dedup_bars, filter_bars, get_ohlcv, lag_n, standard_projection
 from .blocked import block_seconds_for
-from ..session import ensure_checkpoint_dir
 from .joins import dimension_join
 
 # fixed values: output order of the joined columns (only those present are returned)
@@ -115,13 +114,11 @@ def feature_table(consolidated_view: DataFrame, n: int = 20, timeframe: str = "D
     """Momentum feature over the consolidated view (needs ``keep_keys=True``; its
     (symbol, block) partitioning is reused, so the lag adds no shuffle of the rows).
 
-    The view is checkpointed to the shared checkpoint folder first: the lag reads it in
-    two branches, which would otherwise each recompute the as-of pipeline.
+    The lag materialises its windowed rows once (shared checkpoint folder), so the
+    as-of pipeline runs once although the lag reads it in two branches.
     """
-    ensure_checkpoint_dir(consolidated_view.sparkSession)
-    view = consolidated_view.checkpoint(eager=True)
-    d = lag_n(view, ["symbol"], "timestamp", "close", n, "__prev", block_seconds_for(timeframe),
-              block_col="__blk")
+    d = lag_n(consolidated_view, ["symbol"], "timestamp", "close", n, "__prev", block_seconds_for(timeframe),
+              block_col="__blk", materialize=True)
     return d.withColumn(f"momentum_{n}d", (F.col("close") - F.col("__prev")) / F.col("__prev")).drop("__prev")
 
 
