@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A dimension side is broadcast only when it has at most this many rows (checked).
-MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_ROWS = 100_000
 
 
 def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
