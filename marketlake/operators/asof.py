@@ -64,6 +64,7 @@ def asof_fill(left: DataFrame, rights: Sequence[Right], by: str | Sequence[str]
         union = union.unionByName(p, allowMissingColumns=True)
     union = union.withColumn(blk, block_of(ts, block_seconds)).repartition(*by, blk)
 
+    # Per-column forward fill, last non-null up to and including the current row
     order = [F.col(ts), F.col(side), F.col("__i"), *[F.col(n) for n in tie_names]]
     w = Window.partitionBy(*by, blk).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = union.select(*by, ts, blk, side, *left_cols,

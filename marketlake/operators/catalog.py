@@ -1,4 +1,4 @@
-"""Dataset catalog work as DataFrame jobs."""
+"""Dataset catalog work as DataFrame jobs."""
 
 from __future__ import annotations
 
@@ -38,7 +38,8 @@ def filter_catalog(catalog: DataFrame, symbols: Sequence[str] | None = None,
 
 
 def in_universe(catalog: DataFrame, universe: DataFrame, stock_class: str = "stocks") -> DataFrame:
-    """Keep non-stock series, and stock series whose symbol is in the universe."""
+    """Keep non-stock series, and stock series whose symbol is in the universe
+    (also C6: the catalog rows a universe rewrite keeps)."""
     others = catalog.filter(F.col("asset_class") != stock_class)
     rest = catalog.filter(F.col("asset_class").isNull() | (F.col("asset_class") == stock_class))
     return others.unionByName(rest.join(universe.select("symbol"), "symbol", "left_semi"))
@@ -134,3 +135,44 @@ def upsert_metadata(existing: DataFrame, new: DataFrame, replace: bool = True) -
 def get_metadata(metadata: DataFrame, symbol: str) -> DataFrame:
     """C4: one symbol's metadata row."""
     return metadata.filter(F.col("symbol") == symbol.upper())
+
+
+def macro_catalog(macro_table: DataFrame, now: dt.datetime | None = None, source: str = "fred") -> DataFrame:
+    """Catalog rows of macro series: dates as ``yyyy-MM-dd``, rows, null % of the
+    value and score = 100 − null % (one aggregate over every series)."""
+    stamp = F.lit(now).cast("timestamp_ntz") if now is not None else F.localtimestamp()
+    null_pct = 100.0 * F.sum(F.when(F.col("value").isNull(), 1).otherwise(0)) / F.count(F.lit(1))
+    d = macro_table.groupBy("symbol").agg(
+        F.min("timestamp").alias("__lo"), F.max("timestamp").alias("__hi"),
+        F.count(F.lit(1)).alias("rows_count"), null_pct.alias("nulls_pct"))
+    return d.select(
+        "symbol", F.lit("D1").alias("timeframe"), F.lit("macro").alias("asset_class"),
+        F.date_format("__lo", "yyyy-MM-dd").alias("start_date"), F.date_format("__hi", "yyyy-MM-dd").alias("end_date"),
+        "rows_count", "nulls_pct", (F.lit(100.0) - F.col("nulls_pct")).alias("quality_score"),
+        F.lit(source).alias("source"), stamp.alias("last_updated"))
+
+
+def curated_catalog(table: DataFrame, symbol: str, source: str, timeframe: str = "D1", asset_class: str = "macro",
+                    now: dt.datetime | None = None) -> DataFrame:
+    """A curated vendor table registered with the constant score 100 and 0 % nulls."""
+    stamp = F.lit(now).cast("timestamp_ntz") if now is not None else F.localtimestamp()
+    return table.agg(F.min("timestamp").alias("__lo"), F.max("timestamp").alias("__hi"),
+                     F.count(F.lit(1)).alias("rows_count")).select(
+        F.lit(symbol).alias("symbol"), F.lit(timeframe).alias("timeframe"), F.lit(asset_class).alias("asset_class"),
+        F.date_format("__lo", "yyyy-MM-dd").alias("start_date"), F.date_format("__hi", "yyyy-MM-dd").alias("end_date"),
+        "rows_count", F.lit(0.0).alias("nulls_pct"), F.lit(100.0).alias("quality_score"),
+        F.lit(source).alias("source"), stamp.alias("last_updated"))
+
+
+def symbol_classes(catalog: DataFrame) -> DataFrame:
+    """One asset class per (upper-case) symbol; the smallest class name when a
+    ticker is catalogued under several (the reference takes an arbitrary one)."""
+    return catalog.groupBy(F.upper("symbol").alias("symbol")).agg(F.min("asset_class").alias("asset_class"))
+
+
+def with_asset_class(df: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Attach the catalogued asset class to rows keyed by symbol (dimension join
+    behind a size check; the class table has one row per catalogued symbol)."""
+    keyed = df.withColumn("__sym", F.upper("symbol"))
+    classes = symbol_classes(catalog).withColumnRenamed("symbol", "__sym")
+    return dimension_join(keyed, classes, "__sym", "left").drop("__sym")

@@ -64,7 +64,7 @@ def consolidated(lake: DataFrame, volatility: DataFrame | None = None, fundament
     if volatility is not None:
         rights.append(Right(volatility, _present(volatility, ["realized_vol_30d"])))
     if fundamentals is not None:
-        rights.append(Right(fundamentals, _present(fundamentals, FUNDAMENTAL_COLUMNS)))
+        rights.append(Right(fundamentals, _present(fundamentals, FUNDAMENTAL_COLUMNS)))      # J8
     if financials is not None:
         fin = prepare_financials(financials, financials_lag_days)
         rights.append(Right(fin, _present(fin, FINANCIAL_COLUMNS)))

@@ -26,6 +26,7 @@ def _tag(source: str) -> str:
 
 
 def _side(bars: DataFrame, source: str, keys: list[str], dedup: bool) -> DataFrame:
+    # source match, case-insensitive
     d = bars.filter(F.lower(F.col("source")) == source.lower()).select(*keys, "timestamp", "close")
     if dedup:
         d = dedup_bars(d, keys=[*keys, "timestamp"], order=["close"])

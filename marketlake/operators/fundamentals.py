@@ -90,7 +90,7 @@ def metric_dimension(spark: SparkSession) -> DataFrame:
 
 
 def extract_facts(facts: DataFrame, forms: Sequence[str] = ALLOWED_FORMS) -> DataFrame:
-    """X1 + X3: long XBRL facts → (symbol, metric, end_date, val, form).
+    """X1 + X3 (+ F8 form filter): long XBRL facts → (symbol, metric, end_date, val, form).
 
     Columns of ``facts``: symbol, concept, form, end_date, val, pos (report order) and
     optionally taxonomy and unit / unit_pos. Per symbol the taxonomy is us-gaap if it
@@ -121,7 +121,7 @@ def extract_facts(facts: DataFrame, forms: Sequence[str] = ALLOWED_FORMS) -> Dat
 
 
 def facts_to_financials(extracted: DataFrame) -> DataFrame:
-    """Pivot the metrics onto (symbol, report_date), numeric cast, FCF, null
+    """Pivot the metrics (the union of metric dates is the pivot's rows) onto (symbol, report_date), numeric cast, FCF, null
     estimates, drop rows with none of revenue / net income / total assets.
 
     fiscal_period is derived from the form (10-K ⇒ FY, else Q) instead of the
@@ -141,7 +141,7 @@ def facts_to_financials(extracted: DataFrame) -> DataFrame:
          .withColumn("eps_estimate", F.lit(None).cast("double"))
          .withColumn("actual_eps", F.lit(None).cast("double"))
          .withColumn("eps_surprise", F.lit(None).cast("double")))
-    return d.dropna(how="all", subset=EMPTY_ROW_COLUMNS)
+    return d.dropna(how="all", subset=EMPTY_ROW_COLUMNS)          # F7
 
 
 def merge_financials(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Update planning over the catalog (P1-P7, A13): each plan is one DataFrame job.
+"""Update planning over the catalog (P1-P7, A13, E11): each plan is one DataFrame job.
 
 The plan says *what* to fetch; fetching itself (network) is outside this package:
 callers land vendor payloads as files, which ``sources`` reads.
@@ -11,7 +11,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.catalog import active, missing_symbols
+from ..operators.catalog import CATALOG_KEY, active, missing_symbols, refresh_catalog, upsert_datasets
+from ..session import ensure_checkpoint_dir
+from ..sources.lake import scan_bars, write_bars
 
 # ---- fixed values that must equal the reference's --------------------------------
 INTRADAY_MINUTE_FRAMES = ["1m", "2m", "5m", "15m", "30m"]
@@ -119,3 +121,40 @@ def history_clamp(plan: DataFrame, vendor: str, now=None) -> DataFrame:
         raise ValueError(f"unknown vendor {vendor!r}")
     start = F.when(limit.isNotNull() & (F.col("start") < limit), limit).otherwise(F.col("start"))
     return plan.withColumn("start", start).filter(F.col("start") < F.col("end"))
+
+
+def apply_updates(catalog: DataFrame, landed: DataFrame, lake_root: str, now=None,
+                  plan: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """One incremental update of the lake from landed vendor bars.
+
+    The plan (P1 + P2) gives each catalogued series its fetch window; landed rows inside
+    their series' window are appended to the lake (K1), the catalog rows of the series
+    that received rows are recomputed from the lake (C5) and upserted (C1). Returns the
+    new catalog and the run log (status per series: ``success``, ``no_new_rows``,
+    ``up_to_date`` or ``skipped``; see ``update_summary``).
+
+    Fetching is the caller's (network is out of scope): ``landed`` is any reader's
+    output in the canonical schema. The window table (one row per series) is written to
+    the shared checkpoint folder before the append, so neither the rows selected nor
+    the run log depends on reading the catalog again after the lake has changed.
+    """
+    plan = plan if plan is not None else plan_updates(catalog, now)
+    ensure_checkpoint_dir(landed.sparkSession)
+    windows = (plan.filter(F.col("status") == "update")
+               .select(*CATALOG_KEY, F.col("start").cast("timestamp_ntz").alias("__lo"),
+                       F.col("end").cast("timestamp_ntz").alias("__hi"))
+               .checkpoint(eager=True))
+    new = (landed.join(windows, CATALOG_KEY)
+           .filter((F.col("timestamp") >= F.col("__lo")) & (F.col("timestamp") <= F.col("__hi")))
+           .drop("__lo", "__hi"))
+    write_bars(new, lake_root)
+    touched = new.groupBy(*CATALOG_KEY).agg(F.count(F.lit(1)).alias("rows_added"))
+    lake = scan_bars(landed.sparkSession, lake_root).join(touched.select(*CATALOG_KEY), CATALOG_KEY, "left_semi")
+    new_catalog = upsert_datasets(catalog, refresh_catalog(lake, now).select(*catalog.columns))
+    st = F.col("status")
+    log = plan.join(touched, CATALOG_KEY, "left").select(
+        *CATALOG_KEY, "start", "end",
+        F.when((st == "update") & (F.col("rows_added") > 0), F.lit("success"))
+        .when(st == "update", F.lit("no_new_rows")).otherwise(st).alias("status"),
+        F.coalesce(F.col("rows_added"), F.lit(0)).alias("rows_added"))
+    return new_catalog, log

@@ -884,3 +884,49 @@ def q_sql_adhoc(spark, sf):
 def q_resample_all(spark, sf):
     """A3 for all three targets in one job (15m partials rolled up to 1h and 4h)."""
     return RS.resample(minute_lake(spark, sf), ["15m", "1h", "4h"], tie=["event_id"])
+
+
+# ------------------------------------------------------------------ E11 / A6 / J12
+_UPDATE_CUT = "1996-01-01"
+
+
+@register("update_lake", duckdb_sql(
+    "select symbol, timeframe, asset_class, " + _FMT.format(c="min(timestamp)") + " as start_date, "
+    + _FMT.format(c="max(timestamp)") + " as end_date, count(*) as rows_count, "
+    "100e0*sum(case when close is null then 1 else 0 end)/count(*) as nulls_pct, "
+    "greatest(0e0, 100e0 - (100e0*sum(case when close is null then 1 else 0 end)/count(*))*2e0) as quality_score, "
+    "array_to_string(list_sort(list_distinct(list(source))), '+') as source, "
+    f"{_NOW_SQL} as last_updated from fx_raw_bars where timestamp <= {_NOW_SQL} and symbol in (select symbol "
+    f"from fx_raw_bars where timestamp < timestamp '{_UPDATE_CUT} 00:00:00') group by symbol, timeframe, asset_class",
+    "fx_raw_bars"))
+def q_update_lake(spark, sf):
+    """A lake holding the bars before the cut, its stored catalog, and a landing of
+    every bar; one update run appends each series' rows after its end up to "now" and
+    refreshes the catalog of the series that received rows."""
+    rows = _lake_rows(fixture(spark, sf, "fx_raw_bars"))
+    root = _scratch(spark, "update-lake")
+    LK.write_bars(rows.filter(F.col("timestamp") < F.lit(_UPDATE_CUT).cast("timestamp_ntz")), root, mode="overwrite")
+    cat_path = _scratch(spark, "update-catalog")
+    LK.write_table(CT.refresh_catalog(LK.scan_bars(spark, root), now=NOW), cat_path)
+    catalog = spark.read.parquet(cat_path)
+    new_catalog, _log = PL.apply_updates(catalog, rows, root, now=NOW)
+    return new_catalog
+
+
+@register("macro_catalog", duckdb_sql(
+    "select symbol, 'D1' as timeframe, 'macro' as asset_class, strftime(min(timestamp), '%Y-%m-%d') as start_date, "
+    "strftime(max(timestamp), '%Y-%m-%d') as end_date, count(*) as rows_count, "
+    "100e0*sum(case when value is null then 1 else 0 end)/count(*) as nulls_pct, "
+    "100e0 - 100e0*sum(case when value is null then 1 else 0 end)/count(*) as quality_score, 'fred' as source, "
+    f"{_NOW_SQL} as last_updated from fx_macro where value is not null group by symbol", "fx_macro"))
+def q_macro_catalog(spark, sf):
+    return CT.macro_catalog(RD.macro_series(fixture(spark, sf, "fx_macro")), now=NOW)
+
+
+@register("asset_class_lookup", duckdb_sql(
+    "select r.symbol, r.timestamp, r.close, c.asset_class from fx_raw_bars r left join (select upper(symbol) as symbol, "
+    "min(asset_class) as asset_class from fx_catalog group by upper(symbol)) c on upper(r.symbol) = c.symbol",
+    "fx_raw_bars", "fx_catalog"))
+def q_asset_class_lookup(spark, sf):
+    bars = fixture(spark, sf, "fx_raw_bars").select("symbol", "timestamp", "close")
+    return CT.with_asset_class(bars, fixture(spark, sf, "fx_catalog"))

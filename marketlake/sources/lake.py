@@ -78,7 +78,7 @@ def rewrite_lake(lake: DataFrame, universe: DataFrame, new_root: str, stock_clas
 
 
 def write_per_symbol(df: DataFrame, root: str, order: Sequence[str], mode: str = "overwrite") -> None:
-    """K4: one folder per symbol, rows ordered inside (financials, option chains)."""
+    """One folder per symbol, rows ordered inside (financials, option chains)."""
     (df.repartition("symbol").sortWithinPartitions("symbol", *order)
      .write.mode(mode).options(**PARQUET_OPTIONS).partitionBy("symbol").parquet(root))
 

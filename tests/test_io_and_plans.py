@@ -125,3 +125,25 @@ def test_company_facts_reader(spark, tmpdir_path):
 
 def test_asof_right_class_exported():
     assert Right.__name__ == "Right"
+
+
+def test_apply_updates_appends_inside_windows_and_logs(spark, tmpdir_path):
+    from marketlake.operators import catalog as CT
+    from marketlake.plans import updates
+    now = dt.datetime(2024, 6, 1)
+    old = _bars(spark, ("AAA", "BBB")).filter(F.col("timestamp") < F.lit("2024-01-02").cast("timestamp_ntz"))
+    lake.write_bars(old, tmpdir_path, mode="overwrite")
+    cat = CT.refresh_catalog(lake.scan_bars(spark, tmpdir_path), now=now)
+    cat_path = os.path.join(tmpdir_path, "_catalog")
+    lake.write_table(cat, cat_path)
+    catalog = spark.read.parquet(cat_path)
+    # landing: every bar again (old ones must not be re-appended) plus one bar after "now"
+    landed = _bars(spark, ("AAA", "BBB", "CCC")).unionByName(
+        _bars(spark, ("AAA",)).limit(1).withColumn("timestamp", F.lit("2024-07-01").cast("timestamp_ntz")))
+    new_cat, log = updates.apply_updates(catalog, landed, tmpdir_path, now=now)
+    counts = {r.symbol: r["count"] for r in lake.scan_bars(spark, tmpdir_path).groupBy("symbol").count().collect()}
+    assert counts == {"AAA": 4, "BBB": 4}                       # CCC is not catalogued; July is after now
+    assert {(r.symbol, r.status, r.rows_added) for r in log.collect()} == {("AAA", "success", 2),
+                                                                          ("BBB", "success", 2)}
+    assert {(r.symbol, r.rows_count, r.end_date) for r in new_cat.collect()} == {("AAA", 4, "2024-01-04"),
+                                                                                 ("BBB", 4, "2024-01-04")}
