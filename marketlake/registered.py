@@ -930,3 +930,29 @@ def q_macro_catalog(spark, sf):
 def q_asset_class_lookup(spark, sf):
     bars = fixture(spark, sf, "fx_raw_bars").select("symbol", "timestamp", "close")
     return CT.with_asset_class(bars, fixture(spark, sf, "fx_catalog"))
+
+
+# ------------------------------------------------------------------ streaming A3 (extension)
+from .streaming import bars_stream as ST  # noqa: E402
+
+_STREAM_DELAY_MINUTES = 10
+
+
+@register("resample_stream_15m", duckdb_sql(
+    f"with ml as ({_ML}), b as ({_resample_body('15m', 15)}) select * from b where timestamp + interval 15 minute "
+    f"<= (select max(timestamp) from ml) - interval {_STREAM_DELAY_MINUTES} minute", "fx_minute"))
+def q_resample_stream_15m(spark, sf):
+    """A3 as a Structured Streaming job: the minute bars are landed as Parquet files, the
+    stream (watermark 10 minutes, append mode, availableNow) writes the bars it can
+    finalise; those are the batch bars whose end the watermark has passed."""
+    minute = minute_lake(spark, sf)
+    landed = _scratch(spark, "stream-in")
+    minute.write.mode("overwrite").parquet(landed)
+    stream = spark.readStream.schema(minute.schema).parquet(landed)
+    out = _scratch(spark, "stream-out")
+    q = ST.write_stream(ST.resample_stream(stream, "15m", delay=f"{_STREAM_DELAY_MINUTES} minutes", tie=["event_id"]),
+                        out, name=f"resample-15m-{_uuid.uuid4().hex[:12]}")
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.read.parquet(out).select(*RS.resample(minute, ["15m"]).columns)
