@@ -92,9 +92,17 @@ def _deps(name: str) -> list[str]:
     return [r for r in _REF.findall(FIXTURE_SQL[name]) if r != "ts"]
 
 
+_TABLES: dict[str, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver base table."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver base table. The driver's tables are read-only, so the DataFrame (whose
+    schema Spark infers with a job) is built once per session and path."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = _TABLES.get(path)
+    if df is None or df.sparkSession is not spark:
+        df = _TABLES[path] = spark.read.parquet(path)
+    return df
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,7 +32,8 @@ class Right:
 
 def asof_fill(left: DataFrame, rights: Sequence[Right], by: str | Sequence[str] = "symbol",
               ts: str = "timestamp", block_seconds: int = 32 * 86_400,
-              keep: Sequence[str] | None = None, keep_block: bool = False) -> DataFrame:
+              keep: Sequence[str] | None = None, keep_block: bool = False,
+              left_order: Sequence[str] = ()) -> DataFrame:
     """Left rows with every right column filled as-of backward. Order is not defined.
 
     The union of left and rights is hash-partitioned once on (key, block) for the
@@ -40,6 +41,11 @@ def asof_fill(left: DataFrame, rights: Sequence[Right], by: str | Sequence[str]
     aggregates of narrow projections (rows = keys × blocks), joined back without
     moving the filled rows again. ``keep_block`` returns the block as ``__blk`` so that callers
     can run further per-(key, block) work without another shuffle.
+
+    ``left_order`` names left columns to sort by right after the timestamp (ascending,
+    nulls first; they are null on right rows, so rights still precede lefts at equal
+    times and the fill is unchanged). A caller whose next window is partitioned by
+    (key, block, timestamp, ...) and ordered by those columns then needs no second sort.
     """
     by = [by] if isinstance(by, str) else list(by)
     side, blk = "__side", "__blk"
@@ -65,7 +71,8 @@ def asof_fill(left: DataFrame, rights: Sequence[Right], by: str | Sequence[str]
     union = union.withColumn(blk, block_of(ts, block_seconds)).repartition(*by, blk)
 
     # Per-column forward fill, last non-null up to and including the current row
-    order = [F.col(ts), F.col(side), F.col("__i"), *[F.col(n) for n in tie_names]]
+    order = [F.col(ts), *[F.col(c).asc_nulls_first() for c in left_order], F.col(side), F.col("__i"),
+             *[F.col(n) for n in tie_names]]
     w = Window.partitionBy(*by, blk).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = union.select(*by, ts, blk, side, *left_cols,
                           *[F.last(c, ignorenulls=True).over(w).alias(c) for c in value_cols])
@@ -76,7 +83,7 @@ def asof_fill(left: DataFrame, rights: Sequence[Right], by: str | Sequence[str]
     rights_u = parts[1]
     for p in parts[2:]:
         rights_u = rights_u.unionByName(p, allowMissingColumns=True)
-    rank = F.struct(*order)
+    rank = F.struct(F.col(ts), F.col(side), F.col("__i"), *[F.col(n) for n in tie_names])
     right_blocks = (rights_u.withColumn(blk, block_of(ts, block_seconds)).groupBy(*by, blk)
                     .agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(c) for c in value_cols])
                     .withColumn(side, F.lit(1)))

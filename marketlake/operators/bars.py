@@ -106,7 +106,8 @@ def dedup_bars(df: DataFrame, keys: Sequence[str] = SERIES_KEYS, source_priority
     """
     keys = list(keys)
     rest = list(order) if order is not None else [c for c in df.columns if c not in keys and c != "source"]
-    by_source = [source_rank(source_priority), F.col("source").asc_nulls_first()] if "source" in df.columns else []
+    by_source = ([source_rank(source_priority)] if source_priority else []) + [F.col("source").asc_nulls_first()] \
+        if "source" in df.columns else []
     w = Window.partitionBy(*keys).orderBy(*by_source, *[F.col(c).asc_nulls_first() for c in rest])
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
 

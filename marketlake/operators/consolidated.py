@@ -84,9 +84,11 @@ def consolidated(lake: DataFrame, volatility: DataFrame | None = None, fundament
                 "source"]
     rest = ["asset_class", "open", "high", "low", "close", "volume", "adj_close", "adj_factor"]
     if rights:
+        # the fill sorts each (symbol, block) by timestamp, then by W3's order, so the
+        # de-dup window (keys in the same order) reuses that sort instead of its own
         filled = asof_fill(bars, rights, by="symbol", ts="timestamp", block_seconds=block_seconds_for(timeframe),
-                           keep=bar_cols, keep_block=True)
-        filled = dedup_bars(filled, keys=["symbol", "__blk", "timeframe", "timestamp"], order=rest)
+                           keep=bar_cols, keep_block=True, left_order=["timeframe", "source", *rest])
+        filled = dedup_bars(filled, keys=["symbol", "__blk", "timestamp", "timeframe"], order=rest)
     else:
         filled = dedup_bars(bars, order=rest).withColumn("__blk", F.lit(None).cast("long"))
     filled = adjust(filled, adjusted)
