@@ -30,6 +30,17 @@ def null_scan(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequenc
     return df.groupBy(*keys).agg(*[_null_pct(c).alias(f"null_pct_{c}") for c in columns])
 
 
+def _is_gap() -> Column:
+    """W1's rule on a row with its predecessor's time in ``gap_start`` (false when there
+    is no predecessor or the timeframe has no rule)."""
+    secs = epoch_seconds("timestamp") - epoch_seconds("gap_start")
+    rule = (F.when(F.col("timeframe") == "D1", secs > D1_GAP_SECONDS)
+            .when(F.col("timeframe") == "1m",
+                  (secs > MINUTE_GAP_SECONDS) & (F.to_date("gap_start") == F.to_date("timestamp")))
+            .otherwise(F.lit(False)))
+    return F.col("gap_start").isNotNull() & rule
+
+
 def detect_gaps(bars: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """Gaps between consecutive bars of a series.
 
@@ -41,9 +52,7 @@ def detect_gaps(bars: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     d = bars.select(*keys, "timestamp").filter(F.col("timeframe").isin("D1", "1m"))
     d = previous_value(d, keys, "timestamp", "timestamp", "gap_start", block_seconds_column("timeframe"))
     secs = epoch_seconds("timestamp") - epoch_seconds("gap_start")
-    is_gap = (F.when(F.col("timeframe") == "D1", secs > D1_GAP_SECONDS)
-              .otherwise((secs > MINUTE_GAP_SECONDS) & (F.to_date("gap_start") == F.to_date("timestamp"))))
-    return (d.filter(F.col("gap_start").isNotNull() & is_gap)
+    return (d.filter(_is_gap())
             .select(*keys, "gap_start", F.col("timestamp").alias("gap_end"),
                     F.when(F.col("timeframe") == "D1", F.floor(secs / 86_400).cast("double"))
                     .otherwise(secs / 60.0).alias("gap_size"),
@@ -54,16 +63,23 @@ def quality_scores(bars: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """A5: 100 − min(50, 1.5 × mean OHLC null %) − min(50, 5 × gaps), floored at 0.
 
     A missing OHLC column counts as 100 % null. One row per series.
+    The null flags ride along the gap window's rows, so one aggregation per series gives
+    both parts (the input is read by the window and by its small block-tail table only).
     """
     keys = list(keys)
     present = [c for c in OHLC if c in bars.columns]
-    stats = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_count"),
-                                    *[_null_pct(c).alias(f"__n_{c}") for c in present])
+    tf = [] if "timeframe" in keys else ["timeframe"]
+    d = bars.select(*keys, *tf, "timestamp", *[F.col(c).isNull().alias(f"__null_{c}") for c in present])
+    d = previous_value(d, keys, "timestamp", "timestamp", "gap_start", block_seconds_column("timeframe"))
+    stats = d.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows_count"),
+        *[(F.lit(100.0) * F.sum(F.col(f"__null_{c}").cast("int")) / F.count(F.lit(1))).alias(f"__n_{c}")
+          for c in present],
+        F.sum(F.when(_is_gap(), 1).otherwise(0)).cast("long").alias("gaps"))
     parts = [F.col(f"__n_{c}") if c in present else F.lit(100.0) for c in OHLC]
     mean = ((parts[0] + parts[1]) + parts[2]) + parts[3]
-    stats = stats.withColumn("ohlc_null_pct", mean / 4.0).drop(*[f"__n_{c}" for c in present])
-    gaps = detect_gaps(bars, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("gaps"))
-    out = stats.join(gaps, on=keys, how="left").withColumn("gaps", F.coalesce(F.col("gaps"), F.lit(0)))
+    out = stats.withColumn("ohlc_null_pct", mean / 4.0).drop(*[f"__n_{c}" for c in present])
+    out = out.select(*keys, "rows_count", "ohlc_null_pct", "gaps")
     score = (F.lit(100.0) - F.least(F.lit(NULL_CAP), F.col("ohlc_null_pct") * NULL_WEIGHT)
              - F.least(F.lit(GAP_CAP), F.col("gaps") * GAP_WEIGHT))
     return out.withColumn("quality_score", F.greatest(F.lit(0.0), score))
