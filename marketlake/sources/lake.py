@@ -42,7 +42,8 @@ def register_views(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
 
 def _prepare(df: DataFrame) -> DataFrame:
     cols = [c for c in BAR_COLUMNS] + [c for c in df.columns if c not in BAR_COLUMNS]
-    d = df.select(*cols)
+    # symbols are stored upper-case, the form every read predicate uses (Q16)
+    d = df.select(*cols).withColumn("symbol", F.upper("symbol"))
     # one task (hence one file) per leaf folder; rows sorted by time inside it
     return d.repartition(*PARTITION_COLUMNS).sortWithinPartitions(*PARTITION_COLUMNS, "timestamp")
 

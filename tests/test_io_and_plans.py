@@ -147,3 +147,9 @@ def test_apply_updates_appends_inside_windows_and_logs(spark, tmpdir_path):
                                                                           ("BBB", "success", 2)}
     assert {(r.symbol, r.rows_count, r.end_date) for r in new_cat.collect()} == {("AAA", 4, "2024-01-04"),
                                                                                  ("BBB", 4, "2024-01-04")}
+
+
+def test_lower_case_symbols_are_stored_and_found_upper_case(spark, tmpdir_path):
+    lake.write_bars(_bars(spark, ("msft",)), tmpdir_path, mode="overwrite")
+    assert {r.symbol for r in lake.scan_bars(spark, tmpdir_path).select("symbol").distinct().collect()} == {"MSFT"}
+    assert bars.get_ohlcv(lake.scan_bars(spark, tmpdir_path), ["msft"], "D1").count() == 4
