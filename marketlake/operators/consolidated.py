@@ -133,3 +133,14 @@ def wide_prices(bars: DataFrame, value: str = "adj_close", symbols: Sequence[str
     g = bars.groupBy("timestamp")
     p = g.pivot("symbol", list(symbols)) if symbols is not None else g.pivot("symbol")
     return p.agg(F.max(value))
+
+
+def register_consolidated_view(lake: DataFrame, name: str = "ohlcv_consolidated", **kw) -> DataFrame:
+    """E5: the consolidated table of every symbol as a SQL view (with ``timestamp``,
+    ``timeframe`` and ``asset_class``, which the documented queries filter on).
+
+    ``kw`` are ``consolidated`` arguments (right tables, metadata, timeframe …).
+    """
+    view = consolidated(lake, keep_keys=True, **kw).drop("__blk")
+    view.createOrReplaceTempView(name)
+    return view

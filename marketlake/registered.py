@@ -956,3 +956,21 @@ def q_resample_stream_15m(spark, sf):
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.parquet(out).select(*RS.resample(minute, ["15m"]).columns)
+
+
+# ------------------------------------------------------------------ E5 view + SQL
+_E5_SQL = ("SELECT symbol, COUNT(*) AS bars, ROUND(AVG(pe_ratio), 6) AS avg_pe_ratio, MAX(realized_vol_30d) AS max_vol, "
+           "MIN(timestamp) AS first_bar, MAX(timestamp) AS last_bar FROM ohlcv_consolidated "
+           "WHERE asset_class = 'stocks' AND timeframe = 'D1' GROUP BY symbol")
+
+
+@register("consolidated_sql", duckdb_sql(
+    _E4_J + "select j.symbol, count(*) as bars, round(avg(pe_ratio), 6) as avg_pe_ratio, max(realized_vol_30d) as max_vol, "
+    "min(j.timestamp) as first_bar, max(j.timestamp) as last_bar from j group by j.symbol", *_E4_FX))
+def q_consolidated_sql(spark, sf):
+    """E5 + E2: SQL over the ``ohlcv_consolidated`` view of all symbols."""
+    CO.register_consolidated_view(
+        fixture(spark, sf, "fx_raw_bars"), volatility=fixture(spark, sf, "fx_vol"),
+        fundamentals=fixture(spark, sf, "fx_fund"), financials=fixture(spark, sf, "fx_fin"),
+        metadata=fixture(spark, sf, "fx_meta"), timeframe="D1", adjusted=True)
+    return QY.sql(spark, _E5_SQL)
