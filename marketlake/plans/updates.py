@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.catalog import CATALOG_KEY, active, missing_symbols, refresh_catalog, upsert_datasets
+from ..operators.catalog import CATALOG_KEY, active, filter_catalog, missing_symbols, refresh_catalog, upsert_datasets
 from ..session import ensure_checkpoint_dir
 from ..sources.lake import scan_bars, write_bars
 
@@ -124,7 +124,7 @@ def history_clamp(plan: DataFrame, vendor: str, now=None) -> DataFrame:
 
 
 def apply_updates(catalog: DataFrame, landed: DataFrame, lake_root: str, now=None,
-                  plan: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                  plan: DataFrame | None = None, symbols=None, asset_classes=None) -> tuple[DataFrame, DataFrame]:
     """One incremental update of the lake from landed vendor bars.
 
     The plan (P1 + P2) gives each catalogued series its fetch window; landed rows inside
@@ -137,8 +137,11 @@ def apply_updates(catalog: DataFrame, landed: DataFrame, lake_root: str, now=Non
     output in the canonical schema. The window table (one row per series) is written to
     the shared checkpoint folder before the append, so neither the rows selected nor
     the run log depends on reading the catalog again after the lake has changed.
+    ``symbols`` / ``asset_classes`` restrict the run to those catalog series (F9).
     """
-    plan = plan if plan is not None else plan_updates(catalog, now)
+    if plan is None:
+        scope = catalog if symbols is None and asset_classes is None else filter_catalog(catalog, symbols, asset_classes)
+        plan = plan_updates(scope, now)
     ensure_checkpoint_dir(landed.sparkSession)
     windows = (plan.filter(F.col("status") == "update")
                .select(*CATALOG_KEY, F.col("start").cast("timestamp_ntz").alias("__lo"),

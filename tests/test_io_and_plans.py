@@ -153,3 +153,18 @@ def test_lower_case_symbols_are_stored_and_found_upper_case(spark, tmpdir_path):
     lake.write_bars(_bars(spark, ("msft",)), tmpdir_path, mode="overwrite")
     assert {r.symbol for r in lake.scan_bars(spark, tmpdir_path).select("symbol").distinct().collect()} == {"MSFT"}
     assert bars.get_ohlcv(lake.scan_bars(spark, tmpdir_path), ["msft"], "D1").count() == 4
+
+
+def test_apply_updates_scoped_to_symbols(spark, tmpdir_path):
+    from marketlake.operators import catalog as CT
+    from marketlake.plans import updates
+    now = dt.datetime(2024, 6, 1)
+    old = _bars(spark, ("AAA", "BBB")).filter(F.col("timestamp") < F.lit("2024-01-02").cast("timestamp_ntz"))
+    lake.write_bars(old, tmpdir_path, mode="overwrite")
+    cat_path = os.path.join(tmpdir_path, "_catalog")
+    lake.write_table(CT.refresh_catalog(lake.scan_bars(spark, tmpdir_path), now=now), cat_path)
+    catalog = spark.read.parquet(cat_path)
+    _, log = updates.apply_updates(catalog, _bars(spark, ("AAA", "BBB")), tmpdir_path, now=now, symbols=["aaa"])
+    assert {(r.symbol, r.status) for r in log.collect()} == {("AAA", "success")}
+    counts = {r.symbol: r["count"] for r in lake.scan_bars(spark, tmpdir_path).groupBy("symbol").count().collect()}
+    assert counts == {"AAA": 4, "BBB": 2}
