@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import chart_time
-from .blocked import block_seconds_column, block_seconds_for, lag_n  # noqa: F401  (lag_n re-exported)
+from .blocked import block_of, block_seconds_column, block_seconds_for, lag_n  # noqa: F401  (lag_n re-exported)
 
 SERIES_KEYS = ["symbol", "timeframe", "timestamp"]
 STANDARD = ["timestamp", "symbol", "asset_class", "timeframe", "open", "high", "low", "close",
@@ -134,13 +134,22 @@ def adjust(df: DataFrame, adjusted=True) -> DataFrame:
 
 
 def get_ohlcv(lake: DataFrame, symbols=None, timeframe: str | None = "D1", start=None, end=None,
-              adjusted=True, source_priority: Sequence[str] | None = None) -> DataFrame:
+              adjusted=True, source_priority: Sequence[str] | None = None, keep_block: bool = False) -> DataFrame:
     """Bars of some (or all) symbols, de-duplicated and (un)adjusted. Unordered.
 
     Call ``.orderBy("symbol", "timestamp")`` at the edge if order matters (L1).
+    ``keep_block`` partitions the de-dup on (symbol, time block) and returns the block as
+    ``__blk``: per-series sequential work after it (returns, momentum) then reuses that
+    exchange and that sort. (The timeframe is left out of the hash: it is often a
+    constant, which Catalyst folds into the exchange but not into the window keys.)
     """
     bars = standard_projection(filter_bars(lake, symbols, timeframe, start, end))
-    bars = dedup_bars(bars, source_priority=source_priority)
+    if keep_block:
+        bars = (bars.withColumn("__blk", block_of("timestamp", block_seconds_column("timeframe")))
+                .repartition("symbol", "__blk"))
+        bars = dedup_bars(bars, keys=["symbol", "timeframe", "__blk", "timestamp"], source_priority=source_priority)
+    else:
+        bars = dedup_bars(bars, source_priority=source_priority)
     return adjust(bars, adjusted)
 
 
@@ -167,7 +176,9 @@ def with_returns(bars: DataFrame, n: int = 1, price: str = "close", out: str | N
     out = out or ("return_1" if n == 1 else f"return_{n}")
     bs = block_seconds or (block_seconds_column("timeframe") if "timeframe" in bars.columns
                            else block_seconds_for(None))
-    d = lag_n(bars, list(keys), "timestamp", price, n, "__prev", bs)
+    # bars from get_ohlcv(keep_block=True) are already partitioned by (series, block)
+    blk = "__blk" if "__blk" in bars.columns and block_seconds is None else None
+    d = lag_n(bars, list(keys), "timestamp", price, n, "__prev", bs, block_col=blk)
     return d.withColumn(out, (F.col(price) - F.col("__prev")) / F.col("__prev")).drop("__prev")
 
 

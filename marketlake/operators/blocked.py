@@ -58,11 +58,14 @@ def _materialize(d: DataFrame) -> DataFrame:
 
 
 def _join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``cols`` with null-safe equality.
-
-    A plain equality makes Catalyst infer ``isnotnull`` filters and push them into one
-    branch of the large side, which then no longer matches the other branch, and its
-    exchange is recomputed instead of reused. Null-safe keys infer nothing.
+    """Inner / small-side equi-join on ``cols`` with null-safe equality.
+
+    A plain inner equality makes Catalyst infer ``isnotnull`` filters and push them into
+    the branch of the large side that feeds the small tables, which then no longer
+    matches the main branch, and its exchange is recomputed instead of reused.
+    Null-safe keys infer nothing. (The final stitch onto the large side is a plain left
+    join: nothing is inferred on a preserved side, and plain keys keep its partitioning
+    usable.)
     """
     ren = {c: f"__j_{c}" for c in cols}
     r = right.select(*[F.col(c).alias(ren[c]) for c in cols], *[c for c in right.columns if c not in ren])
@@ -99,7 +102,9 @@ def previous_value(df: DataFrame, keys: Sequence[str], ts: str, value: str, out:
     tails = d.groupBy(*keys, blk).agg(F.max_by(F.col(value), F.struct(*order)).alias("__tail"))
     wb = Window.partitionBy(*keys).orderBy(blk)
     carry = tails.withColumn("__carry", F.lag("__tail", 1).over(wb)).drop("__tail")
-    d = _join(d, carry, [*keys, blk], "left")
+    # left join on plain keys: nothing is inferred on the preserved big side, and its
+    # (keys, block) partitioning satisfies the join, so it is not shuffled again
+    d = d.join(carry, on=[*keys, blk], how="left")
     d = d.withColumn(out, F.when(F.col("__rn") == 1, F.col("__carry")).otherwise(F.col("__lag")))
     return d.drop("__lag", "__rn", "__carry", *([] if blk == block_col else [blk]))
 
@@ -134,6 +139,6 @@ def lag_n(df: DataFrame, keys: Sequence[str], ts: str, value: str, n: int, out:
     found = _join(head, tail, [*keys, "__g"], "left")
     per_block = (found.groupBy(*keys, blk)
                  .agg(F.map_from_entries(F.collect_list(F.struct("__r", "__prev"))).alias("__heads")))
-    d = _join(d, per_block, [*keys, blk], "left")
+    d = d.join(per_block, on=[*keys, blk], how="left")            # as in previous_value
     d = d.withColumn(out, F.when(F.col("__r") < n, F.col("__heads")[F.col("__r")]).otherwise(F.col("__lagin")))
     return d.drop("__r", "__cnt", "__lagin", "__heads", *([] if blk == block_col else [blk]))

@@ -352,7 +352,7 @@ def q_momentum_20d(spark, sf):
     "(close - lag(close) over (partition by symbol, timeframe order by timestamp)) / lag(close) over "
     "(partition by symbol, timeframe order by timestamp) as return_1 from e1", "fx_raw_bars"))
 def q_returns(spark, sf):
-    bars = B.get_ohlcv(fixture(spark, sf, "fx_raw_bars"), None, "D1", adjusted=True)
+    bars = B.get_ohlcv(fixture(spark, sf, "fx_raw_bars"), None, "D1", adjusted=True, keep_block=True)
     return B.with_returns(bars, 1).select("symbol", "timeframe", "timestamp", "close", "return_1")
 
 
