@@ -67,7 +67,6 @@ def main() -> None:
     reps = int(os.environ.get("BENCH_REPS", "3"))
     spark = build_session()
     times: dict[str, float] = {}
-    rows: dict[str, int] = {}
     for name in HEADLINE:
         fn = QUERIES[name]
         fn(spark, sf_dir).write.format("noop").mode("overwrite").save()      # warm-up
@@ -84,7 +83,6 @@ def main() -> None:
                       "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf_dir,
                       "reps": reps, "cpus": int(os.environ.get("BENCH_CPUS", "8")),
                       "single_symbol_point_read_ms": point_ms}))
-    del rows
     spark.stop()
 
 
