@@ -76,7 +76,9 @@ def read_platform_export(spark: SparkSession, path: str, asset_class: str = "for
     A file whose first line holds ``<DATE>`` or ``<OPEN>`` has a header (its names, with
     brackets stripped, apply to the whole file); header-less files get positional names
     (combined date-time first, or date then time), cut to the column count. The
-    delimiter is the most frequent of ``, \\t ;`` (tab by default). TICKVOL is the
+    delimiter is the most frequent of ``, \\t ;`` in the file's first line (tab by
+    default). The first line of every file comes from one group-by over all lines (the
+    smallest split start and row id), so no file is read whole by one task. TICKVOL is the
     volume, VOL only when there is no TICKVOL (else it is kept as ``volume_real``).
     Symbol and timeframe come from the file name (``name_column`` overrides it, e.g. a
     partition column of a landed layout).
@@ -84,18 +86,24 @@ def read_platform_export(spark: SparkSession, path: str, asset_class: str = "for
     lines = spark.read.text(path)
     name = F.col(name_column) if name_column else F.col("_metadata.file_name")
     lines = lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
-                         name.alias("fname")).filter(F.trim("line") != "")
-    is_header = F.upper("line").contains("<DATE>") | F.upper("line").contains("<OPEN>")
-    headers = (lines.filter(is_header)
-               .select("file", detect_delimiter(F.col("line")).alias("hdelim"), "line")
-               .select("file", "hdelim",
-                       F.transform(_split(F.col("line"), F.col("hdelim")),
-                                   lambda x: F.trim(F.regexp_replace(F.upper(x), "[<>]", ""))).alias("hnames"))
-               .groupBy("file").agg(F.first("hdelim").alias("hdelim"), F.first("hnames").alias("hnames")))
-    data = lines.filter(~is_header)
+                         name.alias("fname"), F.col("_metadata.file_block_start").alias("__split"),
+                         F.monotonically_increasing_id().alias("__row")).filter(F.trim("line") != "")
+
+    def is_header(c: Column) -> Column:
+        return F.upper(c).contains("<DATE>") | F.upper(c).contains("<OPEN>")
+
+    # one row per file: its first non-blank line, the file's delimiter and header names
+    first = lines.groupBy("file").agg(F.min_by("line", F.struct("__split", "__row")).alias("__first"))
+    fdelim = detect_delimiter(F.col("__first"))
+    dialect = first.select(
+        "file", fdelim.alias("fdelim"),
+        F.when(is_header(F.col("__first")),
+               F.transform(_split(F.col("__first"), fdelim),
+                           lambda x: F.trim(F.regexp_replace(F.upper(x), "[<>]", "")))).alias("hnames"))
+    data = lines.filter(~is_header(F.col("line"))).drop("__split", "__row")
     from ..operators.joins import dimension_join
-    data = dimension_join(data, headers, on="file", how="left")
-    delim = F.coalesce(F.col("hdelim"), detect_delimiter(F.col("line")))
+    data = dimension_join(data, dialect, on="file", how="left")
+    delim = F.col("fdelim")
     d = data.withColumn("parts", _split(F.col("line"), delim))
     first = F.col("parts")[0]
     combined = (first.contains(" ") | (first.contains("/") & first.contains(":"))

@@ -168,3 +168,12 @@ def test_apply_updates_scoped_to_symbols(spark, tmpdir_path):
     assert {(r.symbol, r.status) for r in log.collect()} == {("AAA", "success")}
     counts = {r.symbol: r["count"] for r in lake.scan_bars(spark, tmpdir_path).groupBy("symbol").count().collect()}
     assert counts == {"AAA": 4, "BBB": 2}
+
+
+def test_platform_export_delimiter_comes_from_the_first_line(spark, tmpdir_path):
+    with open(os.path.join(tmpdir_path, "USDJPY_H1.csv"), "w") as f:
+        f.write("2024.01.02 10:00:00;1.3;1.4;1.2;1.35;50\n")
+        f.write("2024.01.02 11:00:00;1,3;1,4;1,2;1,35;5,0\n")   # as many commas as semicolons
+    rows = csv_sources.read_platform_export(spark, tmpdir_path, source_tz="UTC").orderBy("timestamp").collect()
+    assert [r.timestamp for r in rows] == [dt.datetime(2024, 1, 2, 10), dt.datetime(2024, 1, 2, 11)]
+    assert rows[0].close == 1.35 and rows[1].close is None     # split on ';', decimal comma is not a number
