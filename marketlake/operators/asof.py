@@ -6,8 +6,9 @@ no tolerance). That equals "forward-fill each right column, then backward as-of
 
 Plan: left and all rights are unioned (tagged by side) and one window runs over
 ``(by, time block)``; values that cross a block boundary come from a small per-block
-carry table. So there is one large exchange for any number of right tables, no join
-on the large side, and no task ever holds a whole series.
+carry table whose rows join the union as synthetic right rows at each block's start.
+So there is one large exchange for any number of right tables, no join on the large
+side, and no task ever holds a whole series.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .blocked import block_of
 
+_EPOCH = "1970-01-01 00:00:00"
+
 
 @dataclass
 class Right:
@@ -38,9 +41,10 @@ def asof_fill(left: DataFrame, rights: Sequence[Right], by: str | Sequence[str]
 
     The union of left and rights is hash-partitioned once on (key, block) for the
     window; the per-block right summaries and the set of left blocks are partial
-    aggregates of narrow projections (rows = keys × blocks), joined back without
-    moving the filled rows again. ``keep_block`` returns the block as ``__blk`` so that callers
-    can run further per-(key, block) work without another shuffle.
+    aggregates of narrow projections (rows = keys × blocks), whose carry values ride in
+    the same exchange as synthetic rows, so the filled rows are never joined or moved
+    again. ``keep_block`` returns the block as ``__blk`` so that callers can run further
+    per-(key, block) work without another shuffle.
 
     ``left_order`` names left columns to sort by right after the timestamp (ascending,
     nulls first; they are null on right rows, so rights still precede lefts at equal
@@ -65,21 +69,9 @@ def asof_fill(left: DataFrame, rights: Sequence[Right], by: str | Sequence[str]
         tie_names += names
         parts.append(r.df.select(*by, F.col(r.ts).alias(ts), *r.columns, F.lit(0).alias(side),
                                  F.lit(i).alias("__i"), *[F.col(c).alias(n) for c, n in zip(tie_cols, names)]))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p, allowMissingColumns=True)
-    union = union.withColumn(blk, block_of(ts, block_seconds)).repartition(*by, blk)
-
-    # Per-column forward fill, last non-null up to and including the current row
-    order = [F.col(ts), *[F.col(c).asc_nulls_first() for c in left_order], F.col(side), F.col("__i"),
-             *[F.col(n) for n in tie_names]]
-    w = Window.partitionBy(*by, blk).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = union.select(*by, ts, blk, side, *left_cols,
-                          *[F.last(c, ignorenulls=True).over(w).alias(c) for c in value_cols])
-    filled = filled.filter(F.col(side) == 1).drop(side)
-
-    # small side tables, each a map-side-combined aggregate of a narrow projection:
-    # the block's last non-null right values, and the set of left blocks
+    # carry-in per left block: the last non-null right values from strictly earlier
+    # blocks, from map-side-combined aggregates of narrow projections (one row per key
+    # and block: the block's last right values, and the set of left blocks)
     rights_u = parts[1]
     for p in parts[2:]:
         rights_u = rights_u.unionByName(p, allowMissingColumns=True)
@@ -88,13 +80,28 @@ def asof_fill(left: DataFrame, rights: Sequence[Right], by: str | Sequence[str]
                     .agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(c) for c in value_cols])
                     .withColumn(side, F.lit(1)))
     keys = (left.select(*by, block_of(ts, block_seconds).alias(blk)).distinct().withColumn(side, F.lit(0)))
-    # carry-in per left block: last non-null from strictly earlier blocks (small table)
     wc = (Window.partitionBy(*by).orderBy(F.col(blk), F.col(side))
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     carry = (keys.unionByName(right_blocks, allowMissingColumns=True)
-             .select(*by, blk, side, *[F.last(c, ignorenulls=True).over(wc).alias("__c_" + c) for c in value_cols])
-             .filter(F.col(side) == 0).drop(side))
+             .select(*by, blk, side, *[F.last(c, ignorenulls=True).over(wc).alias(c) for c in value_cols])
+             .filter(F.col(side) == 0))
+    # ... which enter the fill as one synthetic right row at the start of each block,
+    # ranked before every real row there: the fill window picks them up, so the large
+    # side is never joined (its (key, block) partitioning and sort stay intact)
+    start = F.timestamp_add("SECOND", F.col(blk) * F.lit(block_seconds), F.lit(_EPOCH).cast("timestamp_ntz"))
+    parts.append(carry.select(*by, start.alias(ts), *value_cols, F.lit(0).alias(side),
+                              F.lit(-1).alias("__i")))
+
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p, allowMissingColumns=True)
+    union = union.withColumn(blk, block_of(ts, block_seconds)).repartition(*by, blk)
 
-    out = filled.join(carry, on=[*by, blk], how="left")
-    return out.select(*by, ts, *left_cols, *[F.coalesce(F.col(c), F.col("__c_" + c)).alias(c) for c in value_cols],
-                      *([blk] if keep_block else []))
+    # Per-column forward fill, last non-null up to and including the current row
+    order = [F.col(ts), *[F.col(c).asc_nulls_first() for c in left_order], F.col(side), F.col("__i"),
+             *[F.col(n) for n in tie_names]]
+    w = Window.partitionBy(*by, blk).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = union.select(*by, ts, blk, side, *left_cols,
+                          *[F.last(c, ignorenulls=True).over(w).alias(c) for c in value_cols])
+    filled = filled.filter(F.col(side) == 1)
+    return filled.select(*by, ts, *left_cols, *value_cols, *([blk] if keep_block else []))

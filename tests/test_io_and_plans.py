@@ -177,3 +177,38 @@ def test_platform_export_delimiter_comes_from_the_first_line(spark, tmpdir_path)
     rows = csv_sources.read_platform_export(spark, tmpdir_path, source_tz="UTC").orderBy("timestamp").collect()
     assert [r.timestamp for r in rows] == [dt.datetime(2024, 1, 2, 10), dt.datetime(2024, 1, 2, 11)]
     assert rows[0].close == 1.35 and rows[1].close is None     # split on ';', decimal comma is not a number
+
+
+def _sorts_down_to_exchange(plan: str, marker: str) -> int:
+    """Sorts on the single-child path below the first line holding ``marker``, up to
+    the first exchange (pre-order text: the first child path comes right after)."""
+    lines = plan.split("\n")
+    start = next(i for i, line in enumerate(lines) if marker in line)
+    n = 0
+    for line in lines[start + 1:]:
+        if "Exchange" in line:
+            break
+        n += "Sort [" in line
+    return n
+
+
+def test_consolidated_dedup_reuses_the_fill_sort(spark):
+    b = _bars(spark, ("A", "B"))
+    vol = spark.createDataFrame([("A", dt.datetime(2023, 1, 1), 0.2)], "symbol string, timestamp timestamp_ntz, "
+                                                                         "realized_vol_30d double")
+    plan = explain(consolidated.consolidated(b, volatility=vol), "simple")
+    assert _sorts_down_to_exchange(plan, "Window [row_number()") == 1      # the fill's sort only
+
+
+def test_returns_share_the_dedup_exchange_and_sort(spark):
+    d = bars.with_returns(bars.get_ohlcv(_bars(spark, ("A", "B")), None, "D1", keep_block=True), 1)
+    plan = explain(d, "simple")
+    assert _sorts_down_to_exchange(plan, "Window [count(1)") == 1          # de-dup, lag: one sort
+    assert plan.count("REPARTITION_BY_COL") >= 1
+
+
+def test_cross_validation_is_aggregates_only(spark):
+    from marketlake.operators import crossval
+    b = _bars(spark, ("A",)).unionByName(_bars(spark, ("A",)).withColumn("source", F.lit("w")))
+    plan = explain(crossval.cross_validate(b, "v", "w"), "simple")
+    assert "Join" not in plan and "Window" not in plan
