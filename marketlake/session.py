@@ -8,7 +8,6 @@ for tests, the bench and scripts, ``ensure_defaults`` pins what correctness need
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -48,35 +47,25 @@ def ensure_defaults(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A folder for intermediate tables under the cluster's shared checkpoint dir.
-
-    The cluster names its shared folder in ``spark.checkpoint.dir``; it is only
-    set here when unset (local tests), never overridden.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+def _shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, the folder that all machines share. Where a session names none
+    (tests), a folder in its warehouse, which driver and executors share as well; never a
+    machine-local temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="marketlake-ckpt-")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
-    else:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(root)
-    root = root.rstrip("/")
-    return f"{root}/{name}"
+    return root.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A folder for intermediate tables under the cluster's shared checkpoint folder."""
+    return f"{_shared_root(spark)}/{name}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Point ``checkpoint()`` at the cluster's shared folder (``spark.checkpoint.dir``);
-    a fresh local folder is used only when the session names none (tests)."""
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="marketlake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
+    """Point ``checkpoint()`` at the shared folder."""
+    _shared_root(spark)
     return spark.sparkContext.getCheckpointDir()
