@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketlake.llm import packing, simhash
+from marketlake.llm import packing, simhash, substrings
 from marketlake.llm.storage import ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,12 @@ def query(name: str):
     return add
 
 
+@query("op4_substrings")
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op5_simhash")
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -32,3 +39,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_substrings"] = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id,
+                  coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+win AS (SELECT r, i, array_to_string(list_slice(ws, i, i + 34), ' ') AS t
+        FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+twice AS (SELECT t FROM win GROUP BY t HAVING count(*) > 1),
+gone AS (SELECT r, list(DISTINCT i + j) AS g FROM win JOIN twice USING (t), range(35) AS k(j) GROUP BY r)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string([x FOR x, i IN ws IF NOT list_contains(coalesce(g, []), i)], ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (r)
+"""
