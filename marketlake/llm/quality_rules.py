@@ -75,9 +75,9 @@ def model(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, prior:
     sample = F.broadcast(trusted_sample(labels, max_labels))  # bounded by max_labels
     grams = docs.join(sample, docs["doc_id"] == sample["trusted_id"], "left").select(
         F.col("trusted_id").isNotNull().cast("long").alias("trusted"),
-        ngram_buckets(F.col("text"), buckets).alias("grams")).select("trusted", F.explode("grams").alias("bucket"))
+        ngram_buckets(F.col("text"), buckets).alias("grams")).select("trusted", F.explode_outer("grams").alias("bucket"))  # outer: no filter on the array is inferred, so it is computed once
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target"))
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
+    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")  # no row has the null of a text without n-grams
     whole = every.agg(
         F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("raw", F.lit(0)).alias("raw"),
                                              F.coalesce("target", F.lit(0)).alias("target")))).alias("c"),
