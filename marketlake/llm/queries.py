@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import decontamination, importance, packing, quality_rules, simhash, substrings, url_rules
+from marketlake.llm import decontamination, importance, packing, quality_rules, secrets, simhash, substrings, url_rules
 from marketlake.llm.storage import ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op6_secrets")
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = lambda k: F.size(F.filter("base", lambda s: F.startswith(s, F.lit(k + ":")))).cast("long").alias(f"n_{k}")
+    return secrets.report(table(spark, sf_dir, "documents")).select(
+        "doc_id", *map(count, secrets.KINDS[:3]), F.sha2(F.array_join("base", ","), 256).alias("base_sha256"),
+        F.array_join("spans", ",").alias("spans"))
+
+
 @query("op7_quality_rules")
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
