@@ -31,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from marketlake.llm.storage import materialise
+from marketlake.llm.storage import free_names, materialise
 from marketlake.llm.text_arrays import SPACE, mix, runs, slices, span_hashes, utf8_buffer
 
 BUCKETS = 1 << 20
@@ -116,11 +116,12 @@ def models(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) ->
 
 
 def scored(docs: DataFrame, ratios: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``docs`` with ``__n_tokens, __quality, __safety``: the number of tokens and both sums."""
+    """``docs`` with three columns more: the number of tokens and both sums."""
     at = docs.columns.index("text")
+    names = [*docs.columns, *_added(docs)[:3]]
     shared = docs.sparkSession.sparkContext.broadcast(tuple(r.astype(np.float32) for r in ratios))
-    schema = StructType([*docs.schema.fields, StructField("__n_tokens", LongType()),
-                         StructField("__quality", DoubleType()), StructField("__safety", DoubleType())])
+    schema = StructType([*docs.schema.fields, *(StructField(name, kind) for name, kind in zip(
+        names[-3:], (LongType(), DoubleType(), DoubleType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,22 +129,26 @@ def scored(docs: DataFrame, ratios: tuple[np.ndarray, np.ndarray]) -> DataFrame:
             for a, b in slices(bounds):
                 bucket, doc = _tokens(data[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a])
                 n = np.bincount(doc[bucket < BUCKETS], minlength=b - a)
-                sums = [np.bincount(doc, weights=r[bucket], minlength=b - a) for r in shared.value]
+                sums = [np.bincount(doc, weights=r[bucket], minlength=b - a).astype(np.float64) for r in shared.value]
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n), *map(pa.array, sums)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n), *map(pa.array, sums)], names=names)
 
     return docs.mapInArrow(run, schema)
 
 
-def log_weight() -> Column:
-    return F.least(F.col("__quality") + QUALITY_MARGIN, F.col("__safety") + TOXIC_MARGIN)
+def _added(docs: DataFrame) -> list[str]:
+    return free_names(docs, "n_tokens", "quality", "safety", "log_weight", "gumbel_key")
 
 
-def gumbel_key(seed: int = 0) -> Column:
-    """Weight plus Gumbel noise from a hash of id and text: the same in every run."""
+def _keyed(docs: DataFrame, ratios: tuple[np.ndarray, np.ndarray], seed: int) -> DataFrame:
+    """``docs`` with the columns of ``_added``. The key is the weight plus Gumbel noise from a hash of id and
+    text: the same in every run."""
+    _, quality, safety, weight, key = _added(docs)
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 12)
     uniform = (bits + F.lit(0.5)) / F.lit(float(1 << 52))
-    return F.col("__weight") - F.lit(TEMPERATURE) * F.log(-F.log(uniform))
+    return scored(docs, ratios).withColumn(weight, F.least(
+        F.col(quality) + QUALITY_MARGIN, F.col(safety) + TOXIC_MARGIN)).withColumn(
+            key, F.col(weight) - F.lit(TEMPERATURE) * F.log(-F.log(uniform)))
 
 
 def kth_largest(keys: DataFrame, column: str, k: int) -> float:
@@ -170,27 +175,22 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float:
     return lo
 
 
-def _keyed(docs: DataFrame, ratios: tuple[np.ndarray, np.ndarray], seed: int) -> DataFrame:
-    return scored(docs, ratios).withColumn("__weight", log_weight()).withColumn("__key", gumbel_key(seed))
-
-
 def _last_key(keys: DataFrame) -> float:
     """The smallest key kept; above all where none is."""
-    k = keys.where("__weight > 0").count()
-    return kth_largest(keys, "__key", k) if k else float("inf")
+    k = keys.where("log_weight > 0").count()
+    return kth_largest(keys, "gumbel_key", k) if k else float("inf")
 
 
 def resample(docs: DataFrame, labels: DataFrame, *, seed: int = 0, max_labels: int = MAX_LABELS) -> DataFrame:
     """One row per document: ``doc_id, n_tokens, log_weight, gumbel_key, kept``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keys = materialise(_keyed(docs, models(docs, labels, max_labels), seed)
-                       .select("doc_id", "__n_tokens", "__weight", "__key"), "importance")
-    return keys.select("doc_id", F.col("__n_tokens").alias("n_tokens"), F.col("__weight").alias("log_weight"),
-                       F.col("__key").alias("gumbel_key"), (F.col("__key") >= _last_key(keys)).alias("kept"))
+                       .select("doc_id", "n_tokens", "log_weight", "gumbel_key"), "importance")
+    return keys.withColumn("kept", F.col("gumbel_key") >= _last_key(keys))
 
 
 def select_documents(docs: DataFrame, labels: DataFrame, *, seed: int = 0, max_labels: int = MAX_LABELS) -> DataFrame:
     """The documents that ``resample`` keeps, with all their columns."""
     ratios = models(docs, labels, max_labels)
-    keys = materialise(_keyed(docs.select("doc_id", "text"), ratios, seed).select("__weight", "__key"), "importance")
-    return _keyed(docs, ratios, seed).where(F.col("__key") >= _last_key(keys)).select(*docs.columns)
+    keys = materialise(_keyed(docs.select("doc_id", "text"), ratios, seed).select("log_weight", "gumbel_key"), "importance")
+    return _keyed(docs, ratios, seed).where(F.col(_added(docs)[-1]) >= _last_key(keys)).select(*docs.columns)

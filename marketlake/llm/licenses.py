@@ -1,11 +1,12 @@
 """Operator 8, license scans by conditional compression.
 
-Candidate blocks are the lines with a license word, joined with such lines at most ``NEAR_LINES`` further on. Each
+Candidates are the lines with a license word, joined with such lines at most ``NEAR_LINES`` further on; in them the words
+around each license word are a block, in the three sizes of ``REACHES``, widest first. A
 block is compressed alone and with each template as a raw zstandard dictionary; templates are ranked by the share
 of the block's size that this saves, and those that save ``MIN_SAVING`` or more are confirmed, best first, by their
 exact wording: the template's words are aligned with the block's, and the words that one side has and the other
-has not are counted and reported. A template is found if they are at most ``MAX_DIFFERENCE`` of its words. What was found is
-taken out of the block and the rest is judged again, so a block may hold several licenses.
+has not are counted and reported. A template is found if they are at most ``MAX_DIFFERENCE`` of its words. Words
+found belong to one license; the license words left over are judged on.
 
 Whole texts are read and each document is on its own: one pass, no shuffle. Null and empty texts have no blocks;
 repeated rows and null ids stay; other columns are dropped; an empty table gives no rows; of equal savings the
@@ -15,6 +16,7 @@ template listed first wins.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 NEAR_LINES = 2
 MIN_SAVING = 0.15
 MAX_DIFFERENCE = 0.2
-#: Words of a block that are aligned at once; longer blocks are read in overlapping stretches.
-STRETCH = 600
+#: Words on either side of a license word that are compressed at once: first enough for the longest template,
+#: then few enough for a short one to show among other words.
+REACHES = (160, 48, 10)
 LEVEL = 3
 
 TRIGGERS = ("licen", "copyright", "rights reserved", "warrant", "permission is", "redistribut", "public domain")
@@ -117,12 +120,9 @@ class Scanner:
                 added += words[first + c:first + d]
         return first, last, missing, added
 
-    def _stretch(self, text: str, spans: list[tuple[int, int]]) -> list[dict]:
-        """Findings among the words ``spans`` (places in ``text``)."""
-        if not spans:
-            return []
-        a, b = spans[0][0], spans[-1][1]
-        block = text[a:b].encode()
+    def _nearest(self, text: str, spans: list[tuple[int, int]]) -> tuple[int, int, dict] | None:
+        """The best confirmed template among the words ``spans`` (places in ``text``)."""
+        block = text[spans[0][0]:spans[-1][1]].encode()
         alone = len(self.alone.compress(block))
         ranked = sorted(((1 - len(p.compress(block)) / alone, -i) for i, (_, p, _) in enumerate(self.templates)), reverse=True)
         words = [text[x:y].lower() for x, y in spans]
@@ -133,29 +133,32 @@ class Scanner:
             found = self._align(template, words)
             if found and len(found[2]) + len(found[3]) <= MAX_DIFFERENCE * len(template):
                 first, last, missing, added = found
-                one = {"license": name, "start": spans[first][0], "end": spans[last - 1][1], "saving": round(saving, 6),
-                       "missing": missing, "added": added}
-                return self._rest(text, spans[:first]) + [one] + self._rest(text, spans[last:])
-        return []
-
-    def _rest(self, text: str, spans: list[tuple[int, int]]) -> list[dict]:
-        """The same for what stands beside a finding, where it still has a license word."""
-        if not spans or not _TRIGGER.search(text, spans[0][0], spans[-1][1]):
-            return []
-        return self._stretch(text, spans)
+                return first, last, {"license": name, "start": spans[first][0], "end": spans[last - 1][1],
+                                     "saving": round(saving, 6), "missing": missing, "added": added}
+        return None
 
     def __call__(self, text: str | None) -> list[dict]:
-        if not text:
-            return []
-        out: dict[tuple, dict] = {}
-        for a, b in self.blocks(text):
+        out = []
+        for a, b in self.blocks(text) if text else ():
             spans = [m.span() for m in _WORD.finditer(text, a, b)]
-            for i in range(0, max(len(spans) - STRETCH // 2, 1), STRETCH // 2):
-                part = spans[i:i + STRETCH]
-                if _TRIGGER.search(text, part[0][0], part[-1][1]) if part else False:
-                    for one in self._stretch(text, part):
-                        out[(one["start"], one["end"], one["license"])] = one
-        return [out[k] for k in sorted(out)]
+            starts = [x for x, _ in spans]
+            marks = sorted({bisect_right(starts, m.start()) - 1 for m in _TRIGGER.finditer(text, a, b)} - {-1})
+            free = [True] * len(spans)
+            for reach in REACHES:
+                for i in marks:
+                    if not free[i]:
+                        continue
+                    lo, hi = i, i + 1
+                    while lo > 0 and i - lo < reach and free[lo - 1]:
+                        lo -= 1
+                    while hi < len(spans) and hi - i <= reach and free[hi]:
+                        hi += 1
+                    found = self._nearest(text, spans[lo:hi])
+                    if found:
+                        first, last, one = found
+                        free[lo + first:lo + last] = [False] * (last - first)
+                        out.append(one)
+        return sorted(out, key=lambda f: f["start"])
 
 
 _scanners: list[Scanner] = []

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.llm.native_text import let
+from marketlake.llm.storage import free_names
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -170,15 +171,20 @@ def thresholds(found: DataFrame, fdr: float = FDR) -> list[float]:
 
 
 def scan(docs: DataFrame, *, text_col: str = "text", fdr: float = FDR) -> DataFrame:
-    """``docs`` with ``__base`` and ``__spans``: arrays of ``(start, rank, end)``, rank into ``KINDS``."""
+    """``docs`` with two columns more (names as in ``_added``): the patterns' spans and all spans, arrays of
+    ``(start, rank, end)``, rank into ``KINDS``."""
+    base, spans, cands = _added(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.withColumn("__base", _spans(text))
-    cands = base.withColumn("cands", _candidates(text, F.col("__base")))
-    limits = F.array(*(F.lit(x) for x in thresholds(cands.select("cands"), fdr)))
-    random = F.filter("cands", lambda m: let(battery(m["token"]), lambda b: (b["p"] >= RANDOM_P) & (
+    found = docs.withColumn(base, _spans(text)).withColumn(cands, _candidates(text, F.col(base)))
+    limits = F.array(*(F.lit(x) for x in thresholds(found.select(F.col(cands).alias("cands")), fdr)))
+    random = F.filter(cands, lambda m: let(battery(m["token"]), lambda b: (b["p"] >= RANDOM_P) & (
         b["log_e"] >= F.get(limits, _length_class(F.char_length(m["token"]))))))
-    spans = F.transform(random, lambda m: F.struct(m["start"].alias("start"), F.lit(3).alias("rank"), m["end"].alias("end")))
-    return cands.withColumn("__spans", F.sort_array(F.concat("__base", spans))).drop("cands")
+    own = F.transform(random, lambda m: F.struct(m["start"].alias("start"), F.lit(3).alias("rank"), m["end"].alias("end")))
+    return found.withColumn(spans, F.sort_array(F.concat(base, own))).drop(cands)
+
+
+def _added(docs: DataFrame) -> list[str]:
+    return free_names(docs, "base_spans", "all_spans", "candidates")
 
 
 def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
@@ -186,22 +192,23 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", f
     kinds = F.array(*map(F.lit, KINDS))
     shown = lambda c: F.transform(c, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"], s["end"]))
     found = scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), fdr=fdr)
-    return found.select("doc_id", shown("__base").alias("base"), shown("__spans").alias("spans"))
+    return found.select("doc_id", shown("base_spans").alias("base"), shown("all_spans").alias("spans"))
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]", fdr: float = FDR) -> DataFrame:
     """``docs``, all columns, with ``mark`` in place of every span (overlapping spans are one); ``n_chars``
     follows if it is there."""
     def cut(a: Column, s: Column) -> Column:
-        text = F.col(text_col)
-        gap = F.when(s["start"] >= a["at"], F.concat(F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise("")
+        gap = F.when(s["start"] >= a["at"], F.concat(
+            F.substr(F.col(text_col), a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise("")
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], gap).alias("out"))
 
-    found = scan(docs, text_col=text_col, fdr=fdr)
-    text = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut,
+    found, spans = scan(docs, text_col=text_col, fdr=fdr), _added(docs)[1]
+    text = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut,
                        lambda a: F.concat(a["out"], F.substr(F.col(text_col), a["at"] + 1)))
-    out = found.withColumn(text_col, F.when(F.size("__spans") > 0, text).otherwise(F.col(text_col)))
+    some = F.size(spans) > 0
+    out = found.withColumn(text_col, F.when(some, text).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.char_length(text_col).cast(
+        out = out.withColumn("n_chars", F.when(some, F.char_length(text_col).cast(
             docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from marketlake.llm.components import components
-from marketlake.llm.storage import materialise
+from marketlake.llm.storage import free_names, materialise
 from marketlake.llm.text_arrays import single_spaced, slices, utf8_buffer, words
 
 SHINGLE = 4
@@ -190,11 +190,11 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
              shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` without all but one row of each component: the row with the smallest id (a row
     without id only if none has one), of several such rows the first as they were read."""
-    fp, row, component = "__simhash", "__row", "component"
+    fp, row = free_names(docs, "simhash", "row")
     marked = materialise(fingerprints(docs, text_col=text_col, shingle=shingle, name=fp)
                          .withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    narrow = marked.select(fp, order.alias("place"))
-    of = link_components(narrow, id_col="place", fp_col=fp, max_bits=max_bits)
-    kept = of.select(F.col(f"{component}.row").alias(row)).distinct()
+    narrow = marked.select(F.col(fp).alias("simhash"), order.alias("place"))
+    of = link_components(narrow, id_col="place", fp_col="simhash", max_bits=max_bits)
+    kept = of.select(F.col("component.row").alias(row)).distinct()
     return marked.join(kept, row, "left_semi").drop(fp, row)

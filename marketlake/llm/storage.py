@@ -33,6 +33,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until ``docs`` has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, as ``--py-files`` does, once for each Spark context."""
     import marketlake
