@@ -41,26 +41,28 @@ FIXTURE_SQL: dict[str, str] = {
                "join {nation} on s_nationkey=n_nationkey join {region} on n_regionkey=r_regionkey where s_suppkey % 7 <> 0",
     "fx_universe": "select concat('SUP', lpad(cast(s_suppkey as string), 6, '0')) as symbol from {supplier} "
                    "where s_suppkey % 3 <> 0 union all select concat('MISSING', cast(r_regionkey as string)) from {region}",
-    "fx_vol": "select concat('SUP', lpad(cast(o_custkey % 40 as string), 6, '0')) as symbol, o_orderdate as timestamp, "
+    # right sides are keyed by supplier like the bars, so that they grow with the bars
+    "fx_vol": "select concat('SUP', lpad(cast(l_suppkey as string), 6, '0')) as symbol, o_orderdate as timestamp, "
               "max(case when o_orderkey % 4 = 0 then null else o_totalprice/1000 end) as realized_vol_30d "
-              "from {orders} where o_orderpriority like '1%' group by 1,2",
+              "from {orders} join {lineitem} on o_orderkey = l_orderkey group by 1,2",
     "fx_facts": "select concat('SUP', lpad(cast(o_custkey as string), 6, '0')) as symbol, case o_orderstatus "
                 "when 'F' then 'Revenues' when 'O' then 'SalesRevenueNet' else 'Assets' end as concept, "
                 "case when o_orderkey % 5 = 0 then '8-K' when o_orderkey % 4 = 0 then '10-K' else '10-Q' end as form, "
                 "cast(date_trunc('quarter', o_orderdate) as {ts}) as end_date, o_orderkey as pos, o_totalprice as val from {orders}",
-    "fx_dense_bars": "select concat('SUP', lpad(cast(l_suppkey % 15 as string), 6, '0')) as symbol, l_shipdate as timestamp, "
+    "fx_dense_bars": "select concat('SUP', lpad(cast(l_suppkey as string), 6, '0')) as symbol, l_shipdate as timestamp, "
                      "'stocks' as asset_class, 'D1' as timeframe," + _BAR_BODY,
     "fx_dense": _DEDUP % "fx_dense_bars",
-    "fx_fund": "select concat('SUP', lpad(cast(o_custkey % 60 as string), 6, '0')) as symbol, "
+    "fx_fund": "select concat('SUP', lpad(cast(l_suppkey as string), 6, '0')) as symbol, "
                "cast(date_trunc('month', o_orderdate) as {ts}) as timestamp, "
                "max(case when o_orderkey % 3 = 0 then null else o_totalprice/5000 end) as pe_ratio, "
                "max(case when o_orderkey % 5 = 0 then null else o_totalprice/90000 end) as price_to_book, "
-               "count(*)*1e0 as sales from {orders} where o_orderstatus='F' group by 1,2",
-    "fx_fin": "select concat('SUP', lpad(cast(o_custkey % 80 as string), 6, '0')) as symbol, "
+               "count(*)*1e0 as sales from {orders} join {lineitem} on o_orderkey = l_orderkey group by 1,2",
+    "fx_fin": "select concat('SUP', lpad(cast(l_suppkey as string), 6, '0')) as symbol, "
               "cast(date_trunc('quarter', o_orderdate) as {ts}) as report_date, max(o_totalprice) as revenue, "
               "max(case when o_orderkey % 4 = 0 then null else o_totalprice*0.1e0 end) as net_income, "
               "max(o_totalprice)*0.2e0 as operating_cf, "
-              "max(case when o_orderkey % 3 = 0 then null else -o_totalprice*0.05e0 end) as capex from {orders} group by 1,2",
+              "max(case when o_orderkey % 3 = 0 then null else -o_totalprice*0.05e0 end) as capex "
+              "from {orders} join {lineitem} on o_orderkey = l_orderkey group by 1,2",
     "fx_income": "select concat('SUP', lpad(cast(o_custkey as string), 6, '0')) as act_symbol, o_orderdate as date, "
                  "o_orderpriority as period, max(o_totalprice) as sales, max(o_totalprice)*0.1e0 as net_income "
                  "from {orders} group by 1, 2, 3",
@@ -68,11 +70,11 @@ FIXTURE_SQL: dict[str, str] = {
     "fx_cashflow": "select act_symbol, date, period, sales*0.2e0 as operating_cf, case when sales > 200000 then null "
                    "else -sales*0.05e0 end as property_and_equipment from {fx_income} where sales > 50000",
     "fx_eps": "select act_symbol as symbol, date as period_end_date, max(sales)/1e5 as reported, "
-              "max(sales)/1.1e5 as estimate from {fx_income} where period like '2%' group by 1,2",
+              "max(sales)/1.1e5 as estimate from {fx_income} group by 1,2",
     "fx_split": "select concat('SUP', lpad(cast(l_suppkey as string), 6, '0')) as act_symbol, l_shipdate as ex_date, "
-                "l_quantity as to_factor, cast(l_linenumber as double) as for_factor from {lineitem} where l_orderkey % 100 = 0",
+                "l_quantity as to_factor, cast(l_linenumber as double) as for_factor from {lineitem} where l_linestatus = 'O'",
     "fx_div": "select concat('SUP', lpad(cast(l_suppkey as string), 6, '0')) as act_symbol, l_shipdate as ex_date, "
-              "l_discount*10e0 as amount from {lineitem} where l_orderkey % 100 = 1",
+              "l_discount*10e0 as amount from {lineitem} where l_linestatus <> 'O'",
     "fx_rates": "select o_orderdate as date, avg_2y as t2, avg_10y as t10 from (select o_orderdate, "
                 "min(o_totalprice)/1e5 as avg_2y, max(o_totalprice)/1e5 as avg_10y from {orders} group by 1) t",
     "fx_macro": "select event_type as symbol, cast(date_trunc('day', ts) as {ts}) as timestamp, "

@@ -59,32 +59,19 @@ def filter_bars(df: DataFrame, symbols=None, timeframe: str | None = "D1", start
 
 
 def standard_projection(df: DataFrame) -> DataFrame:
-    """S3: the standard columns; absent ones become typed nulls / defaults.
-
-    adj_close ← adj_close, else close × adj_factor, else close; adj_factor ← 1.0.
-    """
-    cols = set(df.columns)
-
-    def dbl(c):
-        return F.col(c).cast("double") if c in cols else F.lit(None).cast("double")
-
-    if "adj_close" in cols:
-        adj_close = F.col("adj_close")
-    elif "close" in cols and "adj_factor" in cols:
-        adj_close = F.col("close") * F.col("adj_factor")
-    elif "close" in cols:
-        adj_close = F.col("close")
-    else:
-        adj_close = F.lit(None).cast("double")
-    return df.select(
-        F.col("timestamp"), F.col("symbol"),
-        (F.col("asset_class") if "asset_class" in cols else F.lit(None).cast("string")).alias("asset_class"),
-        (F.col("timeframe") if "timeframe" in cols else F.lit(None).cast("string")).alias("timeframe"),
-        *[dbl(c).alias(c) for c in ("open", "high", "low", "close", "volume")],
-        adj_close.cast("double").alias("adj_close"),
-        (F.col("adj_factor") if "adj_factor" in cols else F.lit(1.0)).cast("double").alias("adj_factor"),
-        (F.col("source") if "source" in cols else F.lit(None).cast("string")).alias("source"),
-    )
+    """S3: the standard columns. An absent column and a stored null count alike, since a lake
+    read with an explicit schema shows files without the column as null:
+    adj_factor ← adj_factor, else 1.0; adj_close ← adj_close, else close × adj_factor."""
+    kinds = {"timestamp": None, "symbol": None, "asset_class": "string", "timeframe": "string", "source": "string"}
+
+    def own(name: str) -> Column:
+        kind = kinds.get(name, "double")
+        c = F.col(name) if name in df.columns else F.lit(None)
+        return c if kind is None else c.cast(kind)
+
+    factor = F.coalesce(own("adj_factor"), F.lit(1.0))
+    made = {"adj_factor": factor, "adj_close": F.coalesce(own("adj_close"), own("close") * factor)}
+    return df.select(*[made.get(c, own(c)).alias(c) for c in STANDARD])
 
 
 def source_rank(priority: Sequence[str] | None) -> Column:

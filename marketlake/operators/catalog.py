@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import display_label
-from .joins import dimension_join
 from .merge import coalesce_upsert, latest_wins
 from .quality import catalog_stats, quality_scores
 
@@ -49,7 +48,7 @@ def symbol_directory(catalog: DataFrame, metadata: DataFrame, universe: DataFram
     """Catalog rows with company metadata, restricted by the universe rule."""
     d = in_universe(catalog, universe) if universe is not None else catalog
     meta = metadata.select("symbol", *[c for c in metadata.columns if c != "symbol" and c not in d.columns])
-    return dimension_join(d, meta, on="symbol", how="left")
+    return d.join(meta, "symbol", "left")
 
 
 def missing_symbols(universe: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -171,8 +170,8 @@ def symbol_classes(catalog: DataFrame) -> DataFrame:
 
 
 def with_asset_class(df: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Attach the catalogued asset class to rows keyed by symbol (dimension join
-    behind a size check; the class table has one row per catalogued symbol)."""
+    """Attach the catalogued asset class to rows keyed by symbol. AQE broadcasts the
+    class table if its measured size allows, and splits skewed symbols otherwise."""
     keyed = df.withColumn("__sym", F.upper("symbol"))
     classes = symbol_classes(catalog).withColumnRenamed("symbol", "__sym")
-    return dimension_join(keyed, classes, "__sym", "left").drop("__sym")
+    return keyed.join(classes, "__sym", "left").drop("__sym")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from .asof import Right, asof_fill
 from .bars import _ts_literal, adjust, dedup_bars, filter_bars, get_ohlcv, lag_n, standard_projection
 from .blocked import block_seconds_for
-from .joins import dimension_join
 
 # fixed values: output order of the joined columns (only those present are returned)
 JOINED_COLUMNS = ["realized_vol_30d", "implied_vol", "pe_ratio", "price_to_book", "beta_raw", "sales",
@@ -95,7 +94,7 @@ def consolidated(lake: DataFrame, volatility: DataFrame | None = None, fundament
 
     if metadata is not None:
         meta = metadata.select("symbol", "longname", "sector", "industry", "marketcap")
-        filled = dimension_join(filled, meta, on="symbol", how="left")
+        filled = filled.join(meta, "symbol", "left")
     else:
         filled = (filled.withColumn("longname", F.lit(None).cast("string"))
                   .withColumn("sector", F.lit(None).cast("string"))
@@ -124,15 +123,10 @@ def feature_table(consolidated_view: DataFrame, n: int = 20, timeframe: str = "D
     return d.withColumn(f"momentum_{n}d", (F.col("close") - F.col("__prev")) / F.col("__prev")).drop("__prev")
 
 
-def wide_prices(bars: DataFrame, value: str = "adj_close", symbols: Sequence[str] | None = None) -> DataFrame:
-    """One row per timestamp, one column per symbol.
-
-    Pass ``symbols`` when known (Spark otherwise finds the distinct symbols itself,
-    capped by ``spark.sql.pivotMaxValues``); for thousands of symbols keep long form.
-    """
-    g = bars.groupBy("timestamp")
-    p = g.pivot("symbol", list(symbols)) if symbols is not None else g.pivot("symbol")
-    return p.agg(F.max(value))
+def wide_prices(bars: DataFrame, symbols: Sequence[str], value: str = "adj_close") -> DataFrame:
+    """One row per timestamp, one column for each of ``symbols``. The caller names them:
+    they are the schema of the result, and finding them would collect every symbol."""
+    return bars.groupBy("timestamp").pivot("symbol", list(symbols)).agg(F.max(value))
 
 
 def register_consolidated_view(lake: DataFrame, name: str = "ohlcv_consolidated", **kw) -> DataFrame:

@@ -1,13 +1,13 @@
-"""A3: resample 1-minute bars to 15m / 1h / 4h for all symbols in one job.
+"""A3: resample 1-minute bars to 15m / 1h / 4h for all series (symbol and asset class) in one job.
 
 Per bar: open = first non-null, high = max, low = min, close = last non-null,
 volume = sum (0 when all null), adj_close = last non-null, adj_factor = first non-null,
-source and asset_class = first non-null; bars whose open or close is null are dropped;
+source = first non-null; bars whose open or close is null are dropped;
 bars are left-closed and labelled by their start (epoch-aligned, which equals
 midnight anchoring for lengths dividing a day).
 
 Coarser targets are rolled up from the finest target's *partial* bars (before the
-null-open/close drop), so the minute data is scanned and shuffled once; all the
+null-open/close drop); all the
 aggregates are partial-aggregatable, so a hot symbol is pre-combined map-side.
 """
 
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 # fixed values: target timeframe → bar length in minutes
 RESAMPLE_MINUTES = {"15m": 15, "1h": 60, "4h": 240}
 
-FIRST_COLS = ["open", "adj_factor", "source", "asset_class"]
+FIRST_COLS = ["open", "adj_factor", "source"]
+KEY = ["symbol", "asset_class"]
 LAST_COLS = ["close", "adj_close"]
 
 
@@ -33,7 +34,7 @@ def _partial(df: DataFrame, bucket_minutes: int, order) -> DataFrame:
     aggs += [F.max_by(F.struct(order.alias("o"), F.col(c).alias("v")),
                       F.when(F.col(c).isNotNull(), order)).alias(c) for c in LAST_COLS]
     aggs += [F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume")]
-    return df.groupBy("symbol", start.alias("timestamp")).agg(*aggs)
+    return df.groupBy(*KEY, start.alias("timestamp")).agg(*aggs)
 
 
 def _rollup(part: DataFrame, bucket_minutes: int) -> DataFrame:
@@ -41,12 +42,12 @@ def _rollup(part: DataFrame, bucket_minutes: int) -> DataFrame:
     aggs = [F.min_by(F.col(c), F.col(c)["o"]).alias(c) for c in FIRST_COLS]
     aggs += [F.max_by(F.col(c), F.col(c)["o"]).alias(c) for c in LAST_COLS]
     aggs += [F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume")]
-    return part.groupBy("symbol", start.alias("timestamp")).agg(*aggs)
+    return part.groupBy(*KEY, start.alias("timestamp")).agg(*aggs)
 
 
 def _finish(part: DataFrame, timeframe: str) -> DataFrame:
     out = part.select(
-        "timestamp", "symbol", F.col("asset_class")["v"].alias("asset_class"), F.lit(timeframe).alias("timeframe"),
+        "timestamp", "symbol", "asset_class", F.lit(timeframe).alias("timeframe"),
         F.col("open")["v"].alias("open"), "high", "low", F.col("close")["v"].alias("close"),
         F.coalesce(F.col("volume"), F.lit(0.0)).alias("volume"),
         F.col("adj_close")["v"].alias("adj_close"), F.col("adj_factor")["v"].alias("adj_factor"),
@@ -58,8 +59,9 @@ def resample(minute_bars: DataFrame, targets: Sequence[str] = ("15m", "1h", "4h"
              tie: Sequence[str] = ()) -> DataFrame:
     """Resampled bars of every symbol for every target timeframe (union, unordered).
 
-    ``minute_bars`` are the 1m rows (any symbols); ``tie`` orders rows that share a
-    timestamp (the lake has none after de-duplication).
+    ``minute_bars`` are the 1m rows (any symbols). Rows of a series that share a timestamp
+    are ordered by ``tie``; without it by all other bar columns, so that first and last
+    never depend on the order of tasks.
     """
     for t in targets:
         if t not in RESAMPLE_MINUTES:
@@ -71,6 +73,8 @@ def resample(minute_bars: DataFrame, targets: Sequence[str] = ("15m", "1h", "4h"
                        ("source", F.lit(None).cast("string")), ("asset_class", F.lit(None).cast("string"))):
         if c not in cols:
             src = src.withColumn(c, default)
+    tie = list(tie) or [c for c in ("source", "open", "high", "low", "close", "volume", "adj_close", "adj_factor")
+                        if c in src.columns]
     order = F.struct(F.col("timestamp"), *[F.col(t) for t in tie])
     finest = targets[0]
     base = _partial(src, RESAMPLE_MINUTES[finest], order)

@@ -24,6 +24,9 @@ QUERY_ROOTS = {
     "RepartitionByExpression", "Repartition", "UnresolvedHint", "Deduplicate", "UnresolvedInlineTable",
     "UnresolvedTableValuedFunction", "OneRowRelation", "UnresolvedSubqueryColumnAliases",
 }
+# nodes that change something, anywhere in the plan
+WRITES = re.compile("(Insert|Overwrite|Append|Create|Drop|Alter|Rename|Replace|Delete|Update|Merge|Truncate|Load|Cache|"
+                    "Uncache|Refresh|Repair|Analyze|Set|Unset|Use|Write|Copy|Call)[A-Z]\\w*|\\w+Command$")
 DEFAULT_MAX_ROWS = 500                   # interactive row cap (a fixed value of the console)
 
 
@@ -38,8 +41,10 @@ def is_read_only(spark: SparkSession, text: str) -> bool:
         plan = spark.sql("EXPLAIN EXTENDED " + text).collect()[0][0]
     except Exception:  # noqa: BLE001  (unparsable → not allowed)
         return False
-    m = re.search(r"== Parsed Logical Plan ==\s*\n\s*'?(\w+)", plan)
-    return bool(m) and m.group(1) in QUERY_ROOTS
+    parsed = plan.split("== Analyzed Logical Plan ==")[0].split("== Parsed Logical Plan ==")[-1]
+    nodes = re.findall(r"^[\s:+|-]*'?([A-Za-z]\w*)", parsed, re.M)
+    # the whole tree is read: WITH … INSERT and FROM … INSERT have a query as their root
+    return bool(nodes) and nodes[0] in QUERY_ROOTS and not any(WRITES.match(n) for n in nodes)
 
 
 def sql(spark: SparkSession, text: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:

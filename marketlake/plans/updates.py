@@ -46,13 +46,13 @@ def next_start(end: Column, timeframe: Column) -> Column:
 
 
 def plan_updates(catalog: DataFrame, now=None) -> DataFrame:
-    """P1 + P2: one row per catalog series with status 'update' / 'up_to_date' / 'skipped',
-    the text range to fetch, the connector and the vendor time zone."""
+    """P1 + P2: one row per catalog series with status 'update' / 'up_to_date' / 'skipped' /
+    'bad_end_date' (blank or unreadable: that series alone is left out), the text range to fetch, the connector and the vendor time zone."""
     n = _now(now)
     tf, ac = F.col("timeframe"), F.col("asset_class")
     skipped = (ac == "macro") | (F.col("source") == "dolt_rates")
-    start = next_start(F.col("end_date").cast("timestamp_ntz"), tf)
-    status = (F.when(skipped, F.lit("skipped")).when(start >= n, F.lit("up_to_date")).otherwise(F.lit("update")))
+    start = next_start(F.col("end_date").try_cast("timestamp_ntz"), tf)
+    status = (F.when(skipped, F.lit("skipped")).when(start.isNull(), F.lit("bad_end_date")).when(start >= n, F.lit("up_to_date")).otherwise(F.lit("update")))
     go = status == "update"
     return catalog.select(
         "symbol", "timeframe", "asset_class",

@@ -134,6 +134,18 @@ def _resample_sql(tf: str, minutes: int) -> str:
     return duckdb_sql(f"with ml as ({_ML}) {_resample_body(tf, minutes)}", "fx_minute")
 
 
+_TWO_CLASSES = "(select * replace (case when event_id % 3 = 0 then 'forex' else 'stocks' end as asset_class) from ml)"
+
+
+@register("resample_two_classes", duckdb_sql(
+    f"with ml as ({_ML}) " + _resample_body("1h", 60).replace("from ml group by", f"from {_TWO_CLASSES} m2 group by")
+    .replace(", symbol) t", ", symbol, asset_class) t"), "fx_minute"))
+def q_resample_two_classes(spark, sf):
+    """A3: one symbol in two asset classes gives two series."""
+    two = minute_lake(spark, sf).withColumn("asset_class", F.expr("case when event_id % 3 = 0 then 'forex' else 'stocks' end"))
+    return RS.resample(two, ["1h"], tie=["event_id"])
+
+
 for _tf, _m in RS.RESAMPLE_MINUTES.items():
     def _q(spark, sf, _tf=_tf):
         return RS.resample(minute_lake(spark, sf), [_tf], tie=["event_id"])
@@ -356,12 +368,14 @@ def q_returns(spark, sf):
     return B.with_returns(bars, 1).select("symbol", "timeframe", "timestamp", "close", "return_1")
 
 
+WIDE_SYMBOLS = ["click", "error", "purchase", "signup", "view"]
+
+
 @register("wide_prices", duckdb_sql(
-    f"with e1 as ({_E1_D1}) select * from (pivot (select timestamp, symbol, "
-    "adj_close from e1) on symbol using max(adj_close) group by timestamp) p", "fx_raw_bars"))
+    f"with ml as ({_ML}) select timestamp, " + ", ".join(
+        f"max(adj_close) filter (where symbol = '{x}') as {x}" for x in WIDE_SYMBOLS) + " from ml group by timestamp", "fx_minute"))
 def q_wide_prices(spark, sf):
-    bars = B.get_ohlcv(fixture(spark, sf, "fx_raw_bars"), None, "D1", adjusted=True)
-    return CO.wide_prices(bars, "adj_close")
+    return CO.wide_prices(minute_lake(spark, sf), WIDE_SYMBOLS, "adj_close")
 
 
 # ------------------------------------------------------------------ catalog: C*, A9, A10, J1-J3, F3, F6
@@ -496,6 +510,20 @@ def q_plan_updates(spark, sf):
     return PL.plan_updates(fixture(spark, sf, "fx_catalog"), now=NOW)
 
 
+_BAD_DATES = ("(select * replace (case when symbol like '%7' then 'N/A' when symbol like '%8' then '' else "
+              "strftime(end_date, '%Y-%m-%d') end as end_date) from fx_catalog)")
+
+
+@register("plan_updates_bad_dates", duckdb_sql(
+    f"select symbol, case when end_date in ('N/A', '') then 'bad_end_date' when strptime(end_date, '%Y-%m-%d') + interval 1 day "
+    f">= {_NOW_SQL} then 'up_to_date' else 'update' end as status from {_BAD_DATES} c", "fx_catalog"))
+def q_plan_updates_bad_dates(spark, sf):
+    """Unreadable end dates stop their own series only."""
+    text = (F.when(F.col("symbol").like("%7"), "N/A").when(F.col("symbol").like("%8"), "")
+            .otherwise(F.date_format("end_date", "yyyy-MM-dd")))
+    return PL.plan_updates(fixture(spark, sf, "fx_catalog").withColumn("end_date", text), now=NOW).select("symbol", "status")
+
+
 @register("update_summary", duckdb_sql(
     f"select status, count(*) as series from ({_P1}) p group by status", "fx_catalog"))
 def q_update_summary(spark, sf):
@@ -735,15 +763,43 @@ def q_lake_roundtrip(spark, sf):
     return LK.scan_bars(spark, root)
 
 
+_DRIFTED = "timestamp, symbol, asset_class, timeframe, open, high, low, close, volume, source, year"
+
+
+@register("ohlcv_drifted_lake", duckdb_sql(
+    "select timestamp, symbol, asset_class, timeframe, open, high, low, close, volume, close as adj_close, source "
+    "from fx_bars", "fx_bars"))
+def q_ohlcv_drifted_lake(spark, sf):
+    """S3: a lake whose files lack both adjustment columns, read adjusted."""
+    root = _scratch(spark, "lake")
+    (fixture(spark, sf, "fx_bars").select(*_DRIFTED.split(", ")).repartition("symbol")
+     .write.partitionBy("asset_class", "timeframe", "symbol", "year").parquet(root))
+    return B.get_ohlcv(LK.scan_bars(spark, root), None, "D1", adjusted=True).select(
+        "timestamp", "symbol", "asset_class", "timeframe", "open", "high", "low", "close", "volume", "adj_close", "source")
+
+
+_CLASSES = ("case when symbol like '%1' then null when symbol like '%2' then 'forex' else 'stocks' end")
+
+
+@register("rewrite_lake", duckdb_sql(
+    f"select * from (select timestamp, symbol, {_CLASSES} as asset_class, close from fx_bars) b where asset_class = 'forex' "
+    "or symbol in (select symbol from fx_universe)", "fx_bars", "fx_universe"))
+def q_rewrite_lake(spark, sf):
+    """K3 with series that have no asset class."""
+    rows = _lake_rows(fixture(spark, sf, "fx_bars").withColumn("asset_class", F.expr(_CLASSES)))
+    return LK.rewrite_lake(rows, fixture(spark, sf, "fx_universe"), _scratch(spark, "lake")).select(
+        "timestamp", "symbol", "asset_class", "close")
+
+
 @register("replace_series", duckdb_sql(
     f"select * from ({_LAKE_SQL}) a where source = 'vendor_a' union all select * from ({_LAKE_SQL}) b where "
-    "source = 'vendor_b' and not exists (select 1 from fx_raw_bars r where r.source = 'vendor_a' and "
-    "r.symbol = b.symbol and r.year = b.year)", "fx_raw_bars"))
+    "source = 'vendor_b' and not exists (select 1 from fx_raw_bars r where r.source = 'vendor_a' and r.year < 1996 and "
+    "r.symbol = b.symbol)", "fx_raw_bars").replace("a where source = 'vendor_a'", "a where source = 'vendor_a' and year < 1996"))
 def q_replace_series(spark, sf):
     root = _scratch(spark, "lake")
     rows = _lake_rows(fixture(spark, sf, "fx_raw_bars"))
     LK.write_bars(rows.filter(F.col("source") == "vendor_b"), root, mode="overwrite")
-    LK.replace_series(rows.filter(F.col("source") == "vendor_a"), root)
+    LK.replace_series(rows.filter((F.col("source") == "vendor_a") & (F.col("year") < 1996)), root)  # their other years go
     return LK.scan_bars(spark, root)
 
 

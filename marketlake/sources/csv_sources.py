@@ -3,6 +3,7 @@ one splittable scan — no per-file loop on the driver."""
 
 from __future__ import annotations
 
+import csv
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,6 @@ from ..operators.normalize import standardize
 from ..schemas import METADATA
 
 # ---- fixed values that must equal the reference's --------------------------------
-MIN_DAILY_FILE_BYTES = 75_000            # smaller per-symbol files are skipped
 FOREX_SUFFIX = "-X"
 STOCK_TZ, FOREX_TZ = "America/New_York", "UTC"
 PLATFORM_TZ = "Europe/Athens"
@@ -27,6 +27,8 @@ SPLIT_NAMES = ["DATE", "TIME", "OPEN", "HIGH", "LOW", "CLOSE", "TICKVOL", "VOL",
 TIMESTAMP_PATTERNS = ["yyyy.MM.dd HH:mm:ss", "yyyy.MM.dd HH:mm", "yyyy.MM.dd", "yyyy-MM-dd HH:mm:ss",
                       "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd"]
 # ----------------------------------------------------------------------------------
+#: A first field that holds date and time: a blank, or a date's separator beside a colon.
+DATE_WITH_TIME = r"\s|^(?=.*[-/.]).*:"
 
 
 def _lit_map(d: dict) -> Column:
@@ -41,8 +43,9 @@ def filename_symbol_timeframe(name: Column) -> tuple[Column, Column]:
     """``EURUSD_H1.csv`` / ``EURUSD60.csv`` → (symbol, timeframe); unknown minute
     counts become ``{n}m``; anything else is the whole stem with ``1m``."""
     stem = file_stem(name)
-    u_re = r"^([A-Za-z0-9\-]+)_((?i)M1|M5|M15|M30|H1|H4|D1|W1|MN1)$"
-    d_re = r"^([A-Za-z0-9\-]+?)(\d+)$"
+    ticker = "[A-Za-z0-9-]+"
+    u_re = f"^({ticker})_((?i:{'|'.join(PLATFORM_SUFFIX_TF)}))$"
+    d_re = f"^({ticker}?)([0-9]+)$"
     u_sym, u_tf = F.regexp_extract(stem, u_re, 1), F.upper(F.regexp_extract(stem, u_re, 2))
     d_sym, d_min = F.regexp_extract(stem, d_re, 1), F.regexp_extract(stem, d_re, 2)
     minutes = d_min.try_cast("int")
@@ -101,13 +104,11 @@ def read_platform_export(spark: SparkSession, path: str, asset_class: str = "for
                F.transform(_split(F.col("__first"), fdelim),
                            lambda x: F.trim(F.regexp_replace(F.upper(x), "[<>]", "")))).alias("hnames"))
     data = lines.filter(~is_header(F.col("line"))).drop("__split", "__row")
-    from ..operators.joins import dimension_join
-    data = dimension_join(data, dialect, on="file", how="left")
+    data = data.join(dialect, "file", "left")
     delim = F.col("fdelim")
     d = data.withColumn("parts", _split(F.col("line"), delim))
     first = F.col("parts")[0]
-    combined = (first.contains(" ") | (first.contains("/") & first.contains(":"))
-                | (first.contains("-") & first.contains(":")) | (first.contains(".") & first.contains(":")))
+    combined = first.rlike(DATE_WITH_TIME)
     n = F.size("parts")
     positional = F.when(combined, F.slice(F.array(*[F.lit(x) for x in COMBINED_NAMES]), 1, n)) \
         .otherwise(F.slice(F.array(*[F.lit(x) for x in SPLIT_NAMES]), 1, n))
@@ -133,38 +134,74 @@ def read_platform_export(spark: SparkSession, path: str, asset_class: str = "for
                        source_tz=source_tz).drop("__tf")
 
 
+def read_headed_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files of one folder, each with its own header: columns are matched by name, so
+    files may order, add or leave out columns. Names are compared in lower case; a column is
+    called as in the first layout (by text) that has it. All are text, and
+    ``__file`` and ``__size`` tell the file. A record is one line.
+
+    Lines are scanned in parallel; the header of each file comes from one group-by, and the
+    distinct layouts (a handful, however many files) fix the schema."""
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("__file"),
+        F.col("_metadata.file_size").alias("__size"),
+        F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row")).alias("place")
+    ).where(F.trim("line") != "")
+    heads = lines.groupBy("path").agg(F.min_by("line", "place").alias("header"), F.min("place").alias("first"))
+    layouts = sorted(r["header"] for r in heads.select("header").distinct().collect())
+    names: dict[str, str] = {}
+    fields: dict[str, list[str]] = {}
+    for header in layouts:
+        fields[header] = [c.strip() for c in next(csv.reader([header.lstrip("\ufeff")]))]
+        for c in fields[header]:
+            names.setdefault(c.lower(), c)
+    width = max(map(len, fields.values()), default=1)
+    record = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(width))))
+    rows = lines.join(heads, "path").where(F.col("place") != F.col("first")).withColumn("r", record)
+
+    def value(name: str) -> Column:
+        out = F.lit(None).cast("string")
+        for header in layouts:
+            low = [c.lower() for c in fields[header]]
+            if name in low:
+                out = F.when(F.col("header") == header, F.col(f"r.c{low.index(name)}")).otherwise(out)
+        return out
+
+    return rows.select(*[value(n).alias(shown) for n, shown in names.items()], "__file", "__size")
+
+
 def read_symbol_dir(spark: SparkSession, path: str, timeframe: str = "D1", source: str = "archive",
-                    min_bytes: int = MIN_DAILY_FILE_BYTES) -> DataFrame:
-    """A directory with one CSV per symbol (``SYM.csv`` or ``PAIR-X.csv``).
+                    min_bytes: int = 0) -> DataFrame:
+    """A directory with one CSV per symbol (``SYM.csv`` or ``PAIR-X.csv``), each with
+    its own header.
 
-    Files below ``min_bytes`` are skipped; the symbol is the file stem, a ``-X`` suffix
-    marks forex (stripped; UTC source times), everything else is a stock in New York time.
+    The symbol is the file stem, a ``-X`` suffix marks forex (stripped; UTC source times),
+    everything else is a stock in New York time. ``min_bytes`` leaves out smaller files
+    (none by default; the archive this layout comes from is read with 75,000).
     """
-    raw = spark.read.option("header", True).csv(path)
-    raw = raw.select("*", F.col("_metadata.file_name").alias("__fname"), F.col("_metadata.file_size").alias("__fsize"))
-    raw = raw.filter(F.col("__fsize") >= min_bytes)
-    stem = file_stem(F.col("__fname"))
+    raw = read_headed_csv(spark, path).where(F.col("__size") >= min_bytes)
+    stem = file_stem(F.col("__file"))
     forex = stem.endswith(FOREX_SUFFIX)
-    raw = (raw.withColumn("symbol", F.when(forex, F.regexp_replace(stem, r"-X$", "")).otherwise(stem))
+    raw = (raw.withColumn("symbol", F.when(forex, F.regexp_replace(stem, f"{FOREX_SUFFIX}$", "")).otherwise(stem))
            .withColumn("__class", F.when(forex, F.lit("forex")).otherwise(F.lit("stocks")))
            .withColumn("__tz", F.when(forex, F.lit(FOREX_TZ)).otherwise(F.lit(STOCK_TZ)))
-           .drop("__fname", "__fsize"))
+           .drop("__file", "__size"))
     return standardize(raw, asset_class=F.col("__class"), timeframe=timeframe, source=source,
                        source_tz=F.col("__tz")).drop("__class", "__tz")
 
 
 def read_bulk_csv(spark: SparkSession, path: str, timeframe: str = "D1", asset_class: str = "stocks",
-                  source: str = "bulk_csv", source_tz: str = "UTC") -> DataFrame:
-    """One wide CSV holding every symbol (splittable; no chunk loop)."""
-    raw = spark.read.option("header", True).csv(path)
-    return standardize(raw, asset_class=asset_class, timeframe=timeframe, source=source, source_tz=source_tz)
+                  source: str = "bulk_csv", source_tz: str = STOCK_TZ) -> DataFrame:
+    """Wide CSV files holding every symbol (splittable; no chunk loop), New York time."""
+    return standardize(read_headed_csv(spark, path).drop("__file", "__size"), asset_class=asset_class,
+                       timeframe=timeframe, source=source, source_tz=source_tz)
 
 
 def read_vendor_frame(spark: SparkSession, path: str, symbol: str, timeframe: str = "D1",
                       asset_class: str = "stocks", source: str = "yfinance", source_tz: str = STOCK_TZ,
                       fmt: str = "csv") -> DataFrame:
     """A flat vendor OHLCV frame (with ``Adj Close``) for one requested symbol."""
-    raw = spark.read.option("header", True).format(fmt).load(path)
+    raw = read_headed_csv(spark, path).drop("__file", "__size") if fmt == "csv" else spark.read.format(fmt).load(path)
     return standardize(raw, symbol=symbol, asset_class=asset_class, timeframe=timeframe, source=source,
                        source_tz=source_tz)
 

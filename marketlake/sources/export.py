@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: statement column subsets exported per statement (only those present)
-INCOME_COLUMNS = ["symbol", "report_date", "fiscal_period", "revenue", "net_income", "eps", "eps_estimate",
-                  "actual_eps", "eps_surprise"]
-BALANCE_COLUMNS = ["symbol", "report_date", "fiscal_period", "total_assets", "total_liabilities", "equity", "cash",
+# fixed values: columns of the exported statement files, in file order (only those present)
+INCOME_COLUMNS = ["report_date", "fiscal_period", "symbol", "revenue", "net_income", "eps", "eps_estimate", "actual_eps",
+                  "eps_surprise"]
+BALANCE_COLUMNS = ["report_date", "fiscal_period", "symbol", "total_assets", "total_liabilities", "equity", "cash",
                    "total_debt"]
-CASHFLOW_COLUMNS = ["symbol", "report_date", "fiscal_period", "operating_cf", "capex", "free_cash_flow",
-                    "net_change_cash"]
+CASHFLOW_COLUMNS = ["report_date", "fiscal_period", "symbol", "net_change_cash", "operating_cf", "capex",
+                    "free_cash_flow"]
 
 
 def statement_view(financials: DataFrame, kind: str) -> DataFrame:

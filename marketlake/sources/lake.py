@@ -7,8 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.catalog import in_universe
 from ..schemas import BAR_COLUMNS, OHLCV, PARTITION_COLUMNS
 
+SERIES_COLUMNS = [c for c in PARTITION_COLUMNS if c != "year"]
+DAILY_FRAMES = ("D1", "1W", "1M")
+
 # writer settings (fixed values): snappy pages, dictionary encoding, ~100k-row groups
 PARQUET_OPTIONS = {"compression": "snappy", "parquet.enable.dictionary": "true",
                    "parquet.block.size": str(16 * 1024 * 1024)}
@@ -44,8 +48,10 @@ def _prepare(df: DataFrame) -> DataFrame:
     cols = [c for c in BAR_COLUMNS] + [c for c in df.columns if c not in BAR_COLUMNS]
     # symbols are stored upper-case, the form every read predicate uses (Q16)
     d = df.select(*cols).withColumn("symbol", F.upper("symbol"))
-    # one task (hence one file) per leaf folder; rows sorted by time inside it
-    return d.repartition(*PARTITION_COLUMNS).sortWithinPartitions(*PARTITION_COLUMNS, "timestamp")
+    # a leaf folder of daily bars is one file; intraday leaves are split by month, so that no
+    # task holds a whole year of a busy series
+    part = F.when(F.col("timeframe").isin(*DAILY_FRAMES), F.lit(0)).otherwise(F.month("timestamp"))
+    return d.repartition(*PARTITION_COLUMNS, part).sortWithinPartitions(*PARTITION_COLUMNS, "timestamp")
 
 
 def write_bars(df: DataFrame, root: str, mode: str = "append") -> None:
@@ -55,8 +61,10 @@ def write_bars(df: DataFrame, root: str, mode: str = "append") -> None:
 
 
 def replace_series(df: DataFrame, root: str) -> None:
-    """K2: rewrite the (series, year) partitions present in ``df``; all other
-    partitions of the lake are left as they are (dynamic partition overwrite)."""
+    """K2: the series in ``df`` are replaced as a whole, with all their years; all other
+    series stay as they are. New (series, year) folders are written by dynamic partition
+    overwrite, then the folders of years that the new rows don't have are deleted (folder
+    names only, streamed through the driver as a commit does)."""
     spark = df.sparkSession
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
@@ -65,15 +73,24 @@ def replace_series(df: DataFrame, root: str) -> None:
          .partitionBy(*PARTITION_COLUMNS).parquet(root))
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    new = df.select(*PARTITION_COLUMNS).withColumn("symbol", F.upper("symbol")).distinct()
+    same = (lambda names: F.expr(" and ".join(f"l.{c} <=> n.{c}" for c in names)))
+    there = scan_bars(spark, root).select(
+        *PARTITION_COLUMNS, F.regexp_replace(F.col("_metadata.file_path"), "/[^/]+$", "").alias("folder")).distinct()
+    stale = (there.alias("l").join(new.select(*SERIES_COLUMNS).distinct().alias("n"), same(SERIES_COLUMNS), "left_semi")
+             .alias("l").join(new.alias("n"), same(PARTITION_COLUMNS), "left_anti").select("folder").distinct())
+    jvm = spark.sparkContext._jvm
+    for row in stale.toLocalIterator():
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["folder"]))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def rewrite_lake(lake: DataFrame, universe: DataFrame, new_root: str, stock_class: str = "stocks") -> DataFrame:
-    """K3: upper-case symbols, keep non-stock series and stock series in the universe,
-    write everything to ``new_root`` (the caller swaps roots). Returns the new scan."""
-    d = lake.withColumn("symbol", F.upper("symbol"))
-    keep = d.filter(F.col("asset_class") != stock_class).unionByName(
-        d.filter(F.col("asset_class") == stock_class).join(universe.select(F.upper("symbol").alias("symbol")),
-                                                           "symbol", "left_semi"))
+    """K3: upper-case symbols, keep non-stock series and the stock series in the universe (a
+    null class counts as stock, as in the catalog's rule), write everything to ``new_root``
+    (the caller swaps roots). Returns the new scan."""
+    keep = in_universe(lake.withColumn("symbol", F.upper("symbol")),
+                       universe.select(F.upper("symbol").alias("symbol")), stock_class)
     write_bars(keep, new_root, mode="overwrite")
     return scan_bars(lake.sparkSession, new_root)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.resample import FIRST_COLS, LAST_COLS, RESAMPLE_MINUTES
+from ..operators.resample import FIRST_COLS, KEY, LAST_COLS, RESAMPLE_MINUTES
 from ..schemas import OHLCV
 from ..session import shared_dir
 from ..sources.lake import write_bars
@@ -43,7 +43,7 @@ def resample_stream(minute_bars: DataFrame, timeframe: str, delay: str = "10 min
 
     The same aggregates as the batch operator: first/last non-null by (timestamp, tie),
     max, min, sum; all partial-aggregatable, so the state holds one row per open
-    (symbol, bar) and a hot symbol is pre-combined before the state shuffle.
+    (series, bar) and a hot symbol is pre-combined before the state shuffle.
     """
     if timeframe not in RESAMPLE_MINUTES:
         raise ValueError(f"unsupported resample target {timeframe!r}")
@@ -59,7 +59,7 @@ def resample_stream(minute_bars: DataFrame, timeframe: str, delay: str = "10 min
     aggs = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c) for c in FIRST_COLS]
     aggs += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c) for c in LAST_COLS]
     aggs += [F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume")]
-    bars = src.groupBy("symbol", win.alias("__bar")).agg(*aggs)
+    bars = src.groupBy(*KEY, win.alias("__bar")).agg(*aggs)
     start = F.col("__bar.start").cast("timestamp_ntz")
     out = bars.select(
         start.alias("timestamp"), "symbol", "asset_class", F.lit(timeframe).alias("timeframe"),

@@ -73,6 +73,9 @@ def test_read_only_guard(spark):
     assert not query.is_read_only(spark, "drop view guard_t")
     assert not query.is_read_only(spark, "create or replace temp view v2 as select 1")
     assert not query.is_read_only(spark, "insert into guard_t select 1")
+    assert not query.is_read_only(spark, "with x as (select 1 as a) insert into guard_t select * from x")
+    assert not query.is_read_only(spark, "with x as (select 1 as a) insert overwrite directory '/tmp/w' using csv select * from x")
+    assert not query.is_read_only(spark, "from guard_t insert into a select * insert into b select *")
     assert spark.catalog.tableExists("guard_t")
 
 
@@ -103,13 +106,25 @@ def test_symbol_dir_reader(spark, tmpdir_path):
         f.write(big)
     with open(os.path.join(tmpdir_path, "TINY.csv"), "w") as f:
         f.write("Date,Open,High,Low,Close,Adj Close,Volume\n2020-01-01,1,1,1,1,1,1\n")
-    df = csv_sources.read_symbol_dir(spark, tmpdir_path)
+    assert csv_sources.read_symbol_dir(spark, tmpdir_path).where("symbol = 'TINY'").count() == 1
+    df = csv_sources.read_symbol_dir(spark, tmpdir_path, min_bytes=75_000)
     got = {(r.symbol, r.asset_class) for r in df.select("symbol", "asset_class").distinct().collect()}
     assert got == {("AAA", "stocks"), ("EURUSD", "forex")}
     r = df.filter(F.col("symbol") == "AAA").orderBy("timestamp").first()
     assert r.timestamp == dt.datetime(2020, 1, 1, 5) and r.adj_factor == 0.5
 
 
+def test_headers_are_read_file_by_file(spark, tmpdir_path):
+    with open(os.path.join(tmpdir_path, "AAA.csv"), "w") as f:
+        f.write("Date,Open,High,Low,Close,Adj Close,Volume\n2020-01-02,1,4,0.5,2,1,10\n")
+    with open(os.path.join(tmpdir_path, "BBB.csv"), "w") as f:
+        f.write("Date,Close,High,Low,Open,Volume,Adj Close,Note\n2020-01-02,20,40,5,10,100,10,\"a, b\"\n")
+    got = {r.symbol: r for r in csv_sources.read_symbol_dir(spark, tmpdir_path).collect()}
+    show = (lambda r: (r.open, r.high, r.low, r.close, r.volume, r.adj_close, r.adj_factor, r.Note))
+    assert show(got["AAA"]) == (1.0, 4.0, 0.5, 2.0, 10.0, 1.0, 0.5, None)
+    assert show(got["BBB"]) == (10.0, 40.0, 5.0, 20.0, 100.0, 10.0, 0.5, "a, b")
+
+
 def test_company_facts_reader(spark, tmpdir_path):
     doc = {"symbol": "S", "facts": {"us-gaap": {
         "Revenues": {"units": {"USD": [{"end": "2023-03-31", "val": 5, "form": "10-Q"},
