@@ -103,7 +103,16 @@ def candle_up(open_="open", close="close") -> Column:
 
 
 def timeframe_to_vendor(vendor: str, timeframe="timeframe") -> Column:
-    """Vendor interval for a canonical timeframe; null where unsupported."""
+    """Vendor interval for a canonical timeframe; one that the vendor lacks is an error."""
     m = VENDOR_TIMEFRAMES[vendor]
-    lit_map = F.create_map(*[F.lit(x) for x in chain.from_iterable(m.items())])
-    return lit_map[_c(timeframe)]
+    interval = F.create_map(*[F.lit(x) for x in chain.from_iterable(m.items())])[_c(timeframe)]
+    return F.when(interval.isNotNull() | _c(timeframe).isNull(), interval).otherwise(
+        F.raise_error(F.concat(F.lit(f"{vendor} has no interval for timeframe "), _c(timeframe))))
+
+
+def vendor_to_timeframe(vendor: str, interval="interval") -> Column:
+    """N14, reversed: the shortest canonical timeframe that the vendor calls so, else null."""
+    back = {}
+    for ours in sorted(VENDOR_TIMEFRAMES[vendor], key=TIMEFRAMES.index):
+        back.setdefault(VENDOR_TIMEFRAMES[vendor][ours], ours)
+    return F.create_map(*[F.lit(x) for x in chain.from_iterable(back.items())])[_c(interval)]

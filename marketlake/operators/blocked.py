@@ -95,11 +95,15 @@ def previous_value(df: DataFrame, keys: Sequence[str], ts: str, value: str, out:
     d, blk = _blocked(df, keys, ts, block_seconds, block_col)
     order = [F.col(ts)] + [F.col(t) for t in tie]
     w = Window.partitionBy(*keys, blk).orderBy(*order)
+    # last row of each block (small table: one row per series and block): an aggregate of the
+    # key, time and value columns alone, combined before its shuffle; it neither sorts nor
+    # deals out the rows
+    before = df if blk in df.columns else df.withColumn(blk, block_of(ts, block_seconds))
+    last = F.max(F.col(ts)) if value == ts else F.max_by(F.col(value), F.struct(*order))
+    tails = before.groupBy(*keys, blk).agg(last.alias("__tail"))
     d = d.withColumn("__lag", F.lag(value, 1).over(w)).withColumn("__rn", F.row_number().over(w))
     if materialize:
         d = _materialize(d)
-    # last row of each block (small table: one row per series and block)
-    tails = d.groupBy(*keys, blk).agg(F.max_by(F.col(value), F.struct(*order)).alias("__tail"))
     wb = Window.partitionBy(*keys).orderBy(blk)
     carry = tails.withColumn("__carry", F.lag("__tail", 1).over(wb)).drop("__tail")
     # left join on plain keys: nothing is inferred on the preserved big side, and its

@@ -84,6 +84,19 @@ def macro_symbols(catalog: DataFrame) -> DataFrame:
     return catalog.filter(F.col("asset_class") == "macro").select("symbol").distinct()
 
 
+def top_by_market_cap(metadata: DataFrame, k: int, sector: str | None = None) -> DataFrame:
+    """L3: the ``k`` companies of the largest market cap (in a sector), ties by symbol."""
+    d = metadata.filter(F.col("marketcap").isNotNull())
+    if sector is not None:
+        d = d.filter(F.lower("sector") == sector.lower())
+    return d.orderBy(F.col("marketcap").desc(), "symbol").limit(k)
+
+
+def timeframes(catalog: DataFrame) -> DataFrame:
+    """Distinct timeframes."""
+    return catalog.select("timeframe").distinct()
+
+
 def symbol_search(directory: DataFrame, text: str | None) -> DataFrame:
     """distinct symbols whose symbol or label contains ``text`` (case-insensitive);
     blank text returns all."""
@@ -98,15 +111,13 @@ def symbol_search(directory: DataFrame, text: str | None) -> DataFrame:
 
 
 def refresh_catalog(lake: DataFrame, now: dt.datetime | None = None, score_kind: str = "simple") -> DataFrame:
-    """Recompute every catalog row from the lake in one job.
+    """Recompute every catalog row from the lake in one job and, for the simple score, one
+    scan.
 
     Dates are text: ``yyyy-MM-dd`` for D1, with the time otherwise. ``score_kind`` is
     'simple' (A4, what the catalog stores in the reference) or 'full' (A5).
     """
-    stats = catalog_stats(lake)
-    sources = lake.groupBy(*CATALOG_KEY).agg(
-        F.concat_ws("+", F.sort_array(F.collect_set("source"))).alias("source"))
-    d = stats.join(sources, CATALOG_KEY)
+    d = catalog_stats(lake, also=[F.concat_ws("+", F.sort_array(F.collect_set("source"))).alias("source")])
     if score_kind == "full":
         full = quality_scores(lake, ["symbol", "timeframe", "asset_class"]).select(
             *CATALOG_KEY, F.col("quality_score").alias("__full"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .merge import latest_wins
@@ -97,27 +97,27 @@ def extract_facts(facts: DataFrame, forms: Sequence[str] = ALLOWED_FORMS) -> Dat
     has any fact, else dei. Per (symbol, metric): the first concept by preference that
     has a row of an allowed form, and in it the first unit having one; per end date the
     last report (highest ``pos``) wins.
+
+    One aggregation over the facts; the choices are windows over its result, which has one
+    row per (symbol, taxonomy, concept, unit, end date).
     """
-    spark = facts.sparkSession
     f = facts
     if "taxonomy" not in f.columns:
         f = f.withColumn("taxonomy", F.lit(TAXONOMY_PREFERENCE[0]))
     if "unit_pos" not in f.columns:
         f = f.withColumn("unit_pos", F.lit(0))
-    tax_rank = F.when(F.col("taxonomy") == TAXONOMY_PREFERENCE[0], 0).when(F.col("taxonomy") == TAXONOMY_PREFERENCE[1], 1)
-    f = f.withColumn("__tax", tax_rank).filter(F.col("__tax").isNotNull())
-    # one row per symbol: which taxonomy to use (aggregate, then a join on a small table)
-    tax = f.groupBy("symbol").agg(F.min("__tax").alias("__tax"))
-    f = f.join(tax, on=["symbol", "__tax"], how="left_semi")
-    dim = F.broadcast(metric_dimension(spark))          # fixed, ~15 rows
-    c = f.filter(F.col("form").isin(list(forms))).join(dim, on="concept")
-    choice = F.struct(F.col("pref"), F.col("unit_pos"))
-    best = c.groupBy("symbol", "metric").agg(F.min(choice).alias("__best"))
-    c = c.join(best, on=["symbol", "metric"]).filter(choice == F.col("__best"))
-    return (c.groupBy("symbol", "metric", "end_date")
-            .agg(F.max_by(F.struct("val", "form"), F.col("pos")).alias("__v"))
-            .select("symbol", "metric", "end_date", F.col("__v")["val"].alias("val"),
-                    F.col("__v")["form"].alias("form")))
+    allowed = F.when(F.col("form").isin(list(forms)), F.col("pos"))
+    last = (f.filter(F.col("taxonomy").isin(TAXONOMY_PREFERENCE))
+            .groupBy("symbol", "taxonomy", "concept", "unit_pos", "end_date")
+            .agg(F.max_by(F.struct("val", "form"), allowed).alias("__v"), F.count(allowed).alias("__n")))
+    rank = F.array_position(F.array(*map(F.lit, TAXONOMY_PREFERENCE)), F.col("taxonomy"))
+    of_symbol = last.withColumn("__tax", F.min(rank).over(Window.partitionBy("symbol"))).filter(
+        (rank == F.col("__tax")) & (F.col("__n") > 0))
+    choice = F.struct("pref", "unit_pos")
+    chosen = of_symbol.join(F.broadcast(metric_dimension(facts.sparkSession)), "concept")  # fixed, ~15 rows
+    chosen = chosen.withColumn("__best", F.min(choice).over(Window.partitionBy("symbol", "metric")))
+    return chosen.filter(choice == F.col("__best")).select(
+        "symbol", "metric", "end_date", F.col("__v.val").alias("val"), F.col("__v.form").alias("form"))
 
 
 def facts_to_financials(extracted: DataFrame) -> DataFrame:
@@ -128,12 +128,9 @@ def facts_to_financials(extracted: DataFrame) -> DataFrame:
     reference's always-'FY' date test (Q18).
     """
     metrics = list(METRIC_CONCEPTS)
-    p = (extracted.groupBy("symbol", F.col("end_date").alias("report_date"))
-         .pivot("metric", metrics)
-         .agg(F.first("val")))
-    periods = (extracted.groupBy("symbol", F.col("end_date").alias("report_date"))
-               .agg(F.max(F.when(F.col("form") == "10-K", 1).otherwise(0)).alias("__fy")))
-    d = p.join(periods, on=["symbol", "report_date"])
+    d = extracted.groupBy("symbol", F.col("end_date").alias("report_date")).agg(
+        *[F.first(F.when(F.col("metric") == m, F.col("val")), ignorenulls=True).alias(m) for m in metrics],
+        F.max(F.when(F.col("form") == "10-K", 1).otherwise(0)).alias("__fy"))
     d = d.select("symbol", "report_date",
                  F.when(F.col("__fy") == 1, F.lit("FY")).otherwise(F.lit("Q")).alias("fiscal_period"),
                  *[F.col(m).try_cast("double").alias(m) for m in metrics])

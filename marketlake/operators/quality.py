@@ -91,8 +91,10 @@ def simple_score(nulls_pct) -> Column:
     return F.greatest(F.lit(0.0), F.lit(100.0) - n * 2.0)
 
 
-def catalog_stats(bars: DataFrame, keys: Sequence[str] = ("symbol", "timeframe", "asset_class")) -> DataFrame:
-    """A1 + A4: per series first/last timestamp, rows, null closes, null %, simple score.
+def catalog_stats(bars: DataFrame, keys: Sequence[str] = ("symbol", "timeframe", "asset_class"),
+                  also: Sequence[Column] = ()) -> DataFrame:
+    """A1 + A4: per series first/last timestamp, rows, null closes, null %, simple score, and
+    the aggregates ``also``.
 
     One aggregation over the whole lake; partial aggregates combine map-side.
     """
@@ -100,7 +102,7 @@ def catalog_stats(bars: DataFrame, keys: Sequence[str] = ("symbol", "timeframe",
     return (bars.groupBy(*keys)
             .agg(F.min("timestamp").alias("start_date"), F.max("timestamp").alias("end_date"),
                  F.count(F.lit(1)).alias("rows_count"),
-                 F.sum(F.when(F.col("close").isNull(), 1).otherwise(0)).alias("null_closes"))
+                 F.sum(F.when(F.col("close").isNull(), 1).otherwise(0)).alias("null_closes"), *also)
             .withColumn("nulls_pct", F.lit(100.0) * F.col("null_closes") / F.col("rows_count"))
             .withColumn("quality_score", simple_score("nulls_pct")))
 

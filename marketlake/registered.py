@@ -1030,3 +1030,257 @@ def q_consolidated_sql(spark, sf):
         fundamentals=fixture(spark, sf, "fx_fund"), financials=fixture(spark, sf, "fx_fin"),
         metadata=fixture(spark, sf, "fx_meta"), timeframe="D1", adjusted=True)
     return QY.sql(spark, _E5_SQL)
+
+
+# ------------------------------------------------------------------ symbol rules: N10-N14, N20, N21
+from pyspark.sql import types as T  # noqa: E402
+
+from .functions import columns as SC  # noqa: E402
+
+_SYMBOLS = ("select c_custkey, case c_custkey % 6 when 0 then concat('EU', cast(c_custkey as {s}), '-X') "
+            "when 1 then concat('US', cast(c_custkey as {s}), '=X') when 2 then concat('^I', cast(c_custkey as {s})) "
+            "when 3 then concat('c', cast(c_custkey as {s}), 'USDT') when 4 then concat('D', cast(c_custkey as {s}), '-BTC') "
+            "else concat(' T', cast(c_custkey as {s}), ' US Equity') end as symbol from {t}")
+_PAIR_SQL = "case when contains(p, '/') then p " + " ".join(
+    f"when ends_with(p, '{q}') then concat(left(p, length(p) - {len(q)}), '/{q}')" for q in SC.CRYPTO_QUOTES) + " else p end"
+
+
+@register("symbol_rules", (
+    f"with s as ({_SYMBOLS.format(s='varchar', t='customer')}) select c_custkey, "
+    "regexp_replace(symbol, '(-X|=X)$', '') as base, case when symbol like '%-X' or symbol like '%=X' then 'forex' when symbol "
+    "like '^%' then 'indices' else 'stocks' end as asset_class, case when symbol like '%-X' then concat(symbol, '=X') else symbol "
+    f"end as vendor, {_PAIR_SQL} as pair, upper(replace(replace(symbol, '/', ''), '-', '')) as stored, "
+    "trim(replace(symbol, ' US Equity', '')) as ticker from (select *, replace(symbol, '-', '/') as p from s) t"))
+def q_symbol_rules(spark, sf):
+    d = spark.sql(_SYMBOLS.replace("{s}", "string"), t=fixture(spark, sf, "customer"))
+    return d.withColumn("asset_class", SC.symbol_asset_class()).select(
+        "c_custkey", SC.forex_base_symbol().alias("base"), "asset_class", SC.vendor_symbol().alias("vendor"),
+        SC.crypto_pair().alias("pair"), SC.crypto_storage_symbol().alias("stored"), SC.clean_ticker("symbol").alias("ticker"))
+
+
+@register("vendor_intervals", (
+    "with t as (select o_orderkey, case o_orderkey % 4 when 0 then '1m' when 1 then '15m' when 2 then '1h' else 'D1' end as tf "
+    "from orders) select o_orderkey, tf, case tf when 'D1' then '1Day' when '1h' then '1Hour' when '1m' then '1Min' else '15Min' end "
+    "as interval, tf as back from t"))
+def q_vendor_intervals(spark, sf):
+    d = fixture(spark, sf, "orders").select("o_orderkey", F.expr(
+        "case o_orderkey % 4 when 0 then '1m' when 1 then '15m' when 2 then '1h' else 'D1' end").alias("tf"))
+    return d.withColumn("interval", SC.timeframe_to_vendor("alpaca", "tf")).withColumn(
+        "back", SC.vendor_to_timeframe("alpaca"))
+
+
+@register("candles_and_tiers", duckdb_sql(
+    "select symbol, cast(sum(case when close >= open then 1 else 0 end) as bigint) as up, case when sc >= 90 then 'high' when sc >= 70 then "
+    "'medium' else 'low' end as tier from (select *, greatest(0e0, 100e0 - 2e0*(100e0*sum(case when close is null then 1 else 0 "
+    "end) over (partition by symbol)/count(*) over (partition by symbol))) as sc from fx_bars) t group by symbol, sc", "fx_bars"))
+def q_candles_and_tiers(spark, sf):
+    bars = fixture(spark, sf, "fx_bars")
+    up = bars.groupBy("symbol").agg(F.sum(F.when(SC.candle_up(), 1).otherwise(0)).alias("up"))
+    tiers = QA.catalog_stats(bars).select("symbol", SC.quality_tier().alias("tier"))
+    return up.join(tiers, "symbol")
+
+
+# ------------------------------------------------------------------ vendor tables: S16-S18, N6b, N25, S19, S4
+from .sources import export as EX  # noqa: E402
+
+
+@register("vendor_prices", duckdb_sql(
+    "select timestamp, symbol, 'stocks' as asset_class, 'D1' as timeframe, open, high, low, close, volume, "
+    "close*(case when close > 0 then close*adj_factor/close else 1e0 end) as adj_close, "
+    "case when close > 0 then close*adj_factor/close else 1e0 end as adj_factor, 'vendor_merged' as source, year "
+    "from fx_bars", "fx_bars"))
+def q_vendor_prices(spark, sf):
+    raw = fixture(spark, sf, "fx_bars").select(
+        F.date_format("timestamp", "yyyy-MM-dd").alias("Date"), F.concat("symbol", F.lit(" US Equity")).alias("Ticker"),
+        *[F.col(c).alias(c.capitalize()) for c in ("open", "high", "low", "close", "volume")],
+        (F.col("close") * F.col("adj_factor")).alias("Adj_Close"))
+    return CS.vendor_prices(raw)
+
+
+@register("vendor_fundamentals", duckdb_sql(
+    "select symbol, timestamp, pe_ratio, price_to_book, sales from fx_fund", "fx_fund"))
+def q_vendor_fundamentals(spark, sf):
+    raw = fixture(spark, sf, "fx_fund").select(
+        F.concat("symbol", F.lit(" US Equity")).alias("Ticker"), F.date_format("timestamp", "yyyy-MM-dd").alias("DATE"),
+        F.col("pe_ratio").cast("string").alias("PE_Ratio"), F.col("price_to_book").cast("string").alias("Price_to_Book"),
+        F.col("sales").cast("string").alias("Sales"))
+    return RD.vendor_fundamentals(raw)
+
+
+@register("vendor_volatility", duckdb_sql("select symbol, timestamp, realized_vol_30d from fx_vol", "fx_vol"))
+def q_vendor_volatility(spark, sf):
+    raw = fixture(spark, sf, "fx_vol").select(
+        F.concat(F.lit(" "), "symbol", F.lit(" US Equity")).alias("Ticker"), F.date_format("timestamp", "yyyy-MM-dd").alias("DATE"),
+        F.col("realized_vol_30d").cast("string").alias("Realized_Vol_30D"))
+    return RD.vendor_volatility(raw)
+
+
+@register("option_chain", "select concat('SUP', lpad(cast(l_suppkey as varchar), 6, '0')) as symbol, l_shipdate as timestamp, "
+          "l_shipdate + interval 30 day as expiration, l_extendedprice as strike, l_discount as implied_volatility from lineitem")
+def q_option_chain(spark, sf):
+    raw = fixture(spark, sf, "lineitem").select(
+        F.concat(F.lit("SUP"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("act_symbol"), F.col("l_shipdate").alias("date"),
+        (F.col("l_shipdate") + F.expr("INTERVAL 30 DAY")).alias("expiration"), F.col("l_extendedprice").alias("strike"), F.col("l_discount").alias("implied_volatility"))
+    return RD.option_chain(raw)
+
+
+@register("companies_csv", duckdb_sql(
+    "select upper(symbol) as symbol, exchange, longname, sector, industry, marketcap from fx_meta", "fx_meta"))
+def q_companies_csv(spark, sf):
+    """Written as CSV with the vendor's headers and read back."""
+    path = _scratch(spark, "companies")
+    meta = fixture(spark, sf, "fx_meta")
+    EX.write_csv(meta.select(
+        F.lower("symbol").alias("Symbol"), F.col("exchange").alias("Exchange"), F.col("longname").alias("Shortname"),
+        F.col("longname").alias("Longname"), F.col("sector").alias("Sector"), F.col("industry").alias("Industry"),
+        F.col("marketcap").alias("Marketcap"), F.lit("0.5").alias("Weight"), F.lit('a "quoted", text').alias("Longbusinesssummary")), path)
+    return CS.read_companies(spark, path).select("symbol", "exchange", "longname", "sector", "industry", "marketcap")
+
+
+@register("bulk_csv", duckdb_sql(
+    "select timestamp, symbol, open, high, low, close, volume, close*adj_factor as adj_close from fx_bars where not "
+    "(open is null and high is null and low is null and close is null)", "fx_bars"))
+def q_bulk_csv(spark, sf):
+    """Two layouts of one wide CSV (other column order, an extra column) in one folder."""
+    path = _scratch(spark, "bulk")
+    rows = fixture(spark, sf, "fx_bars").select(
+        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("Date"), "symbol", "open", "high", "low", "close", "volume",
+        (F.col("close") * F.col("adj_factor")).alias("Adj Close"))
+    old = F.col("Date") < "1996"
+    EX.write_csv(rows.filter(old), path)
+    (rows.filter(~old).select("symbol", "close", "Adj Close", "open", "low", "high", "volume", "Date", F.lit("n").alias("note"))
+     .write.mode("append").option("header", True).csv(path))
+    return CS.read_bulk_csv(spark, path, source_tz="UTC").select(
+        "timestamp", "symbol", "open", "high", "low", "close", "volume", "adj_close")
+
+
+# ------------------------------------------------------------------ entries: S20, S21, F2, C2, C4, L3, L5, L6, F9, P3, P7
+@register("macro_range", duckdb_sql(
+    "select cast(epoch(timestamp) as bigint) as time, coalesce(value, 0e0) as value from fx_macro where symbol = 'click'", "fx_macro"))
+def q_macro_range(spark, sf):
+    return RD.macro(fixture(spark, sf, "fx_macro"), "CLICK")
+
+
+@register("financials_range", duckdb_sql(
+    "select * from fx_fin where symbol = 'SUP000003' and report_date >= timestamp '1993-01-01' and report_date <= timestamp "
+    "'1996-01-01'", "fx_fin"))
+def q_financials_range(spark, sf):
+    return RD.financials_of(fixture(spark, sf, "fx_fin"), "sup000003", "1993-01-01", "1996-01-01")
+
+
+@register("metadata_replace", duckdb_sql(
+    "select symbol, longname, sector, cast(null as double) as marketcap from fx_meta where right(symbol, 1) in ('0', '2', '4') "
+    "union all select symbol, longname, sector, marketcap from fx_meta where right(symbol, 1) not in ('0', '2', '4')", "fx_meta"))
+def q_metadata_replace(spark, sf):
+    meta = fixture(spark, sf, "fx_meta").select("symbol", "longname", "sector", "marketcap")
+    new = meta.filter(F.right("symbol", F.lit(1)).isin("0", "2", "4")).withColumn("marketcap", F.lit(None).cast("double"))
+    return CT.upsert_metadata(meta, new, replace=True)
+
+
+@register("top_market_caps", duckdb_sql(
+    "select symbol, sector, marketcap from fx_meta where lower(sector) = 'asia' order by marketcap desc, symbol limit 10", "fx_meta"))
+def q_top_market_caps(spark, sf):
+    return CT.top_by_market_cap(fixture(spark, sf, "fx_meta"), 10, "Asia").select("symbol", "sector", "marketcap")
+
+
+@register("catalog_lists", duckdb_sql(
+    "select distinct 'symbol' as kind, symbol as name from fx_catalog where asset_class = 'stocks' union all "
+    "select distinct 'timeframe', timeframe from fx_catalog", "fx_catalog"))
+def q_catalog_lists(spark, sf):
+    catalog = fixture(spark, sf, "fx_catalog")
+    return B.symbols_of_class(catalog, "stocks").select(F.lit("symbol").alias("kind"), F.col("symbol").alias("name")).unionByName(
+        CT.timeframes(catalog).select(F.lit("timeframe").alias("kind"), F.col("timeframe").alias("name")))
+
+
+@register("plan_daily", duckdb_sql(
+    "select symbol, case when symbol like '%7' then '" + PL.DEFAULT_D1_START + "' else strftime(end_date + interval 1 day, '%Y-%m-%d') end "
+    f"as start, strftime({_NOW_SQL}, '%Y-%m-%d') as \"end\", case when (case when symbol like '%7' then timestamp '" + PL.DEFAULT_D1_START + f"' "
+    f"else end_date + interval 1 day end) >= {_NOW_SQL} "
+    "then 'up_to_date' else 'update' end as status from fx_catalog where rows_count > 0", "fx_catalog"))
+def q_plan_daily(spark, sf):
+    catalog = fixture(spark, sf, "fx_catalog").withColumn("end_date", F.when(F.col("symbol").like("%7"), "N/A").otherwise(
+        F.date_format("end_date", "yyyy-MM-dd")))
+    return PL.plan_daily_stocks(catalog, now=NOW)
+
+
+@register("resample_lake", duckdb_sql(
+    f"with ml as ({_ML}) select symbol, timeframe, count(*) as rows_count, cast(sum(case when close is null then 1 else 0 end) as bigint) as "
+    f"null_closes from (select symbol, timeframe, close from ml union all select symbol, timeframe, close from "
+    f"({_resample_body('15m', 15)}) a union all select symbol, timeframe, close from ({_resample_body('1h', 60)}) b union all "
+    f"select symbol, timeframe, close from ({_resample_body('4h', 240)}) c) l group by symbol, timeframe", "fx_minute"))
+def q_resample_lake(spark, sf):
+    """P7 → A3 → K2 → catalog statistics: the lake's minute series in one job, written back."""
+    root = _scratch(spark, "lake")
+    minute = minute_lake(spark, sf)
+    LK.write_bars(minute.withColumn("year", F.year("timestamp")), root, mode="overwrite")
+    lake = LK.scan_bars(spark, root, extra_schema=T.StructType([T.StructField("event_id", minute.schema["event_id"].dataType)]))
+    work = PL.resample_work_list(QA.catalog_stats(lake).withColumn("source", F.lit("lake")))
+    bars = RS.resample(lake.filter(F.col("timeframe") == "1m").join(work, "symbol", "left_semi"), tie=["event_id"])
+    LK.replace_series(bars, root)
+    return QA.catalog_stats(LK.scan_bars(spark, root)).select(F.lower("symbol").alias("symbol"), "timeframe", "rows_count", "null_closes")
+
+
+# ------------------------------------------------------------------ J4 with five statements, exports, per-symbol tables, XBRL
+_FIVE = {
+    "income": "act_symbol, date, period, sales, net_income, sales/1e6 as diluted_net_eps",
+    "assets": "act_symbol, date, period, sales*3e0 as total_assets, sales*0.4e0 as cash_and_equivalents",
+    "liabilities": "act_symbol, date, period, sales*2e0 as total_liabilities, sales*0.7e0 as long_term_debt",
+    "equity": "act_symbol, date, period, sales as total_equity",
+    "cash_flow": "act_symbol, date, period, sales*0.2e0 as net_cash_from_operating_activities, -sales*0.05e0 as "
+                 "property_and_equipment, sales*0.01e0 as net_change_in_cash_and_equivalents",
+}
+_FIVE_WHERE = {"income": "true", "assets": "sales > 100000", "liabilities": "sales > 120000", "equity": "sales > 90000",
+               "cash_flow": "sales > 50000"}
+
+
+@register("statements_five", duckdb_sql(
+    "select i.act_symbol as symbol, i.date as report_date, i.period as fiscal_period, i.sales as revenue, i.net_income, "
+    "i.sales/1e6 as eps, a.sales*3e0 as total_assets, l.sales*2e0 as total_liabilities, e.sales as equity, a.sales*0.4e0 as cash, "
+    "l.sales*0.7e0 as total_debt, c.sales*0.01e0 as net_change_cash, c.sales*0.2e0 as operating_cf, -c.sales*0.05e0 as capex, "
+    "c.sales*0.2e0 - coalesce(abs(-c.sales*0.05e0), 0e0) as free_cash_flow from fx_income i " + " ".join(
+        f"left join (select * from fx_income where {w}) {t[0]} on i.act_symbol = {t[0]}.act_symbol and i.date = {t[0]}.date and "
+        f"i.period = {t[0]}.period" for t, w in _FIVE_WHERE.items() if t != "income"), "fx_income"))
+def q_statements_five(spark, sf):
+    income = fixture(spark, sf, "fx_income")
+    tables = [income.filter(_FIVE_WHERE[t]).selectExpr(*[x.strip() for x in c.split(", ")]) for t, c in _FIVE.items()]
+    return FD.statements_join(tables[0], tables[1:])
+
+
+@register("statement_export", duckdb_sql(
+    "select strftime(report_date, '%Y-%m-%d') as report_date, symbol, net_income, revenue from fx_fin", "fx_fin"))
+def q_statement_export(spark, sf):
+    """The income view written as CSV and read back."""
+    root = _scratch(spark, "export")
+    fin = fixture(spark, sf, "fx_fin")
+    paths = EX.export_datasets({k: EX.statement_view(fin, k) for k in ("income", "cashflow")}, root)
+    back = CS.read_headed_csv(spark, paths[0])
+    return back.select(F.substring("report_date", 1, 10).alias("report_date"), "symbol",
+                       F.col("net_income").cast("double").alias("net_income"), F.col("revenue").cast("double").alias("revenue"))
+
+
+@register("per_symbol_tables", duckdb_sql("select symbol, report_date, revenue, net_income from fx_fin", "fx_fin"))
+def q_per_symbol_tables(spark, sf):
+    root = _scratch(spark, "financials")
+    LK.write_per_symbol(fixture(spark, sf, "fx_fin").select("symbol", "report_date", "revenue", "net_income"), root, ["report_date"])
+    return spark.read.schema("report_date timestamp_ntz, revenue double, net_income double, symbol string").parquet(root).select(
+        "symbol", "report_date", "revenue", "net_income")
+
+
+_FACTS2 = ("select concat('SUP', lpad(cast(o_custkey as {s}), 6, '0')) as symbol, case when o_custkey % 3 = 0 then 'dei' when o_orderkey "
+           "% 2 = 0 then 'us-gaap' else 'dei' end as taxonomy, case o_orderstatus when 'F' then 'Revenues' when 'O' then 'NetIncomeLoss' "
+           "else 'Assets' end as concept, cast(o_orderkey % 2 as int) as unit_pos, case when o_orderkey % 5 = 0 then '8-K' when "
+           "o_orderkey % 4 = 0 then '10-K' else '10-Q' end as form, date_trunc('quarter', o_orderdate) as end_date, "
+           "o_orderkey as pos, o_totalprice as val from {t}")
+
+
+@register("facts_units", (
+    f"with f as ({_FACTS2.format(s='varchar', t='orders')}), r as (select *, case taxonomy when 'us-gaap' then 0 else 1 end as tx, "
+    "case concept when 'Revenues' then 'revenue' when 'NetIncomeLoss' then 'net_income' else 'total_assets' end as metric from f), "
+    "t as (select *, min(tx) over (partition by symbol) as best_tx from r), a as (select * from t where tx = best_tx and form in "
+    "('10-Q', '10-K')), u as (select *, min(unit_pos) over (partition by symbol, metric) as best_unit from a) "
+    "select symbol, metric, cast(end_date as timestamp) as end_date, arg_max(val, pos) as val, arg_max(form, pos) as form from u "
+    "where unit_pos = best_unit group by symbol, metric, end_date"))
+def q_facts_units(spark, sf):
+    """X1, X3 with two units per concept and both taxonomies."""
+    facts = spark.sql(_FACTS2.replace("{s}", "string"), t=fixture(spark, sf, "orders"))
+    return FD.extract_facts(facts).withColumn("end_date", F.col("end_date").cast("timestamp_ntz"))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.catalog import in_universe
 from ..schemas import BAR_COLUMNS, OHLCV, PARTITION_COLUMNS
@@ -21,10 +22,7 @@ PARQUET_OPTIONS = {"compression": "snappy", "parquet.enable.dictionary": "true",
 def scan_bars(spark: SparkSession, root: str, extra_schema=None) -> DataFrame:
     """The lake as a DataFrame with an explicit schema (partition values stay
     strings, '0001' stays '0001'; absent columns read as null)."""
-    schema = OHLCV
-    if extra_schema is not None:
-        for f in extra_schema.fields:
-            schema = schema.add(f)
+    schema = StructType([*OHLCV.fields, *(extra_schema.fields if extra_schema is not None else [])])
     try:
         return spark.read.schema(schema).option("basePath", root).parquet(root)
     except Exception as e:  # noqa: BLE001  (empty or missing lake)
