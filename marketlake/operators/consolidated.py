@@ -115,11 +115,11 @@ def feature_table(consolidated_view: DataFrame, n: int = 20, timeframe: str = "D
     """Momentum feature over the consolidated view (needs ``keep_keys=True``; its
     (symbol, block) partitioning is reused, so the lag adds no shuffle of the rows).
 
-    The lag materialises its windowed rows once (shared checkpoint folder), so the
-    as-of pipeline runs once although the lag reads it in two branches.
+    Nothing is written in between: the lag's edge branch reads only the key, time and close
+    columns of the view, and Catalyst prunes the rest of the as-of pipeline from it.
     """
     d = lag_n(consolidated_view, ["symbol"], "timestamp", "close", n, "__prev", block_seconds_for(timeframe),
-              block_col="__blk", materialize=True)
+              block_col="__blk")
     return d.withColumn(f"momentum_{n}d", (F.col("close") - F.col("__prev")) / F.col("__prev")).drop("__prev")
 
 
