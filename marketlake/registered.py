@@ -803,14 +803,18 @@ def q_replace_series(spark, sf):
     return LK.scan_bars(spark, root)
 
 
+_PAGE = 5_000
+
+
 def _mt5_landing(spark, sf) -> str:
     """Platform exports of the minute bars: click/error/signup as tab files with a
-    <DATE> <TIME> header named SYM_M1, the others header-less comma files named SYM1."""
+    <DATE> <TIME> header named SYM_M1, the others header-less comma files named SYM1. A file
+    holds at most _PAGE consecutive events, so more events are more files and more tasks."""
     m = fixture(spark, sf, "fx_minute")
     hdr = m.filter(F.col("symbol").isin("click", "error", "signup"))
     txt = (lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")))
     a = hdr.select(F.concat(F.col("symbol"), F.lit("_M1")).alias("fname"),
-                   F.date_format("timestamp", "yyyy-MM").alias("part"), F.lit(1).alias("k"), "timestamp", "event_id",
+                   F.floor(F.col("event_id") / _PAGE).cast("string").alias("part"), F.lit(1).alias("k"), "timestamp", "event_id",
                    F.concat_ws("\t", F.date_format("timestamp", "yyyy.MM.dd"), F.date_format("timestamp", "HH:mm"),
                                txt("open"), txt("high"), txt("low"), txt("close"), txt("volume"), txt("event_id"),
                                F.lit("0")).alias("value"))
@@ -819,7 +823,7 @@ def _mt5_landing(spark, sf) -> str:
                       F.lit(None).cast("long").alias("event_id"),
                       F.lit("<DATE>\t<TIME>\t<OPEN>\t<HIGH>\t<LOW>\t<CLOSE>\t<TICKVOL>\t<VOL>\t<SPREAD>").alias("value")))
     b = (m.filter(~F.col("symbol").isin("click", "error", "signup"))
-         .select(F.concat(F.col("symbol"), F.lit("1")).alias("fname"), F.date_format("timestamp", "yyyy-MM").alias("part"),
+         .select(F.concat(F.col("symbol"), F.lit("1")).alias("fname"), F.floor(F.col("event_id") / _PAGE).cast("string").alias("part"),
                  F.lit(1).alias("k"), "timestamp", "event_id",
                  F.concat_ws(",", F.date_format("timestamp", "yyyy.MM.dd HH:mm:ss"), txt("open"), txt("high"),
                              txt("low"), txt("close"), txt("volume"), txt("event_id"),
@@ -857,7 +861,8 @@ def q_json_bars(spark, sf):
     bar = F.struct(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("t"), F.col("open").alias("o"),
                    F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"),
                    F.col("volume").alias("v"), F.col("event_id").cast("double").alias("n"), F.col("open").alias("vw"))
-    pages = (m.groupBy("symbol", _day(F.col("timestamp")).alias("day"))        # one page per symbol-day
+    # a page holds at most _PAGE consecutive events of a symbol-day, as a vendor's pages are bounded
+    pages = (m.groupBy("symbol", _day(F.col("timestamp")).alias("day"), F.floor(F.col("event_id") / _PAGE).alias("page"))
              .agg(F.collect_list(bar).alias("bars"))
              .select(F.to_json(F.struct(F.create_map("symbol", "bars").alias("bars"),
                                         F.lit(None).cast("string").alias("next_page_token"))).alias("value")))
@@ -876,7 +881,7 @@ def q_klines(spark, sf):
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     ms = F.timestamp_diff("MILLISECOND", epoch, F.col("timestamp"))
     k = F.array(ms.cast("double"), "open", "high", "low", "close", "volume")
-    pages = (m.groupBy("symbol", _day(F.col("timestamp")).alias("day"))
+    pages = (m.groupBy("symbol", _day(F.col("timestamp")).alias("day"), F.floor(F.col("event_id") / _PAGE).alias("page"))
              .agg(F.collect_list(k).alias("klines"))
              .select(F.to_json(F.struct("symbol", (F.timestamp_diff("MILLISECOND", epoch, F.col("day"))
                                                   + F.lit(20 * 3600 * 1000)).alias("end_ms"), "klines")).alias("value")))
@@ -926,12 +931,11 @@ def q_last_n_bars(spark, sf):
 
 
 @register("sql_adhoc", duckdb_sql(
-    "select symbol, timeframe, count(*) as bars, min(timestamp) as start_date, max(timestamp) as end_date "
-    "from fx_raw_bars where asset_class = 'stocks' and timeframe = 'D1' group by symbol, timeframe", "fx_raw_bars"))
+    "select symbol, year, max(high) as top, min(low) as bottom, cast(sum(case when close is null then 1 else 0 end) as bigint) as no_close "
+    "from fx_raw_bars group by symbol, year", "fx_raw_bars"))
 def q_sql_adhoc(spark, sf):
-    return QY.sql(spark, "SELECT symbol, timeframe, COUNT(*) as bars, MIN(timestamp) as start_date, "
-                         "MAX(timestamp) as end_date FROM ohlcv WHERE asset_class = 'stocks' AND timeframe = 'D1' "
-                         "GROUP BY symbol, timeframe", {"ohlcv": fixture(spark, sf, "fx_raw_bars")})
+    return QY.sql(spark, "SELECT symbol, year, max(high) AS top, min(low) AS bottom, count_if(close IS NULL) AS no_close "
+                         "FROM ohlcv GROUP BY symbol, year", {"ohlcv": fixture(spark, sf, "fx_raw_bars")})
 
 
 @register("resample_all", duckdb_sql(
