@@ -121,10 +121,11 @@ def adjust(df: DataFrame, adjusted=True) -> DataFrame:
 
 
 def get_ohlcv(lake: DataFrame, symbols=None, timeframe: str | None = "D1", start=None, end=None,
-              adjusted=True, source_priority: Sequence[str] | None = None, keep_block: bool = False) -> DataFrame:
-    """Bars of some (or all) symbols, de-duplicated and (un)adjusted. Unordered.
+              adjusted=True, source_priority: Sequence[str] | None = None, keep_block: bool = False,
+              ordered: bool = False) -> DataFrame:
+    """Bars of some (or all) symbols, de-duplicated and (un)adjusted; by symbol and
+    timestamp if ``ordered`` (L1, a range-partitioned sort).
 
-    Call ``.orderBy("symbol", "timestamp")`` at the edge if order matters (L1).
     ``keep_block`` partitions the de-dup on (symbol, time block) and returns the block as
     ``__blk``: per-series sequential work after it (returns, momentum) then reuses that
     exchange and that sort. (The timeframe is left out of the hash: it is often a
@@ -137,7 +138,8 @@ def get_ohlcv(lake: DataFrame, symbols=None, timeframe: str | None = "D1", start
         bars = dedup_bars(bars, keys=["symbol", "timeframe", "__blk", "timestamp"], source_priority=source_priority)
     else:
         bars = dedup_bars(bars, source_priority=source_priority)
-    return adjust(bars, adjusted)
+    bars = adjust(bars, adjusted)
+    return bars.orderBy("symbol", "timestamp") if ordered else bars
 
 
 def chart_records(bars: DataFrame, start=None, end=None) -> DataFrame:
@@ -185,7 +187,8 @@ def latest_bar(bars: DataFrame, keys: Sequence[str] = ("symbol", "timeframe")) -
 
 def last_n_bars(bars: DataFrame, n: int = 100) -> DataFrame:
     """L2: the ``n`` most recent bars (TakeOrdered, a top-k, not a global sort)."""
-    return bars.orderBy(F.col("timestamp").desc(), F.col("symbol")).limit(n)
+    ties = [F.col(c) for c in ("symbol", "timeframe", "asset_class") if c in bars.columns]
+    return bars.orderBy(F.col("timestamp").desc(), *ties).limit(n)
 
 
 def top_symbols(bars: DataFrame, k: int = 10, timeframe: str = "D1", asset_class: str = "stocks") -> DataFrame:

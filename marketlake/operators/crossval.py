@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bars import filter_bars
+
 KEYS = ["symbol", "timeframe"]
 # fixed values: reliability loses 10 points per 1 % mean difference; > 1 % is a discrepancy
 RELIABILITY_PER_PCT = 10.0
@@ -50,25 +52,31 @@ def _by_timestamp(bars: DataFrame, source1: str, source2: str, keys: list[str])
                     diff.alias("diff_pct"))
 
 
-def compare_sources(bars: DataFrame, source1: str, source2: str, keys: Sequence[str] = KEYS) -> DataFrame:
+def _within(bars: DataFrame, symbols=None, timeframe: str | None = None, start=None, end=None) -> DataFrame:
+    return filter_bars(bars, symbols, timeframe, start, end)
+
+
+def compare_sources(bars: DataFrame, source1: str, source2: str, keys: Sequence[str] = KEYS, **window) -> DataFrame:
     """The rows both sources have on the same (series, timestamp), one per source
-    after de-duplication, with the % difference of close."""
+    after de-duplication, with the % difference of close. ``window``: ``symbols``,
+    ``timeframe``, ``start``, ``end``, as in ``filter_bars`` (all bars by default)."""
     keys = list(keys)
     a, b = _tag(source1), _tag(source2)
-    t = _by_timestamp(bars, source1, source2, keys)
+    t = _by_timestamp(_within(bars, **window), source1, source2, keys)
     return t.filter(F.col("__in1") & F.col("__in2")).select(
         *keys, "timestamp", F.col("__c1").alias(f"close_{a}"), F.col("__c2").alias(f"close_{b}"), "diff_pct")
 
 
-def cross_validate(bars: DataFrame, source1: str, source2: str, keys: Sequence[str] = KEYS) -> DataFrame:
+def cross_validate(bars: DataFrame, source1: str, source2: str, keys: Sequence[str] = KEYS, **window) -> DataFrame:
     """Per series — rows per source, rows compared, mean/max/sample-std of the %
     difference (std 0 for one row), reliability max(0, 100 − 10 × mean), rows > 1 %.
 
     Series present in only one source get zero rows compared and reliability 0. The
     second group-by runs on the per-timestamp table, one row per (series, timestamp).
+    ``window`` as in ``compare_sources`` (E6).
     """
     keys = list(keys)
-    t = _by_timestamp(bars, source1, source2, keys)
+    t = _by_timestamp(_within(bars, **window), source1, source2, keys)
     both = F.col("__in1") & F.col("__in2")
     d = F.when(both, F.col("diff_pct"))
     out = t.groupBy(*keys).agg(
@@ -90,6 +98,6 @@ def cross_validate(bars: DataFrame, source1: str, source2: str, keys: Sequence[s
 
 
 def discrepancies(bars: DataFrame, source1: str, source2: str, keys: Sequence[str] = KEYS,
-                  threshold_pct: float = DISCREPANCY_PCT) -> DataFrame:
+                  threshold_pct: float = DISCREPANCY_PCT, **window) -> DataFrame:
     """The compared rows whose difference exceeds ``threshold_pct``."""
-    return compare_sources(bars, source1, source2, keys).filter(F.col("diff_pct") > threshold_pct)
+    return compare_sources(bars, source1, source2, keys, **window).filter(F.col("diff_pct") > threshold_pct)

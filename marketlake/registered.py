@@ -267,6 +267,15 @@ def q_cross_validate(spark, sf):
                                                           "reliability_score") else F.col(c) for c in out.columns])
 
 
+@register("discrepancies_range", duckdb_sql(
+    _XV_BASE + "select * from p where symbol in ('SUP000001', 'SUP000002') and timestamp >= timestamp '1994-01-01' and "
+    "timestamp <= timestamp '1996-12-31'", "fx_two_source"))
+def q_discrepancies_range(spark, sf):
+    """E6 with its arguments: two symbols, a timeframe and a range of dates."""
+    return CV.compare_sources(_two_source(spark, sf), "vendor_a", "vendor_b", symbols=["sup000001", "SUP000002"],
+                              timeframe="D1", start="1994-01-01", end="1996-12-31")
+
+
 @register("discrepancies", duckdb_sql(_XV_BASE + "select * from p where diff_pct > 1", "fx_two_source"))
 def q_discrepancies(spark, sf):
     return CV.discrepancies(_two_source(spark, sf), "vendor_a", "vendor_b")
