@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.llm.native_text import ascii_lower, gram_hashes, let, shifted, split_words
+from marketlake.llm.storage import materialise
 
 WINDOW, GRAM = 10, 5
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -111,7 +112,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """One row per document: ``doc_id, n_words, n_hit, item_ids`` (strings, sorted)."""
     own = _prepared(docs, id_col, text_col)
     windows = benchmark_windows(benchmark, window, k)
-    found = hits(own, windows, window=window, k=k)
+    found = materialise(hits(own, windows, window=window, k=k), "decontamination-hits")  # read twice below
     key = ["doc_id", "text_hash"]
     places = found.groupBy(*key).agg(F.collect_set(F.struct("start", "n")).alias("at")).select(*key, F.size(F.array_distinct(
         F.flatten(F.transform("at", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1))))).cast("long").alias("n_hit"))
