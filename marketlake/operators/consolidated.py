@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .asof import Right, asof_fill
-from .bars import _ts_literal, adjust, dedup_bars, filter_bars, get_ohlcv, lag_n, standard_projection
+from .bars import _ts_literal, adjust, dedup_bars, filter_bars, lag_n, standard_projection
 from .blocked import block_seconds_for
 
 # fixed values: output order of the joined columns (only those present are returned)

@@ -138,7 +138,8 @@ def read_headed_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV files of one folder, each with its own header: columns are matched by name, so
     files may order, add or leave out columns. Names are compared in lower case; a column is
     called as in the first layout (by text) that has it. All are text, and
-    ``__file`` and ``__size`` tell the file. A record is one line.
+    ``__file`` and ``__size`` tell the file. A record is one line; lines equal to their
+    file's header are left out.
 
     Lines are scanned in parallel; the header of each file comes from one group-by, and the
     distinct layouts (a handful, however many files) fix the schema."""
@@ -147,7 +148,7 @@ def read_headed_csv(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_size").alias("__size"),
         F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row")).alias("place")
     ).where(F.trim("line") != "")
-    heads = lines.groupBy("path").agg(F.min_by("line", "place").alias("header"), F.min("place").alias("first"))
+    heads = lines.groupBy("path").agg(F.min_by("line", "place").alias("header"))
     layouts = sorted(r["header"] for r in heads.select("header").distinct().collect())
     names: dict[str, str] = {}
     fields: dict[str, list[str]] = {}
@@ -157,7 +158,7 @@ def read_headed_csv(spark: SparkSession, path: str) -> DataFrame:
             names.setdefault(c.lower(), c)
     width = max(map(len, fields.values()), default=1)
     record = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(width))))
-    rows = lines.join(heads, "path").where(F.col("place") != F.col("first")).withColumn("r", record)
+    rows = lines.join(heads, "path").where(F.col("line") != F.col("header")).withColumn("r", record)
 
     def value(name: str) -> Column:
         out = F.lit(None).cast("string")
