@@ -30,7 +30,9 @@ from marketlake.llm.text_arrays import (gram_hashes, mix, single_spaced, sliding
                                         utf8_buffer, words)
 
 WINDOW = 35
-MINIMISER = 6
+MINIMISER = 4
+#: zstandard level of what is sent.
+LEVEL = 9
 CHUNK_BYTES = 8 << 20
 #: Parts of a task's bucket, each sorted on its own.
 PARTS = 4
@@ -42,7 +44,8 @@ _COVER = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("lo", pa
 
 def _pack(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(
+            compression=pa.Codec("zstd", LEVEL))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
