@@ -38,8 +38,13 @@ def shifted(a: Column, b: Column, by: int, combine: Callable[[Column, Column], C
 
 
 def gram_hashes(words: Column, n: int) -> Column:
-    """64-bit hash of every ``n`` consecutive words, by doubling: a gram is hashed from the two
-    halves' hashes, and an odd one from its first half and the last word."""
+    """64-bit hash of every ``n`` consecutive words."""
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda ones: doubled(ones, n))
+
+
+def doubled(ones: Column, n: int) -> Column:
+    """The same from the words' hashes, by doubling: a gram is hashed from the two halves'
+    hashes, and an odd one from its first half and the last word."""
     def of(k: int, ones: Column) -> Column:
         if k == 1:
             return ones
@@ -48,4 +53,4 @@ def gram_hashes(words: Column, n: int) -> Column:
             shifted(h, h, half, lambda x, y: F.xxhash64(x, y)),
             lambda even: even if k % 2 == 0 else shifted(even, ones, k - 1, lambda x, y: F.xxhash64(x, y))))
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda ones: of(n, ones))
+    return of(n, ones)

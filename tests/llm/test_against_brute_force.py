@@ -2,7 +2,6 @@
 
 import hashlib
 import re
-import struct
 import zlib
 from collections import Counter
 
@@ -115,14 +114,12 @@ def test_quality_rules(llm, texts):
         q, t = worst.get(r.doc_id, (1, 0))
         worst[r.doc_id] = min(q, r.quality), max(t, r.toxic)
     trusted = {i for i, x in worst.items() if x == (1, 0)}
-    token = re.compile("[0-9A-Za-z\x80-\U0010ffff]+|[^\x00-\x20\x7f0-9A-Za-z\x80-\U0010ffff]+")
+    sign = re.compile("[^\x00-\x20\x7f0-9A-Za-z\x80-\U0010ffff]+")
 
     def buckets(text):
-        h = [xxhash.xxh64_intdigest(t.encode(), 42) for t in token.findall(text)]
-        pack = lambda x: struct.pack("<Q", x)
-        h += [xxhash.xxh64_intdigest(pack(b), xxhash.xxh64_intdigest(pack(a), 42)) for a, b in zip(h, h[1:])]
-        signed = [x - (1 << 64) if x >> 63 else x for x in h]
-        return np.array([x % quality_rules.BUCKETS for x in signed], dtype=np.int64)
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text)]
+        h += [xxhash.xxh64_intdigest(b"sign", xxhash.xxh64_intdigest(w.encode(), 42)) for w in sign.findall(text)]
+        return np.array([x % quality_rules.BUCKETS for x in h], dtype=np.int64)
 
     grams = {i: buckets(t) for i, t in texts.items()}
     raw = np.bincount(np.concatenate(list(grams.values())), minlength=quality_rules.BUCKETS)
