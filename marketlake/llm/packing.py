@@ -27,6 +27,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,11 @@ def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """``x`` with room for ``n`` items, at least twice as long if it has to grow."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n - len(x), len(x)), x.dtype)])
+
+
 class PieceTokenizer:
     """Ids of many texts at once; see the module's text."""
 
@@ -81,30 +87,31 @@ class PieceTokenizer:
     def _ids(self, piece: bytes, plain: bool) -> list[int]:
         text = piece.decode("utf-8", "replace")
         if plain:
-            return [t.id for t in self.piece.tokenize(text.translate(self.shown))]
+            return [t.id for t in self.piece.tokenize(text if text.isascii() else text.translate(self.shown))]
         return self.whole.encode(text, add_special_tokens=False).ids
 
-    def _add(self, key: np.uint64, ids: list[int]) -> None:
-        if self.n + 2 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-        a = self.first[self.n]
-        while a + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[a:a + len(ids)] = ids
-        self.first[self.n + 1] = a + len(ids)
+    def _add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        """Append the lists of ids of new, distinct keys."""
+        n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        rows = np.arange(self.n, self.n + len(ids))
+        self.first = _room(self.first, self.n + len(ids) + 1)
+        self.first[rows + 1] = self.first[self.n] + np.cumsum(n)
+        self.flat = _room(self.flat, int(self.first[self.n + len(ids)]))
+        self.flat[self.first[self.n]:self.first[self.n + len(ids)]] = list(chain.from_iterable(ids))
+        self.n += len(ids)
         if 3 * self.n > 2 * len(self.keys):  # only a document of millions of pieces gets here
-            old = self.keys, self.rows
-            self.keys, self.rows = (np.zeros(2 * len(x), x.dtype) for x in old)
-            for k, row in zip(*(x[old[0] > 0] for x in old)):
-                self._place(k, row)
-        self._place(key, self.n)
-        self.n += 1
-
-    def _place(self, key: np.uint64, row: int) -> None:
-        slot = int(key) % len(self.keys)
-        while self.keys[slot]:
-            slot = (slot + 1) % len(self.keys)
-        self.keys[slot], self.rows[slot] = key, row
+            old = self.keys > 0
+            keys, rows = np.concatenate([self.keys[old], keys]), np.concatenate([self.rows[old], rows])
+            self.keys, self.rows = (np.zeros(4 * len(keys), x.dtype) for x in (self.keys, self.rows))
+        slot = (keys % np.uint64(len(self.keys))).astype(np.int64)
+        while len(keys):  # each round fills free slots, one key a slot, and moves the others on
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.keys[slot[put]], self.rows[slot[put]] = keys[put], rows[put]
+            rest = np.ones(len(keys), dtype=bool)
+            rest[put] = False
+            keys, rows, slot = keys[rest], rows[rest], (slot[rest] + 1) % len(self.keys)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Row of each key, -1 where it is new."""
@@ -154,8 +161,9 @@ class PieceTokenizer:
         new = np.flatnonzero(at < 0)
         if len(new):
             _, first = np.unique(keys[new], return_index=True)
-            for j in new[first].tolist():
-                self._add(keys[j], self._ids(low[start[j]:end[j]].tobytes(), not whole[j]))
+            j = new[first]
+            raw, spans = low.tobytes(), zip(start[j].tolist(), end[j].tolist(), whole[j].tolist())
+            self._add(keys[j], [self._ids(raw[a:b], not w) for a, b, w in spans])
             at[new] = self._find(keys[new])
         n = self.first[at + 1] - self.first[at]
         stop = np.cumsum(n)

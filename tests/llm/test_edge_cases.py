@@ -147,6 +147,20 @@ def test_pieces_equal_the_whole_tokenizer():
     assert isinstance(ids, np.ndarray)
 
 
+def test_piece_table_grows_and_is_cleared(monkeypatch):
+    import pyarrow as pa
+
+    from marketlake.llm import packing as module
+    from marketlake.llm.text_arrays import utf8_buffer
+
+    monkeypatch.setattr(module, "CACHE_PIECES", 100)
+    tokenizer = PieceTokenizer(public_vocabulary())
+    texts = [" ".join(f"ab{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(k, k + 300)) for k in (0, 200, 400)]
+    for text in texts:
+        ids, _ = tokenizer(*utf8_buffer(pa.array([text])))
+        assert ids.tolist() == tokenizer.whole.encode(text, add_special_tokens=False).ids
+
+
 def test_url_rules(llm):
     urls = [None, "", "no scheme", "http://", "https://COM/x", "http://a.www.Example.com/en/1?q", "x://example.com/en/", "x://example.com/en",
             "x://badexample.com/en/", "x://net/es/", "x://b.net/es/?", "x://b.net/fr#", "x://com", "x://b.net/pt/", "x://a.com?u=/en/"]
