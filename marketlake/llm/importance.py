@@ -1,17 +1,19 @@
 """Operator 3, quality classifier by importance resampling.
 
 Texts are bags of hashed n-grams: each token (a run of letters and digits, or of signs) falls in one
-of ``BUCKETS`` buckets, and one more bucket counts the bigrams that a document has already had, as
-repeated lines and words are the mark of much junk. Generative models are the bucket counts of
+of ``BUCKETS`` buckets, and one more bucket counts the
+pairs of neighbouring tokens that a window of ``WINDOW`` tokens has already had, as repeated lines and words are the mark of much junk
+(the share of such pairs does not grow with the text). Generative models are the bucket counts of
 
 * the target: trusted documents (quality 1, not toxic) among the labelled;
 * the raw text: all documents;
 * the toxic documents among the labelled.
 
-A document's log weight is the smaller of two sums over its tokens, in nats: the log ratio of target
-to raw plus ``QUALITY_MARGIN``, and the log ratio of target to toxic, of strong witnesses only (below
-``STRONG``), plus ``TOXIC_MARGIN``. Counts are smoothed on the scale of the target, so that a
-bucket that is seldom seen says nothing. Then k documents, as many as have a weight above zero, are
+A document's log weight is the smaller of two sums, in nats: the log ratios of target to raw, of a text longer than
+``REACH`` tokens their mean times ``REACH``, plus ``QUALITY_MARGIN``; and the log ratios of target to toxic, of strong
+witnesses only (below ``STRONG``), in the worst window, plus the log of the number of windows (the worst of many is bad by chance), plus
+``TOXIC_MARGIN``. So neither sum falls with the text's length. Counts are smoothed on the scale of the target,
+so that a bucket that is seldom seen says nothing. Then k documents, as many as have a weight above zero, are
 drawn by Gumbel top-k: weight plus noise (a hash of id and text, times ``TEMPERATURE``), the k
 largest kept; ties on the last place are all kept.
 
@@ -43,28 +45,39 @@ MAX_LABELS = 200_000
 QUALITY_MARGIN, TOXIC_MARGIN = 20.0, 5.5
 QUALITY_PRIOR, TOXIC_PRIOR = 20.0, 1.0
 STRONG = -3.0
+#: Tokens of a window: the scale on which repeats and insults are judged.
+WINDOW = 512
+#: Tokens of which the quality sum of a longer text is the average.
+REACH = 64
 TEMPERATURE = 0.25
 BINS = 1024
+#: The bucket after those of tokens.
+REPEATED = BUCKETS
+COUNTS = ("raw", "target", "toxic")
 
 _KIND = np.full(256, 2, dtype=np.uint8)
 _KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
 _KIND[SPACE] = 0
 
 
-def _tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, document) of every token and of every repeated bigram."""
+def _tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, document, window) of every token and of every pair of neighbouring tokens that its
+    window has already had. Windows are numbered through all documents, and a pair is of its second token's."""
     start, end = runs(_KIND[data], bounds)
     h = span_hashes(data, start, end)
     doc = np.searchsorted(bounds, start, side="right") - 1
-    pair = mix(h[:-1] + np.uint64(3) * h[1:]) ^ mix(doc[1:].astype(np.uint64))
+    n = np.bincount(doc, minlength=len(bounds) - 1)
+    many = -(-n // WINDOW)
+    window = (np.cumsum(many) - many)[doc] + (np.arange(len(h)) - (np.cumsum(n) - n)[doc]) // WINDOW
     inside = doc[1:] == doc[:-1]
-    _, first = np.unique(pair[inside], return_index=True)
-    again = np.ones(int(inside.sum()), dtype=bool)
+    pair = mix(h[:-1] + np.uint64(3) * h[1:])[inside]
+    doc2, window2 = doc[1:][inside], window[1:][inside]
+    _, first = np.unique(pair ^ mix(window2.astype(np.uint64)), return_index=True)
+    again = np.ones(len(pair), dtype=bool)
     again[first] = False
-    again = doc[1:][inside][again]
     shift = np.uint64(65 - BUCKETS.bit_length())
-    return (np.concatenate([(h >> shift).astype(np.int64), np.full(len(again), BUCKETS)]),
-            np.concatenate([doc, again]))
+    return (np.concatenate([(h >> shift).astype(np.int64), np.full(int(again.sum()), REPEATED)]),
+            np.concatenate([doc, doc2[again]]), np.concatenate([window, window2[again]]))
 
 
 def label_sample(labels: DataFrame, bound: int = MAX_LABELS) -> tuple[np.ndarray, np.ndarray]:
@@ -78,12 +91,12 @@ def label_sample(labels: DataFrame, bound: int = MAX_LABELS) -> tuple[np.ndarray
 
 
 def models(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> tuple[np.ndarray, np.ndarray]:
-    """Log ratios by bucket: target to raw, and target to toxic (strong witnesses, else 0)."""
+    """Log ratios by bucket: target to raw, and trusted to toxic documents (strong witnesses, else 0)."""
     sample = docs.sparkSession.sparkContext.broadcast(label_sample(labels, max_labels))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, kinds = sample.value
-        counts = np.zeros((3, BUCKETS + 1), dtype=np.int64)
+        counts = np.zeros((3, REPEATED + 1), dtype=np.int64)
         for batch in batches:
             own = batch.column(0)
             known = np.asarray(own.is_valid())
@@ -92,29 +105,49 @@ def models(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) ->
             kind = np.where(known & (ids[at] == own), kinds[at], 0) if len(ids) else np.zeros(len(own), np.int64)
             data, bounds = utf8_buffer(batch.column(1))
             for a, b in slices(bounds):
-                bucket, doc = _tokens(data[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a])
-                counts[0] += np.bincount(bucket, minlength=BUCKETS + 1)
-                for k in (1, 2):
-                    counts[k] += np.bincount(bucket[kind[a:b][doc] == k], minlength=BUCKETS + 1)
-        some = np.flatnonzero(counts[0])
+                bucket, doc, _ = _tokens(data[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a])
+                np.add.at(counts[0], bucket, 1)
+                of = kind[a:b][doc]
+                np.add.at(counts[1], bucket[of == 1], 1)
+                np.add.at(counts[2], bucket[of == 2], 1)
+        some = np.flatnonzero(counts.any(axis=0))
         for i in range(0, len(some), 100_000):
             part = some[i:i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(c[part]) for c in counts)],
-                                             names=["bucket", "raw", "target", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(c[part]) for c in counts)], names=["bucket", *COUNTS])
 
     sums = (docs.select(F.col("doc_id").cast("long"), "text")
-            .mapInArrow(count, "bucket long, raw long, target long, toxic long")
-            .groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("raw", "target", "toxic"))).toArrow())
-    full = np.zeros((3, BUCKETS + 1))
-    for row, name in zip(full, ("raw", "target", "toxic")):
+            .mapInArrow(count, "bucket long, " + ", ".join(f"{c} long" for c in COUNTS))
+            .groupBy("bucket").agg(*(F.sum(c).alias(c) for c in COUNTS)).toArrow())
+    full = np.zeros((3, REPEATED + 1))
+    for row, name in zip(full, COUNTS):
         row[sums["bucket"].to_numpy()] = sums[name].to_numpy()
-    raw, target, toxic = full
+    return ratios_of(full)
+
+
+def ratios_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``models`` from the counts by bucket."""
+    raw, target, toxic = counts
     share = lambda a, b: a.sum() / b.sum() if b.sum() else 0.0
     quality = np.log((target + QUALITY_PRIOR) / (raw * share(target, raw) + QUALITY_PRIOR))
     safety = np.log((target * share(toxic, target) + TOXIC_PRIOR) / (toxic + TOXIC_PRIOR))
     return quality, np.where(safety < STRONG, safety, 0.0)
 
 
+def weigh(data: np.ndarray, bounds: np.ndarray, ratios: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of tokens and both sums of the documents of one slice."""
+    quality, safety = ratios
+    size = len(bounds) - 1
+    bucket, doc, window = _tokens(data, bounds)
+    n = np.bincount(doc[bucket < BUCKETS], minlength=size)
+    total = np.bincount(doc, weights=quality[bucket], minlength=size) * (REACH / np.maximum(n, REACH))
+    many = -(-n // WINDOW)
+    hit = np.flatnonzero(safety[bucket] != 0)
+    by_window = np.bincount(window[hit], weights=safety[bucket[hit]], minlength=int(many.sum()))
+    worst = np.zeros(size)
+    np.minimum.at(worst, np.repeat(np.arange(size), many), by_window)
+    return n, total, np.minimum(worst + np.log(np.maximum(many, 1)), 0.0)
+
+
 def scored(docs: DataFrame, ratios: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """``docs`` with three columns more: the number of tokens and both sums."""
     at = docs.columns.index("text")
@@ -127,11 +160,9 @@ def scored(docs: DataFrame, ratios: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         for batch in batches:
             data, bounds = utf8_buffer(batch.column(at))
             for a, b in slices(bounds):
-                bucket, doc = _tokens(data[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a])
-                n = np.bincount(doc[bucket < BUCKETS], minlength=b - a)
-                sums = [np.bincount(doc, weights=r[bucket], minlength=b - a).astype(np.float64) for r in shared.value]
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n), *map(pa.array, sums)], names=names)
+                sums = weigh(data[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a], shared.value)
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, sums)], names=names)
 
     return docs.mapInArrow(run, schema)
 
