@@ -1,8 +1,8 @@
 """Operator 3, quality classifier by importance resampling.
 
 Texts are bags of hashed n-grams: each token (a run of letters and digits, or of signs) falls in one
-of ``BUCKETS`` buckets, and one more bucket counts the
-pairs of neighbouring tokens that a window of ``WINDOW`` tokens has already had, as repeated lines and words are the mark of much junk
+of ``BUCKETS`` buckets, each pair of neighbouring tokens in one of as many others, and one more bucket counts the
+pairs that a window of ``WINDOW`` tokens has already had, as repeated lines and words are the mark of much junk
 (the share of such pairs does not grow with the text). Generative models are the bucket counts of
 
 * the target: trusted documents (quality 1, not toxic) among the labelled;
@@ -51,8 +51,8 @@ WINDOW = 512
 REACH = 64
 TEMPERATURE = 0.25
 BINS = 1024
-#: The bucket after those of tokens.
-REPEATED = BUCKETS
+#: The bucket after those of tokens and of pairs.
+REPEATED = 2 * BUCKETS
 COUNTS = ("raw", "target", "toxic")
 
 _KIND = np.full(256, 2, dtype=np.uint8)
@@ -61,7 +61,7 @@ _KIND[SPACE] = 0
 
 
 def _tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, document, window) of every token and of every pair of neighbouring tokens that its
+    """(bucket, document, window) of every token, of every pair of neighbouring tokens and of every pair that its
     window has already had. Windows are numbered through all documents, and a pair is of its second token's."""
     start, end = runs(_KIND[data], bounds)
     h = span_hashes(data, start, end)
@@ -76,8 +76,9 @@ def _tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     again = np.ones(len(pair), dtype=bool)
     again[first] = False
     shift = np.uint64(65 - BUCKETS.bit_length())
-    return (np.concatenate([(h >> shift).astype(np.int64), np.full(int(again.sum()), REPEATED)]),
-            np.concatenate([doc, doc2[again]]), np.concatenate([window, window2[again]]))
+    return (np.concatenate([(h >> shift).astype(np.int64), (pair >> shift).astype(np.int64) + BUCKETS,
+                            np.full(int(again.sum()), REPEATED)]),
+            np.concatenate([doc, doc2, doc2[again]]), np.concatenate([window, window2, window2[again]]))
 
 
 def label_sample(labels: DataFrame, bound: int = MAX_LABELS) -> tuple[np.ndarray, np.ndarray]:

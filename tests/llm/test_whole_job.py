@@ -22,3 +22,11 @@ def test_clean_texts_stay_whatever_their_length(llm):
     rows = [(n, " ".join((w * (n // len(w) + 1))[:n])) for w in words.values() for n in (10_000, 100_000, 1_000_000)]
     got = importance._keyed(llm.createDataFrame(rows, "doc_id long, text string"), importance.models(docs, labels), 0)
     assert len(rows) == 12 and all(r.log_weight > 0 for r in got.select("log_weight").collect())
+
+
+def test_word_order_counts_in_the_classifier(llm):
+    words = [f"word{i}" for i in range(50)]
+    rows = [(i, " ".join(words * 4)) for i in range(40)] + [(i, " ".join(words[::-1] * 4)) for i in range(40, 80)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    labels = llm.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in importance.resample(docs, labels).where("kept").collect()} == set(range(40))
