@@ -7,11 +7,16 @@ pairs that a window of ``WINDOW`` tokens has already had, as repeated lines and
 
 * the target: trusted documents (quality 1, not toxic) among the labelled;
 * the raw text: all documents;
-* the toxic documents among the labelled.
+
+and the numbers of labelled documents, trusted and toxic, that have a token or pair at all. A witness is one
+that more toxic documents have than chance explains: its surprise (the number of documents times the divergence of
+their toxic share from all documents') reaches a bound at which ``FALSE_WITNESSES`` of the tokens, and as many of the
+pairs, are expected to pass by chance, so the bound fits the number of labels; and its log ratio of trusted to
+toxic documents is at most ``WITNESS``.
 
 A document's log weight is the smaller of two sums, in nats: the log ratios of target to raw, of a text longer than
-``REACH`` tokens their mean times ``REACH``, plus ``QUALITY_MARGIN``; and the log ratios of target to toxic, of strong
-witnesses only (below ``STRONG``), in the worst window, plus the log of the number of windows (the worst of many is bad by chance), plus
+``REACH`` tokens their mean times ``REACH``, plus ``QUALITY_MARGIN``; and the log ratios of the witnesses, each
+``MOST_USES`` times at most, in the worst window, plus the log of the number of windows (the worst of many is bad by chance), plus
 ``TOXIC_MARGIN``. So neither sum falls with the text's length. Counts are smoothed on the scale of the target,
 so that a bucket that is seldom seen says nothing. Then k documents, as many as have a weight above zero, are
 drawn by Gumbel top-k: weight plus noise (a hash of id and text, times ``TEMPERATURE``), the k
@@ -43,17 +48,20 @@ from marketlake.llm.text_arrays import SPACE, mix, runs, slices, span_hashes, ut
 BUCKETS = 1 << 20
 MAX_LABELS = 200_000
 QUALITY_MARGIN, TOXIC_MARGIN = 20.0, 5.5
-QUALITY_PRIOR, TOXIC_PRIOR = 20.0, 1.0
-STRONG = -3.0
+QUALITY_PRIOR, TOXIC_PRIOR = 20.0, 0.5
 #: Tokens of a window: the scale on which repeats and insults are judged.
 WINDOW = 512
 #: Tokens of which the quality sum of a longer text is the average.
 REACH = 64
+#: Tokens, and pairs, that may be called witnesses by chance, and the largest log ratio of a witness.
+FALSE_WITNESSES, WITNESS = 10.0, -1.5
+#: Uses of a witness that count in one window.
+MOST_USES = 2
 TEMPERATURE = 0.25
 BINS = 1024
 #: The bucket after those of tokens and of pairs.
 REPEATED = 2 * BUCKETS
-COUNTS = ("raw", "target", "toxic")
+COUNTS = ("raw", "target", "clean_docs", "toxic_docs")
 
 _KIND = np.full(256, 2, dtype=np.uint8)
 _KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
@@ -91,13 +99,19 @@ def label_sample(labels: DataFrame, bound: int = MAX_LABELS) -> tuple[np.ndarray
     return ids[order], rows["kind"].to_numpy()[order]
 
 
+def _distinct(bucket: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (bucket, group), and how often each stands."""
+    key, n = np.unique(group * (REPEATED + 1) + bucket, return_counts=True)
+    return key % (REPEATED + 1), key // (REPEATED + 1), n
+
+
 def models(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> tuple[np.ndarray, np.ndarray]:
-    """Log ratios by bucket: target to raw, and trusted to toxic documents (strong witnesses, else 0)."""
+    """Log ratios by bucket: target to raw, and trusted to toxic documents (witnesses, else 0)."""
     sample = docs.sparkSession.sparkContext.broadcast(label_sample(labels, max_labels))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, kinds = sample.value
-        counts = np.zeros((3, REPEATED + 1), dtype=np.int64)
+        counts = np.zeros((4, REPEATED + 2), dtype=np.int64)
         for batch in batches:
             own = batch.column(0)
             known = np.asarray(own.is_valid())
@@ -110,7 +124,11 @@ def models(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) ->
                 np.add.at(counts[0], bucket, 1)
                 of = kind[a:b][doc]
                 np.add.at(counts[1], bucket[of == 1], 1)
-                np.add.at(counts[2], bucket[of == 2], 1)
+                for k in (1, 2):
+                    some = (of == k) & (bucket < REPEATED)
+                    np.add.at(counts[k + 1], _distinct(bucket[some], doc[some])[0], 1)
+            for k in (0, 1, 2):
+                counts[k + 1 if k else 0, -1] += np.sum(kind == k)
         some = np.flatnonzero(counts.any(axis=0))
         for i in range(0, len(some), 100_000):
             part = some[i:i + 100_000]
@@ -119,19 +137,31 @@ def models(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) ->
     sums = (docs.select(F.col("doc_id").cast("long"), "text")
             .mapInArrow(count, "bucket long, " + ", ".join(f"{c} long" for c in COUNTS))
             .groupBy("bucket").agg(*(F.sum(c).alias(c) for c in COUNTS)).toArrow())
-    full = np.zeros((3, REPEATED + 1))
+    full = np.zeros((4, REPEATED + 2))
     for row, name in zip(full, COUNTS):
         row[sums["bucket"].to_numpy()] = sums[name].to_numpy()
     return ratios_of(full)
 
 
 def ratios_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``models`` from the counts by bucket."""
-    raw, target, toxic = counts
-    share = lambda a, b: a.sum() / b.sum() if b.sum() else 0.0
-    quality = np.log((target + QUALITY_PRIOR) / (raw * share(target, raw) + QUALITY_PRIOR))
-    safety = np.log((target * share(toxic, target) + TOXIC_PRIOR) / (toxic + TOXIC_PRIOR))
-    return quality, np.where(safety < STRONG, safety, 0.0)
+    """``models`` from the counts by bucket, the last of which counts the documents."""
+    raw, target, clean, toxic = counts[:, :-1]
+    n_clean, n_toxic = counts[2:, -1]
+    share = target.sum() / raw.sum() if raw.sum() else 0.0
+    quality = np.log((target + QUALITY_PRIOR) / (raw * share + QUALITY_PRIOR))
+    if not n_clean or not n_toxic:
+        return quality, np.zeros_like(quality)
+    expected = n_toxic / (n_clean + n_toxic)  # of the documents with a word, the share that is toxic by chance
+    both = np.maximum(clean + toxic, 1)
+    seen = toxic / both
+    with np.errstate(divide="ignore", invalid="ignore"):
+        surprise = both * (np.where(seen > 0, seen * np.log(seen / expected), 0)
+                           + np.where(seen < 1, (1 - seen) * np.log((1 - seen) / (1 - expected)), 0))
+    bound = np.zeros(REPEATED + 1)
+    for part in (slice(0, BUCKETS), slice(BUCKETS, None)):  # tokens, pairs
+        bound[part] = np.log(max(np.count_nonzero(toxic[part]), 1) / FALSE_WITNESSES)
+    safety = np.log((clean * n_toxic / n_clean + TOXIC_PRIOR) / (toxic + TOXIC_PRIOR))
+    return quality, np.where((surprise >= bound) & (safety <= WITNESS), safety, 0.0)
 
 
 def weigh(data: np.ndarray, bounds: np.ndarray, ratios: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +173,8 @@ def weigh(data: np.ndarray, bounds: np.ndarray, ratios: tuple[np.ndarray, np.nda
     total = np.bincount(doc, weights=quality[bucket], minlength=size) * (REACH / np.maximum(n, REACH))
     many = -(-n // WINDOW)
     hit = np.flatnonzero(safety[bucket] != 0)
-    by_window = np.bincount(window[hit], weights=safety[bucket[hit]], minlength=int(many.sum()))
+    word, at, uses = _distinct(bucket[hit], window[hit])
+    by_window = np.bincount(at, weights=safety[word] * np.minimum(uses, MOST_USES), minlength=int(many.sum()))
     worst = np.zeros(size)
     np.minimum.at(worst, np.repeat(np.arange(size), many), by_window)
     return n, total, np.minimum(worst + np.log(np.maximum(many, 1)), 0.0)

@@ -30,3 +30,22 @@ def test_word_order_counts_in_the_classifier(llm):
     docs = llm.createDataFrame(rows, "doc_id long, text string")
     labels = llm.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
     assert {r.doc_id for r in importance.resample(docs, labels).where("kept").collect()} == set(range(40))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_few_labels_make_witnesses(llm, sf):
+    docs, labels, trusted = labelled(llm, sf)
+    kept = {r.doc_id for r in importance.resample(docs, labels).where("kept").select("doc_id").collect()}
+    insults = "trash|pathetic|idiot|worthless|disgusting|stupid|clown|loser|scum|moron"
+    toxic = docs.join(labels.where("toxic = 1"), "doc_id", "left_semi").where(f"regexp_count(text, '{insults}') >= 3")
+    assert not {r.doc_id for r in toxic.collect()} & kept
+    assert {r.doc_id for r in trusted.collect()} <= kept
+
+
+def test_a_word_repeated_by_few_toxic_texts_is_no_witness(llm):
+    rows = [(i, f"plain words of text {i} " + ("rewh" if i % 9 == 0 else "")) for i in range(300)]
+    rows += [(i, f"plain words of text {i} " + ("rewh " * 600 if i < 303 else "moron scum idiot")) for i in range(300, 340)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    labels = llm.createDataFrame([(i, 1, int(i >= 300)) for i in range(340)], "doc_id long, quality int, toxic int")
+    safe = {r.doc_id: r.safety for r in importance.scored(docs, importance.models(docs, labels)).collect()}
+    assert all(safe[i] == 0 for i in range(300)) and all(safe[i] < -importance.TOXIC_MARGIN for i in range(303, 340))
