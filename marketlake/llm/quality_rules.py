@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from marketlake.llm.native_text import SPACES, doubled, let, shifted, split_words
 
 BUCKETS = 1 << 18
-N = 1
+N = 2
 PRIOR = 20.0
 THRESHOLD = -0.08
 MAX_LABELS = 200_000
