@@ -3,7 +3,8 @@
 A tree builder reads tags (void elements, implied ends of paragraphs, list items, rows and cells, implied rows,
 end tags matched inside their table cell), and a renderer walks the tree and writes all visible text: blocks on
 lines of their own with blank lines around paragraphs, lists with markers and hanging indents, ``pre`` as it
-stands, and tables with columns padded to one width. Not visible: head, scripts, styles, templates and embedded
+stands, and tables with columns padded to one width. Text of svg and math is written with spaces
+between its elements. Not visible: head, scripts, styles, templates and embedded
 objects, comments, elements with ``hidden``, ``display:none`` or ``visibility:hidden``, hidden inputs, and what a
 closed ``details`` holds beside its summary.
 
@@ -25,14 +26,19 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?"
     r"|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>?"
-    r"""|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|["'].*\Z|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+    r"""|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)|\Z))*+)"""
+    r"""(?:>|=\s*+["'].*\Z|\Z)""", re.S)  # a quote opens a string only where a value begins
+ATTRIBUTE = re.compile(r"""([^\s>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe object audio video canvas svg math datalist title".split())
+UNSEEN = frozenset("head script style template noscript iframe object audio video canvas datalist title".split())
+#: Inside svg and math: what is not drawn, and what a space parts from its neighbours.
+FOREIGN = frozenset(("svg", "math"))
+UNDRAWN = frozenset("defs desc metadata annotation annotation-xml".split())
+PARTED = frozenset("svg math text mi mn mo ms mtext".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr fieldset".split())
 BLOCKS = PARAGRAPHS | frozenset(
     "html body address article aside details dialog dd div dt footer form header hgroup legend li main menu nav "
@@ -204,6 +210,12 @@ def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
         for c, lines, across in out:
             if across == 1:
                 width[c] = max(width.get(c, 0), max(map(len, lines), default=0))
+    for out in placed:  # what a spanning cell needs beyond its columns is spread over them
+        for c, lines, across in out:
+            if across > 1:
+                short = max(map(len, lines), default=0) - sum(width.get(k, 0) + 2 for k in range(c, c + across)) + 2
+                for i in range(across if short > 0 else 0):
+                    width[c + i] = width.get(c + i, 0) + (short + i) // across
     text = []
     for out in placed:
         for k in range(max((len(lines) for _, lines, _ in out), default=0)):
@@ -226,7 +238,7 @@ def render(html: str) -> str:
     flows: list[Flow] = []
     tables: list[list[list]] = []
     lists: list[int | None] = []
-    pre = 0
+    pre = foreign = 0
     todo: list = [(parse(html), False)]
     while todo:
         item, leave = todo.pop()
@@ -248,8 +260,11 @@ def render(html: str) -> str:
             continue
         tag = item.tag
         if not leave:
-            if not visible(item):
+            if not visible(item) or foreign and tag in UNDRAWN:
                 continue
+            foreign += tag in FOREIGN
+            if foreign and tag in PARTED:
+                flow.space = True
             if tag == "br":
                 if flow.line:
                     flow.end_line()
@@ -288,6 +303,9 @@ def render(html: str) -> str:
             todo.append((item, True))
             todo.extend((c, False) for c in reversed(children))
             continue
+        if foreign and tag in PARTED:
+            flow.space = True
+        foreign -= tag in FOREIGN
         if tag in CELLS and tables:
             if not tables[-1]:
                 tables[-1].append([])

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from marketlake.llm import importance, quality_rules
+from marketlake.llm import html_layout, importance, quality_rules
 from marketlake.llm.queries import QUERIES
 
 ROOT = "/root/testdata"
@@ -75,3 +75,14 @@ def test_word_pairs_count_in_the_rules(llm, texts):
     for r in QUERIES["op7_quality_rules"](llm, f"{ROOT}/sf0.001").collect():
         llr = ratio[grams[r.doc_id]].mean() if len(grams[r.doc_id]) else 0.0
         assert abs(r.llr - llr) < 1e-9 and r.kept == (not r.base_failed and llr >= quality_rules.THRESHOLD)
+
+
+def test_no_visible_text_of_a_page_is_lost_or_glued():
+    render = html_layout.render
+    assert render('<div class="a"">one two</div><p>three</p>') == "one two\n\nthree"
+    assert render('<img alt="5" tall"><p>the rest') == "the rest" and render("<a href=x title=don't>it</a> isn't") == "it isn't"
+    assert render("""<a title="a > b" alt = 'c > d' href=/x?q="1>in</a> <b title=x'hidden>seen</b> <i "hidden">too""") == "in seen too"
+    assert render("<table><tr><td colspan=2>Population in thousands<td>Area<tr><td>2001<td>2011<td>km2</table>").split("\n") == [
+        "Population in thousands  Area", "2001        2011         km2"]
+    assert render("a<svg><title>no</title><defs><text>no</text></defs><text>b</text><path d='M0'/><text>c</text></svg>d") == "a b c d"
+    assert render("<p>so <math><mfrac><mn>1</mn><mn>2</mn></mfrac><mo>=</mo><mi>x</mi><annotation>no</annotation></math>, yes") == "so 1 2 = x , yes"
