@@ -3,7 +3,7 @@
 Candidates are the lines with a license word, joined with such lines at most ``NEAR_LINES`` further on; in them the words
 around each license word are a block, in the three sizes of ``REACHES``, widest first. A
 block is compressed alone and with each template as a raw zstandard dictionary; templates are ranked by the share
-of the block's size that this saves, and those that save ``MIN_SAVING`` or more are confirmed, best first, by their
+of the block's size that this saves, and those that save anything are confirmed, best first, by their
 exact wording: the template's words are aligned with the block's, and the words that one side has and the other
 has not are counted and reported. A template is found if they are at most ``MAX_DIFFERENCE`` of its words. Words
 found belong to one license; the license words left over are judged on.
@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NEAR_LINES = 2
-MIN_SAVING = 0.15
 MAX_DIFFERENCE = 0.2
 #: Words on either side of a license word that are compressed at once: first enough for the longest template,
 #: then few enough for a short one to show among other words.
@@ -126,10 +125,13 @@ class Scanner:
         alone = len(self.alone.compress(block))
         ranked = sorted(((1 - len(p.compress(block)) / alone, -i) for i, (_, p, _) in enumerate(self.templates)), reverse=True)
         words = [text[x:y].lower() for x, y in spans]
+        have = set(words)
         for saving, i in ranked:
-            if saving < MIN_SAVING:
+            if saving <= 0:
                 break
             name, _, template = self.templates[-i]
+            if sum(w not in have for w in template) > MAX_DIFFERENCE * len(template):
+                continue  # too many words are missing, however they are aligned
             found = self._align(template, words)
             if found and len(found[2]) + len(found[3]) <= MAX_DIFFERENCE * len(template):
                 first, last, missing, added = found

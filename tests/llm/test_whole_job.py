@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from marketlake.llm import html_layout, importance, quality_rules
+from marketlake.llm import html_layout, importance, licenses, quality_rules
 from marketlake.llm.queries import QUERIES
 
 ROOT = "/root/testdata"
@@ -86,3 +86,11 @@ def test_no_visible_text_of_a_page_is_lost_or_glued():
         "Population in thousands  Area", "2001        2011         km2"]
     assert render("a<svg><title>no</title><defs><text>no</text></defs><text>b</text><path d='M0'/><text>c</text></svg>d") == "a b c d"
     assert render("<p>so <math><mfrac><mn>1</mn><mn>2</mn></mfrac><mo>=</mo><mi>x</mi><annotation>no</annotation></math>, yes") == "so 1 2 = x , yes"
+
+
+def test_exact_notices_are_found_in_running_text():
+    scan = licenses.Scanner()
+    for filler in ("so it is as we do on to an if at by of he", "internationalization characteristically misunderstanding"):
+        for name, notice in licenses.TEMPLATES:
+            text = f"{filler} {filler} {filler} {notice} {filler} {filler} {filler}"
+            assert [(f["license"], f["missing"], f["added"]) for f in scan(text)] == [(name, [], [])], (name, notice)
