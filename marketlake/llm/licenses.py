@@ -5,7 +5,8 @@ around each license word are a block, in the three sizes of ``REACHES``, widest
 block is compressed alone and with each template as a raw zstandard dictionary; templates are ranked by the share
 of the block's size that this saves, and those that save anything are confirmed, best first, by their
 exact wording: the template's words are aligned with the block's, and the words that one side has and the other
-has not are counted and reported. A template is found if they are at most ``MAX_DIFFERENCE`` of its words. Words
+has not are counted and reported. A template is found if they are at most ``MAX_DIFFERENCE`` of its words and none tells
+licenses apart (``IDENTITY``, or a version number). Words
 found belong to one license; the license words left over are judged on.
 
 Whole texts are read and each document is on its own: one pass, no shuffle. Null and empty texts have no blocks;
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 NEAR_LINES = 2
 MAX_DIFFERENCE = 0.2
+#: Words that name a license: a template that lacks or has one of them besides is another license's.
+IDENTITY = frozenset("lesser library affero gnu apache mozilla bsd agpl lgpl gpl only later by-nc by-sa by-nd by-nc-sa by-nc-nd".split())
 #: Words on either side of a license word that are compressed at once: first enough for the longest template,
 #: then few enough for a short one to show among other words.
 REACHES = (160, 48, 10)
@@ -34,8 +37,17 @@ LEVEL = 3
 
 TRIGGERS = ("licen", "copyright", "rights reserved", "warrant", "permission is", "redistribut", "public domain")
 _TRIGGER = re.compile("|".join(TRIGGERS), re.I)
+_NUMBER = re.compile(r"[0-9]|^v[0-9]")
 _WORD = re.compile(r"[0-9A-Za-z]+(?:[.-][0-9A-Za-z]+)*")
 
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+        "that the following conditions are met:")
+_BSD_2 = (" Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+          "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+          "following disclaimer in the documentation and/or other materials provided with the distribution.")
+_BSD_3 = (" Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+          "products derived from this software without specific prior written permission.")
+
 # Short notices of public licenses, by SPDX identifier.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -52,10 +64,28 @@ TEMPLATES = (
     ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
                          "General Public License as published by the Free Software Foundation, either version 3 of the "
                          "License, or (at your option) any later version."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                         "General Public License as published by the Free Software Foundation; either version 2 of the "
+                         "License, or (at your option) any later version."),
+    ("LGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                          "Lesser General Public License as published by the Free Software Foundation, either version 3 of the "
+                          "License, or (at your option) any later version."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                          "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the "
+                          "License, or (at your option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                          "Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+                          "License, or (at your option) any later version."),
+    ("GPL-3.0-or-later", "This work is licensed under the GNU General Public License, version 3 or any later version."),
+    ("GPL-2.0-or-later", "This work is licensed under the GNU General Public License, version 2 or any later version."),
+    ("LGPL-2.1-only", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
     ("LGPL-3.0-only", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0-only", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-                     "that the following conditions are met:"),
+    # the first sentence is the same in both, so alone it names neither
+    ("LicenseRef-BSD", _BSD),
+    ("BSD-2-Clause", _BSD + _BSD_2),
+    ("BSD-3-Clause", _BSD + _BSD_2 + _BSD_3),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
             "granted, provided that the above copyright notice and this permission notice appear in all copies."),
@@ -119,6 +149,13 @@ class Scanner:
                 added += words[first + c:first + d]
         return first, last, missing, added
 
+    @staticmethod
+    def _refuted(template: list[str], missing: list[str], added: list[str]) -> bool:
+        """Whether the differences make it another license."""
+        if any(w in IDENTITY or _NUMBER.search(w) for w in missing) or any(w in IDENTITY for w in added):
+            return True
+        return any(map(_NUMBER.search, template)) and any(map(_NUMBER.search, added))  # else a list's numbers
+
     def _nearest(self, text: str, spans: list[tuple[int, int]]) -> tuple[int, int, dict] | None:
         """The best confirmed template among the words ``spans`` (places in ``text``)."""
         block = text[spans[0][0]:spans[-1][1]].encode()
@@ -133,7 +170,7 @@ class Scanner:
             if sum(w not in have for w in template) > MAX_DIFFERENCE * len(template):
                 continue  # too many words are missing, however they are aligned
             found = self._align(template, words)
-            if found and len(found[2]) + len(found[3]) <= MAX_DIFFERENCE * len(template):
+            if found and len(found[2]) + len(found[3]) <= MAX_DIFFERENCE * len(template) and not self._refuted(template, *found[2:]):
                 first, last, missing, added = found
                 return first, last, {"license": name, "start": spans[first][0], "end": spans[last - 1][1],
                                      "saving": round(saving, 6), "missing": missing, "added": added}

@@ -94,3 +94,18 @@ def test_exact_notices_are_found_in_running_text():
         for name, notice in licenses.TEMPLATES:
             text = f"{filler} {filler} {filler} {notice} {filler} {filler} {filler}"
             assert [(f["license"], f["missing"], f["added"]) for f in scan(text)] == [(name, [], [])], (name, notice)
+
+
+def test_version_and_identity_words_tell_licenses_apart():
+    scan = licenses.Scanner()
+    names = lambda text: [f["license"] for f in scan(text)]
+    known = dict(reversed(licenses.TEMPLATES))
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0-or-later")
+    assert names(gpl) == ["GPL-3.0-or-later"] and names(gpl.replace("version 3", "version 2")) == ["GPL-2.0-or-later"]
+    assert names(gpl.replace("version 3", "version 7")) == [] and names(gpl.replace("GNU General", "GNU Lesser General")) == ["LGPL-3.0-or-later"]
+    assert names(known["LGPL-3.0-only"]) == ["LGPL-3.0-only"] and names(known["LGPL-3.0-only"].replace("3.", "2.1.")) == ["LGPL-2.1-only"]
+    three = next(t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause")
+    two = next(t for n, t in licenses.TEMPLATES if n == "BSD-2-Clause")
+    assert names(three) == ["BSD-3-Clause"] and names(two) == ["BSD-2-Clause"]
+    assert names(two.replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in")) == ["BSD-2-Clause"]
+    assert names(two.split(":")[0] + ": and so on") == ["LicenseRef-BSD"]
