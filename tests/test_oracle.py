@@ -1,15 +1,15 @@
-"""Every registered query equals its DuckDB oracle on sf0.001."""
+"""Every query of the library equals its DuckDB oracle on sf0.001."""
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from marketlake.fixtures import BASE_TABLES
+from marketlake.registered import ORACLES, QUERIES
 
 from helpers import assert_frames_match
 
 SF = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -21,13 +21,13 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    missing = sorted(set(entry.queries()) - set(ORACLES))
+    missing = sorted(set(QUERIES) - set(ORACLES))
     assert missing == []
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
-    got = entry.queries()[name](spark, SF).toPandas()
+    got = QUERIES[name](spark, SF).toPandas()
     want = duck.execute(ORACLES[name]).df()
     assert_frames_match(got, want)
 
