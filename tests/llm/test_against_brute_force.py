@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -118,8 +119,9 @@ def test_quality_rules(llm, texts):
 
     def buckets(text):
         h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text)]
-        h += [xxhash.xxh64_intdigest(b"sign", xxhash.xxh64_intdigest(w.encode(), 42)) for w in sign.findall(text)]
-        return np.array([x % quality_rules.BUCKETS for x in h], dtype=np.int64)
+        pairs = [xxhash.xxh64_intdigest(struct.pack("<Q", b), xxhash.xxh64_intdigest(struct.pack("<Q", a), 42)) for a, b in zip(h, h[1:])]
+        signs = [xxhash.xxh64_intdigest(b"sign", xxhash.xxh64_intdigest(w.encode(), 42)) for w in sign.findall(text)]
+        return np.array([x % quality_rules.BUCKETS for x in h + signs + pairs], dtype=np.int64)
 
     grams = {i: buckets(t) for i, t in texts.items()}
     raw = np.bincount(np.concatenate(list(grams.values())), minlength=quality_rules.BUCKETS)

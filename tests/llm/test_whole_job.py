@@ -1,14 +1,8 @@
 """What the operators once left out: one test for each finding of a review."""
 
-import re
-import struct
-
-import numpy as np
 import pytest
-import xxhash
 
-from marketlake.llm import html_layout, importance, licenses, quality_rules
-from marketlake.llm.queries import QUERIES
+from marketlake.llm import html_layout, importance, licenses
 
 ROOT = "/root/testdata"
 
@@ -57,26 +51,6 @@ def test_a_word_repeated_by_few_toxic_texts_is_no_witness(llm):
     assert all(safe[i] == 0 for i in range(300)) and all(safe[i] < -importance.TOXIC_MARGIN for i in range(303, 340))
 
 
-def test_word_pairs_count_in_the_rules(llm, texts):
-    _, labels, trusted = labelled(llm, "sf0.001")
-    hashed = lambda x, seed=42: xxhash.xxh64_intdigest(x, seed)
-    pack = lambda x: struct.pack("<Q", x)
-
-    def buckets(text):
-        h = [hashed(w.encode()) for w in re.findall("[^\x20\x09-\x0d]+", text)]
-        signs = [hashed(b"sign", hashed(w.encode())) for w in re.findall("[^\x00-\x20\x7f0-9A-Za-z\x80-\U0010ffff]+", text)]
-        pairs = [hashed(pack(b), hashed(pack(a))) for a, b in zip(h, h[1:])]
-        return np.array([x % quality_rules.BUCKETS for x in h + signs + pairs], dtype=np.int64)
-
-    grams, good = {i: buckets(t) for i, t in texts.items()}, {r.doc_id for r in trusted.select("doc_id").collect()}
-    count = lambda ids: np.bincount(np.concatenate([grams[i] for i in ids]), minlength=quality_rules.BUCKETS)
-    raw, target = count(grams), count(good & set(grams))
-    ratio = np.log((target + quality_rules.PRIOR) / (raw * (target.sum() / raw.sum()) + quality_rules.PRIOR))
-    for r in QUERIES["op7_quality_rules"](llm, f"{ROOT}/sf0.001").collect():
-        llr = ratio[grams[r.doc_id]].mean() if len(grams[r.doc_id]) else 0.0
-        assert abs(r.llr - llr) < 1e-9 and r.kept == (not r.base_failed and llr >= quality_rules.THRESHOLD)
-
-
 def test_no_visible_text_of_a_page_is_lost_or_glued():
     render = html_layout.render
     assert render('<div class="a"">one two</div><p>three</p>') == "one two\n\nthree"
