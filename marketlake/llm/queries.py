@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import (decontamination, html_layout, importance, licenses, packing, quality_rules, secrets, simhash,
-                            substrings, url_rules)
+from marketlake.llm import (decontamination, html_layout, importance, licenses, line_runs, packing, quality_rules, secrets,
+                            simhash, substrings, url_rules)
 from marketlake.llm.storage import ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,12 @@ def op10_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_layout.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op11_line_dedup")
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 ORACLES["op4_substrings"] = r"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id,
                   coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
@@ -133,3 +139,16 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM low LEFT JOIN place USING (r) LEFT JOIN ids USING (r)
 """
+
+ORACLES["op11_line_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+often AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT r) >= 5),
+kept AS (SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t
+         FROM k LEFT JOIN often USING (key) WHERE often.key IS NULL OR doc_id = top GROUP BY r)
+SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(n, 0) AS BIGINT) AS n_dropped,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
