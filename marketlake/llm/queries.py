@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import (decontamination, fill_in_middle, html_layout, importance, licenses, line_runs, packing,
-                            quality_rules, secrets, simhash, substrings, url_rules)
+from marketlake.llm import (alignment, decontamination, fill_in_middle, html_layout, importance, licenses, line_runs,
+                            packing, quality_rules, secrets, simhash, substrings, url_rules)
 from marketlake.llm.storage import ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(fill_in_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op4_substrings"] = r"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id,
                   coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
