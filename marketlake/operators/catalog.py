@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import display_label
 from .merge import coalesce_upsert, latest_wins
-from .quality import catalog_stats, quality_scores
+from .quality import catalog_stats, quality_scores, simple_score
 
 CATALOG_KEY = ["symbol", "timeframe", "asset_class"]   # asset_class added to the key (Q15)
 
@@ -110,6 +111,11 @@ def symbol_search(directory: DataFrame, text: str | None) -> DataFrame:
     return d.filter(F.lower("symbol").contains(t) | F.lower("label").contains(t))
 
 
+def _date_text(ts: str) -> Column:
+    """``yyyy-MM-dd`` for D1, with the time otherwise."""
+    return F.when(F.col("timeframe") == "D1", F.date_format(ts, "yyyy-MM-dd")).otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+
+
 def refresh_catalog(lake: DataFrame, now: dt.datetime | None = None, score_kind: str = "simple") -> DataFrame:
     """Recompute every catalog row from the lake in one job and, for the simple score, one
     scan.
@@ -125,13 +131,34 @@ def refresh_catalog(lake: DataFrame, now: dt.datetime | None = None, score_kind:
     stamp = F.lit(now).cast("timestamp_ntz") if now is not None else F.localtimestamp()
     return d.select(
         "symbol", "timeframe", "asset_class",
-        F.when(F.col("timeframe") == "D1", F.date_format("start_date", "yyyy-MM-dd"))
-        .otherwise(F.date_format("start_date", "yyyy-MM-dd HH:mm:ss")).alias("start_date"),
-        F.when(F.col("timeframe") == "D1", F.date_format("end_date", "yyyy-MM-dd"))
-        .otherwise(F.date_format("end_date", "yyyy-MM-dd HH:mm:ss")).alias("end_date"),
+        _date_text("start_date").alias("start_date"), _date_text("end_date").alias("end_date"),
         "rows_count", "nulls_pct", "quality_score", "source", stamp.alias("last_updated"))
 
 
+def series_state(bars: DataFrame) -> DataFrame:
+    """C5, mergeable: per series the first and last time, the numbers of rows and of null closes, and the sources.
+    ``merge_states`` of the states of two sets of rows is the state of both together."""
+    return bars.groupBy(*CATALOG_KEY).agg(
+        F.min("timestamp").alias("start"), F.max("timestamp").alias("end"), F.count(F.lit(1)).alias("rows_count"),
+        F.sum(F.when(F.col("close").isNull(), 1).otherwise(0)).alias("null_closes"), F.sort_array(F.collect_set("source")).alias("sources"))
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """The state of disjoint sets of rows together: one row per series and state goes in, whatever the rows are."""
+    return reduce(DataFrame.unionByName, states).groupBy(*CATALOG_KEY).agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("rows_count").alias("rows_count"),
+        F.sum("null_closes").alias("null_closes"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+
+
+def catalog_of_state(state: DataFrame, now: dt.datetime | None = None) -> DataFrame:
+    """The catalog rows of a state, equal to ``refresh_catalog`` of its rows (simple score)."""
+    stamp = F.lit(now).cast("timestamp_ntz") if now is not None else F.localtimestamp()
+    pct = F.lit(100.0) * F.col("null_closes") / F.col("rows_count")
+    return state.select(*CATALOG_KEY, _date_text("start").alias("start_date"), _date_text("end").alias("end_date"), "rows_count",
+                        pct.alias("nulls_pct"), simple_score(pct).alias("quality_score"),
+                        F.concat_ws("+", "sources").alias("source"), stamp.alias("last_updated"))
+
+
 def upsert_datasets(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Replace catalog rows by key (symbol, timeframe, asset_class)."""
     return latest_wins(existing, new, CATALOG_KEY)

@@ -6,18 +6,21 @@ source = first non-null; bars whose open or close is null are dropped;
 bars are left-closed and labelled by their start (epoch-aligned, which equals
 midnight anchoring for lengths dividing a day).
 
-Coarser targets are rolled up from the finest target's *partial* bars (before the
-null-open/close drop); all the
-aggregates are partial-aggregatable, so a hot symbol is pre-combined map-side.
+The minute rows are read once: they become *partial* bars of the targets' common divisor (before
+the null-open/close drop), and one more aggregate by (target, bar) rolls those up to all targets
+together. All the aggregates are partial-aggregatable, so a hot symbol is pre-combined map-side.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.time import epoch_seconds
+
 # fixed values: target timeframe → bar length in minutes
 RESAMPLE_MINUTES = {"15m": 15, "1h": 60, "4h": 240}
 
@@ -37,17 +40,21 @@ def _partial(df: DataFrame, bucket_minutes: int, order) -> DataFrame:
     return df.groupBy(*KEY, start.alias("timestamp")).agg(*aggs)
 
 
-def _rollup(part: DataFrame, bucket_minutes: int) -> DataFrame:
-    start = F.window("timestamp", f"{bucket_minutes} minutes").start
+def _rollup(part: DataFrame, targets: Sequence[str]) -> DataFrame:
+    """Bars of all targets from partial bars that every target's bars are made of: each partial goes to one group per
+    target (a target and a bar of it), and one aggregate closes them all. ``timestamp`` and ``timeframe`` say the group."""
+    seconds = F.explode(F.array(*[F.struct(F.lit(t).alias("tf"), F.lit(60 * RESAMPLE_MINUTES[t]).alias("s")) for t in targets]))
+    each = part.select("*", seconds.alias("__t"))
+    start = F.timestamp_add("SECOND", -F.pmod(epoch_seconds("timestamp"), F.col("__t.s")), F.col("timestamp"))
     aggs = [F.min_by(F.col(c), F.col(c)["o"]).alias(c) for c in FIRST_COLS]
     aggs += [F.max_by(F.col(c), F.col(c)["o"]).alias(c) for c in LAST_COLS]
     aggs += [F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume")]
-    return part.groupBy(*KEY, start.alias("timestamp")).agg(*aggs)
+    return each.groupBy(*KEY, F.col("__t.tf").alias("timeframe"), start.alias("timestamp")).agg(*aggs)
 
 
-def _finish(part: DataFrame, timeframe: str) -> DataFrame:
+def _finish(part: DataFrame) -> DataFrame:
     out = part.select(
-        "timestamp", "symbol", "asset_class", F.lit(timeframe).alias("timeframe"),
+        "timestamp", "symbol", "asset_class", "timeframe",
         F.col("open")["v"].alias("open"), "high", "low", F.col("close")["v"].alias("close"),
         F.coalesce(F.col("volume"), F.lit(0.0)).alias("volume"),
         F.col("adj_close")["v"].alias("adj_close"), F.col("adj_factor")["v"].alias("adj_factor"),
@@ -66,7 +73,7 @@ def resample(minute_bars: DataFrame, targets: Sequence[str] = ("15m", "1h", "4h"
     for t in targets:
         if t not in RESAMPLE_MINUTES:
             raise ValueError(f"unsupported resample target {t!r}")
-    targets = sorted(targets, key=RESAMPLE_MINUTES.get)
+    targets = sorted(set(targets), key=RESAMPLE_MINUTES.get)
     cols = set(minute_bars.columns)
     src = minute_bars
     for c, default in (("adj_close", F.col("close")), ("adj_factor", F.lit(1.0)),
@@ -76,15 +83,8 @@ def resample(minute_bars: DataFrame, targets: Sequence[str] = ("15m", "1h", "4h"
     tie = list(tie) or [c for c in ("source", "open", "high", "low", "close", "volume", "adj_close", "adj_factor")
                         if c in src.columns]
     order = F.struct(F.col("timestamp"), *[F.col(t) for t in tie])
-    finest = targets[0]
-    base = _partial(src, RESAMPLE_MINUTES[finest], order)
-    outs = [_finish(base, finest)]
-    for t in targets[1:]:
-        if RESAMPLE_MINUTES[t] % RESAMPLE_MINUTES[finest] == 0:
-            outs.append(_finish(_rollup(base, RESAMPLE_MINUTES[t]), t))
-        else:
-            outs.append(_finish(_partial(src, RESAMPLE_MINUTES[t], order), t))
-    result = outs[0]
-    for o in outs[1:]:
-        result = result.unionByName(o)
-    return result
+    base = math.gcd(*(RESAMPLE_MINUTES[t] for t in targets))
+    part = _partial(src, base, order)
+    if len(targets) == 1:
+        return _finish(part.withColumn("timeframe", F.lit(targets[0])))
+    return _finish(_rollup(part, targets))

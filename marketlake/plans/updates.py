@@ -11,9 +11,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.catalog import CATALOG_KEY, active, filter_catalog, missing_symbols, refresh_catalog, upsert_datasets
+from ..operators.catalog import CATALOG_KEY, active, catalog_of_state, filter_catalog, missing_symbols, upsert_datasets
 from ..session import ensure_checkpoint_dir
-from ..sources.lake import scan_bars, write_bars
+from ..sources.versioned import VersionedLake
 
 # ---- fixed values that must equal the reference's --------------------------------
 INTRADAY_MINUTE_FRAMES = ["1m", "2m", "5m", "15m", "30m"]
@@ -70,24 +70,28 @@ def update_summary(plan: DataFrame) -> DataFrame:
 
 def plan_daily_stocks(catalog: DataFrame, now=None) -> DataFrame:
     """Active D1 stock series: next day after the end date (default start when the
-    end date is blank), skipped when that day is not before ``now``."""
+    end date is blank), skipped when that day is not before ``now``. A date that is neither
+    blank nor readable gives ``bad_end_date`` and no start, for its series alone."""
     n = _now(now)
     d = active(catalog, "stocks", "D1")
     end = F.col("end_date").cast("string")
     blank = end.isNull() | (F.trim(end) == "") | (end == "N/A")
     start = F.when(blank, F.lit(DEFAULT_D1_START).cast("timestamp_ntz")) \
-        .otherwise(F.to_timestamp_ntz(F.substring(end, 1, 10)) + F.expr("INTERVAL 1 DAY"))
+        .otherwise(F.substring(end, 1, 10).try_cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY"))
     return d.select("symbol", F.date_format(start, "yyyy-MM-dd").alias("start"),
                     F.date_format(n, "yyyy-MM-dd").alias("end"),
-                    F.when(start >= n, F.lit("up_to_date")).otherwise(F.lit("update")).alias("status"))
+                    F.when(start.isNull(), F.lit("bad_end_date")).when(start >= n, F.lit("up_to_date"))
+                    .otherwise(F.lit("update")).alias("status"))
 
 
 def plan_bulk(metadata: DataFrame, catalog: DataFrame, timeframe: str = "1m", now=None) -> DataFrame:
-    """Every metadata symbol; the day after its catalogued end, else ``now`` − 730 days."""
+    """Every metadata symbol; the day after its catalogued end, else ``now`` − 730 days (also
+    where no catalogued end is readable; unreadable ones count as absent)."""
     n = _now(now)
-    ends = catalog.filter(F.col("timeframe") == timeframe).groupBy("symbol").agg(F.max("end_date").alias("__end"))
+    ends = catalog.filter(F.col("timeframe") == timeframe).groupBy("symbol").agg(
+        F.max(F.col("end_date").try_cast("date")).alias("__end"))
     d = metadata.select("symbol").join(ends, "symbol", "left")
-    start = F.coalesce(F.to_date(F.col("__end")) + F.expr("INTERVAL 1 DAY"),
+    start = F.coalesce(F.col("__end") + F.expr("INTERVAL 1 DAY"),
                        F.to_date(n - F.expr(f"INTERVAL {BULK_DEFAULT_DAYS} DAY")))
     return d.select("symbol", F.date_format(start, "yyyy-MM-dd").alias("start"),
                     F.date_format(n, "yyyy-MM-dd").alias("end"))
@@ -127,33 +131,38 @@ def apply_updates(catalog: DataFrame, landed: DataFrame, lake_root: str, now=Non
                   plan: DataFrame | None = None, symbols=None, asset_classes=None) -> tuple[DataFrame, DataFrame]:
     """One incremental update of the lake from landed vendor bars.
 
-    The plan (P1 + P2) gives each catalogued series its fetch window; landed rows inside
-    their series' window are appended to the lake (K1), the catalog rows of the series
-    that received rows are recomputed from the lake (C5) and upserted (C1). Returns the
-    new catalog and the run log (status per series: ``success``, ``no_new_rows``,
-    ``up_to_date`` or ``skipped``; see ``update_summary``).
-
-    Fetching is the caller's (network is out of scope): ``landed`` is any reader's
-    output in the canonical schema. The window table (one row per series) is written to
-    the shared checkpoint folder before the append, so neither the rows selected nor
-    the run log depends on reading the catalog again after the lake has changed.
-    ``symbols`` / ``asset_classes`` restrict the run to those catalog series (F9).
+    The plan (P1 + P2) gives each catalogued series its fetch window; landed rows inside their series' window are
+    appended to the lake (K1) in one commit, which also merges their state into the lake's series state. The catalog rows of
+    the series that received rows come from that state (C5) and are upserted (C1): the lake's own bars are not read.
+    Returns the new catalog and the run log (status per series: ``success``, ``no_new_rows``, ``up_to_date`` or
+    ``skipped``; see ``update_summary``).
+
+    Exactly once: rows up to the last committed time of their series are left out, so a run that is started again (after a
+    failure past its commit, or with a catalog that was not saved) adds nothing twice, whatever ``now`` is. ``landed`` is
+    any reader's output in the canonical schema. The window table (one row per series) is written to the shared checkpoint
+    folder first; landed rows are evaluated for the write alone. ``symbols`` / ``asset_classes`` restrict the run to those
+    catalog series (F9).
     """
+    spark = landed.sparkSession
     if plan is None:
         scope = catalog if symbols is None and asset_classes is None else filter_catalog(catalog, symbols, asset_classes)
         plan = plan_updates(scope, now)
-    ensure_checkpoint_dir(landed.sparkSession)
+    ensure_checkpoint_dir(spark)
+    lake = VersionedLake(spark, lake_root)
+    started = lake.manifest().version
+    done = lake.state(started).select(*CATALOG_KEY, F.col("end").alias("__done"))
     windows = (plan.filter(F.col("status") == "update")
                .select(*CATALOG_KEY, F.col("start").cast("timestamp_ntz").alias("__lo"),
                        F.col("end").cast("timestamp_ntz").alias("__hi"))
-               .checkpoint(eager=True))
+               .join(done, CATALOG_KEY, "left").checkpoint(eager=True))
+    ts = F.col("timestamp")
     new = (landed.join(windows, CATALOG_KEY)
-           .filter((F.col("timestamp") >= F.col("__lo")) & (F.col("timestamp") <= F.col("__hi")))
-           .drop("__lo", "__hi"))
-    write_bars(new, lake_root)
-    touched = new.groupBy(*CATALOG_KEY).agg(F.count(F.lit(1)).alias("rows_added"))
-    lake = scan_bars(landed.sparkSession, lake_root).join(touched.select(*CATALOG_KEY), CATALOG_KEY, "left_semi")
-    new_catalog = upsert_datasets(catalog, refresh_catalog(lake, now).select(*catalog.columns))
+           .filter((ts >= F.col("__lo")) & (ts <= F.col("__hi")) & (F.col("__done").isNull() | (ts > F.col("__done"))))
+           .drop("__lo", "__hi", "__done"))
+    added = lake.append(new, after=started)
+    touched = added.select(*CATALOG_KEY, F.col("rows_count").alias("rows_added"))
+    state = lake.state().join(touched.select(*CATALOG_KEY), CATALOG_KEY, "left_semi")
+    new_catalog = upsert_datasets(catalog, catalog_of_state(state, now).select(*catalog.columns))
     st = F.col("status")
     log = plan.join(touched, CATALOG_KEY, "left").select(
         *CATALOG_KEY, "start", "end",

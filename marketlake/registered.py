@@ -523,6 +523,9 @@ _BAD_DATES = ("(select * replace (case when symbol like '%7' then 'N/A' when sym
               "strftime(end_date, '%Y-%m-%d') end as end_date) from fx_catalog)")
 
 
+_MALFORMED_SQL = _BAD_DATES.replace("'N/A'", "'unknown'")
+
+
 @register("plan_updates_bad_dates", duckdb_sql(
     f"select symbol, case when end_date in ('N/A', '') then 'bad_end_date' when strptime(end_date, '%Y-%m-%d') + interval 1 day "
     f">= {_NOW_SQL} then 'up_to_date' else 'update' end as status from {_BAD_DATES} c", "fx_catalog"))
@@ -533,6 +536,23 @@ def q_plan_updates_bad_dates(spark, sf):
     return PL.plan_updates(fixture(spark, sf, "fx_catalog").withColumn("end_date", text), now=NOW).select("symbol", "status")
 
 
+@register("plan_malformed_dates", duckdb_sql(
+    "select symbol, 'daily' as plan, case when end_date = 'unknown' then null when end_date = '' then '2022-01-01' else "
+    "strftime(strptime(end_date, '%Y-%m-%d') + interval 1 day, '%Y-%m-%d') end as start, case when end_date = 'unknown' then "
+    f"'bad_end_date' when end_date = '' or strptime(end_date, '%Y-%m-%d') + interval 1 day >= {_NOW_SQL} then 'up_to_date' else "
+    f"'update' end as status from {_MALFORMED_SQL} c union all select m.symbol, 'bulk', strftime(coalesce(try_strptime(end_date, "
+    f"'%Y-%m-%d') + interval 1 day, {_NOW_SQL} - interval 730 day), '%Y-%m-%d'), null from fx_meta m left join {_MALFORMED_SQL} c "
+    "on c.symbol = m.symbol", "fx_catalog", "fx_meta"))
+def q_plan_malformed_dates(spark, sf):
+    """An end date that is neither blank nor readable costs its own series only."""
+    text = (F.when(F.col("symbol").like("%7"), "unknown").when(F.col("symbol").like("%8"), "")
+            .otherwise(F.date_format("end_date", "yyyy-MM-dd")))
+    catalog = fixture(spark, sf, "fx_catalog").withColumn("end_date", text)
+    daily = PL.plan_daily_stocks(catalog, now=NOW).select("symbol", F.lit("daily").alias("plan"), "start", "status")
+    bulk = PL.plan_bulk(fixture(spark, sf, "fx_meta"), catalog, "D1", now=NOW)
+    return daily.unionByName(bulk.select("symbol", F.lit("bulk").alias("plan"), "start", F.lit(None).cast("string").alias("status")))
+
+
 @register("update_summary", duckdb_sql(
     f"select status, count(*) as series from ({_P1}) p group by status", "fx_catalog"))
 def q_update_summary(spark, sf):
@@ -748,6 +768,7 @@ from .session import shared_dir  # noqa: E402
 from .sources import csv_sources as CS  # noqa: E402
 from .sources import json_sources as JS  # noqa: E402
 from .sources import lake as LK  # noqa: E402
+from .sources import versioned as VL  # noqa: E402
 
 
 def _scratch(spark, what: str) -> str:
@@ -812,6 +833,16 @@ def q_replace_series(spark, sf):
     return LK.scan_bars(spark, root)
 
 
+@register("rewrite_universe", duckdb_sql(
+    f"select * from ({_LAKE_SQL}) b where symbol in (select symbol from fx_universe)", "fx_raw_bars", "fx_universe"))
+def q_rewrite_universe(spark, sf):
+    """K3 in place, as one commit: the universe prunes the symbol folders of the lake that is rewritten."""
+    lake = VL.VersionedLake(spark, _scratch(spark, "lake"))
+    lake.append(_lake_rows(fixture(spark, sf, "fx_raw_bars")))
+    lake.keep_universe(fixture(spark, sf, "fx_universe"))
+    return LK.scan_bars(spark, lake.root)
+
+
 _PAGE = 5_000
 
 
@@ -974,7 +1005,7 @@ def q_update_lake(spark, sf):
     refreshes the catalog of the series that received rows."""
     rows = _lake_rows(fixture(spark, sf, "fx_raw_bars"))
     root = _scratch(spark, "update-lake")
-    LK.write_bars(rows.filter(F.col("timestamp") < F.lit(_UPDATE_CUT).cast("timestamp_ntz")), root, mode="overwrite")
+    VL.VersionedLake(spark, root).append(rows.filter(F.col("timestamp") < F.lit(_UPDATE_CUT).cast("timestamp_ntz")))
     cat_path = _scratch(spark, "update-catalog")
     LK.write_table(CT.refresh_catalog(LK.scan_bars(spark, root), now=NOW), cat_path)
     catalog = spark.read.parquet(cat_path)
@@ -982,6 +1013,35 @@ def q_update_lake(spark, sf):
     return new_catalog
 
 
+@register("catalog_state_merge", ORACLES["refresh_catalog"])
+def q_catalog_state_merge(spark, sf):
+    """C5 without a rescan: three batches (by vendor and date) are committed, and the catalog comes from the merged state."""
+    rows = _lake_rows(fixture(spark, sf, "fx_raw_bars"))
+    early = F.col("timestamp") < F.lit(_UPDATE_CUT).cast("timestamp_ntz")
+    lake = VL.VersionedLake(spark, _scratch(spark, "state-lake"))
+    for batch in (rows.where(early), rows.where(~early & (F.col("source") == "vendor_a")), rows.where(~early & (F.col("source") != "vendor_a"))):
+        lake.append(batch)
+    return CT.catalog_of_state(lake.state(), now=NOW)
+
+
+@register("land_replayed", duckdb_sql(
+    f"select * from ({_LAKE_SQL}) b where timestamp <= {_NOW_SQL}", "fx_raw_bars"))
+def q_land_replayed(spark, sf):
+    """X-S1 and E11 exactly once: a stream's batch is committed twice under one number, and the update run that lands all
+    bars after it is run twice with the same catalog; the lake holds every bar once."""
+    rows = _lake_rows(fixture(spark, sf, "fx_raw_bars")).where(F.col("timestamp") <= F.lit(NOW).cast("timestamp_ntz"))
+    # the bars before the cut of every symbol, and its first bar where it has none before
+    early = rows.join(rows.groupBy("symbol").agg(F.min("timestamp").alias("first")), "symbol").where(
+        (F.col("timestamp") < F.lit(_UPDATE_CUT).cast("timestamp_ntz")) | (F.col("timestamp") == F.col("first"))).drop("first")
+    lake = VL.VersionedLake(spark, _scratch(spark, "replay-lake"))
+    for _ in range(2):
+        lake.append(early, "stream-fixture", 0)
+    catalog = CT.catalog_of_state(lake.state(lake.manifest().version), now=NOW)
+    for _ in range(2):
+        PL.apply_updates(catalog, rows, lake.root, now=NOW)
+    return LK.scan_bars(spark, lake.root)
+
+
 @register("macro_catalog", duckdb_sql(
     "select symbol, 'D1' as timeframe, 'macro' as asset_class, strftime(min(timestamp), '%Y-%m-%d') as start_date, "
     "strftime(max(timestamp), '%Y-%m-%d') as end_date, count(*) as rows_count, "

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.catalog import in_universe
 from ..schemas import BAR_COLUMNS, OHLCV, PARTITION_COLUMNS
+from .versioned import VersionedLake, is_versioned
 
-SERIES_COLUMNS = [c for c in PARTITION_COLUMNS if c != "year"]
-DAILY_FRAMES = ("D1", "1W", "1M")
+MAX_ROWS_PER_FILE = 5_000_000
 
 # writer settings (fixed values): snappy pages, dictionary encoding, ~100k-row groups
 PARQUET_OPTIONS = {"compression": "snappy", "parquet.enable.dictionary": "true",
@@ -21,7 +21,10 @@ PARQUET_OPTIONS = {"compression": "snappy", "parquet.enable.dictionary": "true",
 
 def scan_bars(spark: SparkSession, root: str, extra_schema=None) -> DataFrame:
     """The lake as a DataFrame with an explicit schema (partition values stay
-    strings, '0001' stays '0001'; absent columns read as null)."""
+    strings, '0001' stays '0001'; absent columns read as null). Of a lake with versions, the
+    committed folders of the newest one."""
+    if is_versioned(spark, root):
+        return VersionedLake(spark, root).scan(extra_schema=extra_schema)
     schema = StructType([*OHLCV.fields, *(extra_schema.fields if extra_schema is not None else [])])
     try:
         return spark.read.schema(schema).option("basePath", root).parquet(root)
@@ -42,45 +45,36 @@ def register_views(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-def _prepare(df: DataFrame) -> DataFrame:
-    cols = [c for c in BAR_COLUMNS] + [c for c in df.columns if c not in BAR_COLUMNS]
+def ranged_writer(df: DataFrame, order: Sequence[str]) -> DataFrameWriter:
+    """A writer over rows dealt into ordered ranges of the whole sort key (leaf folder first, then time): small leaves share
+    a task, a leaf with a third of all rows is written by many, each a time range of its own, in files of
+    bounded length. There are at most as many files as leaves and tasks together. The ranges come from a
+    sample, which is a first pass over the input."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (df.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+            .write.options(**PARQUET_OPTIONS).option("maxRecordsPerFile", MAX_ROWS_PER_FILE))
+
+
+def bar_writer(df: DataFrame) -> DataFrameWriter:
+    cols = [*BAR_COLUMNS, *(c for c in df.columns if c not in BAR_COLUMNS)]
     # symbols are stored upper-case, the form every read predicate uses (Q16)
-    d = df.select(*cols).withColumn("symbol", F.upper("symbol"))
-    # a leaf folder of daily bars is one file; intraday leaves are split by month, so that no
-    # task holds a whole year of a busy series
-    part = F.when(F.col("timeframe").isin(*DAILY_FRAMES), F.lit(0)).otherwise(F.month("timestamp"))
-    return d.repartition(*PARTITION_COLUMNS, part).sortWithinPartitions(*PARTITION_COLUMNS, "timestamp")
+    return ranged_writer(df.select(*cols).withColumn("symbol", F.upper("symbol")), [*PARTITION_COLUMNS, "timestamp"])
 
 
 def write_bars(df: DataFrame, root: str, mode: str = "append") -> None:
-    """K1: append bars under asset_class/timeframe/symbol/year."""
-    (_prepare(df).write.mode(mode).options(**PARQUET_OPTIONS)
-     .partitionBy(*PARTITION_COLUMNS).parquet(root))
+    """K1: append bars under asset_class/timeframe/symbol/year; on a lake with versions, as one commit
+    (``overwrite`` replaces its whole content then)."""
+    if is_versioned(df.sparkSession, root):
+        lake = VersionedLake(df.sparkSession, root)
+        lake.rewrite(df) if mode == "overwrite" else lake.append(df)
+        return
+    bar_writer(df).mode(mode).partitionBy(*PARTITION_COLUMNS).parquet(root)
 
 
 def replace_series(df: DataFrame, root: str) -> None:
-    """K2: the series in ``df`` are replaced as a whole, with all their years; all other
-    series stay as they are. New (series, year) folders are written by dynamic partition
-    overwrite, then the folders of years that the new rows don't have are deleted (folder
-    names only, streamed through the driver as a commit does)."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (_prepare(df).write.mode("overwrite").options(**PARQUET_OPTIONS)
-         .partitionBy(*PARTITION_COLUMNS).parquet(root))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-    new = df.select(*PARTITION_COLUMNS).withColumn("symbol", F.upper("symbol")).distinct()
-    same = (lambda names: F.expr(" and ".join(f"l.{c} <=> n.{c}" for c in names)))
-    there = scan_bars(spark, root).select(
-        *PARTITION_COLUMNS, F.regexp_replace(F.col("_metadata.file_path"), "/[^/]+$", "").alias("folder")).distinct()
-    stale = (there.alias("l").join(new.select(*SERIES_COLUMNS).distinct().alias("n"), same(SERIES_COLUMNS), "left_semi")
-             .alias("l").join(new.alias("n"), same(PARTITION_COLUMNS), "left_anti").select("folder").distinct())
-    jvm = spark.sparkContext._jvm
-    for row in stale.toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["folder"]))
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """K2: the series in ``df`` are replaced as a whole, with all their years; all other series stay as they
+    are. One commit of a lake with versions; a plain lake becomes one."""
+    VersionedLake(df.sparkSession, root).replace_series(df)
 
 
 def rewrite_lake(lake: DataFrame, universe: DataFrame, new_root: str, stock_class: str = "stocks") -> DataFrame:
@@ -94,9 +88,9 @@ def rewrite_lake(lake: DataFrame, universe: DataFrame, new_root: str, stock_clas
 
 
 def write_per_symbol(df: DataFrame, root: str, order: Sequence[str], mode: str = "overwrite") -> None:
-    """One folder per symbol, rows ordered inside (financials, option chains)."""
-    (df.repartition("symbol").sortWithinPartitions("symbol", *order)
-     .write.mode(mode).options(**PARQUET_OPTIONS).partitionBy("symbol").parquet(root))
+    """One folder per symbol, rows ordered inside (financials, option chains); a symbol with many
+    rows is several files, each a range of the order."""
+    ranged_writer(df, ["symbol", *order]).mode(mode).partitionBy("symbol").parquet(root)
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:

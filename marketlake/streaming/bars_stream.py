@@ -27,7 +27,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.resample import FIRST_COLS, KEY, LAST_COLS, RESAMPLE_MINUTES
 from ..schemas import OHLCV
 from ..session import shared_dir
-from ..sources.lake import write_bars
+from ..sources.versioned import VersionedLake
 
 EVENT_TIME = "__event_time"
 
@@ -85,10 +85,11 @@ def land_stream(spark: SparkSession, landed_dir: str, lake_root: str, parse: Cal
                 available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
     """X-S1: new landed files → ``parse`` (a normaliser from ``sources``) → K1 append.
 
-    ``foreachBatch`` writes each micro-batch with the batch sink; a batch replayed after
-    a failure writes the same rows again, which the read-time de-duplication (W3)
-    removes, as for any re-ingest. The file source remembers which files it has seen in
-    the checkpoint, so every landed file is parsed once.
+    ``foreachBatch`` commits each micro-batch to the lake under the stream's name and the
+    batch's number (``sources.versioned``): a batch replayed after a failure finds its number
+    committed and adds nothing. The file source remembers which files it has seen in the
+    checkpoint, so every landed file is parsed once. The name belongs to one checkpoint: a
+    stream started anew, from number 0, needs a new name.
     """
     reader = spark.readStream.schema(raw_schema).options(**(options or {}))
     if max_files_per_trigger:
@@ -96,8 +97,8 @@ def land_stream(spark: SparkSession, landed_dir: str, lake_root: str, parse: Cal
     raw = reader.format(fmt).load(landed_dir)
     bars = parse(raw).select(*[c for c in OHLCV.fieldNames()])
 
-    def sink(batch: DataFrame, batch_id: int) -> None:  # noqa: ARG001
-        write_bars(batch, lake_root)
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        VersionedLake(batch.sparkSession, lake_root).append(batch, f"stream-{name}", batch_id)
 
     writer = (bars.writeStream.foreachBatch(sink)
               .option("checkpointLocation", checkpoint_location(spark, name)))

@@ -227,3 +227,12 @@ def test_cross_validation_is_aggregates_only(spark):
     b = _bars(spark, ("A",)).unionByName(_bars(spark, ("A",)).withColumn("source", F.lit("w")))
     plan = explain(crossval.cross_validate(b, "v", "w"), "simple")
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_all_resample_targets_come_from_one_scan(spark):
+    from marketlake.registered import QUERIES as Q
+
+    plan = Q["resample_all"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1
+    executed = Q["resample_all"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange hashpartitioning") == 2
