@@ -45,25 +45,6 @@ def block_seconds_column(timeframe="timeframe") -> Column:
     return F.when(step == 0, F.lit(MONTH_SECONDS)).otherwise(step) * F.lit(BARS_PER_BLOCK)
 
 
-def _join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
-    """Inner / small-side equi-join on ``cols`` with null-safe equality.
-
-    A plain inner equality makes Catalyst infer ``isnotnull`` filters and push them into
-    the branch of the large side that feeds the small tables, which then no longer
-    matches the main branch, and its exchange is recomputed instead of reused.
-    Null-safe keys infer nothing. (The final stitch onto the large side is a plain left
-    join: nothing is inferred on a preserved side, and plain keys keep its partitioning
-    usable.)
-    """
-    ren = {c: f"__j_{c}" for c in cols}
-    r = right.select(*[F.col(c).alias(ren[c]) for c in cols], *[c for c in right.columns if c not in ren])
-    cond = None
-    for c in cols:
-        e = left[c].eqNullSafe(r[ren[c]])
-        cond = e if cond is None else cond & e
-    return left.join(r, cond, how).drop(*ren.values())
-
-
 def _blocked(df: DataFrame, keys: list[str], ts: str, block_seconds, block_col: str | None) -> tuple[DataFrame, str]:
     """Input with a block column, hash-partitioned on (keys, block) exactly once."""
     if block_col is not None and block_col in df.columns:
@@ -99,32 +80,25 @@ def previous_value(df: DataFrame, keys: Sequence[str], ts: str, value: str, out:
 
 
 def lag_n(df: DataFrame, keys: Sequence[str], ts: str, value: str, n: int, out: str,
-          block_seconds, tie: Sequence[str] = (), block_col: str | None = None) -> DataFrame:
+          block_seconds, tie: Sequence[str] = (), block_col: str | None = None, edges: DataFrame | None = None) -> DataFrame:
     """``lag(value, n)`` over ``partitionBy(keys).orderBy(ts, *tie)``, exact across blocks.
 
-    Rows whose n-th predecessor lies in an earlier block look it up among the last ``n``
-    rows of every block (a table of at most blocks × n rows per series); block sizes and
-    offsets come from the same small edge table, so the large side is read once.
+    Each block is summed up in its last ``n`` values. Blocks that are there hold a row at least, so the ``n`` blocks
+    before one hold the ``n`` values before it: one narrow window over the summaries (a row per block) gives every block the
+    values that its first ``n`` rows look back to. The summaries share the rows' exchange, or come from ``edges``: the
+    same rows (keys, block, time and value suffice) where they can be had for less than ``df``.
     """
     keys = list(keys)
     d, blk = _blocked(df, keys, ts, block_seconds, block_col)
-    order = [F.col(ts)] + [F.col(t) for t in tie]
-    w = Window.partitionBy(*keys, blk).orderBy(*order)
-    wcount = Window.partitionBy(*keys, blk)
-    d = (d.withColumn("__r", F.row_number().over(w) - 1)
-         .withColumn("__cnt", F.count(F.lit(1)).over(wcount))
-         .withColumn("__lagin", F.lag(value, n).over(w)))
-    edge = (d.filter((F.col("__r") < n) | (F.col("__r") >= F.col("__cnt") - n))
-            .select(*keys, blk, "__r", "__cnt", F.col(value).alias("__v")))
-    counts = edge.groupBy(*keys, blk).agg(F.max("__cnt").alias("__cnt"))
-    wb = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(wb), F.lit(0))).drop("__cnt")
-    edge = _join(edge, offsets, [*keys, blk]).withColumn("__g", F.col("__off") + F.col("__r"))
-    tail = edge.filter(F.col("__r") >= F.col("__cnt") - n).select(*keys, "__g", F.col("__v").alias("__prev"))
-    head = edge.filter(F.col("__r") < n).select(*keys, blk, "__r", (F.col("__g") - n).alias("__g"))
-    found = _join(head, tail, [*keys, "__g"], "left")
-    per_block = (found.groupBy(*keys, blk)
-                 .agg(F.map_from_entries(F.collect_list(F.struct("__r", "__prev"))).alias("__heads")))
-    d = d.join(per_block, on=[*keys, blk], how="left")            # as in previous_value
-    d = d.withColumn(out, F.when(F.col("__r") < n, F.col("__heads")[F.col("__r")]).otherwise(F.col("__lagin")))
-    return d.drop("__r", "__cnt", "__lagin", "__heads", *([] if blk == block_col else [blk]))
+    w = Window.partitionBy(*keys, blk).orderBy(F.col(ts), *[F.col(t) for t in tie])
+    rows = d if edges is None else _blocked(edges, keys, ts, block_seconds, block_col)[0]
+    last = (rows.withColumn("__r", F.row_number().over(w)).withColumn("__after", F.lead(F.lit(1), n).over(w))
+            .filter(F.col("__after").isNull()))
+    tails = last.groupBy(*keys, blk).agg(F.sort_array(F.collect_list(F.struct("__r", F.col(value).alias("v")))).alias("__tail"))
+    wb = Window.partitionBy(*keys).orderBy(blk).rowsBetween(-n, -1)
+    carry = tails.select(*keys, blk, F.flatten(F.collect_list("__tail.v").over(wb)).alias("__before"))
+    d = d.withColumn("__r", F.row_number().over(w)).withColumn("__lag", F.lag(value, n).over(w))
+    d = d.join(carry, on=[*keys, blk], how="left")            # as in previous_value
+    before = F.get("__before", F.size("__before") - n + F.col("__r") - 1)
+    d = d.withColumn(out, F.when(F.col("__r") <= n, before).otherwise(F.col("__lag")))
+    return d.drop("__r", "__lag", "__before", *([] if blk == block_col else [blk]))

@@ -111,15 +111,15 @@ def consolidated(lake: DataFrame, volatility: DataFrame | None = None, fundament
         "open", "high", "low", "close", "volume", *joined, *keys)
 
 
-def feature_table(consolidated_view: DataFrame, n: int = 20, timeframe: str = "D1") -> DataFrame:
+def feature_table(consolidated_view: DataFrame, n: int = 20, timeframe: str = "D1", bars: DataFrame | None = None) -> DataFrame:
     """Momentum feature over the consolidated view (needs ``keep_keys=True``; its
     (symbol, block) partitioning is reused, so the lag adds no shuffle of the rows).
 
-    Nothing is written in between: the lag's edge branch reads only the key, time and close
-    columns of the view, and Catalyst prunes the rest of the as-of pipeline from it.
+    ``bars`` (``get_ohlcv(…, keep_block=True)`` of the same lake) give the closes at the blocks' ends without
+    the as-of pipeline; without them they come from the view, column by column what they need.
     """
     d = lag_n(consolidated_view, ["symbol"], "timestamp", "close", n, "__prev", block_seconds_for(timeframe),
-              block_col="__blk")
+              block_col="__blk", edges=bars)
     return d.withColumn(f"momentum_{n}d", (F.col("close") - F.col("__prev")) / F.col("__prev")).drop("__prev")
 
 

@@ -364,7 +364,8 @@ def q_consolidated_range(spark, sf):
     "(partition by symbol order by timestamp) as momentum_20d from j", *_E4_FX))
 def q_momentum_20d(spark, sf):
     view = _consolidated(spark, sf, keep_keys=True)
-    return CO.feature_table(view, 20).select("symbol", "timestamp", "close", "volume", "realized_vol_30d",
+    bars = B.get_ohlcv(fixture(spark, sf, "fx_raw_bars"), None, "D1", adjusted=True, keep_block=True)
+    return CO.feature_table(view, 20, bars=bars).select("symbol", "timestamp", "close", "volume", "realized_vol_30d",
                                              "pe_ratio", "momentum_20d")
 
 

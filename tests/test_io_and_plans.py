@@ -218,7 +218,7 @@ def test_consolidated_dedup_reuses_the_fill_sort(spark):
 def test_returns_share_the_dedup_exchange_and_sort(spark):
     d = bars.with_returns(bars.get_ohlcv(_bars(spark, ("A", "B")), None, "D1", keep_block=True), 1)
     plan = explain(d, "simple")
-    assert _sorts_down_to_exchange(plan, "Window [count(1)") == 1          # de-dup, lag: one sort
+    assert _sorts_down_to_exchange(plan, "Window [row_number()") == 1      # de-dup, lag: one sort
     assert plan.count("REPARTITION_BY_COL") >= 1
 
 
@@ -236,3 +236,12 @@ def test_all_resample_targets_come_from_one_scan(spark):
     assert plan.count("FileScan") == 1
     executed = Q["resample_all"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert executed.count("Exchange hashpartitioning") == 2
+
+
+def test_returns_read_the_bars_once(spark):
+    from marketlake.registered import QUERIES as Q
+
+    df = Q["returns"](spark, "/root/testdata/sf0.001")
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1
