@@ -94,9 +94,14 @@ def lag_n(df: DataFrame, keys: Sequence[str], ts: str, value: str, n: int, out:
     rows = d if edges is None else _blocked(edges, keys, ts, block_seconds, block_col)[0]
     last = (rows.withColumn("__r", F.row_number().over(w)).withColumn("__after", F.lead(F.lit(1), n).over(w))
             .filter(F.col("__after").isNull()))
-    tails = last.groupBy(*keys, blk).agg(F.sort_array(F.collect_list(F.struct("__r", F.col(value).alias("v")))).alias("__tail"))
+    # the join takes the keys from aggregates: the isnotnull filters that Catalyst infers for it stop there and do not
+    # reach the rows, whose exchange would be another one then and not be reused
+    own = {c: f"__key{i}" for i, c in enumerate([*keys, blk])}
+    tails = last.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("__r", F.col(value).alias("v")))).alias("__tail"),
+                                   *[F.max(c).alias(name) for c, name in own.items()])
     wb = Window.partitionBy(*keys).orderBy(blk).rowsBetween(-n, -1)
-    carry = tails.select(*keys, blk, F.flatten(F.collect_list("__tail.v").over(wb)).alias("__before"))
+    carry = tails.select(*[F.col(name).alias(c) for c, name in own.items()],
+                         F.flatten(F.collect_list("__tail.v").over(wb)).alias("__before"))
     d = d.withColumn("__r", F.row_number().over(w)).withColumn("__lag", F.lag(value, n).over(w))
     d = d.join(carry, on=[*keys, blk], how="left")            # as in previous_value
     before = F.get("__before", F.size("__before") - n + F.col("__r") - 1)

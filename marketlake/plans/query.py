@@ -3,14 +3,15 @@
 ``spark.sql`` runs a query lazily; the read-only guard inspects the *parsed* plan via
 ``EXPLAIN`` (which never runs the statement) and allows only query plans, so DDL/DML
 (``DROP``, ``INSERT``, ``CREATE VIEW`` …) is refused while a column named ``update``
-is fine.
+is fine. Function calls are held against a list of allowed ones, since some built-in functions run any code.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,8 @@ QUERY_ROOTS = {
 # nodes that change something, anywhere in the plan
 WRITES = re.compile("(Insert|Overwrite|Append|Create|Drop|Alter|Rename|Replace|Delete|Update|Merge|Truncate|Load|Cache|"
                     "Uncache|Refresh|Repair|Analyze|Set|Unset|Use|Write|Copy|Call)[A-Z]\\w*|\\w+Command$")
+# built-in functions that call static methods of the JVM by name
+REFLECTIVE = {"reflect", "java_method", "try_reflect"}
 DEFAULT_MAX_ROWS = 500                   # interactive row cap (a fixed value of the console)
 
 
@@ -35,16 +38,40 @@ def parquet_scan_to_spark(text: str) -> str:
     return re.sub(r"(?:parquet_scan|read_parquet)\(\s*'([^']+)'\s*(?:,[^)]*)?\)", r"parquet.`\1`", text)
 
 
+def called_functions(spark: SparkSession, text: str) -> set[str]:
+    """Names of the functions that the parsed statement calls, subqueries and CTEs included."""
+    tree = json.loads(spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toJSON())
+    found, todo = set(), [tree]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, list):
+            todo.extend(node)
+        elif isinstance(node, dict):
+            if node.get("class", "").endswith(("UnresolvedFunction", "UnresolvedTableValuedFunction")):
+                name = node.get("nameParts", node.get("name"))
+                found.add((name if isinstance(name, str) else name[-1]).strip("[]").split(",")[-1].strip().lower())
+            todo.extend(node.values())
+    return found
+
+
+def allowed_functions(spark: SparkSession) -> set[str]:
+    """The built-in functions, but for those that call any static method of the JVM. Functions that a user has registered
+    may do anything and are not on the list."""
+    return {r[0].split(".")[-1].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()} - REFLECTIVE
+
+
 def is_read_only(spark: SparkSession, text: str) -> bool:
-    """True when the statement parses to a query (never executes it)."""
+    """True when the statement parses to a query (never executes it) that calls allowed functions only."""
     try:
         plan = spark.sql("EXPLAIN EXTENDED " + text).collect()[0][0]
+        functions = called_functions(spark, text)
     except Exception:  # noqa: BLE001  (unparsable → not allowed)
         return False
     parsed = plan.split("== Analyzed Logical Plan ==")[0].split("== Parsed Logical Plan ==")[-1]
     nodes = re.findall(r"^[\s:+|-]*'?([A-Za-z]\w*)", parsed, re.M)
     # the whole tree is read: WITH … INSERT and FROM … INSERT have a query as their root
-    return bool(nodes) and nodes[0] in QUERY_ROOTS and not any(WRITES.match(n) for n in nodes)
+    return (bool(nodes) and nodes[0] in QUERY_ROOTS and not any(WRITES.match(n) for n in nodes)
+            and functions <= allowed_functions(spark))
 
 
 def sql(spark: SparkSession, text: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -69,13 +96,17 @@ def format_result(df: DataFrame) -> DataFrame:
 
 def run_query(spark: SparkSession, text: str, max_rows: int = DEFAULT_MAX_ROWS,
               tables: dict[str, DataFrame] | None = None) -> dict:
-    """Guarded console query: the first ``max_rows`` rows, the total row count and a
-    truncated flag; never collects the whole result."""
+    """Guarded console query: the first ``max_rows`` rows, the total row count and a
+    truncated flag, from one run: the rows are counted (``observe``) on their way into a top-k by their
+    place, which reads them all and keeps ``max_rows`` a task."""
     if not is_read_only(spark, parquet_scan_to_spark(text)):
         raise PermissionError("only read-only queries are allowed")
     df = format_result(sql(spark, text, tables))
-    rows = df.limit(max_rows + 1).collect()
-    truncated = len(rows) > max_rows
-    total = df.count() if truncated else len(rows)
-    return {"columns": df.columns, "rows": [r.asDict() for r in rows[:max_rows]], "total_rows": total,
-            "truncated": truncated}
+    counted = Observation()
+    place = F.monotonically_increasing_id()
+    names = [f"c{i}" for i in range(len(df.columns))]  # a result may hold one name twice
+    top = (df.toDF(*names).observe(counted, F.count(F.lit(1)).alias("rows")).withColumn("place", place)
+           .orderBy("place").limit(max_rows).drop("place"))
+    rows = [dict(zip(df.columns, r)) for r in top.collect()]
+    total = counted.get["rows"] if rows else 0  # a plan known to be empty is not run, nor counted
+    return {"columns": df.columns, "rows": rows, "total_rows": total, "truncated": total > max_rows}

@@ -77,12 +77,37 @@ def test_read_only_guard(spark):
     assert not query.is_read_only(spark, "with x as (select 1 as a) insert overwrite directory '/tmp/w' using csv select * from x")
     assert not query.is_read_only(spark, "from guard_t insert into a select * insert into b select *")
     assert spark.catalog.tableExists("guard_t")
+    for call in ("reflect('java.lang.System', 'getProperty', 'user.home')", "`Java_Method`('java.lang.System', 'exit', 1)",
+                 "system.builtin.try_reflect('java.lang.System', 'gc')", "upper(reflect('java.lang.System', 'lineSeparator'))"):
+        for text in (f"select {call}", f"with x as (select {call} as c) select * from x", f"select 1 where exists (select {call})",
+                     f"select id from guard_t where id in (select {call})", f"select id from guard_t order by {call}",
+                     f"select sum(id) over (partition by {call}) from guard_t", f"select id from guard_t group by id having max({call}) > '1'",
+                     f"select * from guard_t a join guard_t b on a.id = length({call})", f"select 1 union all select length({call})"):
+            assert not query.is_read_only(spark, text), text
+    spark.udf.register("own_function", lambda x: x)
+    assert not query.is_read_only(spark, "select own_function(id) from guard_t")
+    assert query.is_read_only(spark, "select upper(trim(cast(id as string))), extract(year from current_date), id + 1, "
+                                     "row_number() over (order by id), count(*) from guard_t group by id")
+    assert query.is_read_only(spark, "select * from range(3) lateral view explode(array(id)) t as y")
 
 
 def test_run_query_caps_rows(spark):
     res = query.run_query(spark, "select id, double('NaN') as nan_col from range(1000)", max_rows=500)
     assert res["truncated"] and res["total_rows"] == 1000 and len(res["rows"]) == 500
     assert res["rows"][0]["nan_col"] is None                    # NaN is shown as null
+    res = query.run_query(spark, "select id % 7 as a, id as b from range(0, 1000, 1, 9) order by a desc, b", max_rows=3)
+    assert [(r["a"], r["b"]) for r in res["rows"]] == [(6, 6), (6, 13), (6, 20)] and res["total_rows"] == 1000
+    res = query.run_query(spark, "select id from range(5) where id > 9")
+    assert res == {"columns": ["id"], "rows": [], "total_rows": 0, "truncated": False}
+
+
+def test_a_capped_query_is_one_job(spark):
+    context = spark.sparkContext
+    context.setJobGroup("capped", "")
+    query.run_query(spark, "select id from range(0, 1000, 1, 9)", max_rows=3)
+    jobs = context.statusTracker().getJobIdsForGroup("capped")
+    context._jsc.clearJobGroup()
+    assert len(jobs) == 1
 
 
 def test_platform_export_dialects(spark, tmpdir_path):
