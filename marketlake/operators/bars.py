@@ -58,8 +58,8 @@ def filter_bars(df: DataFrame, symbols=None, timeframe: str | None = "D1", start
     return df.filter(cond)
 
 
-def standard_projection(df: DataFrame) -> DataFrame:
-    """S3: the standard columns. An absent column and a stored null count alike, since a lake
+def standard_projection(df: DataFrame, extras: bool = False) -> DataFrame:
+    """S3: the standard columns, and after them all others if ``extras``. An absent column and a stored null count alike, since a lake
     read with an explicit schema shows files without the column as null:
     adj_factor ← adj_factor, else 1.0; adj_close ← adj_close, else close × adj_factor."""
     kinds = {"timestamp": None, "symbol": None, "asset_class": "string", "timeframe": "string", "source": "string"}
@@ -71,7 +71,8 @@ def standard_projection(df: DataFrame) -> DataFrame:
 
     factor = F.coalesce(own("adj_factor"), F.lit(1.0))
     made = {"adj_factor": factor, "adj_close": F.coalesce(own("adj_close"), own("close") * factor)}
-    return df.select(*[made.get(c, own(c)).alias(c) for c in STANDARD])
+    rest = [c for c in df.columns if c not in (*STANDARD, "year")] if extras else []
+    return df.select(*[made.get(c, own(c)).alias(c) for c in STANDARD], *[F.col(f"`{c}`") for c in rest])
 
 
 def source_rank(priority: Sequence[str] | None) -> Column:
@@ -122,16 +123,16 @@ def adjust(df: DataFrame, adjusted=True) -> DataFrame:
 
 def get_ohlcv(lake: DataFrame, symbols=None, timeframe: str | None = "D1", start=None, end=None,
               adjusted=True, source_priority: Sequence[str] | None = None, keep_block: bool = False,
-              ordered: bool = False) -> DataFrame:
+              ordered: bool = False, extras: bool = False) -> DataFrame:
     """Bars of some (or all) symbols, de-duplicated and (un)adjusted; by symbol and
-    timestamp if ``ordered`` (L1, a range-partitioned sort).
+    timestamp if ``ordered`` (L1, a range-partitioned sort); with the lake's extra columns if ``extras`` (S3).
 
     ``keep_block`` partitions the de-dup on (symbol, time block) and returns the block as
     ``__blk``: per-series sequential work after it (returns, momentum) then reuses that
     exchange and that sort. (The timeframe is left out of the hash: it is often a
     constant, which Catalyst folds into the exchange but not into the window keys.)
     """
-    bars = standard_projection(filter_bars(lake, symbols, timeframe, start, end))
+    bars = standard_projection(filter_bars(lake, symbols, timeframe, start, end), extras)
     if keep_block:
         bars = (bars.withColumn("__blk", block_of("timestamp", block_seconds_column("timeframe")))
                 .repartition("symbol", "__blk"))

@@ -809,6 +809,23 @@ def q_ohlcv_drifted_lake(spark, sf):
         "timestamp", "symbol", "asset_class", "timeframe", "open", "high", "low", "close", "volume", "adj_close", "source")
 
 
+@register("drifted_extras", duckdb_sql(
+    "select timestamp, symbol, asset_class, timeframe, open, high, low, close, volume, close*adj_factor as adj_close, adj_factor, source, "
+    "case when symbol like '%1' then cast(l_linenumber as double) when symbol like '%2' then null else l_extendedprice end as trades, "
+    "case when symbol like '%2' then concat('p', cast(l_partkey as varchar)) end as venue from fx_bars", "fx_bars"))
+def q_drifted_extras(spark, sf):
+    """S3: three layouts (trades as a whole number, as a fraction, and a text column instead); nobody names the extras."""
+    rows = fixture(spark, sf, "fx_bars")
+    base = _lake_rows(rows.withColumn("asset_class", F.lit("stocks"))).columns
+    rows = rows.withColumn("adj_close", F.col("close") * F.col("adj_factor"))
+    lake = VL.VersionedLake(spark, _scratch(spark, "extras-lake"))
+    one, two = F.col("symbol").like("%1"), F.col("symbol").like("%2")
+    lake.append(rows.where(one).select(*base, F.col("l_linenumber").cast("int").alias("trades")))
+    lake.append(rows.where(two).select(*base, F.concat(F.lit("p"), "l_partkey").alias("venue")))
+    lake.append(rows.where(~one & ~two).select(*base, F.col("l_extendedprice").alias("trades")))
+    return B.get_ohlcv(LK.scan_bars(spark, lake.root), None, "D1", adjusted="factor", extras=True)
+
+
 _CLASSES = ("case when symbol like '%1' then null when symbol like '%2' then 'forex' else 'stocks' end")
 
 

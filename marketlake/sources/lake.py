@@ -19,11 +19,12 @@ PARQUET_OPTIONS = {"compression": "snappy", "parquet.enable.dictionary": "true",
                    "parquet.block.size": str(16 * 1024 * 1024)}
 
 
-def scan_bars(spark: SparkSession, root: str, extra_schema=None) -> DataFrame:
+def scan_bars(spark: SparkSession, root: str, extra_schema=None, discover: bool = False) -> DataFrame:
     """The lake as a DataFrame with an explicit schema (partition values stay
     strings, '0001' stays '0001'; absent columns read as null). Of a lake with versions, the
-    committed folders of the newest one."""
-    if is_versioned(spark, root):
+    committed folders of the newest one, with all extra columns. Those of a plain lake are named by ``extra_schema``
+    or found by ``discover`` (one job over the footers of its files)."""
+    if discover or is_versioned(spark, root):
         return VersionedLake(spark, root).scan(extra_schema=extra_schema)
     schema = StructType([*OHLCV.fields, *(extra_schema.fields if extra_schema is not None else [])])
     try:

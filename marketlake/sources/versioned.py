@@ -24,6 +24,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -44,6 +45,8 @@ class CommitConflict(RuntimeError):
 class Manifest:
     version: int = 0
     folders: tuple[str, ...] = ()
+    #: Extra columns (name -> type) by folder prefix; "" is the plain lake as a whole.
+    layouts: dict[str, dict[str, str]] = field(default_factory=dict)
     writers: dict[str, int] = field(default_factory=dict)
     state: str | None = None
 
@@ -95,6 +98,20 @@ def is_versioned(spark: SparkSession, root: str) -> bool:
     return bool(_Files(spark, root).glob(f"{MANIFESTS}/v*.json"))
 
 
+_INTEGRAL = ["tinyint", "smallint", "int", "bigint"]
+
+
+def wider(a: str, b: str) -> str:
+    """The type that holds both: the larger integer, double for other numbers, timestamp for dates, else text."""
+    if a == b:
+        return a
+    if a in _INTEGRAL and b in _INTEGRAL:
+        return max(a, b, key=_INTEGRAL.index)
+    if all(x in (*_INTEGRAL, "float", "double") or x.startswith("decimal") for x in (a, b)):
+        return "double"
+    return "timestamp_ntz" if {a, b} == {"date", "timestamp_ntz"} else "string"
+
+
 class VersionedLake:
     """Bars under ``root``; every method that writes is one commit."""
 
@@ -111,24 +128,66 @@ class VersionedLake:
             if not names:
                 raise ValueError(f"no version {version}")
         if not names:
-            return Manifest(folders=tuple(self.files.glob("asset_class=*")))
+            return Manifest(folders=tuple(self.files.glob("asset_class=*")), layouts=self._discovered())
         read = json.loads(self.files.read(names[-1]))
         return Manifest(**{**read, "folders": tuple(read["folders"])})
 
-    def scan(self, version: int | None = None, extra_schema: StructType | None = None) -> DataFrame:
-        """S1 over the live folders, partition columns typed as in ``scan_bars``."""
-        return self._read(self.manifest(version).folders, extra_schema)
+    def _discovered(self) -> dict[str, dict[str, str]]:
+        """Layouts of a plain lake, from the footers of its files, which Spark reads in a job. Where types clash, one
+        layout per asset class and timeframe."""
+        def extras(path: str) -> dict[str, str]:
+            try:
+                found = self.spark.read.option("mergeSchema", True).option("basePath", self.root).parquet(path).schema
+            except AnalysisException:
+                return {}
+            return {f.name: f.dataType.simpleString() for f in found.fields if f.name not in OHLCV.names}
+
+        if not self.files.glob("asset_class=*"):
+            return {}
+        try:
+            whole = extras(self.root)
+            return {"": whole} if whole else {}
+        except Exception as e:  # noqa: BLE001  (not one of PySpark's error classes)
+            if "CANNOT_MERGE_SCHEMAS" not in str(e):
+                raise
+            return {p: own for p in self.files.glob("asset_class=*/timeframe=*") if (own := extras(f"{self.root}/{p}"))}
 
-    def _read(self, folders: tuple[str, ...], extra_schema: StructType | None = None) -> DataFrame:
-        extra = extra_schema.fields if extra_schema is not None else []
-        schema = StructType([*OHLCV.fields, *extra])
+    def scan(self, version: int | None = None, extra_schema: StructType | None = None) -> DataFrame:
+        """S1 over the live folders, partition columns typed as in ``scan_bars``. Without ``extra_schema``, the extra
+        columns of all layouts come along (S3): null where a layout has none, in the widest type where they differ."""
+        at = self.manifest(version)
+        if extra_schema is not None:
+            return self._read(at.folders, {"": {f.name: f.dataType.simpleString() for f in extra_schema.fields}}, forced=True)
+        return self._read(at.folders, at.layouts)
+
+    def _layout_of(self, folder: str, layouts: dict[str, dict[str, str]]) -> tuple[tuple[str, str], ...]:
+        """Extra columns of a live folder: those of the longest prefix that has any."""
+        best = max((p for p in layouts if folder == p or folder.startswith(p + "/") or (not p and not folder.startswith(DATA))),
+                   key=len, default=None)
+        return tuple(layouts[best].items()) if best is not None else ()
+
+    def _read(self, folders: tuple[str, ...], layouts: dict[str, dict[str, str]] | None = None, forced: bool = False) -> DataFrame:
+        layouts = layouts or {}
+        if any(p and not p.startswith(DATA) for p in layouts):  # a plain lake of clashing layouts is read by class and timeframe
+            folders = tuple(g for f in folders for g in (self.files.glob(f"{f}/timeframe=*") if "/" not in f else [f]))
+        groups: dict[tuple, list[str]] = {}
+        for f in folders:
+            own = tuple(layouts[""].items()) if forced else self._layout_of(f, layouts)
+            groups.setdefault((f.startswith(DATA), own), []).append(f"{self.root}/{f}")
+        merged: dict[str, str] = {}
+        for _, own in groups:
+            for name, kind in own:
+                merged[name] = wider(merged.get(name, kind), kind)
         scans = []
-        for batch in (False, True):
-            paths = [f"{self.root}/{f}" for f in folders if f.startswith(DATA) == batch]
-            if paths:
-                own = StructType([*schema.fields, StructField(BATCH, StringType())]) if batch else schema
-                scans.append(self.spark.read.schema(own).option("basePath", f"{self.root}/{DATA}" if batch else self.root).parquet(*paths).select(*schema.names))
-        return reduce(DataFrame.unionByName, scans) if scans else self.spark.createDataFrame([], schema)
+        for (batch, own), paths in groups.items():
+            ddl = ", ".join(f"`{n}` {k}" for n, k in own)
+            schema = StructType([*OHLCV.fields, *(StructType.fromDDL(ddl).fields if own else [])])
+            read = StructType([*schema.fields, StructField(BATCH, StringType())]) if batch else schema
+            found = self.spark.read.schema(read).option("basePath", f"{self.root}/{DATA}" if batch else self.root).parquet(*paths)
+            have = dict(own)
+            scans.append(found.select(*OHLCV.names, *[
+                (F.col(f"`{n}`") if n in have else F.lit(None)).cast(k).alias(n) for n, k in merged.items()]))
+        return reduce(DataFrame.unionByName, scans) if scans else self.spark.createDataFrame([], OHLCV)
 
     def state(self, version: int | None = None) -> DataFrame:
         """One row per series. The lake is scanned only where no commit has written a state yet."""
@@ -147,6 +206,10 @@ class VersionedLake:
         below = SERIES_DEPTH.split("/")[len(self._partitions(folder)):]
         return self.files.glob("/".join([folder, *below])) if below else [folder]
 
+    def _with_layout(self, m: Manifest, df: DataFrame, folder: str) -> dict[str, dict[str, str]]:
+        extras = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name not in OHLCV.names}
+        return {**m.layouts, folder: extras} if extras else m.layouts
+
     def _write(self, df: DataFrame, name: str) -> tuple[str, list[str]]:
         from .lake import bar_writer
 
@@ -194,7 +257,7 @@ class VersionedLake:
             if not series:
                 return replace(m, writers=writers)
             state = self._save_state(merge_states(self.state(m.version), own)) if m.folders else own_state
-            return replace(m, folders=(*m.folders, folder), writers=writers, state=state)
+            return replace(m, folders=(*m.folders, folder), layouts=self._with_layout(m, df, folder), writers=writers, state=state)
 
         self._commit(change)
         return None if replayed else own
@@ -218,7 +281,7 @@ class VersionedLake:
                 new = series_state(self._read((folder,)))
                 rest = self.state(m.version).join(new.select(*CATALOG_KEY), CATALOG_KEY, "left_anti")
                 state = self._save_state(rest.unionByName(new))
-            return replace(m, folders=(*live, folder), state=state)
+            return replace(m, folders=(*live, folder), layouts=self._with_layout(m, df, folder), state=state)
 
         return self._commit(change)
 
@@ -232,7 +295,8 @@ class VersionedLake:
             if m.version != started:
                 raise CommitConflict(f"{self.root}: the lake changed while it was rewritten")
             folders = (folder,) if series else ()
-            return replace(m, folders=folders, state=self._save_state(series_state(self._read(folders))))
+            layouts = self._with_layout(replace(m, layouts={}), keep, folder)
+            return replace(m, folders=folders, layouts=layouts, state=self._save_state(series_state(self._read(folders))))
 
         return self._commit(change)
 

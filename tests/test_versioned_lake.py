@@ -205,3 +205,24 @@ def test_a_hot_leaf_is_written_by_many_tasks(spark, tmpdir_path):
     assert LK.scan_bars(spark, root).count() == 90_000
     LK.write_per_symbol(rows.select("symbol", "timestamp", "close"), tmpdir_path + "/per", ["timestamp"])
     assert len(os.listdir(tmpdir_path + "/per/symbol=HOT")) > 4
+
+
+def test_extra_columns_are_found_and_widened(spark, tmpdir_path):
+    root = tmpdir_path + "/lake"
+    one = bars(spark, [("AAA", "2020-01-01", 1.0)]).withColumn("trades", F.lit(3))
+    two = bars(spark, [("BBB", "2020-01-01", 2.0)]).withColumn("timeframe", F.lit("1h")).withColumn("trades", F.lit(2.5)).withColumn("venue", F.lit("x"))
+    none = bars(spark, [("CCC", "2020-01-01", 3.0)])
+    want = [("AAA", 3.0, None), ("BBB", 2.5, "x"), ("CCC", None, None)]
+
+    def rows(df):
+        return sorted((r.symbol, r.trades, r.venue) for r in df.collect())
+
+    for df in (one, two, none):
+        LK.write_bars(df, root)  # a plain lake whose files clash
+    assert rows(LK.scan_bars(spark, root, discover=True)) == want and "trades" not in LK.scan_bars(spark, root).columns
+    LK.replace_series(none.withColumn("venue", F.lit("y")), root)
+    assert rows(LK.scan_bars(spark, root)) == [*want[:2], ("CCC", None, "y")]
+    lake = VersionedLake(spark, root)
+    lake.rewrite(lake.scan().select(*COLUMNS, "trades", "venue"))
+    assert rows(LK.scan_bars(spark, root)) == [*want[:2], ("CCC", None, "y")] and len(lake.manifest().layouts) == 1
+    assert rows(LK.scan_bars(spark, root).where("timeframe = '1h'")) == [want[1]]
