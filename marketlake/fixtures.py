@@ -63,6 +63,17 @@ FIXTURE_SQL: dict[str, str] = {
               "max(o_totalprice)*0.2e0 as operating_cf, "
               "max(case when o_orderkey % 3 = 0 then null else -o_totalprice*0.05e0 end) as capex "
               "from {orders} join {lineitem} on o_orderkey = l_orderkey group by 1,2",
+    # all joined columns of the consolidated table
+    "fx_fund_wide": "select *, price_to_book*0.1e0 as implied_vol, case when sales > 2 then null else sales*0.3e0 end as beta_raw, "
+                    "pe_ratio*0.01e0 + 0.5e0 as beta_adj from {fx_fund}",
+    "fx_fin_wide": "select *, net_income/1e6 as eps, case when capex is null then null else revenue*0.05e0 end as cash, "
+                   "revenue*3e0 as total_assets, revenue*2e0 as total_liabilities, revenue as equity, revenue*0.7e0 as total_debt "
+                   "from {fx_fin}",
+    # a catalog with series of every class, for the branches of the update plan
+    "fx_classes": "select symbol, case when symbol like '%4' then '1h' when symbol like '%5' then '1m' else timeframe end as timeframe, "
+                  "case when symbol like '%1' then 'crypto' when symbol like '%2' then 'forex' when symbol like '%3' then 'macro' "
+                  "else asset_class end as asset_class, start_date, end_date, rows_count, nulls_pct, "
+                  "case when symbol like '%6' then 'dolt_rates' else source end as source from {fx_catalog}",
     "fx_income": "select concat('SUP', lpad(cast(o_custkey as string), 6, '0')) as act_symbol, o_orderdate as date, "
                  "o_orderpriority as period, max(o_totalprice) as sales, max(o_totalprice)*0.1e0 as net_income "
                  "from {orders} group by 1, 2, 3",

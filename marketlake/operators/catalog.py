@@ -70,14 +70,15 @@ def dataset_status(catalog: DataFrame, datasets: dict[str, DataFrame]) -> DataFr
     """A10: per catalogued symbol, its timeframes and whether each dataset has rows for it.
 
     ``datasets`` maps an output flag name to a frame with a ``symbol`` column.
-    One pass per dataset (distinct symbols), joined on symbol — not a loop over symbols.
+    All datasets are read in one union, pre-aggregated per symbol in every task, and joined once.
     """
     out = (catalog.groupBy("symbol")
            .agg(F.concat_ws(",", F.sort_array(F.collect_set("timeframe"))).alias("timeframes")))
-    for name, df in datasets.items():
-        flag = df.select("symbol").distinct().withColumn(name, F.lit(True))
-        out = out.join(flag, "symbol", "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
-    return out
+    if not datasets:
+        return out
+    rows = reduce(DataFrame.unionByName, [df.select("symbol", F.lit(name).alias("__set")) for name, df in datasets.items()])
+    flags = rows.groupBy("symbol").agg(*[F.max(F.col("__set") == name).alias(name) for name in datasets])
+    return out.join(flags, "symbol", "left").fillna(False, list(datasets))
 
 
 def macro_symbols(catalog: DataFrame) -> DataFrame:

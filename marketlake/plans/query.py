@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.lake import register_views
+from ..sources.lake import register_views, scan_bars
+from ..sources.versioned import Files
 
 # parsed-plan roots that are plain queries
 QUERY_ROOTS = {
@@ -74,10 +75,17 @@ def is_read_only(spark: SparkSession, text: str) -> bool:
             and functions <= allowed_functions(spark))
 
 
-def sql(spark: SparkSession, text: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Run SQL over the registered lake views (``ohlcv`` and any others given)."""
-    if tables:
-        register_views(spark, tables)
+def lake_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Every table of a data folder by name: ``ohlcv`` is the bar lake (empty if there is none), each other
+    folder or Parquet file beside it a table of its name."""
+    files = Files(spark, root)
+    names = {n.removesuffix(".parquet"): n for n in files.glob("*") if n != "ohlcv" and not n.startswith(("_", "."))}
+    return {"ohlcv": scan_bars(spark, f"{root}/ohlcv")} | {k: spark.read.parquet(f"{root}/{n}") for k, n in names.items()}
+
+
+def sql(spark: SparkSession, text: str, tables: dict[str, DataFrame] | None = None, root: str | None = None) -> DataFrame:
+    """Run SQL over the tables given, and over all tables of the data folder ``root``."""
+    register_views(spark, (lake_tables(spark, root) if root else {}) | (tables or {}))
     return spark.sql(parquet_scan_to_spark(text))
 
 

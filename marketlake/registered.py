@@ -1375,3 +1375,5 @@ def q_facts_units(spark, sf):
     """X1, X3 with two units per concept and both taxonomies."""
     facts = spark.sql(_FACTS2.replace("{s}", "string"), t=fixture(spark, sf, "orders"))
     return FD.extract_facts(facts).withColumn("end_date", F.col("end_date").cast("timestamp_ntz"))
+
+from . import registered_more  # noqa: E402, F401  (adds its queries)

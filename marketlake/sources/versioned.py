@@ -51,7 +51,7 @@ class Manifest:
     state: str | None = None
 
 
-class _Files:
+class Files:
     """The few calls on the lake's file system that a commit needs."""
 
     def __init__(self, spark: SparkSession, root: str):
@@ -95,7 +95,7 @@ class _Files:
 
 
 def is_versioned(spark: SparkSession, root: str) -> bool:
-    return bool(_Files(spark, root).glob(f"{MANIFESTS}/v*.json"))
+    return bool(Files(spark, root).glob(f"{MANIFESTS}/v*.json"))
 
 
 _INTEGRAL = ["tinyint", "smallint", "int", "bigint"]
@@ -116,7 +116,7 @@ class VersionedLake:
     """Bars under ``root``; every method that writes is one commit."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.files = spark, root.rstrip("/"), _Files(spark, root)
+        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
 
     # ---- reading
 

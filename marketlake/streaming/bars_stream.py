@@ -7,9 +7,9 @@ that already exist here, with the same results on the rows a stream can finalise
   micro-batch per new set of files, ``trigger(availableNow=True)`` for scheduled runs.
 * ``resample_stream``: A3 with an event-time watermark; a bar is emitted (append mode)
   once the watermark passes its end, and equals the batch bar.
-* ``dedup_stream``: W3's key de-duplication within the watermark. It keeps the first
-  arrival, so the batch source-priority order is not applied; rows a batch read would
-  still de-duplicate.
+* ``dedup_stream``: key de-duplication within the watermark that lets the first arrival
+  through at once; ``best_row_stream``: W3 with the batch rule, once the watermark has
+  passed the bar.
 
 Streams run on ``TIMESTAMP`` (``withWatermark`` refuses ``TIMESTAMP_NTZ``): the bar time
 is cast on entry (the session zone is UTC, so wall time is unchanged) and back on exit.
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.bars import source_rank
 from ..operators.resample import FIRST_COLS, KEY, LAST_COLS, RESAMPLE_MINUTES
 from ..schemas import OHLCV
 from ..session import shared_dir
@@ -75,6 +76,19 @@ def dedup_stream(bars: DataFrame, keys: Sequence[str] = ("symbol", "timeframe",
     return d.dropDuplicatesWithinWatermark(list(keys)).drop(EVENT_TIME)
 
 
+def best_row_stream(bars: DataFrame, keys: Sequence[str] = ("symbol", "timeframe", "timestamp"), delay: str = "1 day",
+                    source_priority: Sequence[str] | None = None) -> DataFrame:
+    """Streaming W3 with the batch rule: of a key's rows, that of the best source, then of the smallest remaining columns.
+
+    The keyed state holds one row, the best so far (an ordered minimum, combined before the shuffle), and is closed and
+    emitted when the watermark passes the bar's time, so a better row may arrive up to ``delay`` later.
+    ``keys`` must hold ``timestamp``. Rows later than the watermark are dropped, as in every stream."""
+    rest = [c for c in bars.columns if c not in (*keys, "source")]
+    rank = F.struct(source_rank(source_priority).alias("__rank"), "source", *rest)
+    closed = with_event_time(bars, delay).groupBy(*keys, EVENT_TIME).agg(F.min(rank).alias("__best"))
+    return closed.select(*[F.col(c) if c in keys else F.col(f"__best.{c}").alias(c) for c in bars.columns])
+
+
 def checkpoint_location(spark: SparkSession, name: str) -> str:
     """Stream checkpoint folder under the shared ``spark.checkpoint.dir``."""
     return shared_dir(spark, f"streams/{name}")
