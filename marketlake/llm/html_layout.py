@@ -1,15 +1,16 @@
 """Operator 10, HTML extraction by layout-aware rendering.
 
-A tree builder reads tags (void elements, implied ends of paragraphs, list items, rows and cells, implied rows,
-end tags matched inside their table cell), and a renderer walks the tree and writes all visible text: blocks on
+A tree builder reads tags (void elements, implied ends of the head, of paragraphs, list items, rows and cells, implied
+rows, end tags matched inside their table cell), and a renderer walks the tree and writes all visible text: blocks on
 lines of their own with blank lines around paragraphs, lists with markers and hanging indents, ``pre`` as it
-stands, and tables with columns padded to one width. Text of svg and math is written with spaces
+stands, and tables with columns padded to one width. Text of svg, math and form controls is written with spaces
 between its elements. Not visible: head, scripts, styles, templates and embedded
-objects, comments, elements with ``hidden``, ``display:none`` or ``visibility:hidden``, hidden inputs, and what a
-closed ``details`` holds beside its summary.
+objects, comments, elements with ``hidden`` or ``display:none``, text that is ``visibility:hidden`` (a child may be
+visible again), hidden inputs, closed dialogs, ruby's brackets, and what a closed ``details`` holds beside its summary.
 
-Both walks keep their own stacks, so nesting of any depth works and time grows with the page's length. Pages are
-independent rows: one pass, no shuffle. Null html gives null text, an empty page an empty text; repeated rows and
+Both walks keep their own stacks, so nesting of any depth works. Time and output grow with the page's length: columns of
+a table in which no cell begins or ends are left out, a cell longer than ``PAD`` does not widen its column, and indents
+stop at ``DEPTH`` levels. Pages are independent rows: one pass, no shuffle. Null html gives null text, an empty page an empty text; repeated rows and
 null ids stay; other columns are dropped; an empty table gives no rows.
 """
 
@@ -30,11 +31,16 @@ TOKEN = re.compile(
     r"""(?:>|=\s*+["'].*\Z|\Z)""", re.S)  # a quote opens a string only where a value begins
 ATTRIBUTE = re.compile(r"""([^\s>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
+#: The longest cell that other rows are aligned with, and the deepest indent in levels.
+PAD, DEPTH = 120, 40
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe object audio video canvas datalist title".split())
+UNSEEN = frozenset("head script style template noscript iframe object audio video canvas datalist title rp".split())
+#: What may stand in a head; any other start tag, and text, ends it.
+HEAD_CONTENT = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
+CONTROLS = frozenset("textarea button select input".split())
 #: Inside svg and math: what is not drawn, and what a space parts from its neighbours.
 FOREIGN = frozenset(("svg", "math"))
 UNDRAWN = frozenset("defs desc metadata annotation annotation-xml".split())
@@ -76,6 +82,15 @@ def _close(stack: list[Node], targets, limits) -> bool:
     return False
 
 
+def _end_head(stack: list[Node]) -> None:
+    """A head is the root's or html's child, and ends where something else begins."""
+    for i in range(1, min(3, len(stack))):
+        if stack[i].tag == "head":
+            if not any(node.tag == "template" for node in stack[i:]):
+                del stack[i:]
+            return
+
+
 def parse(html: str) -> Node:
     root = Node("#root", {})
     stack, at, n = [root], 0, len(html)
@@ -84,6 +99,8 @@ def parse(html: str) -> Node:
         m = TOKEN.search(html, at)
         text = html[at:m.start() if m else n]
         if text:
+            if len(stack) < 5 and stack[-1].tag in ("head", "noscript") and text.strip():
+                _end_head(stack)
             stack[-1].children.append(unescape(text))
         if not m:
             break
@@ -96,6 +113,10 @@ def parse(html: str) -> Node:
         elif m["start"]:
             tag = m["start"].lower()
             attrs = {k.lower(): unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(m["attrs"])} if m["attrs"] else {}
+            if tag == "head" and stack[-1].tag not in ("#root", "html"):
+                continue
+            if tag not in HEAD_CONTENT:
+                _end_head(stack)
             if tag in IMPLIED:
                 targets, limits = IMPLIED[tag]
                 if any(open_tags.get(t) for t in targets):
@@ -122,11 +143,16 @@ def parse(html: str) -> Node:
     return root
 
 
-def visible(node: Node) -> bool:
+def shown(node: Node, inherited: bool) -> bool | None:
+    """None: neither the element nor anything in it is drawn. Else whether its own text is visible."""
     a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
-        return False
-    return "style" not in a or not UNSEEN_STYLE.search(a["style"])
+    if (node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden")
+            or (node.tag == "dialog" and "open" not in a)):
+        return None
+    style = dict((k.lower(), v.lower()) for k, v in DECLARATION.findall(a["style"])) if "style" in a else {}
+    if style.get("display") == "none":
+        return None
+    return {"visible": True, "hidden": False, "collapse": False}.get(style.get("visibility"), inherited)
 
 
 class Flow:
@@ -143,7 +169,7 @@ class Flow:
             self.lines.append("")
         self.gap = 0
         if not self.line:
-            self.line = "".join(self.indent)
+            self.line = "".join(self.indent[:DEPTH])
             if self.marker:
                 self.line = self.line[:len(self.line) - len(self.marker)] + self.marker
                 self.marker = ""
@@ -205,15 +231,22 @@ def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
                     taken[k] = r + down
             c += across
         placed.append(out)
+    edges = {e: i for i, e in enumerate(sorted({e for out in placed for c, _, across in out for e in (c, c + across)}))}
+    placed = [[(edges[c], lines, edges[c + across] - edges[c]) for c, lines, across in out] for out in placed]
     width: dict[int, int] = {}
+
+    def wish(lines: list[str]) -> int:
+        longest = max(map(len, lines), default=0)
+        return longest if longest <= PAD else 0
+
     for out in placed:
         for c, lines, across in out:
             if across == 1:
-                width[c] = max(width.get(c, 0), max(map(len, lines), default=0))
+                width[c] = max(width.get(c, 0), wish(lines))
     for out in placed:  # what a spanning cell needs beyond its columns is spread over them
         for c, lines, across in out:
             if across > 1:
-                short = max(map(len, lines), default=0) - sum(width.get(k, 0) + 2 for k in range(c, c + across)) + 2
+                short = wish(lines) - sum(width.get(k, 0) + 2 for k in range(c, c + across)) + 2
                 for i in range(across if short > 0 else 0):
                     width[c + i] = width.get(c + i, 0) + (short + i) // across
     text = []
@@ -225,7 +258,7 @@ def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
                     start += width.get(at, 0) + 2
                     at += 1
                 if k < len(lines) and lines[k]:
-                    line = line.ljust(start) + lines[k]
+                    line = (line.ljust(start) if not line or len(line) + 2 <= start else line + "  ") + lines[k]
                 for at in range(c + 1, c + across + 1):
                     start += width.get(at - 1, 0) + 2
             text.append(line.rstrip())
@@ -239,11 +272,14 @@ def render(html: str) -> str:
     tables: list[list[list]] = []
     lists: list[int | None] = []
     pre = foreign = 0
+    seen = [True]
     todo: list = [(parse(html), False)]
     while todo:
         item, leave = todo.pop()
         if isinstance(item, str):
-            if pre:
+            if not seen[-1]:
+                flow.space = flow.space or bool(item)
+            elif pre:
                 rows = item.replace("\r\n", "\n").split("\n")
                 for i, row in enumerate(rows):
                     if i:
@@ -260,10 +296,11 @@ def render(html: str) -> str:
             continue
         tag = item.tag
         if not leave:
-            if not visible(item) or foreign and tag in UNDRAWN:
+            own = shown(item, seen[-1])
+            if own is None or foreign and tag in UNDRAWN:
                 continue
             foreign += tag in FOREIGN
-            if foreign and tag in PARTED:
+            if foreign and tag in PARTED or tag in CONTROLS:
                 flow.space = True
             if tag == "br":
                 if flow.line:
@@ -292,18 +329,22 @@ def render(html: str) -> str:
             elif tag == "li":
                 mark = "- "
                 if lists and lists[-1] is not None:
+                    if re.fullmatch(r"-?[0-9]{1,9}", item.attrs.get("value", "")):
+                        lists[-1] = int(item.attrs["value"])
                     mark = f"{lists[-1]}. "
                     lists[-1] += 1
                 flow.indent.append(" " * len(mark))
-                flow.marker = mark
+                flow.marker = mark if own else ""
             elif tag == "blockquote" or tag == "dd":
                 flow.indent.append("  ")
             elif tag == "pre":
                 pre += 1
+            seen.append(own)
             todo.append((item, True))
             todo.extend((c, False) for c in reversed(children))
             continue
-        if foreign and tag in PARTED:
+        seen.pop()
+        if foreign and tag in PARTED or tag in CONTROLS:
             flow.space = True
         foreign -= tag in FOREIGN
         if tag in CELLS and tables:
