@@ -11,6 +11,12 @@ repeat inside the chunk are settled, and only the first of them travels. So a pa
 a third of all documents sends one string per chunk and not one per document. A super-k-mer whose
 minimiser nobody shares is dropped without being read.
 
+A phrase shorter than a window may stand in very many documents between other words. If one of its runs were the
+minimiser of all those windows, they would meet in one bucket. So runs that are common are taken as minimisers only
+where a window holds no other: ``common_runs`` counts, over ``STEER`` of the documents, in how many of them the runs of each
+of 2^20 hash slots stand. The choice of a minimiser is still one function of a window's words for the
+whole job, so equal windows meet whatever those counts say; they steer rows and decide nothing.
+
 Windows are judged on the input alone. A document is known by its id and its text's hash, so rows
 that repeat both have one result, which stands on each of them. Null text has no words. A null id
 stays null, other columns are dropped, an empty table gives no rows, and a document of fewer than
@@ -36,6 +42,9 @@ LEVEL = 9
 CHUNK_BYTES = 8 << 20
 #: Parts of a task's bucket, each sorted on its own.
 PARTS = 4
+#: Share of the documents that common runs are counted in, slots of runs, and what makes a slot common: the share of
+#: those documents that hold it, and their least number.
+STEER, SLOT_BITS, COMMON_SHARE, COMMON_LEAST = 0.01, 20, 0.005, 8
 
 _SKMER = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()),
                     ("start", pa.int64()), ("packed", pa.large_binary())])
@@ -106,8 +115,36 @@ class _Words:
         return doc, places[cut] - self.first[doc], places[last] + size - self.first[doc]
 
 
+def _slots(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def common_runs(docs: DataFrame, gram: int, share: float = STEER) -> np.ndarray:
+    """True for each hash slot whose runs stand in many documents. At most 2^20 numbers reach the driver."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(1 << SLOT_BITS, np.int64), 0
+        for batch in batches:
+            data, bounds = utf8_buffer(batch.column(0))
+            n += batch.num_rows
+            for a, b in slices(bounds):
+                w = _Words(data[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a])
+                at = w.windows(gram)
+                keys = np.unique((w.doc[at] << SLOT_BITS) | _slots(gram_hashes(w.hash, gram)[at]))
+                total += np.bincount(keys & ((1 << SLOT_BITS) - 1), minlength=1 << SLOT_BITS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], names=["slot", "n"])
+
+    counts = docs.select("text").sample(share, 7).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = counts.where((F.col("slot") < 0) | (F.col("n") >= COMMON_LEAST)).toArrow()
+    slots, n = found.column(0).to_numpy(), found.column(1).to_numpy()
+    slots = slots[(slots >= 0) & (n >= COMMON_SHARE * n[slots < 0].sum())]
+    out = np.zeros(1 << SLOT_BITS, dtype=bool)
+    out[slots] = True
+    return out
+
+
 def _chunk(ids: pa.Array, hashes: pa.Array, data: np.ndarray, bounds: np.ndarray, size: int, gram: int,
-           buckets: int) -> Iterator[tuple[int, int, bytes]]:
+           buckets: int, common: np.ndarray | None = None) -> Iterator[tuple[int, int, bytes]]:
     """What one chunk sends: (task, part, packed rows); part -1 has what is settled here."""
     w = _Words(data, bounds)
     places = w.windows(size)
@@ -125,7 +162,10 @@ def _chunk(ids: pa.Array, hashes: pa.Array, data: np.ndarray, bounds: np.ndarray
             yield k, -1, _pack(pa.RecordBatch.from_arrays(
                 [ids.take(rows), hashes.take(rows), pa.array(lo[i]), pa.array(hi[i])], schema=_COVER))
     sent = np.sort(places[order[leader]])
-    least = sliding_min(gram_hashes(w.hash, gram), size - gram + 1)[sent]
+    grams = gram_hashes(w.hash, gram)
+    if common is not None:  # common runs stand behind all others
+        grams = (grams >> np.uint64(1)) | (common[_slots(grams)].astype(np.uint64) << np.uint64(63))
+    least = sliding_min(grams, size - gram + 1)[sent]
     cut = np.concatenate([[True], (np.diff(sent) != 1) | (least[1:] != least[:-1])])
     first = sent[cut]
     last = sent[np.concatenate([np.flatnonzero(cut)[1:] - 1, [len(sent) - 1]])] + size - 1
@@ -166,14 +206,16 @@ def repeated_words(docs: DataFrame, *, window: int = WINDOW, minimiser: int = MI
     """``(doc_id, text_hash, lo, hi)``: word ranges covered by windows that stand anywhere else;
     ranges of a document may overlap. ``docs`` has ``doc_id, text_hash, text``."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = np.packbits(common_runs(docs, minimiser))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.unpackbits(packed).astype(bool)
         for batch in batches:
             data, bounds = utf8_buffer(batch.column(2))
             for a, b in slices(bounds, CHUNK_BYTES):
                 own = bounds[a:b + 1] - bounds[a]
                 for task, part, blob in _chunk(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
-                                               data[bounds[a]:bounds[b]], own, window, minimiser, buckets):
+                                               data[bounds[a]:bounds[b]], own, window, minimiser, buckets, common):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([task], pa.int32()), pa.array([part], pa.int32()), pa.array([blob], pa.binary())],
                         names=["task", "part", "blob"])
