@@ -48,13 +48,14 @@ def ensure_defaults(spark: SparkSession) -> SparkSession:
 
 
 def _shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, the folder that all machines share. Where a session names none
-    (tests), a folder in its warehouse, which driver and executors share as well; never a
-    machine-local temporary folder."""
+    """``spark.checkpoint.dir``, the folder that all machines share. Only a local session may go without: it has
+    one machine, and a folder in its warehouse is used. On a cluster a missing setting is an error, since no other folder
+    is known to be shared."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
