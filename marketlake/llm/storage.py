@@ -15,12 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where a session names none (tests), a folder
-    in its warehouse, which driver and executors share as well."""
+    """The folder of ``spark.checkpoint.dir``. Only a local session (tests) may go without: a folder in its warehouse
+    is used then. On a cluster a missing setting is an error, since no other folder is known to be shared."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
