@@ -195,3 +195,13 @@ def test_filename_rules(spark):
     sym, tf = filename_symbol_timeframe(F.col("n"))
     got = [(r.s, r.t) for r in df.select(sym.alias("s"), tf.alias("t")).collect()]
     assert got == [("EURUSD", "1h"), ("GBPUSD", "1h"), ("USDJPY", "7m"), ("odd", "1m")]
+
+
+def test_an_interval_that_a_vendor_lacks_is_an_error(spark):
+    import pytest
+
+    from marketlake.functions.columns import timeframe_to_vendor
+    df = spark.createDataFrame([("1m",), ("4h",)], "timeframe string")
+    assert df.where("timeframe = '1m'").select(timeframe_to_vendor("alpaca")).first()[0] == "1Min"
+    with pytest.raises(Exception, match="alpaca has no interval for timeframe 4h"):
+        df.select(timeframe_to_vendor("alpaca")).collect()
