@@ -14,22 +14,25 @@ their toxic share from all documents') reaches a bound at which ``FALSE_WITNESSE
 pairs, are expected to pass by chance, so the bound fits the number of labels; and its log ratio of trusted to
 toxic documents is at most ``WITNESS``.
 
-A document's log weight is the smaller of two sums, in nats: the log ratios of target to raw, of a text longer than
-``REACH`` tokens their mean times ``REACH``, plus ``QUALITY_MARGIN``; and the log ratios of the witnesses, each
-``MOST_USES`` times at most, in the worst window, plus the log of the number of windows (the worst of many is bad by chance), plus
-``TOXIC_MARGIN``. So neither sum falls with the text's length. Counts are smoothed on the scale of the target,
-so that a bucket that is seldom seen says nothing. Then k documents, as many as have a weight above zero, are
-drawn by Gumbel top-k: weight plus noise (a hash of id and text, times ``TEMPERATURE``), the k
-largest kept; ties on the last place are all kept.
+A document's log weight is the sum of two log ratios, in nats: that of target to raw, of a text longer than
+``REACH`` tokens the mean times ``REACH``; and that of the witnesses, each ``MOST_USES`` times at most, in the worst
+window, plus the log of the number of windows (the worst of many is bad by chance), zero at most. So neither falls with
+the text's length. Counts are smoothed on the scale of the target, so that a bucket that is seldom seen says nothing.
+
+Then k documents are drawn without replacement in proportion to their weights, by Gumbel top-k: log weight plus
+standard Gumbel noise (from a hash of id and text), the k largest kept; ties on the last place are all kept. A
+document of log weight w has its key above -m with probability 1 - exp(-exp(w + m)). m is taken so that the share
+``KEEP_TRUSTED`` of the labelled trusted documents is expected above it, each weighed by models without itself, and k
+is the number of all documents that are expected above it, rounded up: corpora with more text like the target keep more.
 
 Counting and scoring cover every document and whole texts. The classifier's labels are a sample of
 at most ``MAX_LABELS`` rows (smallest hashes of the id), which is all that is broadcast beside the
-models, whose size is fixed. The k-th largest key is found by narrowing histograms of 1,024 bins.
+counts, whose size is fixed. The k-th largest key is found by narrowing histograms of 1,024 bins.
 
-Null text has no tokens (weight: the margins' smaller one, so it is kept like any unsuspicious text). Null ids
-are unlabelled. Several labels of a document count as the worst. Repeated rows are documents of
-their own with equal results; an empty table gives no rows; without labels all documents weigh the
-same and are kept. ``select_documents`` keeps every column.
+Null text has no tokens and log weight zero, like any unsuspicious text. Null ids are unlabelled. Several labels of a
+document count as the worst. Repeated rows are documents of their own with equal results; an empty table gives no rows;
+without labelled trusted documents all are kept. Very long texts are scored whole, in slices of the batch.
+``select_documents`` keeps every column.
 """
 
 from __future__ import annotations
@@ -47,17 +50,17 @@ from marketlake.llm.text_arrays import SPACE, mix, runs, slices, span_hashes, ut
 
 BUCKETS = 1 << 20
 MAX_LABELS = 200_000
-QUALITY_MARGIN, TOXIC_MARGIN = 20.0, 5.5
+#: Share of the labelled trusted documents that is expected to be drawn; it fixes k.
+KEEP_TRUSTED = 0.995
 QUALITY_PRIOR, TOXIC_PRIOR = 20.0, 0.5
 #: Tokens of a window: the scale on which repeats and insults are judged.
 WINDOW = 512
 #: Tokens of which the quality sum of a longer text is the average.
-REACH = 64
+REACH = 16
 #: Tokens, and pairs, that may be called witnesses by chance, and the largest log ratio of a witness.
 FALSE_WITNESSES, WITNESS = 10.0, -1.5
 #: Uses of a witness that count in one window.
 MOST_USES = 2
-TEMPERATURE = 0.25
 BINS = 1024
 #: The bucket after those of tokens and of pairs.
 REPEATED = 2 * BUCKETS
@@ -89,24 +92,28 @@ def _tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
             np.concatenate([doc, doc2, doc2[again]]), np.concatenate([window, window2, window2[again]]))
 
 
-def label_sample(labels: DataFrame, bound: int = MAX_LABELS) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted ids, class) of at most ``bound`` labelled documents: 1 trusted, 2 toxic, 0 neither."""
+def label_rows(labels: DataFrame, bound: int = MAX_LABELS) -> DataFrame:
+    """(doc_id, kind) of at most ``bound`` labelled documents: 1 trusted, 2 toxic, 0 neither."""
     kind = F.when(F.max("toxic") == 1, 2).when(F.min("quality") == 1, 1).otherwise(0)
-    rows = (labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-            .agg(kind.cast("int").alias("kind")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).toArrow())
+    return (labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+            .agg(kind.cast("int").alias("kind")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound))
+
+
+def label_sample(labels: DataFrame, bound: int = MAX_LABELS) -> tuple[np.ndarray, np.ndarray]:
+    """``label_rows`` as arrays, sorted by id."""
+    rows = label_rows(labels, bound).toArrow()
     ids = rows["doc_id"].to_numpy()
     order = np.argsort(ids)
     return ids[order], rows["kind"].to_numpy()[order]
 
 
-def _distinct(bucket: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct (bucket, group), and how often each stands."""
-    key, n = np.unique(group * (REPEATED + 1) + bucket, return_counts=True)
-    return key % (REPEATED + 1), key // (REPEATED + 1), n
+def _distinct(bucket: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The buckets of the distinct (bucket, group)."""
+    return np.unique(group * (REPEATED + 1) + bucket) % (REPEATED + 1)
 
 
-def models(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> tuple[np.ndarray, np.ndarray]:
-    """Log ratios by bucket: target to raw, and trusted to toxic documents (witnesses, else 0)."""
+def models(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> np.ndarray:
+    """``COUNTS`` by bucket: tokens of raw and target text, trusted and toxic documents. The last place counts documents."""
     sample = docs.sparkSession.sparkContext.broadcast(label_sample(labels, max_labels))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +133,7 @@ def models(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) ->
                 np.add.at(counts[1], bucket[of == 1], 1)
                 for k in (1, 2):
                     some = (of == k) & (bucket < REPEATED)
-                    np.add.at(counts[k + 1], _distinct(bucket[some], doc[some])[0], 1)
+                    np.add.at(counts[k + 1], _distinct(bucket[some], doc[some]), 1)
             for k in (0, 1, 2):
                 counts[k + 1 if k else 0, -1] += np.sum(kind == k)
         some = np.flatnonzero(counts.any(axis=0))
@@ -140,14 +147,25 @@ def models(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) ->
     full = np.zeros((4, REPEATED + 2))
     for row, name in zip(full, COUNTS):
         row[sums["bucket"].to_numpy()] = sums[name].to_numpy()
-    return ratios_of(full)
+    return full
+
+
+def bounds_of(counts: np.ndarray) -> tuple[float, float]:
+    """The surprise that makes a witness, of tokens and of pairs."""
+    toxic = counts[3, :-1]
+    return tuple(float(np.log(max(np.count_nonzero(part), 1) / FALSE_WITNESSES)) for part in (toxic[:BUCKETS], toxic[BUCKETS:]))
 
 
-def ratios_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``models`` from the counts by bucket, the last of which counts the documents."""
-    raw, target, clean, toxic = counts[:, :-1]
-    n_clean, n_toxic = counts[2:, -1]
-    share = target.sum() / raw.sum() if raw.sum() else 0.0
+def share_of(counts: np.ndarray) -> float:
+    """The target's part of all tokens and pairs."""
+    raw, target = counts[0, :-1].sum(), counts[1, :-1].sum()
+    return float(target / raw) if raw else 0.0
+
+
+def ratios_of(bucket: np.ndarray, counts: np.ndarray, n_clean: float, n_toxic: float, share: float,
+              bounds: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Log ratios of these buckets with these counts: target to raw, and trusted to toxic documents (witnesses, else 0)."""
+    raw, target, clean, toxic = counts
     quality = np.log((target + QUALITY_PRIOR) / (raw * share + QUALITY_PRIOR))
     if not n_clean or not n_toxic:
         return quality, np.zeros_like(quality)
@@ -157,34 +175,52 @@ def ratios_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(divide="ignore", invalid="ignore"):
         surprise = both * (np.where(seen > 0, seen * np.log(seen / expected), 0)
                            + np.where(seen < 1, (1 - seen) * np.log((1 - seen) / (1 - expected)), 0))
-    bound = np.zeros(REPEATED + 1)
-    for part in (slice(0, BUCKETS), slice(BUCKETS, None)):  # tokens, pairs
-        bound[part] = np.log(max(np.count_nonzero(toxic[part]), 1) / FALSE_WITNESSES)
+    bound = np.where(bucket < BUCKETS, *bounds)
     safety = np.log((clean * n_toxic / n_clean + TOXIC_PRIOR) / (toxic + TOXIC_PRIOR))
     return quality, np.where((surprise >= bound) & (safety <= WITNESS), safety, 0.0)
 
 
+def all_ratios(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return ratios_of(np.arange(REPEATED + 1), counts[:, :-1], *counts[2:, -1], share_of(counts), bounds_of(counts))
+
+
 def weigh(data: np.ndarray, bounds: np.ndarray, ratios: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of tokens and both sums of the documents of one slice."""
-    quality, safety = ratios
-    size = len(bounds) - 1
     bucket, doc, window = _tokens(data, bounds)
+    return _sums(bucket, doc, window, len(bounds) - 1, bucket, ratios)
+
+
+def weigh_apart(data: np.ndarray, counts: np.ndarray, share: float, bounds: tuple[float, float]) -> float:
+    """Log weight of one trusted document under models without it."""
+    bucket, doc, window = _tokens(data, np.array([0, len(data)]))
+    own, place, uses = np.unique(bucket, return_inverse=True, return_counts=True)
+    rest = counts[:, own] - np.stack([uses, uses, own < REPEATED, np.zeros_like(uses)])
+    ratios = ratios_of(own, rest, counts[2, -1] - 1, counts[3, -1], share, bounds)
+    _, quality, safety = _sums(bucket, doc, window, 1, place, ratios)
+    return float(quality[0] + safety[0])
+
+
+def _sums(bucket: np.ndarray, doc: np.ndarray, window: np.ndarray, size: int, place: np.ndarray,
+          ratios: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``weigh`` from the tokens, whose ratios are at ``place``."""
+    quality, safety = ratios
     n = np.bincount(doc[bucket < BUCKETS], minlength=size)
-    total = np.bincount(doc, weights=quality[bucket], minlength=size) * (REACH / np.maximum(n, REACH))
+    total = np.bincount(doc, weights=quality[place], minlength=size) * (REACH / np.maximum(n, REACH))
     many = -(-n // WINDOW)
-    hit = np.flatnonzero(safety[bucket] != 0)
-    word, at, uses = _distinct(bucket[hit], window[hit])
-    by_window = np.bincount(at, weights=safety[word] * np.minimum(uses, MOST_USES), minlength=int(many.sum()))
+    hit = np.flatnonzero(safety[place] != 0)
+    _, first, uses = np.unique(window[hit] * (REPEATED + 1) + bucket[hit], return_index=True, return_counts=True)
+    word = hit[first]
+    by_window = np.bincount(window[word], weights=safety[place[word]] * np.minimum(uses, MOST_USES), minlength=int(many.sum()))
     worst = np.zeros(size)
     np.minimum.at(worst, np.repeat(np.arange(size), many), by_window)
     return n, total, np.minimum(worst + np.log(np.maximum(many, 1)), 0.0)
 
 
-def scored(docs: DataFrame, ratios: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def scored(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """``docs`` with three columns more: the number of tokens and both sums."""
     at = docs.columns.index("text")
     names = [*docs.columns, *_added(docs)[:3]]
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(r.astype(np.float32) for r in ratios))
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(r.astype(np.float32) for r in all_ratios(counts)))
     schema = StructType([*docs.schema.fields, *(StructField(name, kind) for name, kind in zip(
         names[-3:], (LongType(), DoubleType(), DoubleType())))])
 
@@ -199,19 +235,33 @@ def scored(docs: DataFrame, ratios: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def trusted_weights(docs: DataFrame, labels: DataFrame, counts: np.ndarray, max_labels: int = MAX_LABELS) -> DataFrame:
+    """(w, n): log weights of the labelled trusted documents under models without each, in hundredths."""
+    trusted = label_rows(labels, max_labels).where("kind = 1").select("doc_id")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(trusted), "doc_id", "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast((counts.astype(np.float32), share_of(counts), bounds_of(counts)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = utf8_buffer(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(
+                [weigh_apart(data[a:b], *shared.value) for a, b in zip(bounds[:-1], bounds[1:])], pa.float64())], names=["w"])
+
+    return own.select("text").mapInArrow(run, "w double").groupBy(F.round("w", 2).alias("w")).agg(F.count("*").alias("n"))
+
+
 def _added(docs: DataFrame) -> list[str]:
     return free_names(docs, "n_tokens", "quality", "safety", "log_weight", "gumbel_key")
 
 
-def _keyed(docs: DataFrame, ratios: tuple[np.ndarray, np.ndarray], seed: int) -> DataFrame:
+def _keyed(docs: DataFrame, counts: np.ndarray, seed: int) -> DataFrame:
     """``docs`` with the columns of ``_added``. The key is the weight plus Gumbel noise from a hash of id and
     text: the same in every run."""
     _, quality, safety, weight, key = _added(docs)
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 12)
     uniform = (bits + F.lit(0.5)) / F.lit(float(1 << 52))
-    return scored(docs, ratios).withColumn(weight, F.least(
-        F.col(quality) + QUALITY_MARGIN, F.col(safety) + TOXIC_MARGIN)).withColumn(
-            key, F.col(weight) - F.lit(TEMPERATURE) * F.log(-F.log(uniform)))
+    return scored(docs, counts).withColumn(weight, F.col(quality) + F.col(safety)).withColumn(
+        key, F.col(weight) - F.log(-F.log(uniform)))
 
 
 def kth_largest(keys: DataFrame, column: str, k: int) -> float:
@@ -238,22 +288,45 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float:
     return lo
 
 
-def _last_key(keys: DataFrame) -> float:
-    """The smallest key kept; above all where none is."""
-    k = keys.where("log_weight > 0").count()
-    return kth_largest(keys, "gumbel_key", k) if k else float("inf")
+def margin(weights: np.ndarray, n: np.ndarray, share: float = KEEP_TRUSTED) -> float:
+    """The m at which ``share`` of documents with these log weights, ``n`` of each, has keys above -m on average."""
+    lo, hi = -weights.max() - 50.0, -weights.min() + 50.0
+    for _ in range(100):
+        m = (lo + hi) / 2
+        above = np.average(-np.expm1(-np.exp(np.minimum(weights + m, 50.0))), weights=n)
+        lo, hi = (m, hi) if above < share else (lo, m)
+    return hi
+
+
+def sample_size(keys: DataFrame, trusted: DataFrame) -> int | None:
+    """k, from the log weights of ``keys`` and the histogram ``trusted``; None where nothing tells what to keep."""
+    bins = trusted.orderBy("w").toPandas()  # hundredths of the range of weights
+    if not len(bins):
+        return None
+    m = margin(bins["w"].to_numpy(), bins["n"].to_numpy())
+    above = -F.expm1(-F.exp(F.least(F.col("log_weight") + F.lit(m), F.lit(50.0))))
+    # whole millionths, so that the sum does not depend on the order of rows
+    parts = keys.agg(F.sum(F.round(above * 1e6).cast("long"))).first()[0] or 0
+    return -(-parts // 1_000_000)
+
+
+def _last_key(keys: DataFrame, trusted: DataFrame) -> float:
+    """The smallest key kept."""
+    k = sample_size(keys, trusted)
+    return float("-inf") if k is None else kth_largest(keys, "gumbel_key", k) if k else float("inf")
 
 
 def resample(docs: DataFrame, labels: DataFrame, *, seed: int = 0, max_labels: int = MAX_LABELS) -> DataFrame:
     """One row per document: ``doc_id, n_tokens, log_weight, gumbel_key, kept``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keys = materialise(_keyed(docs, models(docs, labels, max_labels), seed)
-                       .select("doc_id", "n_tokens", "log_weight", "gumbel_key"), "importance")
-    return keys.withColumn("kept", F.col("gumbel_key") >= _last_key(keys))
+    counts = models(docs, labels, max_labels)
+    keys = materialise(_keyed(docs, counts, seed).select("doc_id", "n_tokens", "log_weight", "gumbel_key"), "importance")
+    return keys.withColumn("kept", F.col("gumbel_key") >= _last_key(keys, trusted_weights(docs, labels, counts, max_labels)))
 
 
 def select_documents(docs: DataFrame, labels: DataFrame, *, seed: int = 0, max_labels: int = MAX_LABELS) -> DataFrame:
     """The documents that ``resample`` keeps, with all their columns."""
-    ratios = models(docs, labels, max_labels)
-    keys = materialise(_keyed(docs.select("doc_id", "text"), ratios, seed).select("log_weight", "gumbel_key"), "importance")
-    return _keyed(docs, ratios, seed).where(F.col(_added(docs)[-1]) >= _last_key(keys)).select(*docs.columns)
+    counts = models(docs, labels, max_labels)
+    keys = materialise(_keyed(docs.select("doc_id", "text"), counts, seed).select("log_weight", "gumbel_key"), "importance")
+    last = _last_key(keys, trusted_weights(docs, labels, counts, max_labels))
+    return _keyed(docs, counts, seed).where(F.col(_added(docs)[-1]) >= last).select(*docs.columns)

@@ -183,7 +183,7 @@ def test_classifier_on_held_out_labels(llm):
     share = {(r.quality, r.toxic): r.s for r in importance.resample(docs, labels.where("doc_id % 2 = 0")).join(
         labels.where("doc_id % 2 = 1"), "doc_id").selectExpr("quality", "toxic", "double(kept) k").groupBy(
             "quality", "toxic").agg({"k": "avg"}).withColumnRenamed("avg(k)", "s").collect()}
-    assert share[(1, 0)] > 0.97 and share[(0, 0)] < 0.05 and share[(1, 1)] < 0.5  # some 200 toxic documents to learn from; the check data have ten times as many
+    assert share[(1, 0)] > 0.97 and share[(0, 0)] < 0.05 and share[(1, 1)] < 0.1
 
 
 def test_kth_largest_is_exact(llm):

@@ -1,5 +1,7 @@
 """What the operators once left out: one test for each finding of a review."""
 
+import math
+
 import pytest
 
 from marketlake.llm import html_layout, importance, licenses
@@ -20,8 +22,12 @@ def test_clean_texts_stay_whatever_their_length(llm):
     for r in trusted.where("text IS NOT NULL").select("lang", "text").collect():
         words.setdefault(r.lang, []).extend(r.text.split(" "))
     rows = [(n, " ".join((w * (n // len(w) + 1))[:n])) for w in words.values() for n in (10_000, 100_000, 1_000_000)]
-    got = importance._keyed(llm.createDataFrame(rows, "doc_id long, text string"), importance.models(docs, labels), 0)
-    assert len(rows) == 12 and all(r.log_weight > 0 for r in got.select("log_weight").collect())
+    counts = importance.models(docs, labels)
+    bins = importance.trusted_weights(docs, labels, counts).toPandas()
+    m = importance.margin(bins["w"].to_numpy(), bins["n"].to_numpy())
+    got = importance._keyed(llm.createDataFrame(rows, "doc_id long, text string"), counts, 0)
+    drawn = [1 - math.exp(-math.exp(min(r.log_weight + m, 50))) for r in got.select("log_weight").collect()]
+    assert len(drawn) == 12 and min(drawn) > 0.95 and sum(drawn) / 12 >= importance.KEEP_TRUSTED
 
 
 def test_word_order_counts_in_the_classifier(llm):
@@ -48,7 +54,7 @@ def test_a_word_repeated_by_few_toxic_texts_is_no_witness(llm):
     docs = llm.createDataFrame(rows, "doc_id long, text string")
     labels = llm.createDataFrame([(i, 1, int(i >= 300)) for i in range(340)], "doc_id long, quality int, toxic int")
     safe = {r.doc_id: r.safety for r in importance.scored(docs, importance.models(docs, labels)).collect()}
-    assert all(safe[i] == 0 for i in range(300)) and all(safe[i] < -importance.TOXIC_MARGIN for i in range(303, 340))
+    assert all(safe[i] == 0 for i in range(300)) and all(safe[i] < -5.5 for i in range(303, 340))
 
 
 def test_no_visible_text_of_a_page_is_lost_or_glued():
