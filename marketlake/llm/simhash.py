@@ -10,7 +10,8 @@ those that meet are checked over all 64 bits. No link is lost.
 
 Copies share a fingerprint and are one row before any variant is made. Where many fingerprints
 meet, a search over what is not yet reached emits a forest of at most n - 1 links in place of all
-pairs; the components of the links (``components``) are the result.
+pairs; the components of the links (``components``) are the result. Roots and fingerprints that very many rows
+share are joined by ``join_hot``, apart from the rest.
 
 Null text has no words: fingerprint zero, linked like any other. Repeated rows are documents of
 their own, a null id stays null and counts for no component's smallest id, an empty table gives
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from marketlake.llm.components import components
+from marketlake.llm.components import components, join_hot
 from marketlake.llm.storage import free_names, materialise
 from marketlake.llm.text_arrays import single_spaced, slices, utf8_buffer, words
 
@@ -166,13 +167,14 @@ def _then_none(batches):
 
 
 def link_components(marked: DataFrame, *, id_col: str, fp_col: str, max_bits: int = MAX_BITS) -> DataFrame:
-    """``(fp, component)`` of each distinct fingerprint: the smallest id reachable."""
-    distinct = materialise(marked.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("least")), "fingerprints")
+    """``(fp, component, n)`` of each distinct fingerprint: the smallest id reachable, and its number of rows."""
+    distinct = materialise(marked.groupBy(F.col(fp_col).alias("fp")).agg(
+        F.min(id_col).alias("least"), F.count("*").alias("copies")), "fingerprints")
     roots = components(near_links(distinct, max_bits))
-    of = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = of.groupBy("root").agg(F.min("least").alias("component"))
-    return of.join(least, "root").select("fp", "component")
+    of = materialise(distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
+        "fp", "least", "copies", F.coalesce("root", "fp").alias("root")), "roots")
+    least = of.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n"))
+    return join_hot(of, least, "root", of.count()).select("fp", "component", F.col("copies").alias("n"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -182,7 +184,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                           shingle=shingle, name="fp").select("doc_id", "fp")
     marked = materialise(marked, "simhash")
     of = link_components(marked, id_col="doc_id", fp_col="fp", max_bits=max_bits)
-    return marked.join(of, "fp").select(
+    return join_hot(marked, materialise(of, "components"), "fp", marked.count()).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
