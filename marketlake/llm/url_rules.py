@@ -8,16 +8,17 @@ place per number of labels, holding the last rule that began at that depth. A pl
 URL whose key is below the end of its interval. Among the active hosts' rules whose path begins the
 URL's path the longest wins (host and path together, then the longer host, then block before allow).
 
-URLs are dealt into as many slices as there are shuffle partitions, by a hash of id and URL, and
-each slice is swept on its own with a copy of the rules. So no host, domain or rule, however
-common, is ever met by one task, no join is made, and each URL is shuffled once as id, host and
-path. The rules of one host travel as one array; the rule table is copied once per slice and nothing
-is broadcast.
+Rules and URLs are dealt into as many ranges of the sort order as there are shuffle partitions; a hash of id and URL
+ends the order, so a host with very many URLs spreads over several ranges. Each range is swept on its own. What is
+open at its border is carried into it: of each depth the last rule that began in an earlier range, if its interval
+reaches over the border. So a rule is copied only into ranges that it spans, the carries are found from one row per range
+and depth, nothing is broadcast, and no URL meets rules of other hosts. Ranges are written to the shared folder, as
+their borders come from a sample. The rules of one host travel as one array.
 
 A URL that is null or has no ``://`` has an empty host and path; only rules with an empty host fit
 the empty host. A URL that no rule fits gets ``default`` and a null rule. Rules with a null in any
 column are ignored, a rule given twice is one rule, and two verdicts for one rule mean block. Null
-ids stay, repeated rows stay, other columns are dropped, an empty table gives no rows.
+ids stay, repeated rows stay, other columns are dropped, an empty table gives no rows. Very long URLs are taken whole.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlake.llm.storage import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,33 +44,43 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, "[.]")), "."), F.lit("."))
 
 
+def _carried(both: DataFrame, deepest: int) -> DataFrame:
+    """The rules that are open where each range begins, as rows without a key, which stand before all others."""
+    first = both.groupBy("range").agg(F.min("key").alias("first")).select(
+        "range", "first", F.explode(F.sequence(F.lit(1), F.lit(deepest))).alias("depth"))
+    last = both.where("depth IS NOT NULL").groupBy("range", "depth").agg(F.max_by("opened", "key").alias("opened"))
+    before = Window.partitionBy("depth").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    open_ = F.last("opened", ignorenulls=True).over(before)
+    return (first.join(last, ["range", "depth"], "left").select("range", "depth", "first", open_.alias("opened"))
+            .where("first < opened.end").select("range", "depth", "opened"))
+
+
 def judge(pages: DataFrame, rules: DataFrame, *, default: str = "allow", id_col: str = "page_id",
           url_col: str = "url") -> DataFrame:
     """``pages`` (id, url) against ``rules`` (host, path, verdict) -> ``page_id, host, path, rule, verdict``."""
-    spark = pages.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     host, path = host_and_path(F.col(url_col))
-    urls = pages.select(
-        F.pmod(F.xxhash64(F.col(id_col), F.col(url_col)), F.lit(n)).cast("int").alias("slice"),
-        F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    urls = urls.withColumn("key", host_key(F.col("host")))
+    urls = pages.select(F.xxhash64(F.col(id_col), F.col(url_col)).alias("deal"), F.col(id_col).alias("page_id"),
+                        host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")))
     hosts = (rules.dropna(subset=["host", "path", "verdict"]).select(
         F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").groupBy("host")
         .agg(F.collect_set(F.struct("path", "verdict")).alias("rules")))
-    hosts = hosts.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slice"), host_key(F.col("host")).alias("key"),
-        F.size(F.split("host", "[.]")).alias("depth"), F.struct("host", "rules").alias("own"))
-    deepest = hosts.agg(F.max("depth")).first()[0] or 0  # one number
+    hosts = hosts.select(host_key(F.col("host")).alias("key"), F.size(F.split("host", "[.]")).alias("depth"),
+                         F.struct("host", "rules").alias("own"))
+    hosts = hosts.select("key", "depth", F.struct(
+        F.concat(F.expr("left(key, char_length(key) - 1)"), F.lit("/")).alias("end"), "own").alias("opened"))
     # rules stand before the URLs of their own host
-    sweep = Window.partitionBy("slice").orderBy("key", F.col("depth").isNull()).rowsBetween(
+    both = materialise(urls.unionByName(hosts, allowMissingColumns=True)
+                       .repartitionByRange(n, F.col("key"), F.col("depth").isNull(), F.col("deal"))
+                       .withColumn("range", F.spark_partition_id()).drop("deal"), "url-ranges")
+    deepest = both.agg(F.max("depth")).first()[0] or 0  # one number
+    sweep = Window.partitionBy("range").orderBy("key", F.col("depth").isNull()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    both = urls.unionByName(hosts, allowMissingColumns=True)
-    end = F.concat(F.expr("left(key, char_length(key) - 1)"), F.lit("/"))
-    opened = F.struct(end.alias("end"), "own")
-    stack = F.array(*[F.last(F.when(F.col("depth") == d, opened), ignorenulls=True).over(sweep)
+    rows = both.unionByName(_carried(both, deepest), allowMissingColumns=True) if deepest else both
+    stack = F.array(*[F.last(F.when(F.col("depth") == d, F.col("opened")), ignorenulls=True).over(sweep)
                       for d in range(1, deepest + 1)]) if deepest else F.array().cast(
                           "array<struct<end:string,own:struct<host:string,rules:array<struct<path:string,verdict:string>>>>>")
-    swept = both.withColumn("stack", stack).where("depth IS NULL")
+    swept = rows.withColumn("stack", stack).where("depth IS NULL")
     active = F.filter("stack", lambda s: s["end"].isNotNull() & (F.col("key") < s["end"]))
     fits = F.flatten(F.transform(active, lambda s: F.transform(
         F.filter(s["own"]["rules"], lambda r: F.startswith(F.col("swept.path"), r["path"])),
