@@ -107,7 +107,6 @@ def test_weights_size_and_draw(llm, corpus):
     kept = sorted((r.gumbel_key for r in rows.values() if r.kept), reverse=True)
     assert abs(len(kept) - size) < 1.5  # weights apart are rounded, models are single precision
     assert kept == sorted((r.gumbel_key for r in rows.values()), reverse=True)[:len(kept)]
-    assert all(rows[i].kept for i, q, t in labels if q and not t) or imp.KEEP_TRUSTED < 1
     assert not any(r.kept for i, r in rows.items() if docs[i] and "buy now" in docs[i] and len(docs[i]) > 200)
 
 
