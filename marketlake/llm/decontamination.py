@@ -7,15 +7,17 @@ Neighbouring windows mostly choose the same gram and are kept as one run, whose
 string. Runs meet the benchmark's fingerprints by hash; those that meet are extended to all their windows,
 which are compared with the benchmark's word for word.
 
-Items shorter than a window are met by their own length: the document's grams of exactly that many words are
-compared as strings. The lengths that occur (at most ``window - 1`` numbers) are all that reaches the driver.
+Items shorter than a window are met by their own length: the document's grams of all lengths that occur are
+hashed in one pass, meet the items by length and hash, and are compared as words where they met. The lengths (at
+most ``window - 1`` numbers) are all that reaches the driver.
 
 Benchmark windows are made distinct before they meet documents, so equal passages of many items cost one
 match; which items they come from is joined last, on what was hit. No join has a broadcast hint: Catalyst
 broadcasts a side of known small size, and sorts, shuffles and splits skewed keys otherwise.
 
 Null text has no words; an item without words or without id has no windows that count. Documents are known by id
-and text, so rows that repeat both are judged once and each of them gets the result. Null document ids stay; extra columns are
+and text, so rows that repeat both are judged once and each of them gets the result. A text is split and hashed whole
+in one row, however long it is. Null document ids stay; extra columns are
 dropped; an empty benchmark leaves all documents clean; an empty document table gives no rows.
 """
 
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.llm.native_text import ascii_lower, gram_hashes, let, shifted, split_words
+from marketlake.llm.native_text import ascii_lower, doubled, gram_hashes, let, shifted, split_words
 from marketlake.llm.storage import materialise
 
 WINDOW, GRAM = 10, 5
@@ -91,15 +93,30 @@ def hits(docs: DataFrame, windows: DataFrame, *, window: int = WINDOW, k: int =
     stands = stands.select("doc_id", "text_hash", "start", F.posexplode_outer("texts").alias("i", "words")).select(
         "doc_id", "text_hash", (F.col("start") + F.col("i")).alias("start"), F.lit(window).alias("n"), "words")
     found = stands.join(windows.where(F.col("n") == window).select("words").distinct(), "words", "left_semi")
-    for n in sorted(r["n"] for r in windows.where(F.col("n") < window).select("n").distinct().collect()):
-        grams = let(F.col("w"), lambda w: F.when(F.size(w) >= n, F.transform(
-            F.sequence(F.lit(0), F.size(w) - n), lambda i: _text(w, i, n))))
-        short = docs.select("doc_id", "text_hash", grams.alias("g")).select(
-            "doc_id", "text_hash", F.posexplode_outer("g").alias("start", "words")).select(
-                "doc_id", "text_hash", "start", F.lit(n).alias("n"), "words")
-        found = found.unionByName(short.join(windows.where(F.col("n") == n).select("words").distinct(), "words", "left_semi"),
-                                  allowMissingColumns=False)
-    return found
+    lengths = sorted(r["n"] for r in windows.where(F.col("n") < window).select("n").distinct().collect())
+    return found.unionByName(_short_hits(docs, windows.where(F.col("n") < window), lengths)) if lengths else found
+
+
+def _short_hits(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same for whole items of few words: grams of all ``lengths`` are hashed in one pass and meet the
+    items' hashes; the places that met are compared word for word."""
+    def of(n: int, ones: Column) -> Column:
+        return F.transform(doubled(ones, n), lambda h, i: F.struct(F.lit(n).alias("n"), i.alias("start"), h.alias("h")))
+
+    def grams(words: Column) -> Column:
+        return let(F.transform(words, lambda w: F.xxhash64(w)), lambda ones: F.concat(*(of(n, ones) for n in lengths)))
+
+    items = windows.select("n", "words").distinct()
+    one = F.coalesce(*(F.when(F.col("n") == n, F.get(gram_hashes(F.split("words", " "), n), F.lit(0))) for n in lengths))
+    met = (docs.select("doc_id", "text_hash", F.inline_outer(grams(F.col("w"))))
+           .join(items.select("n", one.alias("h")).distinct(), ["n", "h"], "left_semi")
+           .groupBy(F.col("doc_id").alias("met_id"), F.col("text_hash").alias("met_hash"))
+           .agg(F.collect_set(F.struct("start", "n")).alias("at")))
+    same = F.col("doc_id").eqNullSafe(F.col("met_id")) & (F.col("text_hash") == F.col("met_hash"))
+    return docs.join(met, same).select("doc_id", "text_hash", let(F.col("w"), lambda w: F.transform("at", lambda x: F.struct(
+        x["start"].alias("start"), x["n"].alias("n"), _text(w, x["start"], x["n"]).alias("words")))).alias("stands")).select(
+            "doc_id", "text_hash", F.inline_outer("stands")).join(items, ["n", "words"], "left_semi").select(
+                "doc_id", "text_hash", "start", "n", "words")
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
