@@ -14,12 +14,14 @@ Only one number per partition passes through the driver.
 
 Tokenising: the vocabulary drops white space and case and splits at letters, digits and signs, so
 a text's ids are those of its pieces. Pieces are found and hashed by array operations and looked
-up in a table of some ``CACHE_PIECES`` pieces per Python worker by 63-bit hash (two of a full
-table's pieces share one with a chance of 2e-7); new pieces go to the tokenizer. A run between white space that holds anything but printable ASCII without ``'`` and
-the letters U+00C0-U+00FF goes to the tokenizer whole.
-
-Null text counts as empty (one piece: the end id). Repeated rows are documents of their own, a null
-id stays null, other columns are dropped, an empty table gives no rows.
+up in a table of some ``CACHE_PIECES`` pieces per Python worker by 63-bit hash; a second, independent 64-bit
+hash is compared, and a piece that differs in it goes to the tokenizer, as new ones do. A run between white
+space that holds anything but printable ASCII without ``'`` and the letters U+00C0-U+00FF goes to the tokenizer
+whole. Ids are kept in two bytes, so a larger vocabulary is refused.
+
+Null text counts as empty (one piece: the end id). Ids of documents are integers (a string that is none is an
+error). Repeated rows are documents of their own, a null id stays null, other columns are dropped, an empty
+table gives no rows. A very long text is tokenised in one task, by slices of whole documents.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.llm.storage import materialise
-from marketlake.llm.text_arrays import SPACE, runs, slices, span_hashes, utf8_buffer
+from marketlake.llm.text_arrays import BASES, SPACE, runs, slices, span_hashes, utf8_buffer
 
 LENGTH = 2048
 END_ID = 1
@@ -71,6 +73,8 @@ class PieceTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
+        if self.whole.get_vocab_size() > 1 << 16:
+            raise ValueError(f"{path}: ids of more than two bytes cannot be packed")
         self.piece = self.whole.model
         shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {c: shown.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
@@ -81,6 +85,7 @@ class PieceTokenizer:
         self.keys = np.zeros(2 * CACHE_PIECES, dtype=np.uint64)
         self.rows = np.zeros(2 * CACHE_PIECES, dtype=np.int32)
         self.n = 0
+        self.checks = np.zeros(1 << 17, dtype=np.uint64)
         self.first = np.zeros(1 << 17, dtype=np.int64)
         self.flat = np.zeros(1 << 18, dtype=np.uint16)
 
@@ -90,15 +95,22 @@ class PieceTokenizer:
             return [t.id for t in self.piece.tokenize(text if text.isascii() else text.translate(self.shown))]
         return self.whole.encode(text, add_special_tokens=False).ids
 
-    def _add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
-        """Append the lists of ids of new, distinct keys."""
+    def _append(self, checks: np.ndarray, ids: list[list[int]]) -> np.ndarray:
+        """Rows of new lists of ids."""
         n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         rows = np.arange(self.n, self.n + len(ids))
         self.first = _room(self.first, self.n + len(ids) + 1)
+        self.checks = _room(self.checks, self.n + len(ids))
+        self.checks[rows] = checks
         self.first[rows + 1] = self.first[self.n] + np.cumsum(n)
         self.flat = _room(self.flat, int(self.first[self.n + len(ids)]))
         self.flat[self.first[self.n]:self.first[self.n + len(ids)]] = list(chain.from_iterable(ids))
         self.n += len(ids)
+        return rows
+
+    def _add(self, keys: np.ndarray, checks: np.ndarray, ids: list[list[int]]) -> None:
+        """Enter new, distinct keys with their lists of ids."""
+        rows = self._append(checks, ids)
         if 3 * self.n > 2 * len(self.keys):  # only a document of millions of pieces gets here
             old = self.keys > 0
             keys, rows = np.concatenate([self.keys[old], keys]), np.concatenate([self.rows[old], rows])
@@ -157,14 +169,22 @@ class PieceTokenizer:
             return np.zeros(0, np.uint16), np.zeros(len(bounds), np.int64)
         whole = kind[start] == _WHOLE
         keys = (span_hashes(low, start, end) ^ whole) | np.uint64(2)
+        checks = span_hashes(low, start, end, BASES[1]) ^ whole
+        raw = low.tobytes()
+
+        def encoded(j: np.ndarray) -> list[list[int]]:
+            return [self._ids(raw[a:b], not w) for a, b, w in zip(start[j].tolist(), end[j].tolist(), whole[j].tolist())]
+
         at = self._find(keys)
         new = np.flatnonzero(at < 0)
         if len(new):
             _, first = np.unique(keys[new], return_index=True)
             j = new[first]
-            raw, spans = low.tobytes(), zip(start[j].tolist(), end[j].tolist(), whole[j].tolist())
-            self._add(keys[j], [self._ids(raw[a:b], not w) for a, b, w in spans])
+            self._add(keys[j], checks[j], encoded(j))
             at[new] = self._find(keys[new])
+        other = np.flatnonzero(self.checks[at] != checks)
+        if len(other):  # another piece has this key: its ids stand beside the table
+            at[other] = self._append(checks[other], encoded(other))
         n = self.first[at + 1] - self.first[at]
         stop = np.cumsum(n)
         ids = self.flat[np.repeat(self.first[at] - stop + n, n) + np.arange(stop[-1])]
