@@ -29,7 +29,8 @@ Counting and scoring cover every document and whole texts. The classifier's labe
 at most ``MAX_LABELS`` rows (smallest hashes of the id), which is all that is broadcast beside the
 counts, whose size is fixed. The k-th largest key is found by narrowing histograms of 1,024 bins.
 
-Null text has no tokens and log weight zero, like any unsuspicious text. Null ids are unlabelled. Several labels of a
+Null text has no tokens and log weight zero, like any unsuspicious text. Ids are integers (a string that is none is an
+error). Null ids are unlabelled. Several labels of a
 document count as the worst. Repeated rows are documents of their own with equal results; an empty table gives no rows;
 without labelled trusted documents all are kept. Very long texts are scored whole, in slices of the batch.
 ``select_documents`` keeps every column.
@@ -41,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -62,6 +64,8 @@ FALSE_WITNESSES, WITNESS = 10.0, -1.5
 #: Uses of a witness that count in one window.
 MOST_USES = 2
 BINS = 1024
+#: Buckets whose ratios are computed at a time.
+BLOCK = 1 << 17
 #: The bucket after those of tokens and of pairs.
 REPEATED = 2 * BUCKETS
 COUNTS = ("raw", "target", "clean_docs", "toxic_docs")
@@ -181,7 +185,13 @@ def ratios_of(bucket: np.ndarray, counts: np.ndarray, n_clean: float, n_toxic: f
 
 
 def all_ratios(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return ratios_of(np.arange(REPEATED + 1), counts[:, :-1], *counts[2:, -1], share_of(counts), bounds_of(counts))
+    """Both log ratios of every bucket; taken in blocks, as the driver holds what they are computed from."""
+    out = np.empty((2, REPEATED + 1), dtype=np.float32)
+    share, bounds = share_of(counts), bounds_of(counts)
+    for a in range(0, REPEATED + 1, BLOCK):
+        b = min(a + BLOCK, REPEATED + 1)
+        out[:, a:b] = ratios_of(np.arange(a, b), counts[:, a:b], *counts[2:, -1], share, bounds)
+    return out[0], out[1]
 
 
 def weigh(data: np.ndarray, bounds: np.ndarray, ratios: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,11 +226,15 @@ def _sums(bucket: np.ndarray, doc: np.ndarray, window: np.ndarray, size: int, pl
     return n, total, np.minimum(worst + np.log(np.maximum(many, 1)), 0.0)
 
 
-def scored(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``docs`` with three columns more: the number of tokens and both sums."""
+def shared_ratios(docs: DataFrame, counts: np.ndarray) -> Broadcast:
+    return docs.sparkSession.sparkContext.broadcast(all_ratios(counts))
+
+
+def scored(docs: DataFrame, counts: np.ndarray, shared: Broadcast | None = None) -> DataFrame:
+    """``docs`` with three columns more: the number of tokens and both sums. ``shared`` are the ratios, if sent already."""
+    shared = shared or shared_ratios(docs, counts)
     at = docs.columns.index("text")
     names = [*docs.columns, *_added(docs)[:3]]
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(r.astype(np.float32) for r in all_ratios(counts)))
     schema = StructType([*docs.schema.fields, *(StructField(name, kind) for name, kind in zip(
         names[-3:], (LongType(), DoubleType(), DoubleType())))])
 
@@ -254,13 +268,13 @@ def _added(docs: DataFrame) -> list[str]:
     return free_names(docs, "n_tokens", "quality", "safety", "log_weight", "gumbel_key")
 
 
-def _keyed(docs: DataFrame, counts: np.ndarray, seed: int) -> DataFrame:
+def _keyed(docs: DataFrame, counts: np.ndarray, seed: int, shared: Broadcast | None = None) -> DataFrame:
     """``docs`` with the columns of ``_added``. The key is the weight plus Gumbel noise from a hash of id and
     text: the same in every run."""
     _, quality, safety, weight, key = _added(docs)
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 12)
     uniform = (bits + F.lit(0.5)) / F.lit(float(1 << 52))
-    return scored(docs, counts).withColumn(weight, F.col(quality) + F.col(safety)).withColumn(
+    return scored(docs, counts, shared).withColumn(weight, F.col(quality) + F.col(safety)).withColumn(
         key, F.col(weight) - F.log(-F.log(uniform)))
 
 
@@ -327,6 +341,7 @@ def resample(docs: DataFrame, labels: DataFrame, *, seed: int = 0, max_labels: i
 def select_documents(docs: DataFrame, labels: DataFrame, *, seed: int = 0, max_labels: int = MAX_LABELS) -> DataFrame:
     """The documents that ``resample`` keeps, with all their columns."""
     counts = models(docs, labels, max_labels)
-    keys = materialise(_keyed(docs.select("doc_id", "text"), counts, seed).select("log_weight", "gumbel_key"), "importance")
+    shared = shared_ratios(docs, counts)
+    keys = materialise(_keyed(docs.select("doc_id", "text"), counts, seed, shared).select("log_weight", "gumbel_key"), "importance")
     last = _last_key(keys, trusted_weights(docs, labels, counts, max_labels))
-    return _keyed(docs, counts, seed).where(F.col(_added(docs)[-1]) >= last).select(*docs.columns)
+    return _keyed(docs, counts, seed, shared).where(F.col(_added(docs)[-1]) >= last).select(*docs.columns)

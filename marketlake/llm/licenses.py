@@ -9,7 +9,9 @@ has not are counted and reported. A template is found if they are at most ``MAX_
 licenses apart (``IDENTITY``, or a version number). Words
 found belong to one license; the license words left over are judged on.
 
-Whole texts are read and each document is on its own: one pass, no shuffle. Null and empty texts have no blocks;
+Whole texts are read and each document is on its own: one pass, no shuffle. A notice without any of the license
+words ``TRIGGERS`` is not looked at; every license word costs up to three rankings of all templates, so a very long text
+full of them is slow, yet in one worker of its own. Null and empty texts have no blocks;
 repeated rows and null ids stay; other columns are dropped; an empty table gives no rows; of equal savings the
 template listed first wins.
 """

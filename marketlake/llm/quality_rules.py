@@ -17,7 +17,7 @@ counts and scores cover all documents. The model is one array of ``BUCKETS`` num
 
 Null text has no words, lines or signs and fails. Repeated rows and null ids stay rows of their
 own, several labels of a document count as the worst, an empty table gives no rows, without trusted documents
-every score is zero (passes).
+every score is zero (passes). A text is judged whole in one row, however long it is.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ of the corpus in the same class of length, the e-BH procedure keeps the share of
 runs, the k largest e-values pass if the k-th is at least m / (FDR * k). The ranks come from a histogram of
 half-nat bins by length class, read at the bins' lower ends, so only some hundred counts reach the driver.
 
-Null text is empty. Repeated rows and null ids stay rows of their own, other columns are dropped (``redact``
+Null text is empty. A text is searched whole in one row, however long it is. Repeated rows and null ids stay rows of their own, other columns are dropped (``redact``
 keeps them), an empty table gives no rows. A run that overlaps a pattern's span is left to the pattern.
 """
 

@@ -13,7 +13,8 @@ meet, a search over what is not yet reached emits a forest of at most n - 1 link
 pairs; the components of the links (``components``) are the result. Roots and fingerprints that very many rows
 share are joined by ``join_hot``, apart from the rest.
 
-Null text has no words: fingerprint zero, linked like any other. Repeated rows are documents of
+Null text has no words: fingerprint zero, linked like any other. Ids are integers (a string that is none is an
+error), as the smallest of a component is its name. A very long text is read in one row. Repeated rows are documents of
 their own, a null id stays null and counts for no component's smallest id, an empty table gives
 no rows, other columns are kept apart.
 """

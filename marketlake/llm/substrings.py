@@ -17,7 +17,7 @@ where a window holds no other: ``common_runs`` counts, over ``STEER`` of the doc
 of 2^20 hash slots stand. The choice of a minimiser is still one function of a window's words for the
 whole job, so equal windows meet whatever those counts say; they steer rows and decide nothing.
 
-Windows are judged on the input alone. A document is known by its id and its text's hash, so rows
+Windows are judged on the input alone. Ids are integers (a string that is none is an error). A document is known by its id and its text's hash, so rows
 that repeat both have one result, which stands on each of them. Null text has no words. A null id
 stays null, other columns are dropped, an empty table gives no rows, and a document of fewer than
 ``window`` words keeps them all.
