@@ -765,6 +765,7 @@ def q_utc_normalize(spark, sf):
 # ------------------------------------------------------------------ files: K1, K2, S1, S7, S9, S10
 import uuid as _uuid  # noqa: E402
 
+from .schemas import PARTITION_COLUMNS, SYMBOL_BUCKET  # noqa: E402
 from .session import shared_dir  # noqa: E402
 from .sources import csv_sources as CS  # noqa: E402
 from .sources import json_sources as JS  # noqa: E402
@@ -803,8 +804,8 @@ _DRIFTED = "timestamp, symbol, asset_class, timeframe, open, high, low, close, v
 def q_ohlcv_drifted_lake(spark, sf):
     """S3: a lake whose files lack both adjustment columns, read adjusted."""
     root = _scratch(spark, "lake")
-    (fixture(spark, sf, "fx_bars").select(*_DRIFTED.split(", ")).repartition("symbol")
-     .write.partitionBy("asset_class", "timeframe", "symbol", "year").parquet(root))
+    rows = fixture(spark, sf, "fx_bars").select(*_DRIFTED.split(", ")).withColumn(SYMBOL_BUCKET, VL.bucket_of("symbol"))
+    LK.ranged_writer(rows, [*PARTITION_COLUMNS, "symbol", "timestamp"]).partitionBy(*PARTITION_COLUMNS).parquet(root)
     return B.get_ohlcv(LK.scan_bars(spark, root), None, "D1", adjusted=True).select(
         "timestamp", "symbol", "asset_class", "timeframe", "open", "high", "low", "close", "volume", "adj_close", "source")
 

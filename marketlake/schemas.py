@@ -9,7 +9,9 @@ BAR_COLUMNS = [
     "adj_close", "adj_factor", "source", "year",
 ]
 PRICE_COLUMNS = ["open", "high", "low", "close"]
-PARTITION_COLUMNS = ["asset_class", "timeframe", "symbol", "year"]
+#: Folders of the bar lake: many symbols share one, so that their number does not grow with the symbols and years.
+SYMBOL_BUCKET, SYMBOL_BUCKETS = "symbol_bucket", 64
+PARTITION_COLUMNS = ["asset_class", "timeframe", SYMBOL_BUCKET]
 
 OHLCV = T.StructType([
     T.StructField("timestamp", T.TimestampNTZType()),
@@ -21,7 +23,7 @@ OHLCV = T.StructType([
     T.StructField("adj_close", T.DoubleType()),
     T.StructField("adj_factor", T.DoubleType()),
     T.StructField("source", T.StringType()),
-    # Hive partition columns: typed explicitly so '0001' stays a string
+    # folder names in some lakes, columns in others: typed explicitly so '0001' stays a string
     T.StructField("asset_class", T.StringType()),
     T.StructField("timeframe", T.StringType()),
     T.StructField("symbol", T.StringType()),

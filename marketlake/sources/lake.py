@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.catalog import in_universe
-from ..schemas import BAR_COLUMNS, OHLCV, PARTITION_COLUMNS
-from .versioned import VersionedLake, is_versioned
+from ..schemas import BAR_COLUMNS, OHLCV, PARTITION_COLUMNS, SYMBOL_BUCKET
+from .versioned import VersionedLake, bucket_of, is_versioned, read_folders
 
 MAX_ROWS_PER_FILE = 5_000_000
 
@@ -27,8 +27,10 @@ def scan_bars(spark: SparkSession, root: str, extra_schema=None, discover: bool
     if discover or is_versioned(spark, root):
         return VersionedLake(spark, root).scan(extra_schema=extra_schema)
     schema = StructType([*OHLCV.fields, *(extra_schema.fields if extra_schema is not None else [])])
+    last = ["asset_class", "timeframe", "symbol", "year"]  # in one order, whichever of them are folder names
     try:
-        return spark.read.schema(schema).option("basePath", root).parquet(root)
+        found = read_folders(spark, root, schema, [""])
+        return found.select(*[c for c in found.columns if c not in (*last, SYMBOL_BUCKET)], *last)
     except Exception as e:  # noqa: BLE001  (empty or missing lake)
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             return empty_bars(spark)
@@ -57,13 +59,16 @@ def ranged_writer(df: DataFrame, order: Sequence[str]) -> DataFrameWriter:
 
 
 def bar_writer(df: DataFrame) -> DataFrameWriter:
+    """Rows by bucket, symbol and time: a file's row groups hold few symbols each, so a filter on ``symbol`` or ``timestamp``
+    skips the others by their bounds."""
     cols = [*BAR_COLUMNS, *(c for c in df.columns if c not in BAR_COLUMNS)]
     # symbols are stored upper-case, the form every read predicate uses (Q16)
-    return ranged_writer(df.select(*cols).withColumn("symbol", F.upper("symbol")), [*PARTITION_COLUMNS, "timestamp"])
+    rows = df.select(*cols).withColumns({"symbol": F.upper("symbol"), "year": F.col("year").cast("int")})
+    return ranged_writer(rows.withColumn(SYMBOL_BUCKET, bucket_of("symbol")), [*PARTITION_COLUMNS, "symbol", "timestamp"])
 
 
 def write_bars(df: DataFrame, root: str, mode: str = "append") -> None:
-    """K1: append bars under asset_class/timeframe/symbol/year; on a lake with versions, as one commit
+    """K1: append bars under asset_class/timeframe/symbol_bucket; on a lake with versions, as one commit
     (``overwrite`` replaces its whole content then)."""
     if is_versioned(df.sparkSession, root):
         lake = VersionedLake(df.sparkSession, root)

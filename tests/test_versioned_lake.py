@@ -226,3 +226,49 @@ def test_extra_columns_are_found_and_widened(spark, tmpdir_path):
     lake.rewrite(lake.scan().select(*COLUMNS, "trades", "venue"))
     assert rows(LK.scan_bars(spark, root)) == [*want[:2], ("CCC", None, "y")] and len(lake.manifest().layouts) == 1
     assert rows(LK.scan_bars(spark, root).where("timeframe = '1h'")) == [want[1]]
+
+
+def _leaves(root):
+    return {os.path.dirname(f) for f in glob.glob(root + "/**/*.parquet", recursive=True)}
+
+
+def _by_symbol_and_year(spark, rows, root):
+    """A lake as it was laid out before: one folder per symbol and year."""
+    bars(spark, rows).write.mode("append").partitionBy("asset_class", "timeframe", "symbol", "year").parquet(root)
+
+
+def test_the_number_of_folders_does_not_grow_with_symbols_and_years(spark, tmpdir_path):
+    rows = [(f"S{i:03d}", f"{year}-01-01", 1.0) for i in range(300) for year in (2019, 2020, 2021)]
+    LK.write_bars(bars(spark, rows), tmpdir_path + "/plain")
+    lake = VersionedLake(spark, tmpdir_path + "/lake")
+    lake.append(bars(spark, rows))
+    LK.replace_series(bars(spark, [("S007", "2022-01-01", 7.0)]), lake.root)
+    assert 1 < len(_leaves(tmpdir_path + "/plain")) <= 64 and len(_leaves(lake.root + "/_data")) <= 64 + 2
+    assert content(spark, tmpdir_path + "/plain") == rows
+    assert content(spark, lake.root) == sorted([r for r in rows if r[0] != "S007"] + [("S007", "2022-01-01", 7.0)])
+    assert len(lake.manifest().folders) <= 64 + 2
+
+
+def test_lakes_with_a_folder_per_symbol_are_read_and_added_to(spark, tmpdir_path):
+    root = tmpdir_path + "/lake"
+    _by_symbol_and_year(spark, A, root)
+    assert content(spark, root) == A
+    LK.write_bars(bars(spark, [("AAA", "2022-01-01", 4.0), ("CCC", "2020-01-01", 5.0)]), root)
+    both = sorted([*A, ("AAA", "2022-01-01", 4.0), ("CCC", "2020-01-01", 5.0)])
+    assert content(spark, root) == both == sorted((r.symbol, str(r.timestamp)[:10], r.close) for r in LK.scan_bars(spark, root, discover=True).collect())
+    kept = VersionedLake(spark, root).in_universe(spark.createDataFrame([("aaa",)], "symbol string"))
+    assert {r.symbol for r in kept.collect()} == {"AAA"} and kept.columns == LK.scan_bars(spark, root).columns
+    for _ in range(2):
+        LK.replace_series(bars(spark, [("AAA", "2023-01-01", 9.0)]), root)
+        assert content(spark, root) == sorted([r for r in both if r[0] != "AAA"] + [("AAA", "2023-01-01", 9.0)])
+
+
+def test_rows_without_a_symbol_or_class_are_replaced_too(spark, tmpdir_path):
+    root, none = tmpdir_path + "/lake", F.lit(None).cast("string")
+    blank = bars(spark, [("X", "2020-01-01", 1.0)]).withColumn("symbol", none)
+    lake = VersionedLake(spark, root)
+    lake.append(bars(spark, A).unionByName(blank).unionByName(bars(spark, A[:1]).withColumn("asset_class", none)))
+    LK.replace_series(blank.withColumn("close", F.lit(5.0)), root)
+    got = {(r.symbol, r.asset_class, str(r.timestamp)[:10], r.close) for r in LK.scan_bars(spark, root).collect()}
+    assert got == {(s, "stocks", d, c) for s, d, c in A} | {("AAA", None, "2020-01-01", 1.0), (None, "stocks", "2020-01-01", 5.0)}
+    assert lake.state().count() == 4
