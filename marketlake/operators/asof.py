@@ -15,8 +15,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocked import block_of
@@ -33,6 +34,21 @@ class Right:
     tie: Sequence[str] = field(default_factory=tuple)
 
 
+def last_values(right: DataFrame, by: Sequence[str], ts: str, columns: Sequence[str], tie: Sequence[str], *also: Column) -> DataFrame:
+    """One row per key (and ``also``): the last non-null value of each column by time, then ``tie``."""
+    rank = F.struct(ts, *tie)
+    return right.groupBy(*by, *also).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(c) for c in columns])
+
+
+def since(right: Right, by: str, start: Column) -> Right:
+    """A right table for left rows from ``start`` on: what it says before is one row per key, with the last value of each column."""
+    ts, tie = right.ts, list(right.tie)
+    early = right.df.filter(F.col(ts) < start)
+    columns = list(dict.fromkeys([*right.columns, *tie]))
+    last = last_values(early, [by], ts, columns, tie or right.columns).withColumn(ts, F.timestamp_add("MICROSECOND", F.lit(-1), start))
+    return Right(right.df.select(by, ts, *columns).filter(F.col(ts) >= start).unionByName(last.select(by, ts, *columns)), right.columns, ts, tie)
+
+
 def asof_fill(left: DataFrame, rights: Sequence[Right], by: str | Sequence[str] = "symbol",
               ts: str = "timestamp", block_seconds: int = 32 * 86_400,
               keep: Sequence[str] | None = None, keep_block: bool = False,
@@ -62,23 +78,20 @@ def asof_fill(left: DataFrame, rights: Sequence[Right], by: str | Sequence[str]
     left_cols = list(keep) if keep is not None else [c for c in left.columns if c not in by and c != ts]
 
     parts = [left.select(*by, ts, *left_cols, F.lit(1).alias(side), F.lit(None).cast("int").alias("__i"))]
-    tie_names: list[str] = []
+    # carry-in per left block: the last non-null right values from strictly earlier blocks, from map-side-combined
+    # aggregates of each right table alone (one row per key and block: the block's last values), and the set of left blocks
+    ties: list[str] = []
+    summaries = []
     for i, r in enumerate(rights):
-        tie_cols = list(r.tie) or list(r.columns)
-        names = [f"__t{i}_{k}" for k in range(len(tie_cols))]
-        tie_names += names
-        parts.append(r.df.select(*by, F.col(r.ts).alias(ts), *r.columns, F.lit(0).alias(side),
-                                 F.lit(i).alias("__i"), *[F.col(c).alias(n) for c, n in zip(tie_cols, names)]))
-    # carry-in per left block: the last non-null right values from strictly earlier
-    # blocks, from map-side-combined aggregates of narrow projections (one row per key
-    # and block: the block's last right values, and the set of left blocks)
-    rights_u = parts[1]
-    for p in parts[2:]:
-        rights_u = rights_u.unionByName(p, allowMissingColumns=True)
-    rank = F.struct(F.col(ts), F.col(side), F.col("__i"), *[F.col(n) for n in tie_names])
-    right_blocks = (rights_u.withColumn(blk, block_of(ts, block_seconds)).groupBy(*by, blk)
-                    .agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(c) for c in value_cols])
-                    .withColumn(side, F.lit(1)))
+        # without a tie order the values themselves are one: they are in the row already, and null in all other tables' rows
+        own = {c: f"__t{i}_{k}" for k, c in enumerate(r.tie)}
+        ties += list(own.values()) or list(r.columns)
+        part = r.df.select(*by, F.col(r.ts).alias(ts), *r.columns, F.lit(0).alias(side), F.lit(i).alias("__i"),
+                           *[F.col(c).alias(n) for c, n in own.items()])
+        parts.append(part)
+        summaries.append(last_values(part, by, ts, r.columns, list(own.values()) or list(r.columns), block_of(ts, block_seconds).alias(blk))
+                         .withColumn(side, F.lit(1)))
+    right_blocks = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), summaries)
     keys = (left.select(*by, block_of(ts, block_seconds).alias(blk)).distinct().withColumn(side, F.lit(0)))
     wc = (Window.partitionBy(*by).orderBy(F.col(blk), F.col(side))
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -99,7 +112,7 @@ def asof_fill(left: DataFrame, rights: Sequence[Right], by: str | Sequence[str]
 
     # Per-column forward fill, last non-null up to and including the current row
     order = [F.col(ts), *[F.col(c).asc_nulls_first() for c in left_order], F.col(side), F.col("__i"),
-             *[F.col(n) for n in tie_names]]
+             *[F.col(n) for n in ties]]
     w = Window.partitionBy(*by, blk).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = union.select(*by, ts, blk, side, *left_cols,
                           *[F.last(c, ignorenulls=True).over(w).alias(c) for c in value_cols])

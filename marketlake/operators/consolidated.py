@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .asof import Right, asof_fill
+from .asof import Right, asof_fill, since
 from .bars import _ts_literal, adjust, dedup_bars, filter_bars, lag_n, standard_projection
 from .blocked import block_seconds_for
 
@@ -52,8 +52,8 @@ def consolidated(lake: DataFrame, volatility: DataFrame | None = None, fundament
 
     Columns: date, symbol, company_name, sector, industry, market_cap, open, high, low,
     close, volume, then the joined columns that exist. The date window is applied to the
-    bars *before* the fill (equivalent, since history before ``start`` stays available
-    on the right sides, which are only cut at ``end``). ``keep_keys`` adds timestamp,
+    bars *before* the fill (equivalent, since the right sides keep their last values before ``start``, one
+    row per symbol, and are cut at ``end``). ``keep_keys`` adds timestamp,
     timeframe and asset_class (the SQL view E5 needs them).
     """
     # bars of the window, not yet de-duplicated: the fill runs first and the de-dup
@@ -74,6 +74,7 @@ def consolidated(lake: DataFrame, volatility: DataFrame | None = None, fundament
     if start is not None:
         lo = _ts_literal(str(start)[:10])
         bars = bars.filter(F.col("timestamp") >= lo)
+        rights = [since(r, "symbol", lo) for r in rights]
     if end is not None:
         stop = F.lit(_day_after(end)).cast("timestamp_ntz")
         bars = bars.filter(F.col("timestamp") < stop)

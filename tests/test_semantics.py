@@ -205,3 +205,20 @@ def test_an_interval_that_a_vendor_lacks_is_an_error(spark):
     assert df.where("timeframe = '1m'").select(timeframe_to_vendor("alpaca")).first()[0] == "1Min"
     with pytest.raises(Exception, match="alpaca has no interval for timeframe 4h"):
         df.select(timeframe_to_vendor("alpaca")).collect()
+
+
+def test_a_right_table_since_a_time_keeps_its_last_values(spark):
+    from marketlake.operators.asof import Right, asof_fill, since
+
+    right = spark.createDataFrame([("A", 1, 1.0, None), ("A", 2, None, 5.0), ("A", 2, None, 7.0), ("A", 9, 3.0, None), ("B", 3, 4.0, None), (None, 2, 6.0, 8.0)],
+                                  "symbol string, d int, x double, y double").selectExpr("symbol", "timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, d) as timestamp", "x", "y")
+    left = spark.createDataFrame([("A", 5), ("A", 9), ("B", 5), ("C", 5), (None, 5)], "symbol string, d int").selectExpr(
+        "symbol", "d", "timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, d) as timestamp")
+    start = F.lit("2020-01-06").cast("timestamp_ntz")
+    cut = since(Right(right, ["x", "y"]), "symbol", start)
+    assert cut.df.count() == 4  # one row each of A, B and null before the start, one of A after it
+    want = {("A", 5, 1.0, 7.0), ("A", 9, 3.0, 7.0), ("B", 5, 4.0, None), ("C", 5, None, None), (None, 5, 6.0, 8.0)}
+    for r in (Right(right, ["x", "y"]), cut):
+        out = asof_fill(left, [r], block_seconds=2 * 86_400)
+        assert {(x.symbol, x.d, x.x, x.y) for x in out.collect()} == want
+        assert "__t0_" not in out._jdf.queryExecution().analyzed().toString()  # values are not carried a second time as tie order
