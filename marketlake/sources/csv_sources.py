@@ -134,17 +134,20 @@ def read_platform_export(spark: SparkSession, path: str, asset_class: str = "for
                        source_tz=source_tz).drop("__tf")
 
 
-def read_headed_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_headed_csv(spark: SparkSession, path: str, name_column: str | None = None) -> DataFrame:
     """CSV files of one folder, each with its own header: columns are matched by name, so
     files may order, add or leave out columns. Names are compared in lower case; a column is
     called as in the first layout (by text) that has it. All are text, and
-    ``__file`` and ``__size`` tell the file. A record is one line; lines equal to their
+    ``__file`` and ``__size`` tell the file (``name_column``: a partition column of a landed layout that holds the
+    file's name). A record is one line; lines equal to their
     file's header are left out.
 
     Lines are scanned in parallel; the header of each file comes from one group-by, and the
     distinct layouts (a handful, however many files) fix the schema."""
-    lines = spark.read.text(path).select(
-        F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("__file"),
+    named = spark.read.schema(f"value string, {name_column} string") if name_column else spark.read
+    lines = named.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"),
+        F.col(name_column or "_metadata.file_name").alias("__file"),
         F.col("_metadata.file_size").alias("__size"),
         F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row")).alias("place")
     ).where(F.trim("line") != "")
@@ -172,16 +175,17 @@ def read_headed_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_symbol_dir(spark: SparkSession, path: str, timeframe: str = "D1", source: str = "archive",
-                    min_bytes: int = 0) -> DataFrame:
+                    min_bytes: int = 0, name_column: str | None = None) -> DataFrame:
     """A directory with one CSV per symbol (``SYM.csv`` or ``PAIR-X.csv``), each with
     its own header.
 
     The symbol is the file stem, a ``-X`` suffix marks forex (stripped; UTC source times),
     everything else is a stock in New York time. ``min_bytes`` leaves out smaller files
-    (none by default; the archive this layout comes from is read with 75,000).
+    (none by default; the archive this layout comes from is read with 75,000). ``name_column``: a partition column that
+    holds the stem, of an archive landed with a folder per symbol.
     """
-    raw = read_headed_csv(spark, path).where(F.col("__size") >= min_bytes)
-    stem = file_stem(F.col("__file"))
+    raw = read_headed_csv(spark, path, name_column).where(F.col("__size") >= min_bytes)
+    stem = F.col("__file") if name_column else file_stem(F.col("__file"))
     forex = stem.endswith(FOREX_SUFFIX)
     raw = (raw.withColumn("symbol", F.when(forex, F.regexp_replace(stem, f"{FOREX_SUFFIX}$", "")).otherwise(stem))
            .withColumn("__class", F.when(forex, F.lit("forex")).otherwise(F.lit("stocks")))

@@ -270,3 +270,12 @@ def test_returns_read_the_bars_once(spark):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("FileScan") == 1
+
+
+def test_symbol_files_in_folders_named_by_them(spark, tmpdir_path):
+    for stem in ("AAA", "EURUSD-X", "0012", "BRK.B"):
+        os.makedirs(os.path.join(tmpdir_path, f"symbol={stem}"))
+        with open(os.path.join(tmpdir_path, f"symbol={stem}", "part-0.csv"), "w") as f:
+            f.write("Date,Open,High,Low,Close,Adj Close,Volume\n2020-01-02,1,2,0.5,1.5,0.75,100\n")
+    got = {(r.symbol, r.asset_class, r.timestamp.hour) for r in csv_sources.read_symbol_dir(spark, tmpdir_path, name_column="symbol").collect()}
+    assert got == {("AAA", "stocks", 5), ("EURUSD", "forex", 0), ("0012", "stocks", 5), ("BRK.B", "stocks", 5)}
