@@ -99,23 +99,32 @@ def extract_facts(facts: DataFrame, forms: Sequence[str] = ALLOWED_FORMS) -> Dat
     last report (highest ``pos``) wins.
 
     One aggregation over the facts; the choices are windows over its result, which has one
-    row per (symbol, taxonomy, concept, unit, end date).
+    row per (symbol, taxonomy, concept, unit, end date). The result is dealt by symbol over all shuffle partitions, in
+    narrow rows that are sorted once for both windows: AQE would bring them together in a few large tasks.
     """
-    f = facts
-    if "taxonomy" not in f.columns:
-        f = f.withColumn("taxonomy", F.lit(TAXONOMY_PREFERENCE[0]))
+    one_taxonomy = "taxonomy" not in facts.columns
+    f = facts.withColumn("taxonomy", F.lit(TAXONOMY_PREFERENCE[0])) if one_taxonomy else facts
     if "unit_pos" not in f.columns:
         f = f.withColumn("unit_pos", F.lit(0))
     allowed = F.when(F.col("form").isin(list(forms)), F.col("pos"))
     last = (f.filter(F.col("taxonomy").isin(TAXONOMY_PREFERENCE))
             .groupBy("symbol", "taxonomy", "concept", "unit_pos", "end_date")
             .agg(F.max_by(F.struct("val", "form"), allowed).alias("__v"), F.count(allowed).alias("__n")))
-    rank = F.array_position(F.array(*map(F.lit, TAXONOMY_PREFERENCE)), F.col("taxonomy"))
-    of_symbol = last.withColumn("__tax", F.min(rank).over(Window.partitionBy("symbol"))).filter(
-        (rank == F.col("__tax")) & (F.col("__n") > 0))
+    rank = F.array_position(F.array(*map(F.lit, TAXONOMY_PREFERENCE)), F.col("taxonomy")).cast("int")
+    tasks = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dimension = F.broadcast(metric_dimension(facts.sparkSession))                                  # fixed, ~15 rows
+    # facts of other concepts, or of no allowed form, count for the taxonomy of their symbol alone
+    known = last.join(dimension, "concept", "inner" if one_taxonomy else "left").withColumn("__tax", rank)
+    usable = (F.col("__n") > 0) & F.col("metric").isNotNull()
+    if one_taxonomy:
+        known = known.filter(usable)
+    rows = (known.select("symbol", "metric", "pref", "unit_pos", "end_date", "__v", "__tax", F.when(usable, True).alias("__usable"))
+            .repartition(tasks, "symbol").sortWithinPartitions("symbol", "metric"))
+    if not one_taxonomy:
+        rows = rows.withColumn("__first", F.min("__tax").over(Window.partitionBy("symbol"))).filter(
+            (F.col("__tax") == F.col("__first")) & F.col("__usable"))
     choice = F.struct("pref", "unit_pos")
-    chosen = of_symbol.join(F.broadcast(metric_dimension(facts.sparkSession)), "concept")  # fixed, ~15 rows
-    chosen = chosen.withColumn("__best", F.min(choice).over(Window.partitionBy("symbol", "metric")))
+    chosen = rows.withColumn("__best", F.min(choice).over(Window.partitionBy("symbol", "metric")))
     return chosen.filter(choice == F.col("__best")).select(
         "symbol", "metric", "end_date", F.col("__v.val").alias("val"), F.col("__v.form").alias("form"))
 
@@ -129,7 +138,7 @@ def facts_to_financials(extracted: DataFrame) -> DataFrame:
     """
     metrics = list(METRIC_CONCEPTS)
     d = extracted.groupBy("symbol", F.col("end_date").alias("report_date")).agg(
-        *[F.first(F.when(F.col("metric") == m, F.col("val")), ignorenulls=True).alias(m) for m in metrics],
+        *[F.max(F.when(F.col("metric") == m, F.col("val"))).alias(m) for m in metrics],
         F.max(F.when(F.col("form") == "10-K", 1).otherwise(0)).alias("__fy"))
     d = d.select("symbol", "report_date",
                  F.when(F.col("__fy") == 1, F.lit("FY")).otherwise(F.lit("Q")).alias("fiscal_period"),
