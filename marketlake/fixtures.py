@@ -118,12 +118,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+#: Keys by which two whole tables are joined.
+JOIN_KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Spark DataFrame of fixture ``name`` over the base tables in ``sf_dir``."""
+    """Spark DataFrame of fixture ``name`` over the base tables in ``sf_dir``.
+
+    Tables that are joined as a whole come dealt by their key over all shuffle partitions. Left to itself, AQE joins them
+    in about as many tasks as there are cores, since their few columns are small once compressed; a task then sorts and
+    aggregates the more rows the larger the tables are."""
     if name in BASE_TABLES:
         return table(spark, sf_dir, name)
     text = FIXTURE_SQL[name].replace("{ts}", "timestamp_ntz")
     binds = {d: fixture(spark, sf_dir, d) for d in _deps(name)}
+    if JOIN_KEYS.keys() <= binds.keys():
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        binds |= {d: binds[d].repartition(tasks, key) for d, key in JOIN_KEYS.items()}
     return spark.sql(text, **binds)
 
 

@@ -3,7 +3,9 @@ import datetime as dt
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from marketlake.fixtures import fixture
 from marketlake.operators import fundamentals
 
 FACTS = "symbol string, taxonomy string, concept string, unit_pos int, form string, end_date timestamp_ntz, pos long, val double"
@@ -38,3 +40,15 @@ def test_choices_of_facts_are_unchanged(spark):
     found = fundamentals.extract_facts(spark.createDataFrame(rows, FACTS))
     assert {(r.symbol, r.metric, r.val, r.form) for r in found.collect()} == {
         ("B", "total_assets", 3.0, "10-Q"), ("C", "revenue", 6.0, "10-K"), (None, "revenue", None, "10-Q")}
+
+
+def test_whole_tables_are_joined_in_all_partitions(spark, tmpdir_path):
+    orders = spark.range(300).select(F.col("id").alias("o_orderkey"), F.lit(dt.datetime(1995, 5, 5)).cast("timestamp_ntz").alias("o_orderdate"),
+                                     F.col("id").cast("double").alias("o_totalprice"))
+    orders.write.parquet(f"{tmpdir_path}/orders.parquet")
+    orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 7).alias("l_suppkey")).write.parquet(f"{tmpdir_path}/lineitem.parquet")
+    for name in ("fx_vol", "fx_fund", "fx_fin"):
+        made = fixture(spark, tmpdir_path, name)
+        plan = executed(made)
+        assert made.count() == 7
+        assert all(re.search(rf"hashpartitioning\({key}#\d+L, \d+\), REPARTITION_BY_NUM", plan) for key in ("o_orderkey", "l_orderkey"))
