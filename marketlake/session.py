@@ -8,8 +8,10 @@ for tests, the bench and scripts, ``ensure_defaults`` pins what correctness need
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -70,3 +72,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Point ``checkpoint()`` at the shared folder."""
     _shared_root(spark)
     return spark.sparkContext.getCheckpointDir()
+
+
+#: Spark 4.1 on: when a query has ended, its shuffle files go (older versions keep them). Of a write they are found only
+#: if it is not planned with a node of its own, which serves writes into partitions.
+FREE_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.optimizer.plannedWrite.enabled": "false"}
+
+
+@contextmanager
+def freed_shuffles(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` for a write into one folder that nothing reads the shuffles of afterwards: their files go when it ends. Else they
+    stay until the driver happens to collect its garbage, beside what the next jobs shuffle."""
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k, None) for k in FREE_SHUFFLES}
+    try:
+        for k, v in FREE_SHUFFLES.items():
+            conf.set(k, v)
+        yield df.select("*")
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)

@@ -134,6 +134,14 @@ def read_platform_export(spark: SparkSession, path: str, asset_class: str = "for
                        source_tz=source_tz).drop("__tf")
 
 
+def _file_headers(lines: DataFrame) -> DataFrame:
+    """The first line of every file (path, header), of lines with their ``path`` and ``place``. Spark sorts what it aggregates when
+    a buffer holds text, which would be all lines of all files. A list among the aggregates (of nulls, so it is empty) makes it
+    keep one line per file in a hash table instead."""
+    nothing = F.get(F.collect_list(F.lit(None).cast("string")), F.lit(0))
+    return lines.groupBy("path").agg(F.coalesce(nothing, F.min_by("line", "place")).alias("header"))
+
+
 def read_headed_csv(spark: SparkSession, path: str, name_column: str | None = None) -> DataFrame:
     """CSV files of one folder, each with its own header: columns are matched by name, so
     files may order, add or leave out columns. Names are compared in lower case; a column is
@@ -143,7 +151,7 @@ def read_headed_csv(spark: SparkSession, path: str, name_column: str | None = No
     file's header are left out.
 
     Lines are scanned in parallel; the header of each file comes from one group-by, and the
-    distinct layouts (a handful, however many files) fix the schema."""
+    distinct layouts (a handful, however many files) fix the schema. With a single layout no line is shuffled or sorted."""
     named = spark.read.schema(f"value string, {name_column} string") if name_column else spark.read
     lines = named.text(path).select(
         F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"),
@@ -151,7 +159,7 @@ def read_headed_csv(spark: SparkSession, path: str, name_column: str | None = No
         F.col("_metadata.file_size").alias("__size"),
         F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row")).alias("place")
     ).where(F.trim("line") != "")
-    heads = lines.groupBy("path").agg(F.min_by("line", "place").alias("header"))
+    heads = _file_headers(lines)
     layouts = sorted(r["header"] for r in heads.select("header").distinct().collect())
     names: dict[str, str] = {}
     fields: dict[str, list[str]] = {}
@@ -161,7 +169,9 @@ def read_headed_csv(spark: SparkSession, path: str, name_column: str | None = No
             names.setdefault(c.lower(), c)
     width = max(map(len, fields.values()), default=1)
     record = F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(width))))
-    rows = lines.join(heads, "path").where(F.col("line") != F.col("header")).withColumn("r", record)
+    # one layout: every file's header is known, and the lines stay where they are read
+    headed = lines.withColumn("header", F.lit(layouts[0])) if len(layouts) == 1 else lines.join(heads, "path")
+    rows = headed.where(F.col("line") != F.col("header")).withColumn("r", record)
 
     def value(name: str) -> Column:
         out = F.lit(None).cast("string")
