@@ -52,7 +52,7 @@ def since(right: Right, by: str, start: Column) -> Right:
 def asof_fill(left: DataFrame, rights: Sequence[Right], by: str | Sequence[str] = "symbol",
               ts: str = "timestamp", block_seconds: int = 32 * 86_400,
               keep: Sequence[str] | None = None, keep_block: bool = False,
-              left_order: Sequence[str] = ()) -> DataFrame:
+              left_order: Sequence[str] = (), constants: DataFrame | None = None) -> DataFrame:
     """Left rows with every right column filled as-of backward. Order is not defined.
 
     The union of left and rights is hash-partitioned once on (key, block) for the
@@ -66,6 +66,9 @@ def asof_fill(left: DataFrame, rights: Sequence[Right], by: str | Sequence[str]
     nulls first; they are null on right rows, so rights still precede lefts at equal
     times and the fill is unchanged). A caller whose next window is partitioned by
     (key, block, timestamp, ...) and ordered by those columns then needs no second sort.
+
+    ``constants`` (a row per key) are brought to every left row of their key by the carry rows, so a table of the keys' own
+    values that is too large to broadcast does not shuffle the filled rows again.
     """
     by = [by] if isinstance(by, str) else list(by)
     side, blk = "__side", "__blk"
@@ -102,6 +105,9 @@ def asof_fill(left: DataFrame, rights: Sequence[Right], by: str | Sequence[str]
     # ranked before every real row there: the fill window picks them up, so the large
     # side is never joined (its (key, block) partitioning and sort stay intact)
     start = F.timestamp_add("SECOND", F.col(blk) * F.lit(block_seconds), F.lit(_EPOCH).cast("timestamp_ntz"))
+    if constants is not None:
+        carry = carry.join(constants, by, "left")
+        value_cols += [c for c in constants.columns if c not in by]
     parts.append(carry.select(*by, start.alias(ts), *value_cols, F.lit(0).alias(side),
                               F.lit(-1).alias("__i")))
 

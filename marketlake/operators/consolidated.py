@@ -83,19 +83,25 @@ def consolidated(lake: DataFrame, volatility: DataFrame | None = None, fundament
     bar_cols = ["asset_class", "timeframe", "open", "high", "low", "close", "volume", "adj_close", "adj_factor",
                 "source"]
     rest = ["asset_class", "open", "high", "low", "close", "volume", "adj_close", "adj_factor"]
+    meta = None if metadata is None else metadata.select("symbol", "longname", "sector", "industry", "marketcap")
+    packed = None
+    if rights and meta is not None and not keep_keys:
+        # a symbol's metadata (all rows of it) ride along in the fill: a join would deal the filled rows by symbol once more
+        packed = meta.groupBy("symbol").agg(F.collect_list(F.struct("longname", "sector", "industry", "marketcap")).alias("__meta"))
     if rights:
         # the fill sorts each (symbol, block) by timestamp, then by W3's order, so the
         # de-dup window (keys in the same order) reuses that sort instead of its own
         filled = asof_fill(bars, rights, by="symbol", ts="timestamp", block_seconds=block_seconds_for(timeframe),
-                           keep=bar_cols, keep_block=True, left_order=["timeframe", "source", *rest])
+                           keep=bar_cols, keep_block=True, left_order=["timeframe", "source", *rest], constants=packed)
         filled = dedup_bars(filled, keys=["symbol", "__blk", "timestamp", "timeframe"], order=rest)
     else:
         filled = dedup_bars(bars, order=rest).withColumn("__blk", F.lit(None).cast("long"))
     filled = adjust(filled, adjusted)
 
-    if metadata is not None:
-        meta = metadata.select("symbol", "longname", "sector", "industry", "marketcap")
-        filled = filled.join(meta, "symbol", "left")
+    if packed is not None:
+        filled = filled.select("*", F.inline_outer("__meta"))
+    elif meta is not None:
+        filled = filled.join(meta, "symbol", "left")       # keeps the order in a block when it is broadcast
     else:
         filled = (filled.withColumn("longname", F.lit(None).cast("string"))
                   .withColumn("sector", F.lit(None).cast("string"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketlake import registered as R
 from marketlake import registered_more as RM
+from marketlake.operators.consolidated import consolidated
 from marketlake.session import FREE_SHUFFLES
 from marketlake.sources import csv_sources as CS
 from marketlake.sources import export as EX
@@ -113,3 +114,43 @@ def test_consolidated_export_is_whole_compressed_and_leaves_no_shuffles(spark, t
     assert len(left) <= 2  # of the search for the files' headers: a line per file
     assert exported.schema.names == wide.schema.names and sorted(map(repr, exported.collect())) == expected and len(expected) > 50
     assert glob.glob(f"{tmpdir_path}/scratch/export/consolidated/*.csv.gz") and not glob.glob(f"{tmpdir_path}/scratch/export/consolidated/*.csv")
+
+
+def bars_vol_and_metadata(spark):
+    day = dt.datetime(2024, 1, 1)
+    bar = lambda s, t, c: (s, t, "stocks", "D1", c, c, c, c, 1.0, "v")
+    bars = spark.createDataFrame([bar("A", day, 1.0), bar("A", day, 2.0), bar("A", day + dt.timedelta(days=9000), 3.0), bar("A", None, 4.0),
+                                  bar("B", day, 5.0), bar(None, day, 6.0), bar("C", day, 7.0)],
+                                 "symbol string, timestamp timestamp_ntz, asset_class string, timeframe string, open double, high double, "
+                                 "low double, close double, volume double, source string")
+    vol = spark.createDataFrame([("A", day, 0.5), ("B", day + dt.timedelta(days=1), 0.7)], "symbol string, timestamp timestamp_ntz, realized_vol_30d double")
+    meta = spark.createDataFrame([("A", "a1", "s", "i", 1.0), ("A", "a2", None, "i", None), ("A", "a2", None, "i", None), ("B", None, None, None, None),
+                                  (None, "none", "s", "i", 2.0), ("D", "d", "s", "i", 3.0)],
+                                 "symbol string, longname string, sector string, industry string, marketcap double")
+    return bars, vol, meta
+
+
+def test_metadata_of_the_consolidated_table_match_as_in_a_join(spark):
+    """All rows of a symbol's metadata, none for a null symbol, and those of bars without a time."""
+    bars, vol, meta = bars_vol_and_metadata(spark)
+    found = consolidated(bars, volatility=vol, metadata=meta)
+    joined = consolidated(bars, volatility=vol, metadata=meta, keep_keys=True).select(found.columns)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, joined.collect()))
+    assert found.count() == 3 + 3 + 3 + 1 + 1 + 1
+    assert {(r.company_name, r.market_cap) for r in found.where("date is null").collect()} == {("a1", 1.0), ("a2", None)}
+    assert {(r.symbol, r.company_name) for r in found.where("symbol is null or symbol <> 'A'").collect()} == {("B", ""), (None, ""), ("C", "")}
+
+
+def test_metadata_too_large_to_broadcast_do_not_shuffle_the_filled_rows(spark):
+    bars, vol, meta = bars_vol_and_metadata(spark)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "-1")
+        found = plan(consolidated(bars, volatility=vol, metadata=meta))
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    above = found[:found.index("REPARTITION_BY_COL")]  # what comes after the exchange of the fill
+    assert above.count("Exchange") == 1 and "Join" not in above
